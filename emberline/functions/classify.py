@@ -12,6 +12,7 @@ from emberline.constants import (
     RISK_WHEN_INVALID,
 )
 from emberline.functions.clean import bounded, finite
+from emberline.session import local_table
 
 
 def _by_class(fwi: Column, field: int) -> Column:
@@ -55,4 +56,4 @@ def danger_classes(spark: SparkSession) -> DataFrame:
         "class_ord int, lo double, hi double, danger_class string, base_risk double, "
         "color string, description string, fwi_range string"
     )
-    return spark.createDataFrame(rows, schema)
+    return local_table(spark, rows, schema)

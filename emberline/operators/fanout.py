@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.session import fits_broadcast
 from emberline.sources.payloads import WEATHER_COLUMNS
 
 
 def known_payloads(payloads: DataFrame, stations: DataFrame) -> DataFrame:
-    """Payloads of stations that are on the list.  The list is small and broadcast."""
-    return payloads.join(F.broadcast(stations.select(F.col("name").alias("station"))), "station", "left_semi")
+    """Payloads of stations that are on the list."""
+    return payloads.join(stations.select(F.col("name").alias("station")), "station", "left_semi")
 
 
 def unknown_stations(payloads: DataFrame, stations: DataFrame) -> DataFrame:
@@ -20,7 +19,7 @@ def unknown_stations(payloads: DataFrame, stations: DataFrame) -> DataFrame:
     Counted before the anti join, so the join sees one row per name.
     """
     counts = payloads.groupBy("station").agg(F.count("*").alias("n_payloads"))
-    return counts.join(F.broadcast(stations.select(F.col("name").alias("station"))), "station", "left_anti")
+    return counts.join(stations.select(F.col("name").alias("station")), "station", "left_anti")
 
 
 def latest_per_station(flat: DataFrame, order: str, keys: tuple[str, ...] = ("station",)) -> DataFrame:
@@ -54,12 +53,11 @@ def fan_out(cell_station: DataFrame, station_weather: DataFrame) -> DataFrame:
     """Every cell with the weather of its nearest station, NULL where that station failed.
 
     ``station_weather`` has one row per station (or per station and ``file_date``, with cells
-    carrying ``file_date`` too).  It is broadcast when it is small enough, as station lists are.
+    carrying ``file_date`` too).  No broadcast is forced: it is an aggregate, so its real size
+    is known when the join starts and the adaptive plan broadcasts it if that is small.
     """
     on = ["nearest_station"] + [c for c in ("file_date",) if c in station_weather.columns]
     keep = [c for c in WEATHER_COLUMNS if c in station_weather.columns]
     weather = station_weather.withColumnRenamed("station", "nearest_station").select(*on, *keep)
-    if fits_broadcast(weather):
-        weather = F.broadcast(weather)
     cells = cell_station.withColumnRenamed("nearest_station_name", "nearest_station")
     return cells.join(weather, on, "left").select(*cells.columns, *keep)

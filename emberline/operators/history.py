@@ -56,11 +56,18 @@ def latest_snapshot(df: DataFrame) -> DataFrame:
     return df.filter(F.col("file_date") == df.agg(F.max("file_date")).scalar())
 
 
-def daily_terms(history: DataFrame, as_of_month: int | Column, keys: tuple[str, ...] = CELL, float32: bool = True) -> DataFrame:
-    """Per cell and day, the weather-only terms of the index formulas."""
+def daily_terms(
+    history: DataFrame,
+    as_of_month: int | Column,
+    keys: tuple[str, ...] = CELL,
+    float32: bool = True,
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """Per cell and day, the weather-only terms of the index formulas, plus ``carry`` columns."""
     clean = index_inputs(history, float32)
     columns = [F.col(c) for c in ("temperature", "humidity", "wind_speed", "rain")]
-    return clean.select(*keys, "file_date", "wind_speed", *fwi.day_terms(*columns, as_of_month))
+    terms = fwi.day_terms(*columns, as_of_month)
+    return clean.select(*keys, *carry, "file_date", "wind_speed", *terms)
 
 
 def day_struct(terms: DataFrame, keys: tuple[str, ...] = CELL) -> Column:

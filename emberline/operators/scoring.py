@@ -90,16 +90,10 @@ def today_codes(
     partitioning, and only cells that report today are folded.
     """
     series = ordered_series(daily_terms(history, as_of_month, keys, float32), keys)
-    # Position and date stay exact; the weather columns are taken from the untouched row.
-    own = daily_terms(today, as_of_month, keys, float32=False)
-    alone = own.withColumn("alone", F.array(day_struct(own, keys))).select(*keys, "alone")
-    rows = today.withColumn("row", F.struct(*today.columns)).select(*keys, "row")
-    joined = (
-        rows.join(series, list(keys), "left")
-        if today is history
-        else rows.join(alone, list(keys)).join(series, list(keys), "left")
-    )
-    filled = joined.select(*keys, "row", F.coalesce("series", "alone").alias("series"))
+    rows = today.withColumn("row", F.struct(*today.columns))
+    own = daily_terms(rows, as_of_month, keys, float32=False, carry=("row",))
+    alone = own.select(*keys, "row", F.array(day_struct(own.drop("row"), keys)).alias("alone"))
+    filled = alone.join(series, list(keys), "left").select("row", F.coalesce("series", "alone").alias("series"))
     return with_fire_indices(fold_series(filled)).select("row.*", *INDEX_NAMES)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberline.constants import FIRE_RADIUS_M, GRID_LAT, GRID_LON, GRID_STEP, STATIONS
 from emberline.functions.geo import distance, inside_buffer, lambert_xy
-from emberline.session import BROADCAST_ROWS, fits_broadcast
+from emberline.session import BROADCAST_ROWS, fits_broadcast, local_table
 
 # A set of points up to this size is carried along as one array literal.
 ARRAY_POINTS = 10_000
@@ -37,7 +37,7 @@ def grid_cells(spark: SparkSession, step: float = GRID_STEP) -> DataFrame:
 def stations(spark: SparkSession) -> DataFrame:
     """The station list with its order."""
     rows = [(i, *station) for i, station in enumerate(STATIONS)]
-    return spark.createDataFrame(rows, "station_ord int, name string, lat double, lon double")
+    return local_table(spark, rows, "station_ord int, name string, lat double, lon double")
 
 
 def projected(points: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:

@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from emberline.constants import STATIONS
 from emberline.operators.history import last_per_day
+from emberline.session import local_table
+
+# Station names of the payload fixture that are not on the list.
+UNKNOWN_STATIONS = ["Nowhere One", "Nowhere Two"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,3 +70,37 @@ def fires(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderdate AS rep_date",
         "o_totalprice / 100.0D AS size_ha",
     )
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One landed station payload per event, as JSON text.
+
+    The station is picked from the known ones plus two that are not on the list; the kind of
+    event number decides which parts of the object are missing, null or empty.
+    """
+    listed = list(enumerate([s[0] for s in STATIONS] + UNKNOWN_STATIONS))
+    names = local_table(spark, listed, "station_no bigint, station string")
+    events = table(spark, sf_dir, "events").selectExpr(
+        "event_id",
+        "ts AS fetched_at",
+        f"event_id % {len(STATIONS) + len(UNKNOWN_STATIONS)} AS station_no",
+        "event_id % 5 AS kind",
+        "CASE WHEN event_type = 'error' THEN 'null' ELSE cast(cast(value AS decimal(12,2)) AS string) END AS temp",
+        "cast(event_id % 100 + 1 AS string) AS humidity",
+        "cast(event_id % 25 AS string) AS speed",
+        "cast(event_id % 7 AS string) AS rain",
+        "event_type AS sky",
+        "cast(1700000000 + event_id AS string) AS dt",
+    )
+    body = """concat('{',
+        CASE WHEN kind = 4 THEN ''
+             ELSE concat('"main":{"temp":', temp, ',"humidity":', humidity, ',"pressure":1001},') END,
+        '"wind":{"speed":', speed, '},',
+        CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN '"rain":null,'
+             ELSE concat('"rain":{"1h":', rain, '},') END,
+        CASE WHEN kind = 3 THEN '"weather":[],'
+             ELSE concat('"weather":[{"main":"', sky, '"}],') END,
+        '"dt":', dt, '}')"""
+    return events.join(names, "station_no").selectExpr(
+        "event_id", "fetched_at", "station", f"{body} AS payload"
+    )

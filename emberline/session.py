@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,3 +47,10 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows; looks at one row beyond at most."""
     return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small fixed table.  Built from Arrow, its size is known to the optimizer."""
+    names = [field.split()[0] for field in schema.split(", ")]
+    columns = {name: list(values) for name, values in zip(names, zip(*rows))}
+    return spark.createDataFrame(pa.table(columns), schema)
