@@ -1,9 +1,8 @@
-"""Danger class and risk of an FWI value."""
+"""Danger class and risk of an FWI value, as SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from emberline.constants import (
     DANGER_CLASSES,
@@ -11,49 +10,52 @@ from emberline.constants import (
     FIRE_HISTORY_UPLIFT,
     RISK_WHEN_INVALID,
 )
-from emberline.functions.clean import bounded, finite
+from emberline.functions.clean import finite
 from emberline.session import local_table
 
 
-def _by_class(fwi: Column, field: int) -> Column:
+def _by_class(fwi: str, field: int) -> str:
     """The given field of the class whose range holds ``fwi``."""
-    value = bounded(fwi, "fwi")
-    below = [
-        F.when(value < following[0], F.lit(entry[field]))
-        for entry, following in zip(DANGER_CLASSES, DANGER_CLASSES[1:])
-    ]
-    return F.coalesce(*below, F.lit(DANGER_CLASSES[-1][field]))
+    values = [f"'{c[field]}'" if isinstance(c[field], str) else f"{c[field]}D" for c in DANGER_CLASSES]
+    arms = [f"WHEN {fwi} < {upper[0]}D THEN {value}" for value, upper in zip(values, DANGER_CLASSES[1:])]
+    return f"CASE {' '.join(arms)} ELSE {values[-1]} END"
 
 
-def danger_class(fwi: Column) -> Column:
+def danger_class(fwi: str) -> str:
+    """Class name of an FWI value within range."""
     return _by_class(fwi, 1)
 
 
-def base_risk(fwi: Column) -> Column:
+def base_risk(fwi: str) -> str:
+    """Risk of an FWI value within range, before any adjustment."""
     return _by_class(fwi, 2)
 
 
-def color_code(fwi: Column) -> Column:
+def color_code(fwi: str) -> str:
+    """Display colour of an FWI value within range."""
     return _by_class(fwi, 3)
 
 
-def fire_risk(fwi: Column, historical_fire: Column) -> Column:
+def adjusted_risk(base: str, historical_fire: str) -> str:
     """Base risk, raised and capped where fires burned before."""
-    base = base_risk(fwi)
-    raised = F.least(F.lit(FIRE_HISTORY_RISK_CAP), base * FIRE_HISTORY_UPLIFT)
-    risk = F.when(historical_fire == 1, raised).otherwise(base)
-    return F.coalesce(finite(risk), F.lit(RISK_WHEN_INVALID))
+    raised = f"least({FIRE_HISTORY_RISK_CAP}D, {base} * {FIRE_HISTORY_UPLIFT}D)"
+    risk = f"CASE WHEN {historical_fire} = 1 THEN {raised} ELSE {base} END"
+    return f"coalesce({finite(risk)}, {RISK_WHEN_INVALID}D)"
 
 
-def danger_classes(spark: SparkSession) -> DataFrame:
-    """The class listing as a table, least dangerous first."""
+def class_rows() -> list[tuple]:
+    """The class listing: order, bounds, name, risk, colour, description and range label."""
     uppers = [entry[0] for entry in DANGER_CLASSES[1:]] + [None]
-    rows = [
+    return [
         (i, low, high, name, risk, color, text, f"{low:.0f}-{high:.0f} FWI" if high else f"{low:.0f}+ FWI")
         for i, ((low, name, risk, color, text), high) in enumerate(zip(DANGER_CLASSES, uppers))
     ]
+
+
+def danger_classes(spark: SparkSession) -> DataFrame:
+    """The class listing as a table, least dangerous first."""
     schema = (
         "class_ord int, lo double, hi double, danger_class string, base_risk double, "
         "color string, description string, fwi_range string"
     )
-    return local_table(spark, rows, schema)
+    return local_table(spark, class_rows(), schema)

@@ -1,8 +1,14 @@
 """Missing-value policy: NaN, infinities and unreadable text become NULL once, and each
-layer then states its own default."""
+layer then states its own default.
+
+The functions here and in the sibling modules return SQL expression text for
+``selectExpr``; a whole formula then reaches Spark in one call.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,50 +16,57 @@ from pyspark.sql import types as T
 from emberline.constants import FLOAT32_HISTORY, INPUT_RANGES, PRECIP_COLUMNS
 
 
-def finite(value: Column) -> Column:
+def real(expression: str) -> str:
+    """Make the decimal literals of an expression doubles."""
+    return re.sub(r"(?<![\w.'])(\d+\.\d+)(?![\w.'])", r"\1D", expression)
+
+
+def finite(value: str) -> str:
     """``value`` as a double, NULL unless it is a finite number.
 
     Spark orders NaN above every number, so one comparison drops NaN and +/-Inf.
     """
-    number = value.try_cast("double")
-    return F.when(F.abs(number) < float("inf"), number)
+    number = f"try_cast({value} AS double)"
+    return f"CASE WHEN abs({number}) < double('Infinity') THEN {number} END"
 
 
-def bounded(value: Column, name: str) -> Column:
+def bounded(value: str, name: str) -> str:
     """``value`` clipped to the accepted range of input ``name``, default if missing."""
     default, low, high = INPUT_RANGES[name]
-    number = finite(value)
-    clipped = F.least(F.greatest(number, F.lit(low)), F.lit(high))
-    return F.when(number.isNull(), F.lit(default)).otherwise(clipped)
+    number = f"try_cast({value} AS double)"
+    clipped = f"least(greatest({number}, {low}D), {high}D)"
+    return f"coalesce(CASE WHEN abs({number}) < double('Infinity') THEN {clipped} END, {default}D)"
 
 
-def total_precip(df: DataFrame) -> Column:
+def narrow(value: str) -> str:
+    """``value`` rounded to 32-bit precision, as a double."""
+    return f"cast(cast({value} AS float) AS double)"
+
+
+def total_precip(columns: list[str], float32: bool = False) -> str:
     """Sum of the precipitation columns present; NULL if any of them is missing."""
-    parts = [finite(F.col(c)) for c in PRECIP_COLUMNS if c in df.columns]
-    total = F.lit(0.0)
-    for part in parts:
-        total = total + part
-    return total
+    parts = [finite(narrow(c) if float32 else c) for c in PRECIP_COLUMNS if c in columns]
+    return " + ".join(["0D", *parts])
 
 
 def as_float32(df: DataFrame, columns: list[str] = FLOAT32_HISTORY) -> DataFrame:
     """Round the given columns to 32-bit precision, keeping the double type."""
-    present = {c: F.col(c).cast("float").cast("double") for c in columns if c in df.columns}
-    return df.withColumns(present) if present else df
+    return df.selectExpr(*[f"{narrow(c)} AS `{c}`" if c in columns else f"`{c}`" for c in df.columns])
 
 
-def index_inputs(df: DataFrame, float32: bool = True) -> DataFrame:
-    """The four inputs of the index formulas, narrowed (if asked), defaulted and clipped.
+def index_inputs(df: DataFrame, keep: list[str], float32: bool = True) -> DataFrame:
+    """The ``keep`` columns and the four index inputs, narrowed (if asked), defaulted, clipped.
 
-    Adds ``rain`` and replaces ``temperature``, ``humidity`` and ``wind_speed``.
+    A column the table lacks counts as missing.
     """
-    source = as_float32(df) if float32 else df
+    present = df.columns
 
-    def known(name: str) -> Column:
-        return bounded(F.col(name) if name in source.columns else F.lit(None), name)
+    def known(name: str) -> str:
+        source = name if name in present else "cast(NULL AS double)"
+        return f"{bounded(narrow(source) if float32 else source, name)} AS {name}"
 
-    clean = {name: known(name) for name in ("temperature", "humidity", "wind_speed")}
-    return source.withColumns({"rain": bounded(total_precip(source), "rain"), **clean})
+    rain = bounded(f"({total_precip(present, float32)})", "rain")
+    return df.selectExpr(*keep, *map(known, ("temperature", "humidity", "wind_speed")), f"{rain} AS rain")
 
 
 def _json_clean(value: Column, dtype: T.DataType) -> Column:
@@ -63,11 +76,12 @@ def _json_clean(value: Column, dtype: T.DataType) -> Column:
             F.lit(0.0).cast(dtype)
         )
     if isinstance(dtype, T.StructType):
-        fields = [_json_clean(value[f.name], f.dataType).alias(f.name) for f in dtype.fields]
+        fields = [
+            (_json_clean(value[f.name], f.dataType) if _has_float(f.dataType) else value[f.name]).alias(f.name)
+            for f in dtype.fields
+        ]
         return F.when(value.isNotNull(), F.struct(*fields))
-    if isinstance(dtype, T.ArrayType) and _has_float(dtype.elementType):
-        return F.transform(value, lambda item: _json_clean(item, dtype.elementType))
-    return value
+    return F.transform(value, lambda item: _json_clean(item, dtype.elementType))
 
 
 def _has_float(dtype: T.DataType) -> bool:
@@ -80,10 +94,5 @@ def _has_float(dtype: T.DataType) -> bool:
 
 def json_clean(df: DataFrame) -> DataFrame:
     """Replace NaN and infinities by 0.0 at any depth, guided by the schema."""
-    return df.select(
-        *[
-            _json_clean(F.col(f"`{f.name}`"), f.dataType).alias(f.name) if _has_float(f.dataType)
-            else F.col(f"`{f.name}`")
-            for f in df.schema.fields
-        ]
-    )
+    floats = {f.name: _json_clean(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields if _has_float(f.dataType)}
+    return df.withColumns(floats)

@@ -1,12 +1,9 @@
-"""Map projection, distances and province lookup as column expressions."""
+"""Map projection, distances and province lookup as SQL expressions."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from emberline.constants import LAMBERT, PROVINCE_BOXES, PROVINCE_PRIORITY
 
 
@@ -32,43 +29,41 @@ def _lambert_parameters() -> dict[str, float]:
 LAMBERT_CONE = _lambert_parameters()
 
 
-def lambert_xy(lat: Column, lon: Column) -> tuple[Column, Column]:
+def lambert_xy(lat: str, lon: str) -> tuple[str, str]:
     """Easting and northing in metres (EPSG:3347) of a latitude and longitude in degrees."""
-    cone = LAMBERT_CONE
-    phi = F.radians(lat)
-    s = cone["ecc"] * F.sin(phi)
-    t = F.tan(math.pi / 4 - phi / 2.0) / F.pow((1.0 - s) / (1.0 + s), F.lit(cone["ecc"] / 2))
-    rho = cone["scale"] * F.pow(t, F.lit(cone["n"]))
-    theta = cone["n"] * F.radians(lon - LAMBERT["origin_lon"])
-    east = LAMBERT["false_easting"] + rho * F.sin(theta)
-    north = LAMBERT["false_northing"] + cone["rho0"] - rho * F.cos(theta)
+    ecc, n, scale, rho0 = (f"{LAMBERT_CONE[k]!r}D" for k in ("ecc", "n", "scale", "rho0"))
+    s = f"{ecc} * sin(radians({lat}))"
+    t = f"tan(pi() / 4 - radians({lat}) / 2) / power((1 - {s}) / (1 + {s}), {ecc} / 2)"
+    rho = f"{scale} * power({t}, {n})"
+    theta = f"{n} * radians({lon} - ({LAMBERT['origin_lon']!r}D))"
+    east = f"{LAMBERT['false_easting']}D + {rho} * sin({theta})"
+    north = f"{LAMBERT['false_northing']}D + {rho0} - {rho} * cos({theta})"
     return east, north
 
 
-def distance(dx: Column, dy: Column) -> Column:
+def distance(dx: str, dy: str) -> str:
     """Straight-line distance in the projected plane."""
-    return F.sqrt(dx * dx + dy * dy)
+    return f"sqrt(({dx}) * ({dx}) + ({dy}) * ({dy}))"
 
 
-def inside_buffer(dx: Column, dy: Column, radius: float, mode: str = "circle") -> Column:
+def inside_buffer(dx: str, dy: str, radius: float, mode: str = "circle") -> str:
     """Whether an offset lies strictly inside a buffer of ``radius``.
 
     ``circle`` is the true disc; ``polygon64`` the 64-sided polygon with corners on it.
     """
     if mode == "circle":
-        return dx * dx + dy * dy < radius * radius
+        return f"{distance(dx, dy)} < {float(radius)}D"
     if mode != "polygon64":
         raise ValueError(f"unknown buffer mode {mode!r}")
-    half = math.pi / 64
-    angle = F.pmod(F.atan2(dy, dx), F.lit(2 * half)) - half
-    return distance(dx, dy) * F.cos(angle) < radius * math.cos(half)
+    angle = f"pmod(atan2({dy}, {dx}), pi() / 32) - pi() / 64"
+    return f"{distance(dx, dy)} * cos({angle}) < {float(radius)}D * cos(pi() / 64)"
 
 
-def province(lat: Column, lon: Column) -> Column:
+def province(lat: str, lon: str) -> str:
     """Code of the first province box, in priority order, that holds the point."""
     boxes = ((code, PROVINCE_BOXES[code]) for code in PROVINCE_PRIORITY)
-    hits = [
-        F.when(lat.between(min_lat, max_lat) & lon.between(min_lon, max_lon), F.lit(code))
+    arms = [
+        f"WHEN {lat} BETWEEN {min_lat}D AND {max_lat}D AND {lon} BETWEEN {min_lon}D AND {max_lon}D THEN '{code}'"
         for code, (min_lat, min_lon, max_lat, max_lon) in boxes
     ]
-    return F.coalesce(*hits, F.lit("Unknown"))
+    return f"CASE {' '.join(arms)} ELSE 'Unknown' END"

@@ -58,22 +58,22 @@ def latest_snapshot(df: DataFrame) -> DataFrame:
 
 def daily_terms(
     history: DataFrame,
-    as_of_month: int | Column,
+    as_of_month: int | str,
     keys: tuple[str, ...] = CELL,
     float32: bool = True,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per cell and day, the weather-only terms of the index formulas, plus ``carry`` columns."""
-    clean = index_inputs(history, float32)
-    columns = [F.col(c) for c in ("temperature", "humidity", "wind_speed", "rain")]
-    terms = fwi.day_terms(*columns, as_of_month)
-    return clean.select(*keys, *carry, "file_date", "wind_speed", *terms)
+    """Per cell and day, the weather-only terms of the index formulas, plus ``carry`` columns.
+
+    The month is a number for the whole window, or the name of one of the ``carry`` columns.
+    """
+    fixed = [*keys, *carry, "file_date"]
+    terms = [f"{term} AS {name}" for name, term in fwi.day_terms(as_of_month).items()]
+    return index_inputs(history, fixed, float32).selectExpr(*fixed, "wind_speed", *terms)
 
 
-def day_struct(terms: DataFrame, keys: tuple[str, ...] = CELL) -> Column:
-    """All non-key columns of a day as one struct that sorts by date."""
-    rest = [c for c in terms.columns if c not in keys and c != "file_date"]
-    return F.struct("file_date", *rest)
+# A day of weather terms as one struct that sorts by date.
+DAY_STRUCT = f"struct(file_date, wind_speed, {', '.join(fwi.day_terms(1))})"
 
 
 def ordered_series(days: DataFrame, keys: tuple[str, ...] = CELL) -> DataFrame:
@@ -82,40 +82,14 @@ def ordered_series(days: DataFrame, keys: tuple[str, ...] = CELL) -> DataFrame:
     Expects one row per cell and day within the date window, so an array holds at most
     the window's number of entries whatever the size of the table.
     """
-    return days.groupBy(*keys).agg(F.array_sort(F.collect_list(day_struct(days, keys))).alias("series"))
-
-
-def fold_series(cells: DataFrame) -> DataFrame:
-    """Replace ``series`` by the accumulated codes and the last day's wind and date."""
-    last = F.element_at("series", -1)
-    others = [c for c in cells.columns if c != "series"]
-    return cells.select(
-        *others,
-        last["file_date"].alias("last_date"),
-        last["wind_speed"].alias("last_wind"),
-        *fwi.fold_codes(F.col("series")),
-    )
+    return days.groupBy(*keys).agg(F.expr(f"array_sort(collect_list({DAY_STRUCT}))").alias("series"))
 
 
 def accumulate_codes(
     history: DataFrame,
-    as_of_month: int | Column,
+    as_of_month: int,
     keys: tuple[str, ...] = CELL,
     float32: bool = True,
 ) -> DataFrame:
     """FFMC, DMC and DC per cell after folding its daily rows in date order."""
-    return fold_series(ordered_series(daily_terms(history, as_of_month, keys, float32), keys))
-
-
-def with_fire_indices(codes: DataFrame) -> DataFrame:
-    """Add ISI, BUI, FWI and DSR to accumulated codes."""
-    return (
-        codes.withColumns(
-            {
-                "isi": fwi.spread_index(F.col("last_wind"), F.col("ffmc")),
-                "bui": fwi.buildup_index(F.col("dmc"), F.col("dc")),
-            }
-        )
-        .withColumn("fwi", fwi.weather_index(F.col("isi"), F.col("bui")))
-        .withColumn("dsr", fwi.severity_rating(F.col("fwi")))
-    )
+    return fwi.fold_series(ordered_series(daily_terms(history, as_of_month, keys, float32), keys))

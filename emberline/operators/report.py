@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.constants import DANGER_CLASSES
-from emberline.functions.classify import danger_classes
+from emberline.functions.classify import class_rows
 
 
 def count_column(class_name: str) -> str:
@@ -39,12 +39,18 @@ def run_stats(scored: DataFrame) -> DataFrame:
     )
 
 
-def class_report(spark: SparkSession, predictions: DataFrame) -> DataFrame:
-    """The danger-class listing with how many predictions fall into each class."""
-    counts = predictions.groupBy("danger_class").agg(F.count("*").alias("n_cells"))
-    return danger_classes(spark).join(F.broadcast(counts), "danger_class", "left").select(
-        "danger_class", "fwi_range", "color", "description", F.coalesce("n_cells", F.lit(0)).alias("n_cells")
-    )
+def class_report(predictions: DataFrame) -> DataFrame:
+    """The danger-class listing with how many predictions fall into each class.
+
+    Six counters over one pass, then one row per counter; classes without cells show zero.
+    """
+    counts = predictions.agg(*class_counts(F.lit(True)))
+    rows = [
+        f"struct('{name}' AS danger_class, '{label}' AS fwi_range, '{color}' AS color,"
+        f" '{text}' AS description, {count_column(name)} AS n_cells)"
+        for _, _, _, name, _, color, text, label in class_rows()
+    ]
+    return counts.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def rejects_by_reason(scored: DataFrame) -> DataFrame:

@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.constants import FLOAT32_TODAY, MODEL_CONFIDENCE, TODAY_DEFAULTS, WINDOW_DATES
-from emberline.functions.clean import as_float32, finite, total_precip
-from emberline.functions.classify import color_code, danger_class, fire_risk
-from emberline.functions.fwi import INDEX_NAMES
+from emberline.functions.clean import as_float32, bounded, finite, total_precip
+from emberline.functions.classify import adjusted_risk, base_risk, color_code, danger_class
+from emberline.functions.fwi import INDEX_NAMES, fold_series, with_fire_indices
 from emberline.functions.geo import province
 from emberline.operators.history import (
     CELL,
+    DAY_STRUCT,
     daily_terms,
-    day_struct,
-    fold_series,
     latest_snapshot,
     newest_dates,
     ordered_series,
-    with_fire_indices,
 )
-from emberline.session import fits_broadcast
 
 PREDICTION_COLUMNS = [
     "lat", "lon", "location_name", "province", "daily_fire_risk", "danger_class", "color_code",
@@ -28,50 +25,52 @@ PREDICTION_COLUMNS = [
 ]
 
 
-def _reported(df: DataFrame, name: str) -> Column:
+def _reported(columns: list[str], name: str) -> str:
     """A weather value of today, NULL if missing; the default only if there is no such column."""
-    return finite(F.col(name)) if name in df.columns else F.lit(TODAY_DEFAULTS[name])
+    return finite(name) if name in columns else f"{TODAY_DEFAULTS[name]}D"
 
 
-def _flag(condition: Column) -> Column:
-    return F.coalesce(condition.cast("int"), F.lit(0))
+def _flag(condition: str) -> str:
+    return f"coalesce(cast({condition} AS int), 0)"
 
 
-def weather_features(today: DataFrame, danger_index: Column) -> list[Column]:
+def weather_features(columns: list[str], danger_index: str) -> dict[str, str]:
     """Features of today's weather.  Missing values are reported as zero, missing flags as off."""
-    temp, humidity, wind = (_reported(today, c) for c in ("temperature", "humidity", "wind_speed"))
-    precip = total_precip(today)
-    zero = F.lit(0.0)
-    reported = [F.coalesce(_reported(today, c), zero).alias(c) for c in TODAY_DEFAULTS]
-    return [
-        *reported[:4],
-        danger_index.alias("fire_danger_index"),
-        *reported[4:],
-        _flag(temp > 25.0).alias("is_hot"),
-        _flag(humidity < 30.0).alias("is_dry"),
-        F.coalesce(F.try_divide(humidity, temp + 1.0), zero).alias("humidity_temp_ratio"),
-        _flag(wind > 15.0).alias("is_windy"),
-        F.coalesce(precip, zero).alias("total_precip"),
-        _flag(precip > 0.0).alias("has_recent_precip"),
-        F.lit(0).alias("weather_main_encoded"),
-    ]
-
-
-def reject_reason(today: DataFrame) -> Column:
+    value = {name: f"({_reported(columns, name)})" for name in TODAY_DEFAULTS}
+    shown = {name: f"coalesce({source}, 0D)" for name, source in value.items()}
+    precip = f"({total_precip(columns)})"
+    precip_columns = ["rain_1h_mm", "rain_3h_mm", "snow_1h_mm", "snow_3h_mm"]
+    return {
+        **{name: shown[name] for name in ("temperature", "humidity", "wind_speed", "pressure")},
+        "fire_danger_index": danger_index,
+        **{name: shown[name] for name in precip_columns},
+        "is_hot": _flag(f"{value['temperature']} > 25"),
+        "is_dry": _flag(f"{value['humidity']} < 30"),
+        "humidity_temp_ratio": f"coalesce(try_divide({value['humidity']}, {value['temperature']} + 1D), 0D)",
+        "is_windy": _flag(f"{value['wind_speed']} > 15"),
+        "total_precip": f"coalesce({precip}, 0D)",
+        "has_recent_precip": _flag(f"{precip} > 0"),
+        "weather_main_encoded": "0",
+    }
+
+
+def reject_reason(columns: list[str]) -> str:
     """Why a row cannot be scored; NULL if it can.
 
     The humidity/temperature ratio divides by the temperature plus one.
     """
-    return F.when(_reported(today, "temperature") == -1.0, F.lit("ratio_divides_by_zero"))
+    return f"CASE WHEN {_reported(columns, 'temperature')} = -1D THEN 'ratio_divides_by_zero' END"
 
 
 def attach_fire_history(today: DataFrame, grid: DataFrame | None) -> DataFrame:
-    """Add ``historical_fire`` from the grid by position, 0 for unknown cells or without a grid."""
+    """Add ``historical_fire`` from the grid by position, 0 for unknown cells or without a grid.
+
+    The join is left to the size known to Spark: a stored grid of the usual resolution is
+    broadcast, a very fine one is not.
+    """
     if grid is None:
         return today.withColumn("historical_fire", F.lit(0))
     flags = grid.select("lat", "lon", "historical_fire")
-    if fits_broadcast(flags):
-        flags = F.broadcast(flags)
     return today.join(flags, ["lat", "lon"], "left").withColumn(
         "historical_fire", F.coalesce("historical_fire", F.lit(0))
     )
@@ -92,8 +91,8 @@ def today_codes(
     series = ordered_series(daily_terms(history, as_of_month, keys, float32), keys)
     rows = today.withColumn("row", F.struct(*today.columns))
     own = daily_terms(rows, as_of_month, keys, float32=False, carry=("row",))
-    alone = own.select(*keys, "row", F.array(day_struct(own.drop("row"), keys)).alias("alone"))
-    filled = alone.join(series, list(keys), "left").select("row", F.coalesce("series", "alone").alias("series"))
+    alone = own.selectExpr(*keys, "row", f"array({DAY_STRUCT}) AS alone")
+    filled = alone.join(series, list(keys), "left").selectExpr("row", "coalesce(series, alone) AS series")
     return with_fire_indices(fold_series(filled)).select("row.*", *INDEX_NAMES)
 
 
@@ -115,30 +114,32 @@ def predictions(
     snapshot = as_float32(snapshot, FLOAT32_TODAY) if float32 else snapshot
     scored = today_codes(newest_dates(history, window), snapshot, as_of_month, keys, float32)
     flagged = attach_fire_history(scored, grid)
-    risk = fire_risk(F.col("fwi"), F.col("historical_fire"))
-    return flagged.select(
+    known = flagged.columns
+    classed = flagged.selectExpr("*", f"{bounded('fwi', 'fwi')} AS class_fwi").selectExpr(
+        "*", f"{base_risk('class_fwi')} AS base_risk"
+    )
+    features = ", ".join(f"{text} AS {name}" for name, text in weather_features(known, "fwi").items())
+    return classed.selectExpr(
         *[k for k in keys if k not in ("lat", "lon")],
-        finite(F.col("lat")).alias("lat"),
-        finite(F.col("lon")).alias("lon"),
-        location_name(flagged).alias("location_name"),
-        province(F.col("lat"), F.col("lon")).alias("province"),
-        risk.alias("daily_fire_risk"),
-        danger_class(F.col("fwi")).alias("danger_class"),
-        color_code(F.col("fwi")).alias("color_code"),
-        F.struct(*weather_features(flagged, F.col("fwi"))).alias("weather_features"),
-        F.struct(*INDEX_NAMES).alias("fire_weather_indices"),
-        F.lit(MODEL_CONFIDENCE).alias("model_confidence"),
-        reject_reason(flagged).alias("reject_reason"),
+        f"{finite('lat')} AS lat",
+        f"{finite('lon')} AS lon",
+        f"{location_name(known)} AS location_name",
+        f"{province('lat', 'lon')} AS province",
+        f"{adjusted_risk('base_risk', 'historical_fire')} AS daily_fire_risk",
+        f"{danger_class('class_fwi')} AS danger_class",
+        f"{color_code('class_fwi')} AS color_code",
+        f"struct({features}) AS weather_features",
+        f"struct({', '.join(INDEX_NAMES)}) AS fire_weather_indices",
+        f"{MODEL_CONFIDENCE}D AS model_confidence",
+        f"{reject_reason(known)} AS reject_reason",
     )
 
 
-def location_name(df: DataFrame) -> Column:
+def location_name(columns: list[str]) -> str:
     """The nearest station, else a label made of the cell's number or position."""
-    if "cell_id" in df.columns:
-        label = F.concat(F.lit("Grid_"), F.col("cell_id"))
-    else:
-        label = F.concat(F.lit("Grid_"), F.col("lat"), F.lit("_"), F.col("lon"))
-    return F.coalesce("nearest_station", label) if "nearest_station" in df.columns else label
+    position = "cell_id" if "cell_id" in columns else "lat, '_', lon"
+    label = f"concat('Grid_', {position})"
+    return f"coalesce(nearest_station, {label})" if "nearest_station" in columns else label
 
 
 def accepted(scored: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.constants import FIRE_RADIUS_M, GRID_LAT, GRID_LON, GRID_STEP, STATIONS
@@ -42,16 +42,8 @@ def stations(spark: SparkSession) -> DataFrame:
 
 def projected(points: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Add ``x`` and ``y`` in metres."""
-    east, north = lambert_xy(F.col(lat), F.col(lon))
-    return points.withColumns({"x": east, "y": north})
-
-
-def _bucket(coordinate: Column, size: float) -> Column:
-    return F.floor(coordinate / size)
-
-
-def _around(bucket: str) -> Column:
-    return F.explode(F.sequence(F.col(bucket) - 1, F.col(bucket) + 1))
+    east, north = lambert_xy(lat, lon)
+    return points.selectExpr("*", f"{east} AS x", f"{north} AS y")
 
 
 def cells_near(
@@ -75,36 +67,29 @@ def cells_near(
       buckets that still exceed ``hot_rows`` are split into as many parts as needed, with
       their cells repeated per part.
     """
+    bx, by = f"floor(x / {float(radius)}D)", f"floor(y / {float(radius)}D)"
     reach = (
-        cells.select(
-            "cell_id", F.col("x").alias("cx"), F.col("y").alias("cy"),
-            _bucket(F.col("x"), radius).alias("bx0"), _bucket(F.col("y"), radius).alias("by0"),
-        )
-        .withColumn("bx", _around("bx0"))
-        .withColumn("by", _around("by0"))
-        .select("cell_id", "cx", "cy", "bx", "by")
-    )
-    probe = points.select(
-        "x", "y", _bucket(F.col("x"), radius).alias("bx"), _bucket(F.col("y"), radius).alias("by")
+        cells.selectExpr("cell_id", "x AS cx", "y AS cy", f"{by} AS own", f"explode(sequence({bx} - 1, {bx} + 1)) AS bx")
+        .selectExpr("cell_id", "cx", "cy", "bx", "explode(sequence(own - 1, own + 1)) AS by")
     )
+    probe = points.selectExpr("x", "y", f"{bx} AS bx", f"{by} AS by")
     if fits_broadcast(cells, max_broadcast // 9):
         pairs = probe.join(F.broadcast(reach), ["bx", "by"])
     else:
         probe = probe.distinct()
         hot = (
             probe.groupBy("bx", "by").count().filter(F.col("count") > hot_rows)
-            .select("bx", "by", F.ceil(F.col("count") / hot_rows).alias("parts"))
+            .selectExpr("bx", "by", f"cast(ceil(count / {hot_rows}) AS bigint) AS parts")
         )
 
-        def split(df: DataFrame) -> DataFrame:
-            known = F.broadcast(hot) if fits_broadcast(hot, max_broadcast) else hot
-            return df.join(known, ["bx", "by"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        def split(df: DataFrame, part: str) -> DataFrame:
+            columns = df.columns
+            return df.join(hot, ["bx", "by"], "left").selectExpr(*columns, f"{part} AS part")
 
-        probe = split(probe).withColumn("part", F.pmod(F.xxhash64("x", "y"), F.col("parts"))).drop("parts")
-        reach = split(reach).withColumn("part", F.explode(F.expr("sequence(0L, parts - 1L)"))).drop("parts")
+        probe = split(probe, "pmod(xxhash64(x, y), coalesce(parts, 1L))")
+        reach = split(reach, "explode(sequence(0L, coalesce(parts, 1L) - 1L))")
         pairs = probe.join(reach, ["bx", "by", "part"])
-    hit = inside_buffer(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"), radius, mode)
-    return pairs.filter(hit).select("cell_id").distinct()
+    return pairs.filter(inside_buffer("x - cx", "y - cy", radius, mode)).select("cell_id").distinct()
 
 
 def flag_fire_history(
@@ -126,22 +111,25 @@ def nearest_station(cells: DataFrame, targets: DataFrame, max_array: int = ARRAY
     A small set of targets is gathered once into an array and every cell takes its minimum
     over it: one narrow step, no join, no pairs.  A larger set is searched through tiles.
     """
-    sites = projected(targets).select("station_ord", "name", F.col("x").alias("sx"), F.col("y").alias("sy"))
+    sites = projected(targets).selectExpr("station_ord", "name", "x AS sx", "y AS sy")
     placed = projected(cells)
     if not fits_broadcast(targets, max_array):
         return _nearest_through_tiles(placed, sites).drop("x", "y")
-    listed = sites.agg(F.sort_array(F.collect_list(F.struct("station_ord", "name", "sx", "sy")))).scalar()
-    best = F.array_min(F.transform(listed, lambda s: _candidate(s["sx"], s["sy"], s["station_ord"], s["name"])))
-    return placed.withColumn("best", best).select(*cells.columns, *_best_columns())
+    listed = sites.agg(F.expr("sort_array(collect_list(struct(station_ord, name, sx, sy)))")).scalar()
+    return (
+        placed.withColumn("listed", listed)
+        .selectExpr("*", f"array_min(transform(listed, s -> {_candidate('s.')})) AS best")
+        .selectExpr(*cells.columns, *BEST_COLUMNS)
+    )
 
 
-def _candidate(sx: Column, sy: Column, order: Column, name: Column) -> Column:
-    far = distance(F.col("x") - sx, F.col("y") - sy)
-    return F.struct(far.alias("far"), order.alias("station_ord"), name.alias("name"))
+def _candidate(site: str) -> str:
+    """A site seen from a cell, ordered by distance and then by list position."""
+    far = distance(f"x - {site}sx", f"y - {site}sy")
+    return f"struct({far} AS far, {site}station_ord AS station_ord, {site}name AS name)"
 
 
-def _best_columns() -> list[Column]:
-    return [F.col("best.name").alias("nearest_station_name"), F.col("best.far").alias("station_distance_m")]
+BEST_COLUMNS = ["best.name AS nearest_station_name", "best.far AS station_distance_m"]
 
 
 def _nearest_through_tiles(cells: DataFrame, sites: DataFrame, tile: float = 100_000.0) -> DataFrame:
@@ -151,31 +139,25 @@ def _nearest_through_tiles(cells: DataFrame, sites: DataFrame, tile: float = 100
     by the number of sites.  One site per tile gives each cell an upper bound of its distance;
     only tiles that reach closer than that bound are joined with their sites.
     """
-    tiled = sites.withColumns({"tx": _bucket(F.col("sx"), tile), "ty": _bucket(F.col("sy"), tile)})
-    tiles = tiled.groupBy("tx", "ty").agg(F.min_by(F.struct("sx", "sy"), "station_ord").alias("sample"))
+    tiled = sites.selectExpr("*", f"floor(sx / {tile}D) AS tx", f"floor(sy / {tile}D) AS ty")
+    tiles = tiled.groupBy("tx", "ty").agg(F.expr("min_by(struct(sx, sy), station_ord) AS sample"))
     if not fits_broadcast(tiles, ARRAY_POINTS):
         return _nearest_through_tiles(cells, sites, tile * 2)
-    listed = tiles.agg(F.collect_list(F.struct("tx", "ty", "sample"))).scalar()
+    listed = tiles.agg(F.expr("collect_list(struct(tx, ty, sample))")).scalar()
 
-    def gap(tile_index: Column, coordinate: Column) -> Column:
-        low = tile_index * tile
-        return F.greatest(low - coordinate, coordinate - (low + tile), F.lit(0.0))
+    def gap(index: str, coordinate: str) -> str:
+        low = f"{index} * {tile}D"
+        return f"greatest({low} - {coordinate}, {coordinate} - ({low} + {tile}D), 0D)"
 
-    bound = F.array_min(
-        F.transform(listed, lambda t: distance(F.col("x") - t["sample"]["sx"], F.col("y") - t["sample"]["sy"]))
-    )
-    bounded = cells.withColumn("bound", bound)
+    reach = distance("x - t.sample.sx", "y - t.sample.sy")
     # A hair of slack keeps a tile whose edge is exactly at the bound.
-    near = F.filter(
-        listed,
-        lambda t: distance(gap(t["tx"], F.col("x")), gap(t["ty"], F.col("y"))) <= F.col("bound") * (1 + 1e-9),
-    )
-    wanted = bounded.select("cell_id", "x", "y", F.explode(near).alias("t")).select(
-        "cell_id", "x", "y", F.col("t.tx").alias("tx"), F.col("t.ty").alias("ty")
-    )
+    near = f"{distance(gap('t.tx', 'x'), gap('t.ty', 'y'))} <= bound * (1 + 1e-9D)"
     best = (
-        wanted.join(tiled, ["tx", "ty"])
+        cells.withColumn("listed", listed)
+        .selectExpr("cell_id", "x", "y", "listed", f"array_min(transform(listed, t -> {reach})) AS bound")
+        .selectExpr("cell_id", "x", "y", f"inline(transform(filter(listed, t -> {near}), t -> struct(t.tx, t.ty)))")
+        .join(tiled, ["tx", "ty"])
         .groupBy("cell_id")
-        .agg(F.min(_candidate(F.col("sx"), F.col("sy"), F.col("station_ord"), F.col("name"))).alias("best"))
+        .agg(F.expr(f"min({_candidate('')}) AS best"))
     )
-    return cells.join(best, "cell_id", "left").select(*cells.columns, *_best_columns())
+    return cells.join(best, "cell_id", "left").selectExpr(*cells.columns, *BEST_COLUMNS)

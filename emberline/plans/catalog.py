@@ -27,11 +27,8 @@ CODES = ["ffmc", "dmc", "dc"]
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double, so that results compare across engines."""
-    return df.select(
-        *[
-            (F.round(c, digits) + F.lit(0.0)).alias(c) if kind == "double" else F.col(c)
-            for c, kind in df.dtypes
-        ]
+    return df.selectExpr(
+        *[f"round({c}, {digits}) + 0D AS {c}" if kind == "double" else c for c, kind in df.dtypes]
     )
 
 
@@ -60,8 +57,7 @@ def line_window_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sanitize_inputs(spark: SparkSession, sf: str) -> DataFrame:
-    clean = index_inputs(fx.wx_events(spark, sf), float32=False)
-    return clean.select("event_id", "temperature", "humidity", "wind_speed", "rain")
+    return index_inputs(fx.wx_events(spark, sf), ["event_id"], float32=False)
 
 
 def _daily_float32(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,20 +66,24 @@ def _daily_float32(spark: SparkSession, sf: str) -> DataFrame:
 
 def weather_features(spark: SparkSession, sf: str) -> DataFrame:
     daily = _daily_float32(spark, sf)
-    valid = daily.filter(scoring.reject_reason(daily).isNull())
-    features = [c for c in scoring.weather_features(valid, F.lit(0.0))]
-    return rounded(valid.select("cell_id", "file_date", *features).drop("fire_danger_index"))
+    columns = daily.columns
+    features = scoring.weather_features(columns, "0D")
+    del features["fire_danger_index"]
+    valid = daily.filter(f"({scoring.reject_reason(columns)}) IS NULL")
+    return rounded(valid.selectExpr("cell_id", "file_date", *[f"{text} AS {name}" for name, text in features.items()]))
 
 
 def rejects_by_reason(spark: SparkSession, sf: str) -> DataFrame:
     daily = _daily_float32(spark, sf)
-    return report.rejects_by_reason(daily.withColumn("reject_reason", scoring.reject_reason(daily)))
+    return report.rejects_by_reason(
+        daily.selectExpr("*", f"{scoring.reject_reason(daily.columns)} AS reject_reason")
+    )
 
 
 def single_day_codes(spark: SparkSession, sf: str) -> DataFrame:
     terms = history.daily_terms(fx.wx_daily(spark, sf), SUMMER)
-    day = terms.select("cell_id", "file_date", F.array(history.day_struct(terms)).alias("series"))
-    return rounded(day.select("cell_id", "file_date", *fwi.fold_codes(F.col("series"))))
+    day = terms.selectExpr("cell_id", "file_date", f"array({history.DAY_STRUCT}) AS series")
+    return rounded(fwi.fold_series(day).drop("last_date", "last_wind"))
 
 
 def accumulated_codes(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,7 +91,7 @@ def accumulated_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _indices(spark: SparkSession, sf: str, month: int) -> DataFrame:
-    return history.with_fire_indices(history.accumulate_codes(fx.wx_daily(spark, sf), month))
+    return fwi.with_fire_indices(history.accumulate_codes(fx.wx_daily(spark, sf), month))
 
 
 def fire_indices(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,7 +122,7 @@ def risk_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def danger_class_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return report.class_report(spark, scoring.accepted(_scored(spark, sf)))
+    return report.class_report(scoring.accepted(_scored(spark, sf)))
 
 
 def run_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,7 +191,7 @@ def historical_fire_flag_polygon(spark: SparkSession, sf: str) -> DataFrame:
 
 def province_of_cell(spark: SparkSession, sf: str) -> DataFrame:
     cells = _observed_cells(spark, sf)
-    return cells.withColumn("province", province(F.col("lat"), F.col("lon")))
+    return cells.selectExpr("*", f"{province('lat', 'lon')} AS province")
 
 
 def payload_flatten(spark: SparkSession, sf: str) -> DataFrame:

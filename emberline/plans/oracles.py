@@ -118,14 +118,13 @@ KNOWN = len(STATIONS)
 NAMED = len(STATIONS) + len(UNKNOWN_STATIONS)
 
 
-def accumulated(source: str, month: int) -> str:
+def accumulated(source: str, month: int, rain: str = f32("rain_1h_mm")) -> str:
     """CTEs ``clean``, ``fold`` and ``codes`` for the days in ``source``."""
     factor = repr(MONTH_FACTORS[month - 1])
 
-    def clip(column: str, default: str, low: str, high: str) -> str:
-        return f"CASE WHEN {column} IS NULL THEN {default} ELSE least(greatest({f32(column)}, {low}), {high}) END"
+    def clip(value: str, default: str, low: str, high: str) -> str:
+        return f"CASE WHEN {value} IS NULL THEN {default} ELSE least(greatest({value}, {low}), {high}) END"
 
-    share = "({h} / 100.0)"
     dry_rate = (
         "(0.424 * (1.0 - pow(h / 100.0, 1.7)) + 0.0694 * sqrt(w) * (1.0 - pow(h / 100.0, 8.0)))"
         " * 0.581 * exp(0.0365 * t)"
@@ -137,10 +136,10 @@ def accumulated(source: str, month: int) -> str:
     common = "0.18 * (21.1 - t) * (1.0 - exp(-0.115 * h))"
     return f"""clean AS (
   SELECT cell_id, file_date, row_number() OVER (PARTITION BY cell_id ORDER BY file_date) AS k,
-    {clip('temperature', '15.0', '-50.0', '50.0')} AS t,
-    {clip('humidity', '50.0', '1.0', '100.0')} AS h,
-    {clip('wind_speed', '10.0', '0.0', '100.0')} AS w,
-    {clip('rain_1h_mm', '0.0', '0.0', '500.0')} AS r
+    {clip(f32('temperature'), '15.0', '-50.0', '50.0')} AS t,
+    {clip(f32('humidity'), '50.0', '1.0', '100.0')} AS h,
+    {clip(f32('wind_speed'), '10.0', '0.0', '100.0')} AS w,
+    {clip(rain, '0.0', '0.0', '500.0')} AS r
   FROM {source}),
 fold AS (
   SELECT DISTINCT cell_id, cast(0 AS bigint) AS k, 85.0 AS ffmc, 6.0 AS dmc, 15.0 AS dc,
@@ -371,10 +370,7 @@ CODE_SELECT = f"SELECT cell_id, last_date, {rnd('last_wind')}, {rnd('ffmc')}, {r
 def build() -> dict[str, str]:
     accumulated_daily = f"{WX_DAILY},\n{accumulated('wx_daily', SUMMER)}"
     scored = scored_ctes(SUMMER)
-    single = accumulated(
-        "(SELECT * REPLACE (row_number() OVER () AS cell_id), cell_id AS cell FROM wx_daily) numbered", SUMMER
-    )
-    oracle = {
+    return {
         "daily_snapshot": with_(
             WX_DAILY,
             f"""SELECT event_id, cell_id, file_date, {f32('temperature')} AS temperature, {f32('humidity')} AS humidity,
@@ -461,12 +457,12 @@ ranked AS (SELECT *, dense_rank() OVER (ORDER BY file_date DESC) AS date_rank FR
 newest AS (SELECT * FROM ranked WHERE date_rank = 1),
 before AS (SELECT * FROM ranked WHERE date_rank = 2),
 basis AS (
-  SELECT cell_id, file_date, temperature, humidity, wind_speed, rain_1h_mm FROM before
+  SELECT cell_id, file_date, temperature, humidity, wind_speed, {f32('rain_1h_mm')} AS rain_1h_mm FROM before
   WHERE cell_id IN (SELECT cell_id FROM newest)
   UNION ALL
   SELECT cell_id, file_date, temperature, humidity, wind_speed, rain_1h_mm FROM newest
   WHERE cell_id NOT IN (SELECT cell_id FROM before)),
-{accumulated('basis', SUMMER)},
+{accumulated('basis', SUMMER, 'rain_1h_mm')},
 {INDICES}""",
             "SELECT cell_id, " + ", ".join(rnd(c) for c in ("ffmc", "dmc", "dc", "isi", "bui", "fwi", "dsr"))
             + " FROM indices",
@@ -548,4 +544,3 @@ FROM tiers""",
   coalesce(temperature, 0.0) AS first_reading, humidity AS second_reading FROM wx_events""",
         ),
     }
-    return oracle

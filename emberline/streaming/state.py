@@ -17,8 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from emberline.constants import WINDOW_DATES
 from emberline.functions.clean import index_inputs
-from emberline.functions.fwi import day_terms
-from emberline.operators.history import fold_series, with_fire_indices
+from emberline.functions.fwi import day_terms, fold_series, with_fire_indices
 
 INPUTS = ["temperature", "humidity", "wind_speed", "rain"]
 ROW_COLUMNS = ["day", "seq", *INPUTS]
@@ -56,8 +55,8 @@ def cell_windows(observations: DataFrame, order: str, window: int = WINDOW_DATES
     trimmed away again.  Observations of one cell and day are merged within each Arrow batch
     first, so a busy cell does not send all its rows to one task.
     """
-    rows = index_inputs(observations, float32).select(
-        "cell_id", F.unix_date("file_date").alias("day"), F.col(order).alias("seq"), *INPUTS
+    rows = index_inputs(observations, ["cell_id", "file_date", order], float32).selectExpr(
+        "cell_id", "unix_date(file_date) AS day", f"{order} AS seq", *INPUTS
     )
     return (
         rows.mapInPandas(_combine_batches, rows.schema)
@@ -71,15 +70,10 @@ def cell_windows(observations: DataFrame, order: str, window: int = WINDOW_DATES
 def codes_of_windows(windows: DataFrame, as_of_month: int) -> DataFrame:
     """All seven indices of windows given as parallel arrays.  Works on streams and tables."""
 
-    def terms(day):
-        return F.struct(
-            F.date_from_unix_date(day["day"]).alias("file_date"),
-            day["wind_speed"].alias("wind_speed"),
-            *day_terms(*[day[c] for c in INPUTS], as_of_month),
-        )
-
-    days = F.arrays_zip("day", *INPUTS)
-    return with_fire_indices(fold_series(windows.select("cell_id", F.transform(days, terms).alias("series"))))
+    terms = ", ".join(f"{term} AS {name}" for name, term in day_terms(as_of_month, "d.").items())
+    day = f"struct(date_from_unix_date(d.day) AS file_date, d.wind_speed AS wind_speed, {terms})"
+    series = f"transform(arrays_zip(day, {', '.join(INPUTS)}), d -> {day}) AS series"
+    return with_fire_indices(fold_series(windows.selectExpr("cell_id", series)))
 
 
 def start_window_stream(windows: DataFrame, out: str, checkpoint: str, available_now: bool = True):
@@ -109,8 +103,8 @@ def current_windows(spark: SparkSession, out: str, window: int = WINDOW_DATES) -
     dates = written.select(F.explode("day").alias("day")).distinct().orderBy(F.desc("day")).limit(window)
     first = dates.agg(F.min("day")).scalar()
     # Days are in order, so the cut is a suffix of every array.
-    size = F.size(F.filter("day", lambda d: d >= first))
-    start = F.greatest(F.size("day") - size + 1, F.lit(1))
-    return latest.withColumn("n", size).filter("n > 0").select(
+    size = F.size(F.filter("day", lambda d: d >= F.col("first_day")))
+    start = F.size("day") - F.col("n") + 1
+    return latest.withColumn("first_day", first).withColumn("n", size).filter("n > 0").select(
         "cell_id", *[F.slice(c, start, F.col("n")).alias(c) for c in ROW_COLUMNS]
     )
