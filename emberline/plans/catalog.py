@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.constants import FLOAT32_HISTORY
+from emberline.constants import FLOAT32_HISTORY, FLOAT32_TODAY
 from emberline.functions import fwi
 from emberline.functions.clean import as_float32, index_inputs, json_clean
 from emberline.functions.geo import province
@@ -61,7 +61,7 @@ def sanitize_inputs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _daily_float32(spark: SparkSession, sf: str) -> DataFrame:
-    return as_float32(fx.wx_daily(spark, sf), ["temperature", "humidity", "wind_speed"])
+    return as_float32(fx.wx_daily(spark, sf), FLOAT32_TODAY)
 
 
 def weather_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -146,7 +146,7 @@ def run_log_records(spark: SparkSession, sf: str) -> DataFrame:
 def fallback_history(spark: SparkSession, sf: str) -> DataFrame:
     """The history is the date before the newest; cells absent then start from today's row."""
     daily = fx.wx_daily(spark, sf)
-    today = history.latest_snapshot(daily)
+    today = as_float32(history.latest_snapshot(daily), FLOAT32_TODAY)
     newest = daily.agg(F.max("file_date")).scalar()
     before = history.latest_snapshot(daily.filter(F.col("file_date") < newest))
     codes = scoring.today_codes(before, today, SUMMER)
