@@ -30,37 +30,57 @@ def stream_payloads(spark: SparkSession, path: str, files_per_batch: int | None
     return reader.json(path)
 
 
-def _field(document: Column, path: str, dtype: str, default: Column) -> Column:
+# The whole payload as a struct; a field of another type lands in the last column.
+PAYLOAD_SCHEMA = (
+    "main struct<temp double, feels_like double, temp_min double, temp_max double, pressure double,"
+    " humidity double>, wind struct<speed double, deg double, gust double>, clouds struct<`all` double>,"
+    " rain struct<`1h` double, `3h` double>, snow struct<`1h` double, `3h` double>,"
+    " weather array<struct<main string, description string>>, visibility double, dt bigint, misfit string"
+)
+
+
+def _field(path: str, dtype: str, default: str) -> str:
     """A payload field: ``default`` if the key is absent, NULL if it is JSON null.
 
     A path through a null object finds nothing, so a null object counts as absent.
     """
-    node = F.try_variant_get(document, path, "variant")
-    return F.when(node.isNull(), default).otherwise(F.try_variant_get(document, path, dtype))
+    parsed = "parsed." + ".".join(f"`{step}`" for step in path.split(".")[1:])
+    node = f"try_variant_get(document, '{path}')"
+    return (
+        f"CASE WHEN document IS NULL THEN coalesce({parsed}, {default})"
+        f" WHEN {node} IS NULL THEN {default} ELSE try_variant_get(document, '{path}', '{dtype}') END"
+    )
+
+
+def _first_weather(key: str, default: str) -> str:
+    """A text of the first weather entry: ``default`` only if there is no entry."""
+    first = "try_variant_get(document, '$.weather[0]')"
+    return (
+        f"CASE WHEN document IS NULL THEN if(coalesce(size(parsed.weather), 0) > 0, parsed.weather[0].{key}, '{default}')"
+        f" WHEN {first} IS NULL THEN '{default}' ELSE try_variant_get(document, '$.weather[0].{key}', 'string') END"
+    )
 
 
 def flatten_payloads(landed: DataFrame, fetched_at: str = "fetched_at") -> DataFrame:
     """Replace ``payload`` by its flat weather columns; text that is not JSON is dropped.
 
-    The text is parsed once into a variant, which tells absent keys from null values.
+    A struct cannot tell an absent key from a null one, a variant can but is slower to read.
+    So every payload is parsed into a struct, and only those that mention ``null`` or do not
+    fit the struct are parsed into a variant and read from there.
     """
-    document = F.col("document")
-    numbers = {
-        name: _field(document, path, "double", F.lit(default)) for path, name, default in PAYLOAD_FIELDS
-    }
-    first = F.try_variant_get(document, "$.weather[0]", "variant")
-    texts = {
-        name: F.when(first.isNull(), F.lit(default)).otherwise(
-            F.try_variant_get(document, f"$.weather[0].{key}", "string")
-        )
-        for key, name, default in PAYLOAD_TEXT_FIELDS
-    }
-    stamp = _field(document, "$.dt", "bigint", F.unix_timestamp(F.col(fetched_at).cast("timestamp")))
+    kept = [c for c in landed.columns if c != "payload"]
+    fields = [f"{_field(path, 'double', f'{default}D')} AS {name}" for path, name, default in PAYLOAD_FIELDS]
+    texts = [f"{_first_weather(key, default)} AS {name}" for key, name, default in PAYLOAD_TEXT_FIELDS]
+    stamp = _field("$.dt", "bigint", f"unix_timestamp(cast({fetched_at} AS timestamp))")
+    options = "map('columnNameOfCorruptRecord', 'misfit')"
+    # Unreadable text yields no entry to explode.  A filter instead would be pushed below and
+    # parse every payload a second time.
+    variants = "filter(array(try_parse_json(payload)), d -> d IS NOT NULL)"
     return (
-        landed.withColumn("document", F.try_parse_json("payload"))
-        .filter(document.isNotNull())
-        .withColumns({**numbers, **texts, "timestamp_utc": stamp})
-        .drop("document", "payload")
+        landed.selectExpr(*kept, "payload", f"from_json(payload, '{PAYLOAD_SCHEMA}', {options}) AS parsed")
+        .selectExpr(*kept, "parsed", "payload", "contains(payload, 'null') OR parsed.misfit IS NOT NULL AS careful")
+        .selectExpr(*kept, "parsed", f"explode(if(careful, {variants}, array(cast(NULL AS variant)))) AS document")
+        .selectExpr(*kept, *fields, *texts, f"{stamp} AS timestamp_utc")
     )
 
 
