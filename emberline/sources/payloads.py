@@ -62,7 +62,7 @@ def _first_weather(key: str, default: str) -> str:
 
 
 def flatten_payloads(landed: DataFrame, fetched_at: str = "fetched_at") -> DataFrame:
-    """Replace ``payload`` by its flat weather columns; text that is not JSON is dropped.
+    """Replace ``payload`` by its flat weather columns; text that is no JSON object is dropped.
 
     A struct cannot tell an absent key from a null one, a variant can but is slower to read.
     So every payload is parsed into a struct, and only those that mention ``null`` or do not
@@ -75,10 +75,11 @@ def flatten_payloads(landed: DataFrame, fetched_at: str = "fetched_at") -> DataF
     options = "map('columnNameOfCorruptRecord', 'misfit')"
     # Unreadable text yields no entry to explode.  A filter instead would be pushed below and
     # parse every payload a second time.
-    variants = "filter(array(try_parse_json(payload)), d -> d IS NOT NULL)"
+    variants = "filter(array(try_parse_json(payload)), d -> schema_of_variant(d) LIKE 'OBJECT%')"
+    careful = "parsed IS NULL OR parsed.misfit IS NOT NULL OR contains(payload, 'null')"
     return (
         landed.selectExpr(*kept, "payload", f"from_json(payload, '{PAYLOAD_SCHEMA}', {options}) AS parsed")
-        .selectExpr(*kept, "parsed", "payload", "contains(payload, 'null') OR parsed.misfit IS NOT NULL AS careful")
+        .selectExpr(*kept, "parsed", "payload", f"{careful} AS careful")
         .selectExpr(*kept, "parsed", f"explode(if(careful, {variants}, array(cast(NULL AS variant)))) AS document")
         .selectExpr(*kept, *fields, *texts, f"{stamp} AS timestamp_utc")
     )
