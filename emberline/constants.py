@@ -183,10 +183,9 @@ FIRE_RADIUS_M = 25000.0
 # Days of history kept and folded.
 WINDOW_DATES = 45
 
-# Freshness limits in hours, and the smallest plausible result size.
+# Freshness limits in hours.
 FRESH_HOURS = 2.0
 STALE_HOURS = 24.0
-MIN_RESULT_BYTES = 1024
 
 # EPSG:3347 (Statistics Canada Lambert) on the GRS80 ellipsoid, from the
 # public EPSG registry.

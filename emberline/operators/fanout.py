@@ -22,11 +22,15 @@ def unknown_stations(payloads: DataFrame, stations: DataFrame) -> DataFrame:
     return counts.join(stations.select(F.col("name").alias("station")), "station", "left_anti")
 
 
-def latest_per_station(flat: DataFrame, order: str, keys: tuple[str, ...] = ("station",)) -> DataFrame:
-    """The last payload of each station by ``order``, combined on the map side."""
-    rest = [c for c in flat.columns if c not in keys]
+def latest_per_station(payloads: DataFrame, order: str, keys: tuple[str, ...] = ("station",)) -> DataFrame:
+    """The last payload of each station by ``order``, combined on the map side.
+
+    Meant for payloads as they landed: picking before parsing parses one text per station
+    and run, however many a busy station sent.
+    """
+    rest = [c for c in payloads.columns if c not in keys]
     return (
-        flat.groupBy(*keys)
+        payloads.groupBy(*keys)
         .agg(F.max_by(F.struct(*rest), order).alias("last"))
         .select(*keys, "last.*")
     )
@@ -49,15 +53,16 @@ def require_weather(summary: DataFrame) -> None:
         raise RuntimeError("no station delivered any weather")
 
 
-def fan_out(cell_station: DataFrame, station_weather: DataFrame) -> DataFrame:
+def fan_out(cell_station: DataFrame, station_weather: DataFrame, broadcast: bool = True) -> DataFrame:
     """Every cell with the weather of its nearest station, NULL where that station failed.
 
     ``station_weather`` has one row per station (or per station and ``file_date``, with cells
-    carrying ``file_date`` too).  No broadcast is forced: it is an aggregate, so its real size
-    is known when the join starts and the adaptive plan broadcasts it if that is small.
+    carrying ``file_date`` too), so it is as long as the station list times the dates of the
+    run.  It is broadcast because a join on a few station names would leave most of a cluster
+    idle; switch that off for a station list that is itself large.
     """
     on = ["nearest_station"] + [c for c in ("file_date",) if c in station_weather.columns]
     keep = [c for c in WEATHER_COLUMNS if c in station_weather.columns]
     weather = station_weather.withColumnRenamed("station", "nearest_station").select(*on, *keep)
     cells = cell_station.withColumnRenamed("nearest_station_name", "nearest_station")
-    return cells.join(weather, on, "left").select(*cells.columns, *keep)
+    return cells.join(F.broadcast(weather) if broadcast else weather, on, "left").select(*cells.columns, *keep)

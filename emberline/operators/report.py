@@ -62,6 +62,16 @@ def rejects_by_reason(scored: DataFrame) -> DataFrame:
     )
 
 
+def rejects_report(scored: DataFrame, bad_files: DataFrame) -> DataFrame:
+    """Rejected rows by reason, and one line per file that was skipped as a whole."""
+    rows = rejects_by_reason(scored).select(F.lit("row").alias("level"), F.lit("").alias("file_name"), "reject_reason", "n_rows")
+    files = bad_files.select(
+        F.lit("file").alias("level"), "file_name", F.lit("unreadable_number").alias("reject_reason"),
+        F.lit(None).cast("bigint").alias("n_rows"),
+    )
+    return rows.unionByName(files)
+
+
 def training_records(run_log: DataFrame) -> DataFrame:
     """Cells scored by the latest run in the run log; 0 if none was logged."""
     last = F.max_by("processed_successfully", "run_ts")

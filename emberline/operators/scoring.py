@@ -62,16 +62,20 @@ def reject_reason(columns: list[str]) -> str:
     return f"CASE WHEN {_reported(columns, 'temperature')} = -1D THEN 'ratio_divides_by_zero' END"
 
 
-def attach_fire_history(today: DataFrame, grid: DataFrame | None) -> DataFrame:
+def attach_fire_history(
+    today: DataFrame, grid: DataFrame | None, on: tuple[str, ...] = ("lat", "lon")
+) -> DataFrame:
     """Add ``historical_fire`` from the grid by position, 0 for unknown cells or without a grid.
 
+    Positions are exact at the usual half-degree step; join other grids ``on`` a cell number.
+
     The join is left to the size known to Spark: a stored grid of the usual resolution is
     broadcast, a very fine one is not.
     """
     if grid is None:
         return today.withColumn("historical_fire", F.lit(0))
-    flags = grid.select("lat", "lon", "historical_fire")
-    return today.join(flags, ["lat", "lon"], "left").withColumn(
+    flags = grid.select(*on, "historical_fire")
+    return today.join(flags, list(on), "left").withColumn(
         "historical_fire", F.coalesce("historical_fire", F.lit(0))
     )
 
@@ -104,6 +108,7 @@ def predictions(
     window: int = WINDOW_DATES,
     keys: tuple[str, ...] = CELL,
     float32: bool = True,
+    grid_on: tuple[str, ...] = ("lat", "lon"),
 ) -> DataFrame:
     """All of today's cells with prediction columns and a ``reject_reason``.
 
@@ -113,7 +118,7 @@ def predictions(
     snapshot = latest_snapshot(history) if today is None else today
     snapshot = as_float32(snapshot, FLOAT32_TODAY) if float32 else snapshot
     scored = today_codes(newest_dates(history, window), snapshot, as_of_month, keys, float32)
-    flagged = attach_fire_history(scored, grid)
+    flagged = attach_fire_history(scored, grid, grid_on)
     known = flagged.columns
     classed = flagged.selectExpr("*", f"{bounded('fwi', 'fwi')} AS class_fwi").selectExpr(
         "*", f"{base_risk('class_fwi')} AS base_risk"

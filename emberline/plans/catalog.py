@@ -209,16 +209,17 @@ def _last_run_per_date(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def station_fanout(spark: SparkSession, sf: str) -> DataFrame:
-    flat = landed.daily_columns(landed.flatten_payloads(_last_run_per_date(spark, sf)))
-    latest = fanout.latest_per_station(flat, "event_id", ("station", "file_date"))
+    latest = fanout.latest_per_station(_last_run_per_date(spark, sf), "event_id", ("station", "file_date"))
+    flat = landed.daily_columns(landed.flatten_payloads(latest))
     dates = latest.agg(F.collect_set("file_date")).scalar()
     cells = _mapped_cells(spark, sf).withColumn("file_date", F.explode(dates))
-    return fanout.fan_out(cells, latest)
+    return fanout.fan_out(cells, flat)
 
 
 def fetch_summary(spark: SparkSession, sf: str) -> DataFrame:
     run = history.latest_snapshot(_last_run_per_date(spark, sf))
-    return fanout.fetch_summary(_mapped_cells(spark, sf), landed.flatten_payloads(run))
+    latest = fanout.latest_per_station(run, "event_id")
+    return fanout.fetch_summary(_mapped_cells(spark, sf), landed.flatten_payloads(latest))
 
 
 def unknown_stations(spark: SparkSession, sf: str) -> DataFrame:
@@ -265,6 +266,15 @@ def bad_file_skip(spark: SparkSession, sf: str) -> DataFrame:
     return typed.withColumn("cell_id", F.col("cell_id").cast("bigint"))
 
 
+def rejects_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that could not be scored and files that could not be read, in one table."""
+    daily = _daily_float32(spark, sf)
+    scored = daily.selectExpr("*", f"{scoring.reject_reason(daily.columns)} AS reject_reason")
+    text = "if(temperature IS NULL AND humidity = 100, 'corrupt', cast(temperature AS string)) AS temperature"
+    raw = fx.wx_daily(spark, sf).selectExpr("cast(file_date AS string) AS file_name", text)
+    return report.rejects_report(scored, weather.unreadable_files(raw))
+
+
 def freshness_audit(spark: SparkSession, sf: str) -> DataFrame:
     """The observations, and the same without failed ones as a stand-in for their results."""
     as_of = F.lit("2024-01-31 01:00:00").cast("timestamp")
@@ -350,6 +360,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         union_daily,
         partition_overwrite,
         bad_file_skip,
+        rejects_report,
         freshness_audit,
         json_clean_values,
         stored_predictions,

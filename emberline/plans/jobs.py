@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from emberline.constants import WINDOW_DATES
 from emberline.operators import fanout, quality, report, scoring, spatial
 from emberline.operators.history import newest_dates
+from emberline.session import fits_broadcast
 from emberline.sources import payloads as landed
 from emberline.sources import sinks, weather
 
@@ -30,11 +31,11 @@ def map_stations(spark: SparkSession, path: str, grid: DataFrame | None = None)
 
 def run_weather(spark: SparkSession, payloads: DataFrame, cell_station: DataFrame) -> DataFrame:
     """Grid weather of one run: each station's last payload, spread over its cells."""
-    known = fanout.known_payloads(payloads, spatial.stations(spark))
-    flat = landed.daily_columns(landed.flatten_payloads(known))
-    latest = fanout.latest_per_station(flat, "fetched_at")
-    fanout.require_weather(fanout.fetch_summary(cell_station, latest))
-    return fanout.fan_out(cell_station, latest)
+    stations = spatial.stations(spark)
+    latest = fanout.latest_per_station(fanout.known_payloads(payloads, stations), "fetched_at")
+    flat = landed.daily_columns(landed.flatten_payloads(latest))
+    fanout.require_weather(fanout.fetch_summary(cell_station, flat))
+    return fanout.fan_out(cell_station, flat, fits_broadcast(stations))
 
 
 def collect_weather(

@@ -528,6 +528,14 @@ UNION ALL SELECT * FROM first_daily WHERE file_date = (SELECT max(file_date) FRO
 bad AS (SELECT DISTINCT file_date FROM wx_daily WHERE temperature IS NULL AND humidity = 100.0)""",
             """SELECT cell_id, file_date, lat, lon, temperature, humidity, wind_speed, rain_1h_mm
 FROM wx_daily WHERE file_date NOT IN (SELECT file_date FROM bad)""",
+        ),
+        "rejects_report": with_(
+            f"""{WX_DAILY},
+bad AS (SELECT DISTINCT cast(file_date AS varchar) AS file_name FROM wx_daily
+        WHERE temperature IS NULL AND humidity = 100.0)""",
+            f"""SELECT 'row' AS level, '' AS file_name, 'ratio_divides_by_zero' AS reject_reason, count(*) AS n_rows
+FROM wx_daily WHERE {f32('temperature')} = -1.0 HAVING count(*) > 0
+UNION ALL SELECT 'file', file_name, 'unreadable_number', cast(NULL AS bigint) FROM bad""",
         ),
         "freshness_audit": with_(
             AUDIT,

@@ -26,6 +26,7 @@ def build_session(app: str, cpus: str | int = "*") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="emberline-warehouse-"))
         .getOrCreate()
     )
 

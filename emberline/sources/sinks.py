@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.constants import MODEL_INFO
+from emberline.constants import MODEL_INFO, WINDOW_DATES
 from emberline.functions.clean import json_clean
-from emberline.operators.history import newest_dates
+from emberline.operators.history import expired_dates, newest_dates
 from emberline.session import fits_broadcast
 
 # A single JSON document is an export for small results only.
 DOCUMENT_ROWS = 100_000
 
 
-def write_daily(df: DataFrame, path: str) -> None:
+def write_daily(df: DataFrame, path: str, files_per_day: int = 16) -> None:
     """Write days of weather, each replacing that day's partition and no other.
 
     Rows are brought together by date (and, within a date, spread by cell) first, so a day
     becomes a few files rather than one per task.
     """
     (
-        df.repartition("file_date", F.pmod(F.xxhash64("lat", "lon"), F.lit(16)))
+        df.repartition("file_date", F.pmod(F.xxhash64("lat", "lon"), F.lit(files_per_day)))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("file_date")
@@ -29,6 +31,44 @@ def write_daily(df: DataFrame, path: str) -> None:
     )
 
 
+def create_history_table(df: DataFrame, table: str, buckets: int) -> None:
+    """Keep the history as a table partitioned by date and bucketed by ``cell_id``.
+
+    Scoring gathers each cell's days; on this table it does so without any shuffle.
+    """
+    (
+        df.repartition(buckets, "cell_id")
+        .write.partitionBy("file_date")
+        .bucketBy(buckets, "cell_id")
+        .sortBy("cell_id")
+        .format("parquet")
+        .saveAsTable(table)
+    )
+
+
+def replace_day(df: DataFrame, table: str, day: date, buckets: int) -> None:
+    """Replace one date of a history table; ``buckets`` as the table was created with.
+
+    The partition is named in the statement, so no setting can widen what is overwritten.
+    """
+    spark = df.sparkSession
+    columns = ", ".join(c for c in spark.table(table).columns if c != "file_date")
+    spark.sql(
+        f"INSERT OVERWRITE TABLE {table} PARTITION (file_date = DATE'{day}') SELECT {columns} FROM {{rows}}",
+        rows=df.repartition(buckets, "cell_id"),
+    )
+
+
+def drop_expired(spark: SparkSession, table: str, n: int = WINDOW_DATES) -> list:
+    """Drop the partitions older than the newest ``n`` dates of a history table."""
+    partitions = spark.sql(f"SHOW PARTITIONS {table}")
+    dates = partitions.selectExpr("cast(split(partition, '=')[1] AS date) AS file_date")
+    expired = [row["file_date"] for row in expired_dates(dates, n).collect()]
+    for day in expired:
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (file_date = DATE'{day}')")
+    return sorted(expired)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
     """Write the grid or the station mapping."""
     writer = df.write.mode("overwrite")

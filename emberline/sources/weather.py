@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,12 +102,14 @@ def read_fires(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return reader.option("header", True).csv(path) if fmt == "csv" else reader.parquet(path)
 
 
-def read_grid(spark: SparkSession, path: str | None) -> DataFrame | None:
+def read_grid(spark: SparkSession, path: str) -> DataFrame | None:
     """The grid with its fire flags, or None if it was never built."""
-    if path is None:
+    try:
+        return spark.read.option("header", True).schema(GRID_SCHEMA).csv(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-    return None if listing.select("path").isEmpty() else spark.read.option("header", True).schema(GRID_SCHEMA).csv(path)
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:

@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 
 from emberline.operators import fanout
 from emberline.operators.spatial import stations
+from emberline.session import fits_broadcast
 from emberline.sources import payloads as landed
 from emberline.sources.sinks import write_daily
 
 
 def grid_weather_by_date(payloads: DataFrame, cell_station: DataFrame) -> DataFrame:
     """Grid weather for every date among the payloads, from each station's last one that day."""
-    known = fanout.known_payloads(payloads, stations(payloads.sparkSession))
-    flat = landed.daily_columns(landed.flatten_payloads(known)).withColumn(
-        "file_date", F.col("fetched_at").cast("date")
-    )
-    latest = fanout.latest_per_station(flat, "fetched_at", ("station", "file_date"))
+    listed = stations(payloads.sparkSession)
+    dated = fanout.known_payloads(payloads, listed).withColumn("file_date", F.col("fetched_at").cast("date"))
+    latest = fanout.latest_per_station(dated, "fetched_at", ("station", "file_date"))
+    weather = landed.daily_columns(landed.flatten_payloads(latest))
     # One entry per date in the run, a handful at most.
     dates = latest.agg(F.collect_set("file_date")).scalar()
     cells = cell_station.withColumn("file_date", F.explode(dates))
-    return fanout.fan_out(cells, latest)
+    return fanout.fan_out(cells, weather, fits_broadcast(listed))
 
 
 def start_ingest(

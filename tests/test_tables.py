@@ -94,13 +94,35 @@ def test_retention_keeps_the_newest_dates(spark, sf, tmp_path):
     assert history.expired_dates(days, 7).count() == 23
 
 
+def test_bucketed_history_is_gathered_without_a_shuffle(spark, sf, plan_of):
+    days = fx.wx_daily(spark, sf)
+    spark.sql("DROP TABLE IF EXISTS wx_history")
+    sinks.create_history_table(days, "wx_history", 8)
+    try:
+        table = spark.table("wx_history")
+        codes = history.accumulate_codes(table, 7)
+        assert "Exchange" not in plan_of(codes)
+        assert codes.exceptAll(history.accumulate_codes(days, 7)).isEmpty() and codes.count() == 15
+        newest = days.filter("file_date = '2024-01-30'").withColumn("temperature", F.lit(30.0))
+        sinks.replace_day(newest, "wx_history", datetime.date(2024, 1, 30), 8)
+        spark.catalog.refreshTable("wx_history")
+        table = spark.table("wx_history")
+        assert table.count() == days.count() and table.filter("temperature = 30").count() >= newest.count()
+        assert "Exchange" not in plan_of(history.accumulate_codes(table, 7))
+        dropped = sinks.drop_expired(spark, "wx_history", 4)
+        assert len(dropped) == 26 and spark.table("wx_history").select("file_date").distinct().count() == 4
+        assert sinks.drop_expired(spark, "wx_history", 4) == []
+    finally:
+        spark.sql("DROP TABLE IF EXISTS wx_history")
+
+
 def test_grid_and_mapping_round_trip(spark, sf, tmp_path):
     jobs.build_grid(spark, fx.fires(spark, sf), str(tmp_path / "grid"))
     grid = weather.read_grid(spark, str(tmp_path / "grid"))
     assert grid.agg(F.sum("historical_fire")).first()[0] == 372
     jobs.map_stations(spark, str(tmp_path / "map"), grid.withColumn("cell_id", F.monotonically_increasing_id()))
     assert weather.read_mapping(spark, str(tmp_path / "map")).count() == 14952
-    assert weather.read_grid(spark, None) is None
+    assert weather.read_grid(spark, str(tmp_path / "nothing")) is None
 
 
 def test_fire_reader_reads_only_what_is_used(spark, sf, tmp_path, plan_of):
