@@ -51,9 +51,10 @@ def expired_dates(df: DataFrame, n: int = WINDOW_DATES) -> DataFrame:
     return df.select("file_date").distinct().filter(F.col("file_date") < newest_date(df, n))
 
 
-def latest_snapshot(df: DataFrame) -> DataFrame:
-    """Rows of the newest date."""
-    return df.filter(F.col("file_date") == df.agg(F.max("file_date")).scalar())
+def latest_snapshot(df: DataFrame, stamp: str | None = None) -> DataFrame:
+    """Rows of the newest date, or of the date written last according to a ``stamp`` column."""
+    newest = F.max_by("file_date", stamp) if stamp else F.max("file_date")
+    return df.filter(F.col("file_date") == df.agg(newest).scalar())
 
 
 def daily_terms(

@@ -22,16 +22,19 @@ def _tier(age: Column, labels: list[str], absent: str) -> Column:
     )
 
 
-def freshness(component: str, df: DataFrame, stamp: str, as_of: Column, min_rows: int = 1) -> DataFrame:
+def freshness(
+    component: str, df: DataFrame, stamp: str, as_of: Column, min_rows: int = 1, dates: str | None = None
+) -> DataFrame:
     """One row on a table: rows, distinct dates, age at ``as_of``, freshness and status.
 
-    An empty table, or one below ``min_rows``, is unhealthy whatever its age.
+    Age is measured from the latest ``stamp``; dates are counted in the ``dates`` column, or
+    in ``stamp``.  An empty table, or one below ``min_rows``, is unhealthy whatever its age.
     """
     moment = F.col(stamp)
     age = F.timestamp_diff("MICROSECOND", F.col("last_updated"), as_of) / F.lit(3.6e9)
     measured = df.agg(
         F.count("*").alias("n_rows"),
-        F.count_distinct(moment.cast("date")).alias("n_dates"),
+        F.count_distinct(F.col(dates or stamp).cast("date")).alias("n_dates"),
         F.max(moment).alias("last_updated"),
     ).withColumn("age", age)
     status = F.when(F.col("n_rows") < min_rows, F.lit("unhealthy")).otherwise(

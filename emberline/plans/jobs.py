@@ -94,12 +94,17 @@ def refresh(
     return score(spark, history, grid, out, run_date.month, run_ts)
 
 
-def health(history: DataFrame, history_stamp: str, predictions: DataFrame, stamp: str, as_of: str) -> DataFrame:
-    """Freshness and completeness of the weather and of the predictions at ``as_of``."""
+def health(history: DataFrame, predictions: DataFrame, as_of: str) -> DataFrame:
+    """Freshness and completeness of stored weather and predictions at ``as_of``.
+
+    Age counts from when their newest file was written.
+    """
     moment = F.lit(as_of).cast("timestamp")
+    written = "_metadata.file_modification_time AS written"
+    weather_rows = history.selectExpr("file_date", written)
     return quality.audit(
         [
-            quality.freshness("Weather Data", history, history_stamp, moment),
-            quality.freshness("Predictions Cache", predictions, stamp, moment),
+            quality.freshness("Weather Data", weather_rows, "written", moment, dates="file_date"),
+            quality.freshness("Predictions Cache", predictions.selectExpr(written), "written", moment),
         ]
     )

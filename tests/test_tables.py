@@ -232,13 +232,21 @@ def test_refresh_end_to_end(spark, sf, tmp_path):
     )
     assert document["success"] is True and len(document["data"]) == predictions.count()
     assert list(document) == ["success", "data", "model_info", "processing_stats", "timestamp", "last_updated"]
-    health = jobs.health(
-        stored.withColumn("at", F.lit("2024-07-02 06:00:00").cast("timestamp")), "at",
-        predictions.withColumn("at", F.lit("2024-07-01 06:00:00").cast("timestamp")), "at", "2024-07-02 07:00:00",
+    soon = datetime.datetime.now(datetime.timezone.utc) + datetime.timedelta(minutes=30)
+    stored_predictions = spark.read.parquet(f"{out}/predictions/parquet")
+    for later, status in ((0, "healthy"), (3, "degraded"), (30, "unhealthy")):
+        as_of = (soon + datetime.timedelta(hours=later)).strftime("%Y-%m-%d %H:%M:%S")
+        rows = {r["component"]: r for r in jobs.health(stored, stored_predictions, as_of).collect()}
+        assert {r["status"] for r in rows.values()} == {r["overall_status"] for r in rows.values()} == {status}
+        assert rows["Weather Data"]["n_dates"] == 2 and rows["Weather Data"]["n_rows"] == stored.count()
+
+
+def test_snapshot_written_last(spark):
+    rows = spark.createDataFrame(
+        [(datetime.date(2024, 1, 1), 9), (datetime.date(2024, 1, 2), 5)], "file_date date, written int"
     )
-    assert {r["component"]: (r["status"], r["overall_status"]) for r in health.collect()} == {
-        "Weather Data": ("healthy", "unhealthy"), "Predictions Cache": ("unhealthy", "unhealthy")
-    }
+    assert history.latest_snapshot(rows).first()["written"] == 5
+    assert history.latest_snapshot(rows, "written").first()["file_date"] == datetime.date(2024, 1, 1)
 
 
 def test_document_refuses_large_results(spark, monkeypatch):
