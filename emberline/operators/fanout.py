@@ -26,14 +26,11 @@ def latest_per_station(payloads: DataFrame, order: str, keys: tuple[str, ...] =
     """The last payload of each station by ``order``, combined on the map side.
 
     Meant for payloads as they landed: picking before parsing parses one text per station
-    and run, however many a busy station sent.
+    and run, however many a busy station sent.  Equal orders are settled by the other columns,
+    so a repeated task picks the same row.
     """
-    rest = [c for c in payloads.columns if c not in keys]
-    return (
-        payloads.groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), order).alias("last"))
-        .select(*keys, "last.*")
-    )
+    rest = [c for c in payloads.columns if c not in (*keys, order)]
+    return payloads.groupBy(*keys).agg(F.max(F.struct(order, *rest)).alias("last")).select(*keys, "last.*")
 
 
 def fetch_summary(cell_station: DataFrame, station_weather: DataFrame) -> DataFrame:

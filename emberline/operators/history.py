@@ -15,6 +15,7 @@ CELL = ("cell_id",)
 def last_per_day(observations: DataFrame, order: list[str], keys: tuple[str, ...] = CELL) -> DataFrame:
     """The last observation of each cell and day, by the ``order`` columns.
 
+    Together they should be unique per cell and day; add a tie-breaking column where they are not.
     ``max_by`` combines on the map side, so a cell holding a large share of the rows sends
     one row per day and map task through the shuffle.  A single numeric order column gives
     one fixed-width buffer per column, which keeps the aggregate in generated code.

@@ -81,9 +81,13 @@ def retain_latest(df: DataFrame, path: str, n: int) -> None:
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
-    """Predictions as Parquet for queries and as JSON lines for consumers."""
+    """Predictions as Parquet for queries and as JSON lines for consumers.
+
+    The lines are made from the stored Parquet, so the predictions are computed once.
+    """
     df.write.mode("overwrite").parquet(f"{path}/parquet")
-    json_clean(df).write.mode("overwrite").json(f"{path}/json")
+    stored = df.sparkSession.read.parquet(f"{path}/parquet")
+    json_clean(stored).write.mode("overwrite").json(f"{path}/json")
 
 
 def envelope(stats: DataFrame, run_ts: Column) -> DataFrame:

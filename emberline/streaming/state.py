@@ -88,23 +88,41 @@ def start_window_stream(windows: DataFrame, out: str, checkpoint: str, available
     return writer.foreachBatch(write).start()
 
 
-def current_windows(spark: SparkSession, out: str, window: int = WINDOW_DATES) -> DataFrame:
+def _latest_windows(spark: SparkSession, out: str, base: str | None) -> DataFrame:
+    """The last written window of each cell with its batch number."""
+    written = spark.read.parquet(out)
+    if base is not None:
+        compacted = spark.read.parquet(base)
+        newer = F.col("batch") > compacted.agg(F.max("batch")).scalar()
+        written = compacted.unionByName(written.filter(newer))
+    latest = F.max_by(F.struct("batch", *ROW_COLUMNS), "batch").alias("w")
+    return written.groupBy("cell_id").agg(latest).select("cell_id", "w.*")
+
+
+def compact_windows(spark: SparkSession, out: str, target: str, base: str | None = None) -> None:
+    """Write the last window of each cell to ``target``, to be read as ``base`` from then on.
+
+    Batch folders it covers are skipped by later reads and can be removed.
+    """
+    _latest_windows(spark, out, base).write.mode("overwrite").parquet(target)
+
+
+def current_windows(
+    spark: SparkSession, out: str, window: int = WINDOW_DATES, base: str | None = None
+) -> DataFrame:
     """The latest window of each cell, cut to the newest ``window`` dates over all cells.
 
     A cell's own newest dates include all its dates among the newest overall, so nothing that
     the common cut keeps was trimmed earlier.
     """
-    written = spark.read.parquet(out)
-    latest = (
-        written.groupBy("cell_id")
-        .agg(F.max_by(F.struct(*ROW_COLUMNS), "batch").alias("w"))
-        .select("cell_id", "w.*")
-    )
-    dates = written.select(F.explode("day").alias("day")).distinct().orderBy(F.desc("day")).limit(window)
-    first = dates.agg(F.min("day")).scalar()
+    latest = _latest_windows(spark, out, base)
+    dates = latest.select(F.explode("day").alias("day")).distinct().orderBy(F.desc("day")).limit(window)
     # Days are in order, so the cut is a suffix of every array.
     size = F.size(F.filter("day", lambda d: d >= F.col("first_day")))
     start = F.size("day") - F.col("n") + 1
-    return latest.withColumn("first_day", first).withColumn("n", size).filter("n > 0").select(
-        "cell_id", *[F.slice(c, start, F.col("n")).alias(c) for c in ROW_COLUMNS]
+    return (
+        latest.withColumn("first_day", dates.agg(F.min("day")).scalar())
+        .withColumn("n", size)
+        .filter("n > 0")
+        .select("cell_id", *[F.slice(c, start, F.col("n")).alias(c) for c in ROW_COLUMNS])
     )

@@ -64,6 +64,12 @@ def test_state_survives_a_restart_and_drops_what_is_too_old(spark, tmp_path):
     window = state.current_windows(spark, out, 3).first()
     assert len(window["day"]) == 3 and window["temperature"] == [21.0, 31.0, 25.0]
     assert_same(spark, out, spark.read.schema(SCHEMA).parquet(source), 3)
+    state.compact_windows(spark, out, str(tmp_path / "base"))
+    land((1, day(4), 14, 12.0, 40.0, 5.0, 0.0), (2, day(4), 15, 12.0, 40.0, 5.0, 0.0))
+    whole = state.current_windows(spark, out, 3)
+    based = state.current_windows(spark, out, 3, str(tmp_path / "base"))
+    assert whole.exceptAll(based).isEmpty() and based.exceptAll(whole).isEmpty() and based.count() == 2
+    assert spark.read.parquet(str(tmp_path / "base")).count() == 1
 
 
 def test_ingest_replaces_the_day_with_each_run(spark, tmp_path):
