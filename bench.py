@@ -32,6 +32,7 @@ HEADLINE = [
     "payload_flatten",
     "station_fanout",
     "bad_file_skip",
+    "stream_ingest",
     "stream_equals_batch",
 ]
 ROUNDS = 2

@@ -64,10 +64,9 @@ def rejects_by_reason(scored: DataFrame) -> DataFrame:
 
 def rejects_report(scored: DataFrame, bad_files: DataFrame) -> DataFrame:
     """Rejected rows by reason, and one line per file that was skipped as a whole."""
-    rows = rejects_by_reason(scored).select(F.lit("row").alias("level"), F.lit("").alias("file_name"), "reject_reason", "n_rows")
-    files = bad_files.select(
-        F.lit("file").alias("level"), "file_name", F.lit("unreadable_number").alias("reject_reason"),
-        F.lit(None).cast("bigint").alias("n_rows"),
+    rows = rejects_by_reason(scored).selectExpr("'row' AS level", "'' AS file_name", "reject_reason", "n_rows")
+    files = bad_files.selectExpr(
+        "'file' AS level", "file_name", "'unreadable_number' AS reject_reason", "cast(NULL AS bigint) AS n_rows"
     )
     return rows.unionByName(files)
 

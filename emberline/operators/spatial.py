@@ -46,6 +46,28 @@ def projected(points: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFram
     return points.selectExpr("*", f"{east} AS x", f"{north} AS y")
 
 
+def join_split(
+    many: DataFrame, few: DataFrame, on: list[str], identity: list[str], hot_rows: int = HOT_BUCKET_ROWS
+) -> DataFrame:
+    """Inner join by shuffle in which no key brings more than about ``hot_rows`` rows of ``many`` together.
+
+    Keys with more rows are split into parts by a hash of ``identity``, and their rows of
+    ``few`` are repeated per part.  Counting combines on the map side.  There is at most one
+    such key per ``hot_rows`` rows of ``many``, so the list of them is broadcast.
+    """
+    hot = (
+        many.groupBy(*on).count().filter(F.col("count") > hot_rows)
+        .selectExpr(*on, f"cast(ceil(count / {hot_rows}) AS bigint) AS parts")
+    )
+
+    def with_part(df: DataFrame, part: str) -> DataFrame:
+        return df.join(F.broadcast(hot), on, "left").selectExpr(*df.columns, f"{part} AS part")
+
+    parted = with_part(many, f"pmod(xxhash64({', '.join(identity)}), coalesce(parts, 1L))")
+    repeated = with_part(few, "explode(sequence(0L, coalesce(parts, 1L) - 1L))")
+    return parted.join(repeated, [*on, "part"]).drop("part")
+
+
 def cells_near(
     cells: DataFrame,
     points: DataFrame,
@@ -76,19 +98,7 @@ def cells_near(
     if fits_broadcast(cells, max_broadcast // 9):
         pairs = probe.join(F.broadcast(reach), ["bx", "by"])
     else:
-        probe = probe.distinct()
-        hot = (
-            probe.groupBy("bx", "by").count().filter(F.col("count") > hot_rows)
-            .selectExpr("bx", "by", f"cast(ceil(count / {hot_rows}) AS bigint) AS parts")
-        )
-
-        def split(df: DataFrame, part: str) -> DataFrame:
-            columns = df.columns
-            return df.join(hot, ["bx", "by"], "left").selectExpr(*columns, f"{part} AS part")
-
-        probe = split(probe, "pmod(xxhash64(x, y), coalesce(parts, 1L))")
-        reach = split(reach, "explode(sequence(0L, coalesce(parts, 1L) - 1L))")
-        pairs = probe.join(reach, ["bx", "by", "part"])
+        pairs = join_split(probe.distinct(), reach, ["bx", "by"], ["x", "y"], hot_rows)
     return pairs.filter(inside_buffer("x - cx", "y - cy", radius, mode)).select("cell_id").distinct()
 
 
@@ -104,7 +114,9 @@ def flag_fire_history(
     )
 
 
-def nearest_station(cells: DataFrame, targets: DataFrame, max_array: int = ARRAY_POINTS) -> DataFrame:
+def nearest_station(
+    cells: DataFrame, targets: DataFrame, max_array: int = ARRAY_POINTS, hot_rows: int = HOT_BUCKET_ROWS
+) -> DataFrame:
     """Add ``nearest_station_name`` and ``station_distance_m`` to cells with ``lat, lon``.
 
     ``targets`` has ``station_ord, name, lat, lon``; equal distances go to the lower order.
@@ -114,7 +126,7 @@ def nearest_station(cells: DataFrame, targets: DataFrame, max_array: int = ARRAY
     sites = projected(targets).selectExpr("station_ord", "name", "x AS sx", "y AS sy")
     placed = projected(cells)
     if not fits_broadcast(targets, max_array):
-        return _nearest_through_tiles(placed, sites).drop("x", "y")
+        return _nearest_through_tiles(placed, sites, hot_rows).drop("x", "y")
     listed = sites.agg(F.expr("sort_array(collect_list(struct(station_ord, name, sx, sy)))")).scalar()
     return (
         placed.withColumn("listed", listed)
@@ -132,7 +144,9 @@ def _candidate(site: str) -> str:
 BEST_COLUMNS = ["best.name AS nearest_station_name", "best.far AS station_distance_m"]
 
 
-def _nearest_through_tiles(cells: DataFrame, sites: DataFrame, tile: float = 100_000.0) -> DataFrame:
+def _nearest_through_tiles(
+    cells: DataFrame, sites: DataFrame, hot_rows: int, tile: float = 100_000.0
+) -> DataFrame:
     """Exact nearest site for large site sets.
 
     Sites are summarised into square tiles, whose number is limited by the mapped area and not
@@ -142,7 +156,7 @@ def _nearest_through_tiles(cells: DataFrame, sites: DataFrame, tile: float = 100
     tiled = sites.selectExpr("*", f"floor(sx / {tile}D) AS tx", f"floor(sy / {tile}D) AS ty")
     tiles = tiled.groupBy("tx", "ty").agg(F.expr("min_by(struct(sx, sy), station_ord) AS sample"))
     if not fits_broadcast(tiles, ARRAY_POINTS):
-        return _nearest_through_tiles(cells, sites, tile * 2)
+        return _nearest_through_tiles(cells, sites, hot_rows, tile * 2)
     listed = tiles.agg(F.expr("collect_list(struct(tx, ty, sample))")).scalar()
 
     def gap(index: str, coordinate: str) -> str:
@@ -152,11 +166,13 @@ def _nearest_through_tiles(cells: DataFrame, sites: DataFrame, tile: float = 100
     reach = distance("x - t.sample.sx", "y - t.sample.sy")
     # A hair of slack keeps a tile whose edge is exactly at the bound.
     near = f"{distance(gap('t.tx', 'x'), gap('t.ty', 'y'))} <= bound * (1 + 1e-9D)"
-    best = (
+    wanted = (
         cells.withColumn("listed", listed)
         .selectExpr("cell_id", "x", "y", "listed", f"array_min(transform(listed, t -> {reach})) AS bound")
         .selectExpr("cell_id", "x", "y", f"inline(transform(filter(listed, t -> {near}), t -> struct(t.tx, t.ty)))")
-        .join(tiled, ["tx", "ty"])
+    )
+    best = (
+        join_split(tiled, wanted, ["tx", "ty"], ["station_ord", "name"], hot_rows)
         .groupBy("cell_id")
         .agg(F.expr(f"min({_candidate('')}) AS best"))
     )

@@ -16,7 +16,7 @@ from emberline.plans import fixtures as fx
 from emberline.session import scratch_dir
 from emberline.sources import payloads as landed
 from emberline.sources import sinks, weather
-from emberline.streaming import state
+from emberline.streaming import ingest, state
 
 # The month is a parameter of every accumulation; queries that share an oracle share it.
 SUMMER = 7
@@ -317,6 +317,20 @@ def stored_predictions(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_flat(stored.filter(F.col("daily_fire_risk") >= 0.65)))
 
 
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Payload files land, are streamed over the observed cells, and stored as daily partitions."""
+    path = scratch_dir(spark, "ingest")
+    line = (
+        "concat('{\"station\":\"', station, '\",\"fetched_at\":\"', cast(fetched_at AS string),"
+        " '\",\"payload\":', payload, '}')"
+    )
+    fx.payloads(spark, sf).selectExpr(line).write.text(f"{path}/landed")
+    mapping = _mapped_cells(spark, sf).drop("cell_id")
+    stream = landed.stream_payloads(spark, f"{path}/landed")
+    ingest.start_ingest(stream, mapping, f"{path}/daily", f"{path}/checkpoint").awaitTermination()
+    return weather.read_history_table(spark, f"{path}/daily")
+
+
 def stream_equals_batch(spark: SparkSession, sf: str) -> DataFrame:
     """The accumulation from a stream over the observations; same result as the batch."""
     schema = fx.table(spark, sf, "events").schema
@@ -364,6 +378,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         freshness_audit,
         json_clean_values,
         stored_predictions,
+        stream_ingest,
         stream_equals_batch,
     )
 }

@@ -94,17 +94,21 @@ def refresh(
     return score(spark, history, grid, out, run_date.month, run_ts)
 
 
-def health(history: DataFrame, predictions: DataFrame, as_of: str) -> DataFrame:
+def health(
+    spark: SparkSession, history: DataFrame | None, predictions: DataFrame | None, as_of: str
+) -> DataFrame:
     """Freshness and completeness of stored weather and predictions at ``as_of``.
 
-    Age counts from when their newest file was written.
+    Age counts from when their newest file was written; a table that is absent is unhealthy.
     """
     moment = F.lit(as_of).cast("timestamp")
     written = "_metadata.file_modification_time AS written"
-    weather_rows = history.selectExpr("file_date", written)
+    absent = spark.range(0).selectExpr("cast(NULL AS date) AS file_date", "cast(NULL AS timestamp) AS written")
+    weather_rows = absent if history is None else history.selectExpr("file_date", written)
+    result_rows = absent if predictions is None else predictions.selectExpr(written)
     return quality.audit(
         [
             quality.freshness("Weather Data", weather_rows, "written", moment, dates="file_date"),
-            quality.freshness("Predictions Cache", predictions.selectExpr(written), "written", moment),
+            quality.freshness("Predictions Cache", result_rows, "written", moment),
         ]
     )

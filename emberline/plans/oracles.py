@@ -252,9 +252,10 @@ TODAY = f"""today AS (
     {f32('wind_speed')} AS wind_speed, rain_1h_mm
   FROM wx_daily WHERE file_date = (SELECT max(file_date) FROM wx_daily))"""
 
-FEATURES = """coalesce(temperature, 0.0) AS temperature, coalesce(humidity, 0.0) AS humidity,
-  coalesce(wind_speed, 0.0) AS wind_speed, 1013.0 AS pressure,
-  coalesce(rain_1h_mm, 0.0) AS rain_1h_mm, 0.0 AS rain_3h_mm, 0.0 AS snow_1h_mm, 0.0 AS snow_3h_mm,
+SHOWN = ", ".join(
+    f"round(coalesce({c}, 0.0), 6) + 0.0 AS {c}" for c in ("temperature", "humidity", "wind_speed", "rain_1h_mm")
+)
+FEATURES = f"""{SHOWN}, 1013.0 AS pressure, 0.0 AS rain_3h_mm, 0.0 AS snow_1h_mm, 0.0 AS snow_3h_mm,
   CASE WHEN temperature > 25.0 THEN 1 ELSE 0 END AS is_hot,
   CASE WHEN humidity < 30.0 THEN 1 ELSE 0 END AS is_dry,
   round(coalesce(humidity / (temperature + 1.0), 0.0), 6) + 0.0 AS humidity_temp_ratio,
@@ -262,11 +263,6 @@ FEATURES = """coalesce(temperature, 0.0) AS temperature, coalesce(humidity, 0.0)
   coalesce(rain_1h_mm, 0.0) AS total_precip,
   CASE WHEN rain_1h_mm > 0.0 THEN 1 ELSE 0 END AS has_recent_precip,
   0 AS weather_main_encoded"""
-ROUNDED_FEATURES = FEATURES
-for _name in ("temperature", "humidity", "wind_speed", "rain_1h_mm"):
-    ROUNDED_FEATURES = ROUNDED_FEATURES.replace(
-        f"coalesce({_name}, 0.0) AS {_name}", f"round(coalesce({_name}, 0.0), 6) + 0.0 AS {_name}"
-    )
 
 SCORED = f"""scored AS (
   SELECT t.*, i.ffmc, i.dmc, i.dc, i.isi, i.bui, i.fwi, i.dsr,
@@ -285,7 +281,7 @@ def scored_ctes(month: int) -> str:
 
 PREDICTION_SELECT = f"""SELECT cell_id, lat, lon, concat('Grid_', cell_id) AS location_name,
   {province_case()} AS province, {rnd('risk', 'daily_fire_risk')}, danger_class, color_code,
-  0.95 AS model_confidence, {ROUNDED_FEATURES}, {rnd('fwi', 'fire_danger_index')},
+  0.95 AS model_confidence, {FEATURES}, {rnd('fwi', 'fire_danger_index')},
   {rnd('ffmc')}, {rnd('dmc')}, {rnd('dc')}, {rnd('isi')}, {rnd('bui')}, {rnd('fwi')}, {rnd('dsr')}
 FROM valid"""
 
@@ -403,7 +399,7 @@ line_daily AS (
 narrow AS (
   SELECT cell_id, file_date, {f32('temperature')} AS temperature, {f32('humidity')} AS humidity,
     {f32('wind_speed')} AS wind_speed, rain_1h_mm FROM wx_daily)""",
-            f"""SELECT cell_id, file_date, {ROUNDED_FEATURES} FROM narrow
+            f"""SELECT cell_id, file_date, {FEATURES} FROM narrow
 WHERE temperature IS NULL OR temperature <> -1.0""",
         ),
         "rejects_by_reason": with_(
@@ -503,6 +499,17 @@ FROM grid LEFT JOIN seen ON seen.lat = grid.lat AND seen.lon = grid.lon""",
   {', '.join('w.' + c for c in WEATHER_NAMES)}
 FROM mapped m CROSS JOIN (SELECT DISTINCT file_date FROM last_run) d
 LEFT JOIN station_weather w ON w.station = m.nearest_station_name AND w.file_date = d.file_date""",
+        ),
+        "stream_ingest": with_(
+            f"""{WX_EVENTS},\n{MAPPED},\n{PAYLOADS},
+station_day AS (
+  SELECT *, cast(ts AS date) AS file_date FROM flat WHERE known
+  QUALIFY row_number() OVER (PARTITION BY cast(ts AS date), station ORDER BY ts DESC, event_id DESC) = 1)""",
+            f"""SELECT m.lat, m.lon, m.nearest_station_name AS nearest_station, d.file_date,
+  {', '.join('w.' + c for c in WEATHER_NAMES)},
+  strftime(make_timestamp(w.timestamp_utc * 1000000) - INTERVAL 7 HOUR, '%Y-%m-%d %H:%M:%S') AS date
+FROM mapped m CROSS JOIN (SELECT DISTINCT file_date FROM station_day) d
+LEFT JOIN station_day w ON w.station = m.nearest_station_name AND w.file_date = d.file_date""",
         ),
         "fetch_summary": with_(
             f"{WX_EVENTS},\n{MAPPED},\n{PAYLOADS},\n{LAST_RUN}",

@@ -16,14 +16,14 @@ from emberline.session import fits_broadcast
 DOCUMENT_ROWS = 100_000
 
 
-def write_daily(df: DataFrame, path: str, files_per_day: int = 16) -> None:
+def write_daily(df: DataFrame, path: str) -> None:
     """Write days of weather, each replacing that day's partition and no other.
 
-    Rows are brought together by date (and, within a date, spread by cell) first, so a day
-    becomes a few files rather than one per task.
+    Rows are rebalanced by date first: a small day becomes one file, a large one is split
+    into files of the advisory size, and no day is left to a single task.
     """
     (
-        df.repartition("file_date", F.pmod(F.xxhash64("lat", "lon"), F.lit(files_per_day)))
+        df.hint("rebalance", F.col("file_date"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("file_date")

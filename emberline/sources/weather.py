@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -102,16 +103,21 @@ def read_fires(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return reader.option("header", True).csv(path) if fmt == "csv" else reader.parquet(path)
 
 
-def read_grid(spark: SparkSession, path: str) -> DataFrame | None:
-    """The grid with its fire flags, or None if it was never built."""
+def if_present(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """What ``read`` returns, or None if its path does not exist."""
     try:
-        return spark.read.option("header", True).schema(GRID_SCHEMA).csv(path)
+        return read()
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
 
 
+def read_grid(spark: SparkSession, path: str) -> DataFrame | None:
+    """The grid with its fire flags, or None if it was never built."""
+    return if_present(lambda: spark.read.option("header", True).schema(GRID_SCHEMA).csv(path))
+
+
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
     """The cell to station mapping; required."""
     return spark.read.option("header", True).schema(MAPPING_SCHEMA).csv(path)
@@ -123,3 +129,11 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     if stored.isEmpty():
         raise ValueError("no prediction data available")
     return stored
+
+
+def read_result(spark: SparkSession, out: str) -> DataFrame:
+    """Predictions of the last run, if its envelope says that it succeeded."""
+    envelope = spark.read.json(f"{out}/envelope")
+    if "success" not in envelope.columns or envelope.filter("success").isEmpty():
+        raise ValueError("invalid prediction data")
+    return read_predictions(spark, f"{out}/predictions/parquet")

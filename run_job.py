@@ -57,8 +57,9 @@ def main(argv: list[str] | None = None) -> None:
         history = weather.read_history_table(spark, args.history)
         jobs.score(spark, history, grid, args.out, run_at.month, args.run_ts).show(truncate=False)
     elif args.job == "health":
-        history = weather.read_history_table(spark, args.history)
-        jobs.health(history, spark.read.parquet(f"{args.out}/predictions/parquet"), args.run_ts).show(truncate=False)
+        history = weather.if_present(lambda: weather.read_history_table(spark, args.history))
+        stored = weather.if_present(lambda: spark.read.parquet(f"{args.out}/predictions/parquet"))
+        jobs.health(spark, history, stored, args.run_ts).show(truncate=False)
     elif args.job == "stats":
         dates = weather.read_history_table(spark, args.history).agg(F.count_distinct("file_date").alias("dates"))
         training_records(spark.read.parquet(f"{args.out}/run_log")).join(dates).show()

@@ -60,7 +60,7 @@ def test_tile_search_equals_array_search(spark, sf):
         "if(fire_id % 3 = 0, -100 + (fire_id % 90) / 1000D, longitude) AS lon",
     )
     small = spatial.nearest_station(cells, targets)
-    large = spatial.nearest_station(cells, targets, max_array=10)
+    large = spatial.nearest_station(cells, targets, max_array=10, hot_rows=50)
     assert small.exceptAll(large).isEmpty() and large.count() == 14952
 
 

@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from emberline.operators import fanout, history, report, scoring, spatial
+from emberline.operators import history, report, scoring, spatial
 from emberline.plans import fixtures as fx
 from emberline.plans import jobs
 from emberline.session import local_table, scratch_dir
@@ -236,10 +236,17 @@ def test_refresh_end_to_end(spark, sf, tmp_path):
     stored_predictions = spark.read.parquet(f"{out}/predictions/parquet")
     for later, status in ((0, "healthy"), (3, "degraded"), (30, "unhealthy")):
         as_of = (soon + datetime.timedelta(hours=later)).strftime("%Y-%m-%d %H:%M:%S")
-        rows = {r["component"]: r for r in jobs.health(stored, stored_predictions, as_of).collect()}
+        rows = {r["component"]: r for r in jobs.health(spark, stored, stored_predictions, as_of).collect()}
         assert {r["status"] for r in rows.values()} == {r["overall_status"] for r in rows.values()} == {status}
         assert rows["Weather Data"]["n_dates"] == 2 and rows["Weather Data"]["n_rows"] == stored.count()
 
+    absent = jobs.health(spark, None, None, "2024-07-02 06:00:00").collect()
+    assert {(r["freshness"], r["status"], r["n_rows"]) for r in absent} == {("missing", "unhealthy", 0)}
+    assert weather.read_result(spark, out).count() == predictions.count()
+    spark.range(1).selectExpr("false AS success").write.mode("overwrite").json(f"{out}/envelope")
+    with pytest.raises(ValueError):
+        weather.read_result(spark, out)
+
 
 def test_snapshot_written_last(spark):
     rows = spark.createDataFrame(
