@@ -39,8 +39,8 @@ def bounded(value: str, name: str) -> str:
 
 
 def narrow(value: str) -> str:
-    """``value`` rounded to 32-bit precision, as a double."""
-    return f"cast(cast({value} AS float) AS double)"
+    """``value`` rounded to 32-bit precision, as a double; NULL if it is no number."""
+    return f"cast(try_cast({value} AS float) AS double)"
 
 
 def total_precip(columns: list[str], float32: bool = False) -> str:

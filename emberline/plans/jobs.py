@@ -57,14 +57,17 @@ def score(
     run_ts: str,
     window: int = WINDOW_DATES,
     keys: tuple[str, ...] = ("lat", "lon"),
+    today: DataFrame | None = None,
 ) -> DataFrame:
     """Score today's cells; store predictions, rejects and the run log; return the statistics.
 
+    ``today`` is the snapshot to score, by default the newest date of the history.
+
     The scored rows are written once and all reports read them back.
     """
     started = time.monotonic()
     moment = F.lit(run_ts).cast("timestamp")
-    scored = scoring.predictions(history, as_of_month, grid=grid, window=window, keys=keys)
+    scored = scoring.predictions(history, as_of_month, today, grid, window, keys)
     scored.write.mode("overwrite").parquet(f"{out}/scored")
     stored = spark.read.parquet(f"{out}/scored")
     sinks.write_predictions(scoring.accepted(stored), f"{out}/predictions")

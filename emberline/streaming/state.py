@@ -25,23 +25,21 @@ LIST_TYPES = "day array<int>, seq array<bigint>, " + ", ".join(f"{c} array<doubl
 SERIES_SCHEMA = "cell_id bigint, " + LIST_TYPES
 
 
-def _newest_per_day(rows: pd.DataFrame, by: list[str]) -> pd.DataFrame:
-    return rows.sort_values("seq", kind="stable").drop_duplicates(by, keep="last")
-
-
 def _combine_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Keep the last observation per cell and day of each Arrow batch, before the shuffle."""
     for rows in batches:
-        yield _newest_per_day(rows, ["cell_id", "day"])
+        yield rows.sort_values("seq", kind="stable").drop_duplicates(["cell_id", "day"], keep="last")
 
 
 def _window_keeper(window: int):
     def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = pd.DataFrame(dict(zip(ROW_COLUMNS, state.get))) if state.exists else None
+        days = {day: rest for day, *rest in zip(*state.get)} if state.exists else {}
         for rows in batches:
-            merged = rows[ROW_COLUMNS] if kept is None else pd.concat([kept, rows[ROW_COLUMNS]])
-            kept = _newest_per_day(merged, ["day"]).sort_values("day").tail(window)
-        lists = [kept[c].tolist() for c in ROW_COLUMNS]
+            for day, *rest in zip(*(rows[c].tolist() for c in ROW_COLUMNS)):
+                if day not in days or days[day][0] <= rest[0]:
+                    days[day] = rest
+        newest = [[day, *days[day]] for day in sorted(days)[-window:]]
+        lists = [list(values) for values in zip(*newest)]
         state.update(tuple(lists))
         yield pd.DataFrame({"cell_id": [key[0]], **{c: [v] for c, v in zip(ROW_COLUMNS, lists)}})
 

@@ -2,6 +2,7 @@
 
     spark-submit run_job.py grid --fires FIRES --out GRID
     spark-submit run_job.py stations --out MAPPING
+    spark-submit run_job.py import --daily-files CSV_FOLDER --history HISTORY
     spark-submit run_job.py refresh --payloads LANDED --mapping MAPPING --grid GRID \
         --history HISTORY --out RESULTS --run-ts '2024-07-01 06:00:00'
     spark-submit run_job.py score --history HISTORY --grid GRID --out RESULTS --run-ts ...
@@ -21,16 +22,16 @@ from pyspark.sql import functions as F
 from emberline.functions.classify import danger_classes
 from emberline.operators.report import training_records
 from emberline.plans import jobs
-from emberline.sources import payloads, weather
+from emberline.sources import payloads, sinks, weather
 from emberline.sources.payloads import local_date_text
 
-JOBS = ["grid", "stations", "refresh", "score", "health", "stats", "classes"]
+JOBS = ["grid", "stations", "import", "refresh", "score", "health", "stats", "classes"]
 
 
 def arguments(argv: list[str] | None) -> argparse.Namespace:
     parser = argparse.ArgumentParser()
     parser.add_argument("job", choices=JOBS)
-    for name in ("fires", "payloads", "mapping", "grid", "history", "out"):
+    for name in ("fires", "payloads", "mapping", "grid", "daily-files", "history", "out"):
         parser.add_argument(f"--{name}")
     parser.add_argument("--run-ts", help="time of the run, in UTC")
     parser.add_argument("--mode", default="circle", choices=["circle", "polygon64"])
@@ -47,6 +48,8 @@ def main(argv: list[str] | None = None) -> None:
         jobs.build_grid(spark, weather.read_fires(spark, args.fires), args.out, args.mode)
     elif args.job == "stations":
         jobs.map_stations(spark, args.out)
+    elif args.job == "import":
+        sinks.write_daily(weather.load_history(spark, args.daily_files), args.history)
     elif args.job == "refresh":
         local = spark.range(1).select(local_date_text(F.lit(args.run_ts).cast("timestamp"))).first()[0]
         jobs.refresh(

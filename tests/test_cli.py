@@ -5,6 +5,7 @@ import json
 import run_job
 from emberline.operators import spatial
 from emberline.plans import fixtures as fx
+from emberline.sources.weather import DAILY_COLUMNS
 
 
 def test_jobs_from_the_command_line(spark, sf, tmp_path, capfd):
@@ -38,3 +39,18 @@ def test_jobs_from_the_command_line(spark, sf, tmp_path, capfd):
     scored = spark.read.parquet(path["out"] + "/predictions/parquet")
     assert scored.count() == 14952
     assert scored.filter("danger_class IS NULL OR daily_fire_risk IS NULL").isEmpty()
+
+
+def test_import_of_daily_files(spark, tmp_path):
+    header = ",".join(DAILY_COLUMNS)
+    for day in (1, 2):
+        values = {c: "" for c in DAILY_COLUMNS} | {"lat": "50.0", "lon": "-110.0", "temperature": str(10 + day)}
+        (tmp_path / f"2024-06-0{day}.csv").write_text(f"{header}\n{','.join(values.values())}\n")
+    run_job.main(["import", "--daily-files", str(tmp_path), "--history", str(tmp_path / "history")])
+    stored = spark.read.parquet(str(tmp_path / "history"))
+    assert sorted((str(r["file_date"]), r["temperature"]) for r in stored.collect()) == [
+        ("2024-06-01", 11.0), ("2024-06-02", 12.0)
+    ]
+    out = ["--out", str(tmp_path / "out"), "--run-ts", "2024-06-02 12:00:00"]
+    run_job.main(["score", "--history", str(tmp_path / "history"), *out])
+    assert spark.read.parquet(str(tmp_path / "out/predictions/parquet")).count() == 1

@@ -116,6 +116,16 @@ def test_absent_input_columns_use_defaults(spark):
     assert tuple(clean.index_inputs(rows, ["k"]).first()) == (1, 15.0, 50.0, 10.0, 0.0)
 
 
+def test_text_inputs(spark):
+    rows = spark.createDataFrame(
+        [("20", "abc", "", "1e300"), ("NaN", "-5", "inf", None)],
+        "temperature string, humidity string, wind_speed string, rain_1h_mm string",
+    )
+    expected = [(20.0, 50.0, 10.0, 0.0), (15.0, 1.0, 10.0, 0.0)]
+    assert [tuple(r) for r in clean.index_inputs(rows, []).collect()] == expected
+    assert clean.index_inputs(rows, [], float32=False).first()["rain"] == 500.0
+
+
 def test_single_precision_inputs(spark):
     rows = weather(spark, [(1, DAY, 17.3, 42.0, 25.0, 0.0)])
     assert clean.index_inputs(rows, []).first()["temperature"] == 17.299999237060547
