@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.constants import FLOAT32_TODAY, MODEL_CONFIDENCE, TODAY_DEFAULTS, WINDOW_DATES
+from emberline.constants import (
+    FLOAT32_TODAY,
+    GRID_LAT,
+    GRID_LON,
+    GRID_STEP,
+    MODEL_CONFIDENCE,
+    TODAY_DEFAULTS,
+    WINDOW_DATES,
+)
 from emberline.functions.clean import as_float32, bounded, finite, total_precip
 from emberline.functions.classify import adjusted_risk, base_risk, color_code, danger_class
 from emberline.functions.fwi import INDEX_NAMES, fold_series, with_fire_indices
@@ -141,9 +149,14 @@ def predictions(
 
 
 def location_name(columns: list[str]) -> str:
-    """The nearest station, else a label made of the cell's number or position."""
-    position = "cell_id" if "cell_id" in columns else "lat, '_', lon"
-    label = f"concat('Grid_', {position})"
+    """The nearest station, else a label with the cell's number.
+
+    Without a number column it is the cell's place in the usual grid, row by row.
+    """
+    across = round((GRID_LON[1] - GRID_LON[0]) / GRID_STEP)
+    row, column = (f"round(({c} - ({low}D)) / {GRID_STEP}D)" for c, (low, _) in (("lat", GRID_LAT), ("lon", GRID_LON)))
+    number = "cell_id" if "cell_id" in columns else f"cast({row} * {across} + {column} AS bigint)"
+    label = f"concat('Grid_', {number})"
     return f"coalesce(nearest_station, {label})" if "nearest_station" in columns else label
 
 

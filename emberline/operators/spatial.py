@@ -89,7 +89,9 @@ def cells_near(
       buckets that still exceed ``hot_rows`` are split into as many parts as needed, with
       their cells repeated per part.
     """
-    bx, by = f"floor(x / {float(radius)}D)", f"floor(y / {float(radius)}D)"
+    # Never NULL: otherwise the join's null check would be pushed down to the points and
+    # compute their projection a second time.  A point without position matches no distance.
+    bx, by = (f"coalesce(floor({c} / {float(radius)}D), 0L)" for c in ("x", "y"))
     reach = (
         cells.selectExpr("cell_id", "x AS cx", "y AS cy", f"{by} AS own", f"explode(sequence({bx} - 1, {bx} + 1)) AS bx")
         .selectExpr("cell_id", "cx", "cy", "bx", "explode(sequence(own - 1, own + 1)) AS by")
@@ -141,7 +143,11 @@ def _candidate(site: str) -> str:
     return f"struct({far} AS far, {site}station_ord AS station_ord, {site}name AS name)"
 
 
-BEST_COLUMNS = ["best.name AS nearest_station_name", "best.far AS station_distance_m"]
+# A cell without position has no nearest site.
+BEST_COLUMNS = [
+    "if(best.far IS NULL, NULL, best.name) AS nearest_station_name",
+    "best.far AS station_distance_m",
+]
 
 
 def _nearest_through_tiles(

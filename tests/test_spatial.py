@@ -144,3 +144,17 @@ def test_shared_province_edges(spark):
     rows = spark.createDataFrame(points, "lat double, lon double")
     got = [r["p"] for r in rows.selectExpr(f"{province('lat', 'lon')} AS p").collect()]
     assert got == ["AB", "SK", "MB", "Unknown"]
+
+
+def test_missing_positions_match_nothing(spark):
+    lost = spark.createDataFrame(
+        [(None, -100.0), (55.0, None), (float("nan"), -100.0), (None, None)], "latitude double, longitude double"
+    )
+    grid = spatial.grid_cells(spark)
+    for limits in ({}, {"max_broadcast": 9, "hot_rows": 1}):
+        flagged = spatial.flag_fire_history(grid, lost, **limits)
+        assert flagged.count() == 14952 and flagged.filter("historical_fire = 1").isEmpty()
+    cell = spark.createDataFrame([(1, None, -100.0)], "cell_id bigint, lat double, lon double")
+    for limit in (100, 1):
+        found = spatial.nearest_station(cell, spatial.stations(spark), max_array=limit).first()
+        assert (found["nearest_station_name"], found["station_distance_m"]) == (None, None)
