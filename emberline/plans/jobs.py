@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from emberline.constants import WINDOW_DATES
 from emberline.operators import fanout, quality, report, scoring, spatial
 from emberline.operators.history import newest_dates
-from emberline.session import fits_broadcast
 from emberline.sources import payloads as landed
 from emberline.sources import sinks, weather
 
@@ -29,23 +28,33 @@ def map_stations(spark: SparkSession, path: str, grid: DataFrame | None = None)
     sinks.write_table(mapped.select("lat", "lon", "nearest_station_name"), path)
 
 
-def run_weather(spark: SparkSession, payloads: DataFrame, cell_station: DataFrame) -> DataFrame:
-    """Grid weather of one run: each station's last payload, spread over its cells."""
-    stations = spatial.stations(spark)
-    latest = fanout.latest_per_station(fanout.known_payloads(payloads, stations), "fetched_at")
-    flat = landed.daily_columns(landed.flatten_payloads(latest))
-    fanout.require_weather(fanout.fetch_summary(cell_station, flat))
-    return fanout.fan_out(cell_station, flat, fits_broadcast(stations))
+def latest_weather(spark: SparkSession, payloads: DataFrame) -> DataFrame:
+    """The last payload of each known station, flat: one row per station."""
+    latest = fanout.latest_per_station(fanout.known_payloads(payloads, spatial.stations(spark)), "fetched_at")
+    return landed.daily_columns(landed.flatten_payloads(latest))
+
+
+def run_weather(cell_station: DataFrame, station_weather: DataFrame) -> DataFrame:
+    """Grid weather of one run; a run in which no station delivered is an error."""
+    fanout.require_weather(fanout.fetch_summary(cell_station, station_weather))
+    return fanout.fan_out(cell_station, station_weather)
 
 
 def collect_weather(
     spark: SparkSession, payloads: DataFrame, cell_station: DataFrame, path: str, run_date: date, run_text: str
 ) -> None:
-    """Write a run's grid weather as the partition of its date, replacing an earlier run's."""
-    grid_weather = run_weather(spark, payloads, cell_station)
-    sinks.write_daily(
-        grid_weather.withColumns({"date": F.lit(run_text), "file_date": F.lit(run_date)}), path
-    )
+    """Write a run's grid weather as the partition of its date, replacing an earlier run's.
+
+    The station rows are used by the check and by the write; they are few and kept meanwhile.
+    """
+    station_weather = latest_weather(spark, payloads).persist()
+    try:
+        grid_weather = run_weather(cell_station, station_weather)
+        sinks.write_daily(
+            grid_weather.withColumns({"date": F.lit(run_text), "file_date": F.lit(run_date)}), path
+        )
+    finally:
+        station_weather.unpersist()
 
 
 def score(

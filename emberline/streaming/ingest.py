@@ -7,21 +7,23 @@ from pyspark.sql import functions as F
 
 from emberline.operators import fanout
 from emberline.operators.spatial import stations
-from emberline.session import fits_broadcast
 from emberline.sources import payloads as landed
 from emberline.sources.sinks import write_daily
 
 
-def grid_weather_by_date(payloads: DataFrame, cell_station: DataFrame) -> DataFrame:
-    """Grid weather for every date among the payloads, from each station's last one that day."""
-    listed = stations(payloads.sparkSession)
-    dated = fanout.known_payloads(payloads, listed).withColumn("file_date", F.col("fetched_at").cast("date"))
+def latest_by_date(payloads: DataFrame) -> DataFrame:
+    """The last payload of each known station and date, flat."""
+    known = fanout.known_payloads(payloads, stations(payloads.sparkSession))
+    dated = known.withColumn("file_date", F.col("fetched_at").cast("date"))
     latest = fanout.latest_per_station(dated, "fetched_at", ("station", "file_date"))
-    weather = landed.daily_columns(landed.flatten_payloads(latest))
+    return landed.daily_columns(landed.flatten_payloads(latest))
+
+
+def spread_by_date(station_weather: DataFrame, cell_station: DataFrame) -> DataFrame:
+    """Grid weather for every date that brought some, NULL where a station failed."""
     # One entry per date in the run, a handful at most.
-    dates = latest.agg(F.collect_set("file_date")).scalar()
-    cells = cell_station.withColumn("file_date", F.explode(dates))
-    return fanout.fan_out(cells, weather, fits_broadcast(listed))
+    dates = station_weather.agg(F.collect_set("file_date")).scalar()
+    return fanout.fan_out(cell_station.withColumn("file_date", F.explode(dates)), station_weather)
 
 
 def start_ingest(
@@ -34,9 +36,13 @@ def start_ingest(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        weather = grid_weather_by_date(batch, cell_station)
+        # At most one row per listed station and date, read for the dates and for the join.
+        station_weather = latest_by_date(batch).persist()
         stamp = landed.local_date_text(F.col("timestamp_utc").cast("timestamp"))
-        write_daily(weather.withColumn("date", stamp), path)
+        try:
+            write_daily(spread_by_date(station_weather, cell_station).withColumn("date", stamp), path)
+        finally:
+            station_weather.unpersist()
 
     writer = payloads.writeStream.option("checkpointLocation", checkpoint)
     if available_now:

@@ -174,7 +174,7 @@ def test_run_without_weather_stops(spark):
     mapping = local_table(spark, [(50.0, -110.0, "Calgary")], "lat double, lon double, nearest_station_name string")
     rows = spark.createDataFrame([("Calgary", None, "{oops"), ("Atlantis", None, "{}")], landed.LANDING_SCHEMA)
     with pytest.raises(RuntimeError):
-        jobs.run_weather(spark, rows, mapping)
+        jobs.run_weather(mapping, jobs.latest_weather(spark, rows))
 
 
 def test_fan_out_fills_failed_stations_with_null(spark):
@@ -186,7 +186,7 @@ def test_fan_out_fills_failed_stations_with_null(spark):
         [("Calgary", at, '{"main":{"temp":1}}'), ("Calgary", at + datetime.timedelta(hours=1), '{"main":{"temp":2}}')],
         landed.LANDING_SCHEMA,
     )
-    got = {r["nearest_station"]: r for r in jobs.run_weather(spark, rows, mapping).collect()}
+    got = {r["nearest_station"]: r for r in jobs.run_weather(mapping, jobs.latest_weather(spark, rows)).collect()}
     assert got["Calgary"]["temperature"] == 2.0 and got["Regina"]["temperature"] is None
     assert set(landed.WEATHER_COLUMNS) <= set(got["Regina"].asDict())
 
