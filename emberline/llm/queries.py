@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import chat_format, mixing, quality_rules, url_filters
+from emberline.llm import chat_format, compression_classifier, minhash_dedup, mixing, quality_rules, url_filters
 from emberline.llm.common import table
 
 # Fixed values of the url query: the rules, and hosts blocked where no rule fits.
@@ -39,12 +39,26 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt outside the held-out fold."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    taught = labels.where(~compression_classifier.held_out(F.col("doc_id")))
+    model = compression_classifier.fit(docs, taught, label="quality")
+    scored = compression_classifier.score(docs, model)
+    return scored.select("doc_id", compression_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule and verdict of every page."""
     entries = URL_RULES + [("listed", host, "") for host in LISTED_HOSTS]
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), url_filters.build_index(spark, entries))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of near duplicates of every document."""
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document for the target mix of sources."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -54,6 +68,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
+    "op4_compression_classifier": op4_compression_classifier,
     "op5_url_filters": op5_url_filters,
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op7_mixing": op7_mixing,
 }
