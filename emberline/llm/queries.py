@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import chat_format, compression_classifier, minhash_dedup, mixing, quality_rules, url_filters
+from emberline.llm import chat_format, compression_classifier, minhash_dedup, mixing, packing, quality_rules, url_filters
 from emberline.llm.common import table
 
 # Fixed values of the url query: the rules, and hosts blocked where no rule fits.
@@ -18,6 +18,9 @@ URL_RULES = [
 ]
 LISTED_HOSTS = [f"{name}.example.{top}" for name in ("spam-farm", "cheap-pills") for top in ("com", "net", "org")]
 
+# The vocabulary of byte_bpe_50k.json as ranks: same ids.
+TOKENIZER_RANKS = "byte_bpe_50k.tiktoken"
+
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, line rules and verdict of every document."""
@@ -65,6 +68,13 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in the packed sequences."""
+    import public_tokenizers
+
+    return packing.packed_documents(table(spark, sf_dir, "documents"), TOKENIZER_RANKS, public_tokenizers.PATTERN)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
@@ -72,4 +82,5 @@ QUERIES = {
     "op5_url_filters": op5_url_filters,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_mixing": op7_mixing,
+    "op9_packing": op9_packing,
 }
