@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import chat_format, compression_classifier, minhash_dedup, mixing, packing, quality_rules, url_filters
+from emberline.llm import (
+    chat_format,
+    compression_classifier,
+    cross_polytope,
+    minhash_dedup,
+    mixing,
+    packing,
+    quality_rules,
+    url_filters,
+)
 from emberline.llm.common import table
 
 # Fixed values of the url query: the rules, and hosts blocked where no rule fits.
@@ -75,6 +84,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), TOKENIZER_RANKS, public_tokenizers.PATTERN)
 
 
+def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest neighbours of every twentieth vector among all others."""
+    return cross_polytope.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
@@ -83,4 +97,5 @@ QUERIES = {
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_mixing": op7_mixing,
     "op9_packing": op9_packing,
+    "op10_cross_polytope": op10_cross_polytope,
 }
