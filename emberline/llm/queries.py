@@ -9,10 +9,12 @@ from emberline.llm import (
     chat_format,
     compression_classifier,
     cross_polytope,
+    lpf_dedup,
     minhash_dedup,
     mixing,
     packing,
     quality_rules,
+    suffix_tree_dedup,
     url_filters,
 )
 from emberline.llm.common import table
@@ -51,6 +53,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lpf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the strings of 400 bytes that start elsewhere too."""
+    return lpf_dedup.repeated_strings(table(spark, sf_dir, "documents"), keep="none")
+
+
 def op4_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learnt outside the held-out fold."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -77,6 +84,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op8_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the windows of 35 words that start elsewhere too."""
+    return suffix_tree_dedup.repeated_passages(table(spark, sf_dir, "documents"), keep="none")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in the packed sequences."""
     import public_tokenizers
@@ -92,10 +104,12 @@ def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
+    "op3_lpf_dedup": op3_lpf_dedup,
     "op4_compression_classifier": op4_compression_classifier,
     "op5_url_filters": op5_url_filters,
     "op6_minhash_dedup": op6_minhash_dedup,
     "op7_mixing": op7_mixing,
+    "op8_suffix_tree_dedup": op8_suffix_tree_dedup,
     "op9_packing": op9_packing,
     "op10_cross_polytope": op10_cross_polytope,
 }
