@@ -20,6 +20,7 @@ import re
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,8 +151,6 @@ def with_verdicts(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOS
 
 
 def _judge_udf(max_lost: float):
-    import pandas as pd
-
     names = [field.name for field in arrow_schema(None, f"{VERDICT}, cleaned string")]
 
     @F.pandas_udf(f"{VERDICT}, cleaned string")
