@@ -15,6 +15,9 @@ from emberline.session import scratch_dir
 BLANKS = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+# First field of rows kept as a struct, so that the struct is never empty; no column has this name.
+PRESENT = "__present__"
+
 
 def words_of(text: str | bytes) -> list[bytes]:
     """The words of a text as UTF-8; ``bytes.split`` cuts at just the characters of BLANKS."""

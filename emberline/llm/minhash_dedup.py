@@ -5,13 +5,12 @@ A document is the set of its runs of ``SHINGLE`` words (A-Z lower-cased).  Of ea
 in a whole band share a bucket.  With 48 bands of 5, two sets of similarity 0.75 share none
 with a probability of two in a million, more similar ones far less.
 
-Rounds of candidate pairs follow.  In the first, each set is paired with the least document
-of each of its buckets.  Later ones look only into buckets that still hold several
-components, and pair each set with its most similar sets of other components there, more in
-each round, until no untried pair is left.  So a large group of copies costs one pair per
-member, no pair is left out that could join two components, and a bucket is never expanded
-into all its pairs.  Pairs pass if their signatures are close and then if the full sets are;
-components are found by alternating large-star and small-star steps.
+First each set is paired with the least document of each of its buckets; the pair passes if
+the signatures are close and then if the full sets are.  Components are found by alternating
+large-star and small-star steps.  Then only buckets that still hold several components are
+looked into, and the sets in them compared across components, in blocks.  So a large group
+of copies costs one pair per member, no link that could join two components is left out,
+and a bucket is never expanded into its pairs.
 
 Equal sets form a class before that, held by their least document.
 
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from emberline.llm.common import arrays_to_batch, arrow_schema, stored
+from emberline.llm.common import PRESENT, arrays_to_batch, arrow_schema, stored
 from emberline.llm.components import connected_components
 from emberline.llm.groups import map_groups
 from emberline.llm.hashing import mix, run_hashes, word_hashes
@@ -42,7 +41,6 @@ PERCENT = 75
 BANDS = 48
 ROWS = 5
 SLACK = 5.0
-FIRST_PARTNERS = 8
 BLOCK = 1_000
 
 _random = np.random.Generator(np.random.PCG64(20_240_601))
@@ -175,53 +173,88 @@ def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
 
 
-def partners_elsewhere(buckets: DataFrame, component: DataFrame, signed: DataFrame, partners: int, block: int = BLOCK) -> DataFrame:
-    """Pairs of close signatures within a bucket but of different components.
+def links_across(buckets: DataFrame, component: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links (``u, v``) between members of one bucket that ``component`` holds apart; exact.
 
-    Each member gets its ``partners`` closest ones of each block; ``more`` says that it has
-    others.  A large bucket is dealt into blocks of members, and each two blocks are compared
-    as one unit of work.
+    A large bucket is dealt into blocks of members, and each two blocks are one unit of
+    work.  A unit compares full sets, each pair in the first bucket that it shares only, and
+    passes over pairs that its own links have joined meanwhile: it returns fewer links than
+    it has members, and no pair of the bucket is left open.
     """
     held = buckets.join(component, F.col("node") == F.col("member"), "left").select(
         "key", "node", F.coalesce("component", "node").alias("component")
     )
     mixed = held.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a < b")
-    blocks = F.ceil(F.col("n") / block).cast("int")
     dealt = (
-        held.join(mixed.select("key", blocks.alias("blocks")), "key")
+        held.join(mixed.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "key")
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "node", "component")
-        .join(signed, "node")
+        .join(sets.select("node", "bands", "text"), "node")
     )
+    schema = "u long, v long"
+    arrow = arrow_schema(buckets, schema)
+    keys = ["key", "one", "two"]
 
     def work(rows: pa.Table) -> pa.RecordBatch | None:
-        key, one, two, own, node, comp = (rows.column(name).to_numpy() for name in ("key", "one", "two", "own", "node", "component"))
-        sigs = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
-        changes = (key[1:] != key[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-        edges = [0, *(np.flatnonzero(changes) + 1).tolist(), len(key)]
-        found: set[tuple[int, int]] = set()
+        columns = {name: rows.column(name).to_numpy() for name in (*keys, "own", "node", "component")}
+        bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, BANDS)
+        texts = rows.column("text")
+        change = np.any([columns[key][1:] != columns[key][:-1] for key in keys], axis=0)
+        edges = [0, *(np.flatnonzero(change) + 1).tolist(), rows.num_rows]
+        links: list[tuple[int, int]] = []
+        known: dict[int, np.ndarray] = {}
         for lo, hi in zip(edges, edges[1:]):
-            left = np.flatnonzero(own[lo:hi] == one[lo]) + lo
-            right = np.flatnonzero(own[lo:hi] == two[lo]) + lo
-            for x in left.tolist():
-                other = right[comp[right] != comp[x]]
-                if not len(other):
-                    continue
-                share = _share(sigs[other], sigs[x])
-                fine = np.flatnonzero(share >= LEAST_SHARE)
-                more = len(fine) > partners
-                if more:
-                    fine = fine[np.lexsort((node[other[fine]], -share[fine]))[:partners]]
-                for y in other[fine].tolist():
-                    u, v = int(node[x]), int(node[y])
-                    found.add((max(u, v), min(u, v), more))
-        return arrays_to_batch(list(zip(*sorted(found))), arrow) if found else None
-
-    schema = "u long, v long, more boolean"
-    arrow = arrow_schema(buckets, schema)
-    found = map_groups(dealt, ["key", "one", "two"], ["node"], work, schema)
-    return found.groupBy("u", "v").agg(F.max("more").alias("more"))
+            one, two, own = columns["one"][lo], columns["two"][lo], columns["own"][lo:hi]
+            unit_sets = []
+            for place in range(lo, hi):
+                node = int(columns["node"][place])
+                if node not in known:
+                    known[node] = shingles(texts[place].as_py())
+                unit_sets.append(known[node])
+            for a, b in unit_links(unit_sets, bands[lo:hi], columns["key"][lo], columns["component"][lo:hi], own == one, own == two):
+                links.append((int(columns["node"][lo + a]), int(columns["node"][lo + b])))
+        return arrays_to_batch(list(zip(*links)), arrow) if links else None
+
+    return map_groups(dealt, keys, ["node"], work, schema)
+
+
+def unit_links(
+    sets: list[np.ndarray], bands: np.ndarray, key: int, component: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int = PERCENT
+) -> list[tuple[int, int]]:
+    """Links between a member of ``left`` and one of ``right`` that join different components."""
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while c in root:
+            c = root[c]
+        return c
+
+    sizes = np.array([len(found) for found in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.cumsum(sizes) - sizes
+    inside = np.zeros(int(ids.max()) + 1, np.int64)
+    current, band = component.copy(), int(np.argmax(bands[0] == key))
+    rights = np.flatnonzero(right)
+    links = []
+    for x in np.flatnonzero(left).tolist():
+        apart = rights[(current[rights] != current[x]) & (100 * np.minimum(sizes[rights], sizes[x]) >= percent * np.maximum(sizes[rights], sizes[x]))]
+        apart = apart[(bands[apart] == bands[x]).argmax(axis=1) == band]
+        if not len(apart):
+            continue
+        own = ids[starts[x] : starts[x] + sizes[x]]
+        inside[own] = 1
+        ends = np.cumsum(sizes[apart])
+        places = np.arange(ends[-1]) + np.repeat(starts[apart] - ends + sizes[apart], sizes[apart])
+        common = np.add.reduceat(inside[ids[places]], ends - sizes[apart])
+        inside[own] = 0
+        for y in apart[100 * common >= percent * (sizes[x] + sizes[apart] - common)].tolist():
+            a, b = find(int(component[x])), find(int(component[y]))
+            if a != b:
+                root[a] = b
+                current[current == a] = b
+                links.append((x, y))
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -237,23 +270,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     buckets = stored(in_bands.join(shared.select("key", "first"), "key"), "minhash-buckets")
     nodes = buckets.select("node").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    short = holders.select(F.col("doc_id").alias("node"), "text_hash", "signature").join(nodes, "node", "left_semi")
+    short = holders.select(F.col("doc_id").alias("node"), "text_hash", "signature", "bands").join(nodes, "node", "left_semi")
     sets = stored(texts.join(short, ["node", "text_hash"]).drop("text_hash"), "minhash-sets")
 
-    tried = stored(buckets.where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct(), "minhash-tried")
-    links = stored(verified(tried, sets), "minhash-links")
-    partners = FIRST_PARTNERS
-    while True:
-        found = connected_components(links)
-        component = found.withColumnRenamed("node", "member")
-        pairs = partners_elsewhere(buckets.select("key", "node"), component, sets.select("node", "signature"), partners)
-        pairs = stored(pairs.join(tried.withColumn("old", F.lit(True)), ["u", "v"], "left"), "minhash-pairs")
-        fresh = pairs.where("old IS NULL").select("u", "v")
-        if pairs.where("old IS NULL OR more").isEmpty():
-            break
-        tried = tried.unionByName(fresh)
-        links = links.unionByName(stored(verified(fresh, sets), "minhash-links"))
-        partners *= 8
+    first = buckets.where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct()
+    links = stored(verified(first, sets), "minhash-links")
+    component = connected_components(links).withColumnRenamed("node", "member")
+    links = links.unionByName(stored(links_across(buckets.select("key", "node"), component, sets), "minhash-links"))
+    found = connected_components(links)
 
     # Equal sets are linked through their class; rows of one id with several sets tie classes.
     ties = members.where("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
@@ -278,7 +302,7 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str =
     """
     kept = near_duplicates(docs, id_col, text).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
     packed = docs.select(
-        F.struct(F.lit(True).alias("present"), *[F.col(f"`{name}`") for name in docs.columns]).alias("row"),
+        F.struct(F.lit(True).alias(PRESENT), *[F.col(f"`{name}`") for name in docs.columns]).alias("row"),
         F.col(id_col).cast("long").alias("id"),
     )
     place = F.row_number().over(W.partitionBy("id").orderBy(F.col(f"row.{text}").desc_nulls_last()))

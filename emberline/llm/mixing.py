@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from emberline.llm.common import n_words, stored
+from emberline.llm.common import PRESENT, n_words, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -147,7 +147,7 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     text = settings.get("text", "text")
     counts = mix(docs, **settings).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
     keyed = docs.select(
-        F.struct(F.lit(True).alias("present"), *[F.col(f"`{name}`") for name in docs.columns]).alias("row"),
+        F.struct(F.lit(True).alias(PRESENT), *[F.col(f"`{name}`") for name in docs.columns]).alias("row"),
         F.col(id_col).alias("id"),
         F.col(settings.get("source", "source")).alias("of"),
         n_words(docs[text]).alias("words"),

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import BLANKS, arrow_schema, map_rows, words_of
+from emberline.llm.common import BLANKS, PRESENT, arrow_schema, map_rows, words_of
 
 # Fixed values of the base counts.
 SYMBOLS = "#*$%&|<>"
@@ -145,7 +145,7 @@ def judge(text: str | None, max_lost: float = MAX_LOST) -> tuple:
 
 def with_verdicts(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
     """Every row of ``docs`` as the struct ``row``, with its ``verdict`` and ``cleaned`` text."""
-    packed = docs.select(F.struct(F.lit(True).alias("present"), *[F.col(f"`{name}`") for name in docs.columns]).alias("row"))
+    packed = docs.select(F.struct(F.lit(True).alias(PRESENT), *[F.col(f"`{name}`") for name in docs.columns]).alias("row"))
     judged = packed.withColumn("judged", _judge_udf(max_lost)(F.col("row").getField(text)))
     return judged.select("row", F.col("judged").dropFields("cleaned").alias("verdict"), F.col("judged.cleaned").alias("cleaned"))
 

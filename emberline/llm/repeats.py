@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from emberline.llm.common import arrays_to_batch, arrow_schema, stored
+from emberline.llm.common import PRESENT, arrays_to_batch, arrow_schema, stored
 from emberline.llm.groups import map_groups
 from emberline.llm.hashing import mix, run_hashes, sliding_min
 
@@ -325,7 +325,7 @@ def with_ids(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 def with_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """The same, and each row as a whole as the struct ``row``."""
-    row = F.struct(F.lit(True).alias("present"), *[F.col(f"`{name}`") for name in docs.columns])
+    row = F.struct(F.lit(True).alias(PRESENT), *[F.col(f"`{name}`") for name in docs.columns])
     packed = docs.select(row.alias("row"))
     return packed.select(
         "row", F.coalesce(F.col("row").getField(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col("row").getField(text).alias("text")
