@@ -15,10 +15,11 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from emberline.operators import report, scoring, spatial  # noqa: E402
-from emberline.plans import catalog  # noqa: E402
+from emberline.operators import spatial  # noqa: E402
+from emberline.plans import catalog, jobs  # noqa: E402
 from emberline.plans import fixtures as fx  # noqa: E402
-from emberline.session import build_session  # noqa: E402
+from emberline.session import build_session, scratch_dir  # noqa: E402
+from emberline.sources import sinks  # noqa: E402
 
 HEADLINE = [
     "daily_snapshot",
@@ -39,13 +40,21 @@ ROUNDS = 2
 
 
 def full_grid_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scoring of the whole grid: each of its cells takes the series of an observed cell."""
+    """One scoring run of the whole grid over 45 dates, fire flags and all writes included.
+
+    Each grid cell takes the series of an observed cell, once as it is and once a month
+    earlier, so that the window has its 45 dates.
+    """
     daily = fx.wx_daily(spark, sf_dir)
     observed = daily.agg((F.max("cell_id") + 1).alias("n")).scalar()
     grid = spatial.grid_cells(spark).withColumn("source", F.col("cell_id") % observed)
-    weather = daily.drop("lat", "lon").withColumnRenamed("cell_id", "source")
-    history = grid.join(weather, "source").drop("source")
-    return report.run_stats(scoring.predictions(history, catalog.SUMMER))
+    weather = daily.drop("lat", "lon", "event_id").withColumnRenamed("cell_id", "source")
+    both = weather.withColumn("file_date", F.explode(F.expr("array(file_date, date_sub(file_date, 31))")))
+    history = grid.join(both, "source").drop("source")
+    folder = scratch_dir(spark, "full-grid")
+    sinks.write_daily(history, f"{folder}/history")
+    flagged = spatial.flag_fire_history(spatial.grid_cells(spark), fx.fires(spark, sf_dir))
+    return jobs.score_stored(spark, f"{folder}/history", flagged, f"{folder}/out", "2024-02-01 00:00:00")
 
 
 def timed(run) -> float:

@@ -52,6 +52,16 @@ def expired_dates(df: DataFrame, n: int = WINDOW_DATES) -> DataFrame:
     return df.select("file_date").distinct().filter(F.col("file_date") < newest_date(df, n))
 
 
+def window_bounds(dates: DataFrame, n: int = WINDOW_DATES) -> tuple[Column, Column]:
+    """The first and last of the newest ``n`` distinct dates: parts of one scalar, found once.
+
+    ``dates`` may be any cheaper source of the same dates than the history itself.
+    """
+    newest = dates.select("file_date").distinct().orderBy(F.desc("file_date")).limit(n)
+    both = newest.agg(F.struct(F.min("file_date").alias("first"), F.max("file_date").alias("last"))).scalar()
+    return both.getField("first"), both.getField("last")
+
+
 def latest_snapshot(df: DataFrame, stamp: str | None = None) -> DataFrame:
     """Rows of the newest date, or of the date written last according to a ``stamp`` column."""
     newest = F.max_by("file_date", stamp) if stamp else F.max("file_date")

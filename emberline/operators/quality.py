@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from emberline.constants import FRESH_HOURS, STALE_HOURS
@@ -55,10 +56,10 @@ def freshness(
 def audit(components: list[DataFrame]) -> DataFrame:
     """All component rows, each with the worst status of the lot as ``overall_status``.
 
-    There is one row per audited table, so the comparison over all of them is tiny.
+    There is one row per audited table, so the window over all of them is tiny, and each
+    table is measured once.
     """
     rows = reduce(DataFrame.unionByName, components)
-    severity = F.array_position(F.array(*[F.lit(s) for s in STATUS]), F.col("status")).cast("int")
-    worst = rows.agg(F.max(severity).alias("worst"))
-    overall = F.element_at(F.array(*[F.lit(s) for s in STATUS]), F.col("worst"))
-    return rows.join(F.broadcast(worst), F.lit(True)).withColumn("overall_status", overall).drop("worst")
+    labels = F.array(*[F.lit(s) for s in STATUS])
+    worst = F.max(F.array_position(labels, F.col("status")).cast("int")).over(W.partitionBy())
+    return rows.withColumn("overall_status", F.element_at(labels, worst))

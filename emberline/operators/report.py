@@ -62,13 +62,16 @@ def rejects_by_reason(scored: DataFrame) -> DataFrame:
     )
 
 
-def rejects_report(scored: DataFrame, bad_files: DataFrame) -> DataFrame:
-    """Rejected rows by reason, and one line per file that was skipped as a whole."""
+def rejects_report(scored: DataFrame, bad_files: DataFrame, bad_payloads: DataFrame | None = None) -> DataFrame:
+    """Rejected rows and payloads by reason, and one line per file that was skipped as a whole."""
     rows = rejects_by_reason(scored).selectExpr("'row' AS level", "'' AS file_name", "reject_reason", "n_rows")
     files = bad_files.selectExpr(
         "'file' AS level", "file_name", "'unreadable_number' AS reject_reason", "cast(NULL AS bigint) AS n_rows"
     )
-    return rows.unionByName(files)
+    if bad_payloads is None:
+        return rows.unionByName(files)
+    payloads = rejects_by_reason(bad_payloads).selectExpr("'payload' AS level", "'' AS file_name", "reject_reason", "n_rows")
+    return rows.unionByName(files).unionByName(payloads)
 
 
 def training_records(run_log: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberline.constants import (
@@ -22,9 +22,8 @@ from emberline.operators.history import (
     CELL,
     DAY_STRUCT,
     daily_terms,
-    latest_snapshot,
-    newest_dates,
     ordered_series,
+    window_bounds,
 )
 
 PREDICTION_COLUMNS = [
@@ -108,6 +107,31 @@ def today_codes(
     return with_fire_indices(fold_series(filled)).select("row.*", *INDEX_NAMES)
 
 
+def newest_codes(
+    history: DataFrame,
+    as_of_month: int,
+    bounds: tuple[Column, Column],
+    keys: tuple[str, ...] = CELL,
+    float32: bool = True,
+) -> DataFrame:
+    """Rows of the window's last date with their indices, from one pass over the history.
+
+    ``bounds`` are the window's first and last date.  A cell's row of the last date travels
+    with its series, so the history is read, cleaned and shuffled once and joined with nothing.
+    """
+    first, last = bounds
+    window = history.filter((F.col("file_date") >= first) & (F.col("file_date") <= last))
+    rows = window.withColumn("row", F.when(F.col("file_date") == last, F.struct(*history.columns)))
+    gathered = (
+        daily_terms(rows, as_of_month, keys, float32, carry=("row",))
+        .groupBy(*keys)
+        .agg(F.expr(f"array_sort(collect_list({DAY_STRUCT})) AS series"), F.first("row", ignorenulls=True).alias("row"))
+        .filter("row IS NOT NULL")
+        .select("row", "series")
+    )
+    return with_fire_indices(fold_series(gathered)).select("row.*", *INDEX_NAMES)
+
+
 def predictions(
     history: DataFrame,
     as_of_month: int,
@@ -117,15 +141,22 @@ def predictions(
     keys: tuple[str, ...] = CELL,
     float32: bool = True,
     grid_on: tuple[str, ...] = ("lat", "lon"),
+    dates: DataFrame | None = None,
+    bounds: tuple[Column, Column] | None = None,
 ) -> DataFrame:
     """All of today's cells with prediction columns and a ``reject_reason``.
 
     ``history`` has one row per cell and date; ``today`` defaults to its newest date.  Filter
-    on ``reject_reason`` to separate results from rejects.
+    on ``reject_reason`` to separate results from rejects.  The window is known by its
+    ``bounds``, or found in ``dates`` (any table of the same dates), or in the history.
     """
-    snapshot = latest_snapshot(history) if today is None else today
-    snapshot = as_float32(snapshot, FLOAT32_TODAY) if float32 else snapshot
-    scored = today_codes(newest_dates(history, window), snapshot, as_of_month, keys, float32)
+    bounds = bounds or window_bounds(history if dates is None else dates, window)
+    if today is None:
+        scored = newest_codes(history, as_of_month, bounds, keys, float32)
+        scored = as_float32(scored, FLOAT32_TODAY) if float32 else scored
+    else:
+        snapshot = as_float32(today, FLOAT32_TODAY) if float32 else today
+        scored = today_codes(history.filter(F.col("file_date") >= bounds[0]), snapshot, as_of_month, keys, float32)
     flagged = attach_fire_history(scored, grid, grid_on)
     known = flagged.columns
     classed = flagged.selectExpr("*", f"{bounded('fwi', 'fwi')} AS class_fwi").selectExpr(

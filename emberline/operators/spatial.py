@@ -47,25 +47,38 @@ def projected(points: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFram
 
 
 def join_split(
-    many: DataFrame, few: DataFrame, on: list[str], identity: list[str], hot_rows: int = HOT_BUCKET_ROWS
+    many: DataFrame,
+    few: DataFrame,
+    on: list[str],
+    identity: list[str],
+    hot_rows: int = HOT_BUCKET_ROWS,
+    few_identity: list[str] | None = None,
 ) -> DataFrame:
     """Inner join by shuffle in which no key brings more than about ``hot_rows`` rows of ``many`` together.
 
     Keys with more rows are split into parts by a hash of ``identity``, and their rows of
-    ``few`` are repeated per part.  Counting combines on the map side.  There is at most one
-    such key per ``hot_rows`` rows of ``many``, so the list of them is broadcast.
+    ``few`` are repeated per part.  With ``few_identity`` the other side is split likewise, and
+    each part of one side meets each part of the other.  Counting combines on the map side.
+    There is at most one such key per ``hot_rows`` rows, so the lists of them are left to the
+    optimizer, which knows their size when it has to join them.
     """
-    hot = (
-        many.groupBy(*on).count().filter(F.col("count") > hot_rows)
-        .selectExpr(*on, f"cast(ceil(count / {hot_rows}) AS bigint) AS parts")
-    )
 
-    def with_part(df: DataFrame, part: str) -> DataFrame:
-        return df.join(F.broadcast(hot), on, "left").selectExpr(*df.columns, f"{part} AS part")
+    def hot(df: DataFrame, parts: str) -> DataFrame:
+        counts = df.groupBy(*on).count().filter(F.col("count") > hot_rows)
+        return counts.selectExpr(*on, f"cast(ceil(count / {hot_rows}) AS bigint) AS {parts}")
+
+    def number(columns: list[str], parts: str) -> str:
+        return f"pmod(xxhash64({', '.join(columns)}), coalesce({parts}, 1L))"
 
-    parted = with_part(many, f"pmod(xxhash64({', '.join(identity)}), coalesce(parts, 1L))")
-    repeated = with_part(few, "explode(sequence(0L, coalesce(parts, 1L) - 1L))")
-    return parted.join(repeated, [*on, "part"]).drop("part")
+    every = "explode(sequence(0L, coalesce({}, 1L) - 1L))"
+    left = many.join(hot(many, "parts"), on, "left").selectExpr(*many.columns, f"{number(identity, 'parts')} AS part")
+    right = few.join(hot(many, "parts"), on, "left").selectExpr(*few.columns, f"{every.format('parts')} AS part")
+    if few_identity is None:
+        return left.join(right, [*on, "part"]).drop("part")
+    others = hot(few, "other_parts")
+    left = left.join(others, on, "left").selectExpr(*many.columns, "part", f"{every.format('other_parts')} AS other_part")
+    right = right.join(others, on, "left").selectExpr(*few.columns, "part", f"{number(few_identity, 'other_parts')} AS other_part")
+    return left.join(right, [*on, "part", "other_part"]).drop("part", "other_part")
 
 
 def cells_near(
@@ -100,7 +113,7 @@ def cells_near(
     if fits_broadcast(cells, max_broadcast // 9):
         pairs = probe.join(F.broadcast(reach), ["bx", "by"])
     else:
-        pairs = join_split(probe.distinct(), reach, ["bx", "by"], ["x", "y"], hot_rows)
+        pairs = join_split(probe.distinct(), reach, ["bx", "by"], ["x", "y"], hot_rows, ["cell_id"])
     return pairs.filter(inside_buffer("x - cx", "y - cy", radius, mode)).select("cell_id").distinct()
 
 
@@ -122,9 +135,11 @@ def nearest_station(
     """Add ``nearest_station_name`` and ``station_distance_m`` to cells with ``lat, lon``.
 
     ``targets`` has ``station_ord, name, lat, lon``; equal distances go to the lower order.
+    A target without a position is no target.
     A small set of targets is gathered once into an array and every cell takes its minimum
     over it: one narrow step, no join, no pairs.  A larger set is searched through tiles.
     """
+    targets = targets.filter("lat IS NOT NULL AND lon IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lon)")
     sites = projected(targets).selectExpr("station_ord", "name", "x AS sx", "y AS sy")
     placed = projected(cells)
     if not fits_broadcast(targets, max_array):
@@ -178,7 +193,7 @@ def _nearest_through_tiles(
         .selectExpr("cell_id", "x", "y", f"inline(transform(filter(listed, t -> {near}), t -> struct(t.tx, t.ty)))")
     )
     best = (
-        join_split(tiled, wanted, ["tx", "ty"], ["station_ord", "name"], hot_rows)
+        join_split(tiled, wanted, ["tx", "ty"], ["station_ord", "name"], hot_rows, ["cell_id", "x", "y"])
         .groupBy("cell_id")
         .agg(F.expr(f"min({_candidate('')}) AS best"))
     )

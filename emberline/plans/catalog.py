@@ -51,8 +51,10 @@ def latest_snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 def line_window_codes(spark: SparkSession, sf: str) -> DataFrame:
     """Newest dates first, then the last observation per day, then the accumulation."""
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
-    daily = history.last_per_day(history.newest_dates(fx.wx_line(spark, sf)), order)
+    # Order and line number are the key of a line: one number keeps the hash aggregate.
+    lines = fx.wx_line(spark, sf).withColumn("line", F.expr("l_orderkey * 8 + l_linenumber"))
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
+    daily = history.last_per_day(history.newest_dates(lines).drop(*keys), ["line"])
     return rounded(history.accumulate_codes(daily, SUMMER).drop("last_wind"))
 
 
@@ -103,8 +105,8 @@ def _flagged_grid(spark: SparkSession, sf: str, mode: str = "circle") -> DataFra
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    daily = fx.wx_daily(spark, sf)
-    return scoring.predictions(daily, SUMMER, grid=_flagged_grid(spark, sf))
+    dates = fx.table(spark, sf, "events").selectExpr("cast(ts AS date) AS file_date")
+    return scoring.predictions(fx.wx_daily(spark, sf), SUMMER, grid=_flagged_grid(spark, sf), dates=dates)
 
 
 def _flat(predictions: DataFrame) -> DataFrame:
@@ -144,11 +146,14 @@ def run_log_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fallback_history(spark: SparkSession, sf: str) -> DataFrame:
-    """The history is the date before the newest; cells absent then start from today's row."""
+    """The history is all dates before the newest; it lacks one cell in three.
+
+    Those cells start from today's row.
+    """
     daily = fx.wx_daily(spark, sf)
     today = as_float32(history.latest_snapshot(daily), FLOAT32_TODAY)
     newest = daily.agg(F.max("file_date")).scalar()
-    before = history.latest_snapshot(daily.filter(F.col("file_date") < newest))
+    before = daily.filter((F.col("file_date") < newest) & (F.col("cell_id") % 3 != 0))
     codes = scoring.today_codes(before, today, SUMMER)
     return rounded(codes.select("cell_id", *fwi.INDEX_NAMES))
 
@@ -190,8 +195,8 @@ def historical_fire_flag_polygon(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def province_of_cell(spark: SparkSession, sf: str) -> DataFrame:
-    cells = _observed_cells(spark, sf)
-    return cells.selectExpr("*", f"{province('lat', 'lon')} AS province")
+    """Province of every grid cell, with what was observed there."""
+    return grid_coverage(spark, sf).selectExpr("*", f"{province('lat', 'lon')} AS province")
 
 
 def payload_flatten(spark: SparkSession, sf: str) -> DataFrame:
@@ -199,27 +204,27 @@ def payload_flatten(spark: SparkSession, sf: str) -> DataFrame:
     return flat.withColumn("date", landed.local_date_text(F.col("fetched_at"))).drop("fetched_at")
 
 
-def _last_run_per_date(spark: SparkSession, sf: str) -> DataFrame:
-    """Known payloads of the last hourly run of each date."""
-    hourly = fanout.known_payloads(fx.payloads(spark, sf), spatial.stations(spark)).withColumns(
-        {"file_date": F.col("fetched_at").cast("date"), "run": F.date_trunc("hour", "fetched_at")}
-    )
-    last = hourly.groupBy("file_date").agg(F.max("run").alias("run"))
-    return hourly.join(F.broadcast(last), ["file_date", "run"], "left_semi").drop("run")
+def _landed(spark: SparkSession, sf: str) -> DataFrame:
+    """The payloads as an ingest keeps them: readable ones of known stations, flat."""
+    store = scratch_dir(spark, "landed")
+    ingest.land(fx.payloads(spark, sf), store)
+    return ingest.read_landed(spark, store)
 
 
 def station_fanout(spark: SparkSession, sf: str) -> DataFrame:
-    latest = fanout.latest_per_station(_last_run_per_date(spark, sf), "event_id", ("station", "file_date"))
-    flat = landed.daily_columns(landed.flatten_payloads(latest))
-    dates = latest.agg(F.collect_set("file_date")).scalar()
-    cells = _mapped_cells(spark, sf).withColumn("file_date", F.explode(dates))
-    return fanout.fan_out(cells, flat)
+    latest = fanout.last_run_per_date(_landed(spark, sf).drop("event_id"))
+    return fanout.spread_by_date(latest, _mapped_cells(spark, sf))
 
 
 def fetch_summary(spark: SparkSession, sf: str) -> DataFrame:
-    run = history.latest_snapshot(_last_run_per_date(spark, sf))
-    latest = fanout.latest_per_station(run, "event_id")
-    return fanout.fetch_summary(_mapped_cells(spark, sf), landed.flatten_payloads(latest))
+    """Stations that delivered and failed, for every hourly run."""
+    sent = fanout.with_run(fx.table(spark, sf, "events").withColumnRenamed("ts", "fetched_at"))
+    return fanout.run_summaries(_mapped_cells(spark, sf), sent, _landed(spark, sf))
+
+
+def payload_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Payloads that could not be read, with the reason."""
+    return landed.unreadable_payloads(fx.payloads(spark, sf)).drop("fetched_at")
 
 
 def unknown_stations(spark: SparkSession, sf: str) -> DataFrame:
@@ -251,28 +256,51 @@ def partition_overwrite(spark: SparkSession, sf: str) -> DataFrame:
 FILE_COLUMNS = ["cell_id", "lat", "lon", "temperature", "humidity", "wind_speed", "rain_1h_mm"]
 
 
-def bad_file_skip(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily CSV files, one per date; failed observations at full humidity write text as temperature."""
+def _daily_files(spark: SparkSession, sf: str) -> str:
+    """A folder of dated CSV files, one per date.
+
+    Failed observations at full humidity write text as temperature.  Of the dates with an even
+    day number one in three writes a number with a type's suffix, and another has no rain column.
+    """
     path = scratch_dir(spark, "csv")
-    broken = F.col("temperature").isNull() & (F.col("humidity") == 100.0)
-    text = F.when(broken, F.lit("corrupt")).otherwise(F.col("temperature").cast("string"))
-    days = fx.wx_daily(spark, sf).withColumn("temperature", text)
-    days.repartition("file_date").select("file_date", *FILE_COLUMNS).write.partitionBy("file_date").option(
-        "header", True
-    ).csv(path)
-    schema = ", ".join(f"{c} string" for c in FILE_COLUMNS)
-    raw = spark.read.option("header", True).schema(f"{schema}, file_date date").csv(path)
-    typed = weather.typed_daily(raw.withColumn("file_name", F.col("file_date").cast("string")), FILE_COLUMNS)
+    broken = "temperature IS NULL AND humidity = 100"
+    day = "day(file_date) % 6"
+    text = f"CASE WHEN {broken} THEN 'corrupt' WHEN {day} = 2 AND cell_id % 50 = 0 THEN '1d' ELSE cast(temperature AS string) END"
+    row = f"concat_ws(',', cell_id, lat, lon, coalesce({text}, ''), humidity, wind_speed"
+    line = f"if({day} = 4, {row}), {row}, rain_1h_mm))"
+    head = f"if({day} = 4, '{','.join(FILE_COLUMNS[:-1])}', '{','.join(FILE_COLUMNS)}')"
+    days = fx.wx_daily(spark, sf).groupBy("file_date").agg(F.array_sort(F.collect_list(F.expr(line))).alias("lines"))
+    files = days.selectExpr("file_date", f"concat({head}, chr(10), array_join(lines, chr(10))) AS value")
+    files.repartition(F.col("file_date")).write.partitionBy("file_date").text(f"{path}/parts")
+    _name_by_date(spark, f"{path}/parts", f"{path}/days")
+    return f"{path}/days"
+
+
+def _name_by_date(spark: SparkSession, parts: str, days: str) -> None:
+    """Give each date's one file the name ``<date>.csv`` in one folder, as the collector does."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    folder = path(days)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    for file in spark.read.text(parts).inputFiles():
+        date = file.rpartition("file_date=")[2].partition("/")[0]
+        files.rename(path(file), path(folder, f"{date}.csv"))
+
+
+def bad_file_skip(spark: SparkSession, sf: str) -> DataFrame:
+    """All dated files of a folder through the reader of the history."""
+    everything = 100_000
+    typed = weather.load_history(spark, _daily_files(spark, sf), everything, FILE_COLUMNS)
     return typed.withColumn("cell_id", F.col("cell_id").cast("bigint"))
 
 
 def rejects_report(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows that could not be scored and files that could not be read, in one table."""
+    """Rows that could not be scored, files and payloads that could not be read, in one table."""
     daily = _daily_float32(spark, sf)
     scored = daily.selectExpr("*", f"{scoring.reject_reason(daily.columns)} AS reject_reason")
     text = "if(temperature IS NULL AND humidity = 100, 'corrupt', cast(temperature AS string)) AS temperature"
     raw = fx.wx_daily(spark, sf).selectExpr("cast(file_date AS string) AS file_name", text)
-    return report.rejects_report(scored, weather.unreadable_files(raw))
+    return report.rejects_report(scored, weather.unreadable_files(raw), landed.unreadable_payloads(fx.payloads(spark, sf)))
 
 
 def freshness_audit(spark: SparkSession, sf: str) -> DataFrame:
@@ -317,28 +345,61 @@ def stored_predictions(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_flat(stored.filter(F.col("daily_fire_risk") >= 0.65)))
 
 
+def prediction_export(spark: SparkSession, sf: str) -> DataFrame:
+    """JSON lines and envelope of a run, written and read back."""
+    path = scratch_dir(spark, "export")
+    scored = _scored(spark, sf)
+    scored.write.parquet(f"{path}/scored")
+    stored = spark.read.parquet(f"{path}/scored")
+    sinks.write_predictions(scoring.accepted(stored), f"{path}/predictions")
+    sinks.envelope(report.run_stats(stored), F.lit("2024-01-31 00:00:00")).write.json(f"{path}/envelope")
+    head = spark.read.json(f"{path}/envelope")
+    lines = spark.read.json(f"{path}/predictions/json")
+    marked = lines.withColumns(
+        {
+            "success": head.select("success").scalar(),
+            "total_locations": head.select("processing_stats.total_locations").scalar(),
+            "run": head.select("timestamp").scalar(),
+        }
+    )
+    return rounded(
+        marked.selectExpr(
+            "cell_id", "location_name", "daily_fire_risk", "danger_class", "weather_features.humidity_temp_ratio",
+            "fire_weather_indices.fwi", "success", "total_locations", "run",
+        )
+    )
+
+
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Payload files land, are streamed over the observed cells, and stored as daily partitions."""
     path = scratch_dir(spark, "ingest")
+    # A text that is no JSON travels as a JSON string.
+    body = "if(try_parse_json(payload) IS NULL, to_json(array(payload)), payload)"
     line = (
         "concat('{\"station\":\"', station, '\",\"fetched_at\":\"', cast(fetched_at AS string),"
-        " '\",\"payload\":', payload, '}')"
+        f" '\",\"payload\":', {body}, '}}')"
     )
-    fx.payloads(spark, sf).selectExpr(line).write.text(f"{path}/landed")
+    # Four files in an order unlike that of the events, one per micro-batch.
+    mixed = fx.payloads(spark, sf).repartition(4, F.xxhash64("event_id"))
+    mixed.selectExpr(f"replace({line}, chr(10), ' ') AS value").write.text(f"{path}/landed")
     mapping = _mapped_cells(spark, sf).drop("cell_id")
-    stream = landed.stream_payloads(spark, f"{path}/landed")
+    stream = landed.stream_payloads(spark, f"{path}/landed", files_per_batch=1)
     ingest.start_ingest(stream, mapping, f"{path}/daily", f"{path}/checkpoint").awaitTermination()
     return weather.read_history_table(spark, f"{path}/daily")
 
 
 def stream_equals_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """The accumulation from a stream over the observations; same result as the batch."""
-    schema = fx.table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    windows = state.cell_windows(fx.events_as_weather(events), "event_id")
+    """The accumulation from a stream over the observations; same result as the batch.
+
+    Four files, mixed by a hash, make four micro-batches: later ones bring earlier days.
+    """
     path = scratch_dir(spark, "windows")
-    state.start_window_stream(windows, f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    codes = state.codes_of_windows(state.current_windows(spark, f"{path}/out"), SUMMER)
+    events = fx.table(spark, sf, "events")
+    events.repartition(4, F.xxhash64("event_id")).write.parquet(f"{path}/in")
+    arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    inputs = state.day_inputs(fx.events_as_weather(arriving), "event_id")
+    state.start_window_stream(inputs, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    codes = state.codes_of_days(state.current_days(spark, f"{path}/out"), SUMMER)
     return rounded(codes.select("cell_id", "last_date", "last_wind", *CODES))
 
 
@@ -371,6 +432,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         station_fanout,
         fetch_summary,
         unknown_stations,
+        payload_rejects,
         union_daily,
         partition_overwrite,
         bad_file_skip,
@@ -378,6 +440,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         freshness_audit,
         json_clean_values,
         stored_predictions,
+        prediction_export,
         stream_ingest,
         stream_equals_batch,
     )

@@ -76,31 +76,33 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One landed station payload per event, as JSON text.
 
     The station is picked from the known ones plus two that are not on the list; the kind of
-    event number decides which parts of the object are missing, null or empty.
+    event number decides which parts of the object are missing, null, empty or of a wrong
+    type, and which texts are cut short or are no object.
     """
     listed = list(enumerate([s[0] for s in STATIONS] + UNKNOWN_STATIONS))
     names = local_table(spark, listed, "station_no bigint, station string")
     events = table(spark, sf_dir, "events").selectExpr(
         "event_id",
+        "event_id AS n",
         "ts AS fetched_at",
         f"event_id % {len(STATIONS) + len(UNKNOWN_STATIONS)} AS station_no",
         "event_id % 5 AS kind",
         "CASE WHEN event_type = 'error' THEN 'null' ELSE cast(cast(value AS decimal(12,2)) AS string) END AS temp",
-        "cast(event_id % 100 + 1 AS string) AS humidity",
-        "cast(event_id % 25 AS string) AS speed",
-        "cast(event_id % 7 AS string) AS rain",
         "event_type AS sky",
-        "cast(1700000000 + event_id AS string) AS dt",
     )
     body = """concat('{',
         CASE WHEN kind = 4 THEN ''
-             ELSE concat('"main":{"temp":', temp, ',"humidity":', humidity, ',"pressure":1001},') END,
-        '"wind":{"speed":', speed, '},',
+             ELSE concat('"main":{"temp":', temp, ',"humidity":', if(n % 13 = 0, '"high"', cast(n % 100 + 1 AS string)), ',"pressure":1001',
+                         if(n % 3 = 0, concat(',"feels_like":', n % 31, '.5,"temp_min":', n % 17, ',"temp_max":null'), ''), '},') END,
+        '"wind":{"speed":', n % 25,
+            if(n % 4 = 0, concat(',"deg":', n % 360, ',"gust":', if(n % 8 = 0, 'null', cast(n % 40 AS string))), ''), '},',
+        if(n % 3 = 1, concat('"clouds":{"all":', n % 101, '},'), ''),
+        CASE WHEN n % 11 = 0 THEN '"visibility":"far",' WHEN n % 6 = 0 THEN concat('"visibility":', n % 9000, ',') ELSE '' END,
         CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN '"rain":null,'
-             ELSE concat('"rain":{"1h":', rain, '},') END,
+             ELSE concat('"rain":{"1h":', n % 7, if(n % 9 = 0, concat(',"3h":', n % 21), ''), '},') END,
+        if(n % 10 = 0, concat('"snow":{"1h":', n % 4, ',"3h":null},'), ''),
         CASE WHEN kind = 3 THEN '"weather":[],'
-             ELSE concat('"weather":[{"main":"', sky, '"}],') END,
-        '"dt":', dt, '}')"""
-    return events.join(names, "station_no").selectExpr(
-        "event_id", "fetched_at", "station", f"{body} AS payload"
-    )
+             ELSE concat('"weather":[{"main":"', sky, '"', if(n % 4 = 1, concat(',"description":"', sky, ' sky"'), ''), '}],') END,
+        '"dt":', 1700000000 + n, '}')"""
+    text = f"CASE WHEN n % 53 = 7 THEN left({body}, 10) WHEN n % 59 = 8 THEN '[1]' ELSE {body} END"
+    return events.join(names, "station_no").selectExpr("event_id", "fetched_at", "station", f"{text} AS payload")

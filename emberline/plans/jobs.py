@@ -5,14 +5,13 @@ from __future__ import annotations
 import time
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.constants import WINDOW_DATES
 from emberline.operators import fanout, quality, report, scoring, spatial
-from emberline.operators.history import newest_dates
-from emberline.sources import payloads as landed
 from emberline.sources import sinks, weather
+from emberline.streaming import ingest
 
 
 def build_grid(spark: SparkSession, fires: DataFrame, path: str, mode: str = "circle") -> None:
@@ -29,9 +28,8 @@ def map_stations(spark: SparkSession, path: str, grid: DataFrame | None = None)
 
 
 def latest_weather(spark: SparkSession, payloads: DataFrame) -> DataFrame:
-    """The last payload of each known station, flat: one row per station."""
-    latest = fanout.latest_per_station(fanout.known_payloads(payloads, spatial.stations(spark)), "fetched_at")
-    return landed.daily_columns(landed.flatten_payloads(latest))
+    """The last readable payload of each known station in a run, flat: one row per station."""
+    return fanout.last_readings(ingest.station_rows(payloads), ("station",)).drop("file_date", "run")
 
 
 def run_weather(cell_station: DataFrame, station_weather: DataFrame) -> DataFrame:
@@ -67,6 +65,7 @@ def score(
     window: int = WINDOW_DATES,
     keys: tuple[str, ...] = ("lat", "lon"),
     today: DataFrame | None = None,
+    bounds: tuple[Column, Column] | None = None,
 ) -> DataFrame:
     """Score today's cells; store predictions, rejects and the run log; return the statistics.
 
@@ -76,7 +75,7 @@ def score(
     """
     started = time.monotonic()
     moment = F.lit(run_ts).cast("timestamp")
-    scored = scoring.predictions(history, as_of_month, today, grid, window, keys)
+    scored = scoring.predictions(history, as_of_month, today, grid, window, keys, bounds=bounds)
     scored.write.mode("overwrite").parquet(f"{out}/scored")
     stored = spark.read.parquet(f"{out}/scored")
     sinks.write_predictions(scoring.accepted(stored), f"{out}/predictions")
@@ -89,6 +88,27 @@ def score(
     return stats
 
 
+def score_stored(
+    spark: SparkSession,
+    history_path: str,
+    grid: DataFrame | None,
+    out: str,
+    run_ts: str,
+    as_of: date | None = None,
+    window: int = WINDOW_DATES,
+) -> DataFrame:
+    """Score a date of a stored history (its newest, or ``as_of``) with the dates before it.
+
+    The window comes from the folder's listing, so only its files are opened.
+    """
+    dates = sorted(day for day in weather.partition_dates(spark, history_path) if as_of is None or day <= as_of)[-window:]
+    if not dates:
+        raise ValueError("no weather for that date")
+    history = weather.read_history_table(spark, history_path).filter(F.col("file_date").isin(dates))
+    bounds = (F.lit(dates[0]), F.lit(dates[-1]))
+    return score(spark, history, grid, out, dates[-1].month, run_ts, window, bounds=bounds)
+
+
 def refresh(
     spark: SparkSession,
     payloads: DataFrame,
@@ -99,11 +119,12 @@ def refresh(
     run_date: date,
     run_text: str,
     run_ts: str,
+    window: int = WINDOW_DATES,
 ) -> DataFrame:
-    """One scheduled run: collect today's weather, then score the window that ends today."""
+    """One scheduled run: collect today's weather, drop expired dates, score the window."""
     collect_weather(spark, payloads, mapping, history_path, run_date, run_text)
-    history = newest_dates(weather.read_history_table(spark, history_path))
-    return score(spark, history, grid, out, run_date.month, run_ts)
+    sinks.prune_history(spark, history_path, window)
+    return score_stored(spark, history_path, grid, out, run_ts, window=window)
 
 
 def health(

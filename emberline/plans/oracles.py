@@ -74,8 +74,7 @@ FIRES = """fires AS (
   FROM orders)"""
 
 GRID = """grid AS (
-  SELECT cast(i * 178 + j AS bigint) AS cell_id, 41.0 + 0.5 * i AS lat, -141.0 + 0.5 * j AS lon
-  FROM (SELECT range AS i FROM range(84)) a, (SELECT range AS j FROM range(178)) b)"""
+  SELECT range AS cell_id, 41.0 + 0.5 * (range // 178) AS lat, -141.0 + 0.5 * (range % 178) AS lon FROM range(14952))"""
 
 # Lambert conformal conic on GRS80, from the registry parameters.
 CONE = """k0 AS (
@@ -295,28 +294,40 @@ CLASS_ROWS = ", ".join(
     for (low, name, _, color, desc), nxt in zip(DANGER_CLASSES, [c[0] for c in DANGER_CLASSES[1:]] + [None])
 )
 
-PAYLOADS = f"""flat AS (
-  SELECT event_id, ts, {ALL_NAMES}[cast(event_id % {NAMED} AS int) + 1] AS station,
-    event_id % {NAMED} < {KNOWN} AS known,
-    CASE WHEN event_id % 5 = 4 THEN 15.0 WHEN event_type = 'error' THEN NULL
+# Texts that are cut short, and texts that are no object.
+CUT, LIST = "event_id % 53 = 7", "event_id % 59 = 8"
+
+PAYLOADS = f"""sent AS (
+  SELECT *, event_id AS n, event_id % 5 = 4 AS bare, {ALL_NAMES}[cast(event_id % {NAMED} AS int) + 1] AS station,
+    event_id % {NAMED} < {KNOWN} AS known, date_trunc('hour', ts) AS run, cast(ts AS date) AS file_date
+  FROM events),
+flat AS (
+  SELECT event_id, ts, station, known, run, file_date,
+    CASE WHEN bare THEN 15.0 WHEN event_type = 'error' THEN NULL
          ELSE cast(cast(value AS decimal(12, 2)) AS double) END AS temperature,
-    15.0 AS feels_like, 15.0 AS temp_min, 15.0 AS temp_max,
-    CASE WHEN event_id % 5 = 4 THEN 1013.0 ELSE 1001.0 END AS pressure,
-    CASE WHEN event_id % 5 = 4 THEN 50.0 ELSE cast(event_id % 100 + 1 AS double) END AS humidity,
-    cast(event_id % 25 AS double) AS wind_speed, 0.0 AS wind_deg, 0.0 AS wind_gust, 0.0 AS clouds_pct,
-    10000.0 AS visibility_m,
-    CASE WHEN event_id % 5 IN (1, 2) THEN 0.0 ELSE cast(event_id % 7 AS double) END AS rain_1h_mm,
-    0.0 AS rain_3h_mm, 0.0 AS snow_1h_mm, 0.0 AS snow_3h_mm,
-    CASE WHEN event_id % 5 = 3 THEN 'Unknown' ELSE event_type END AS weather_main,
-    CASE WHEN event_id % 5 = 3 THEN 'No description' END AS weather_description,
-    1700000000 + event_id AS timestamp_utc
-  FROM events)"""
+    CASE WHEN bare OR n % 3 <> 0 THEN 15.0 ELSE n % 31 + 0.5 END AS feels_like,
+    CASE WHEN bare OR n % 3 <> 0 THEN 15.0 ELSE cast(n % 17 AS double) END AS temp_min,
+    CASE WHEN bare OR n % 3 <> 0 THEN 15.0 END AS temp_max,
+    CASE WHEN bare THEN 1013.0 ELSE 1001.0 END AS pressure,
+    CASE WHEN bare THEN 50.0 WHEN n % 13 = 0 THEN NULL ELSE cast(n % 100 + 1 AS double) END AS humidity,
+    cast(n % 25 AS double) AS wind_speed,
+    CASE WHEN n % 4 = 0 THEN cast(n % 360 AS double) ELSE 0.0 END AS wind_deg,
+    CASE WHEN n % 8 = 0 THEN NULL WHEN n % 4 = 0 THEN cast(n % 40 AS double) ELSE 0.0 END AS wind_gust,
+    CASE WHEN n % 3 = 1 THEN cast(n % 101 AS double) ELSE 0.0 END AS clouds_pct,
+    CASE WHEN n % 11 = 0 THEN NULL WHEN n % 6 = 0 THEN cast(n % 9000 AS double) ELSE 10000.0 END AS visibility_m,
+    CASE WHEN n % 5 IN (1, 2) THEN 0.0 ELSE cast(n % 7 AS double) END AS rain_1h_mm,
+    CASE WHEN n % 5 NOT IN (1, 2) AND n % 9 = 0 THEN cast(n % 21 AS double) ELSE 0.0 END AS rain_3h_mm,
+    CASE WHEN n % 10 = 0 THEN cast(n % 4 AS double) ELSE 0.0 END AS snow_1h_mm,
+    CASE WHEN n % 10 = 0 THEN NULL ELSE 0.0 END AS snow_3h_mm,
+    CASE WHEN n % 5 = 3 THEN 'Unknown' ELSE event_type END AS weather_main,
+    CASE WHEN n % 5 = 3 THEN 'No description' WHEN n % 4 = 1 THEN event_type || ' sky' END AS weather_description,
+    1700000000 + n AS timestamp_utc
+  FROM sent WHERE NOT ({CUT}) AND NOT ({LIST}))"""
 
 LAST_RUN = """last_run AS (
-  SELECT *, cast(ts AS date) AS file_date FROM flat WHERE known
-  QUALIFY date_trunc('hour', ts) = max(date_trunc('hour', ts)) OVER (PARTITION BY cast(ts AS date))),
+  SELECT * FROM flat WHERE known QUALIFY run = max(run) OVER (PARTITION BY file_date)),
 station_weather AS (
-  SELECT * FROM last_run QUALIFY row_number() OVER (PARTITION BY file_date, station ORDER BY event_id DESC) = 1)"""
+  SELECT * FROM last_run QUALIFY row_number() OVER (PARTITION BY file_date, station ORDER BY ts DESC, event_id DESC) = 1)"""
 
 CELLS = "cells AS (SELECT DISTINCT cell_id, lat, lon FROM wx_events)"
 MAPPED = ",\n".join(
@@ -451,7 +462,7 @@ FROM (SELECT *, coalesce(temperature <> -1.0, true) AS ok FROM risked) r""",
             f"""{WX_DAILY},
 ranked AS (SELECT *, dense_rank() OVER (ORDER BY file_date DESC) AS date_rank FROM wx_daily),
 newest AS (SELECT * FROM ranked WHERE date_rank = 1),
-before AS (SELECT * FROM ranked WHERE date_rank = 2),
+before AS (SELECT * FROM ranked WHERE date_rank > 1 AND cell_id % 3 <> 0),
 basis AS (
   SELECT cell_id, file_date, temperature, humidity, wind_speed, {f32('rain_1h_mm')} AS rain_1h_mm FROM before
   WHERE cell_id IN (SELECT cell_id FROM newest)
@@ -486,7 +497,10 @@ FROM grid LEFT JOIN seen ON seen.lat = grid.lat AND seen.lon = grid.lon""",
             "SELECT * FROM flagged",
         ),
         "province_of_cell": with_(
-            f"{WX_EVENTS},\n{CELLS}", f"SELECT cell_id, lat, lon, {province_case()} AS province FROM cells"
+            f"{WX_EVENTS},\n{GRID},\nseen AS (SELECT lat, lon, count(*) AS n FROM wx_events GROUP BY lat, lon)",
+            f"""SELECT grid.cell_id, grid.lat, grid.lon, coalesce(seen.n, 0) AS n_observations,
+  {province_case('grid.lat', 'grid.lon')} AS province
+FROM grid LEFT JOIN seen ON seen.lat = grid.lat AND seen.lon = grid.lon""",
         ),
         "payload_flatten": with_(
             PAYLOADS,
@@ -501,25 +515,28 @@ FROM mapped m CROSS JOIN (SELECT DISTINCT file_date FROM last_run) d
 LEFT JOIN station_weather w ON w.station = m.nearest_station_name AND w.file_date = d.file_date""",
         ),
         "stream_ingest": with_(
-            f"""{WX_EVENTS},\n{MAPPED},\n{PAYLOADS},
-station_day AS (
-  SELECT *, cast(ts AS date) AS file_date FROM flat WHERE known
-  QUALIFY row_number() OVER (PARTITION BY cast(ts AS date), station ORDER BY ts DESC, event_id DESC) = 1)""",
+            f"{WX_EVENTS},\n{MAPPED},\n{PAYLOADS},\n{LAST_RUN}",
             f"""SELECT m.lat, m.lon, m.nearest_station_name AS nearest_station, d.file_date,
   {', '.join('w.' + c for c in WEATHER_NAMES)},
   strftime(make_timestamp(w.timestamp_utc * 1000000) - INTERVAL 7 HOUR, '%Y-%m-%d %H:%M:%S') AS date
-FROM mapped m CROSS JOIN (SELECT DISTINCT file_date FROM station_day) d
-LEFT JOIN station_day w ON w.station = m.nearest_station_name AND w.file_date = d.file_date""",
+FROM mapped m CROSS JOIN (SELECT DISTINCT file_date FROM last_run) d
+LEFT JOIN station_weather w ON w.station = m.nearest_station_name AND w.file_date = d.file_date""",
         ),
         "fetch_summary": with_(
-            f"{WX_EVENTS},\n{MAPPED},\n{PAYLOADS},\n{LAST_RUN}",
-            """SELECT count(*) AS n_stations, count(w.station) AS n_success, count(*) - count(w.station) AS n_failed
-FROM (SELECT DISTINCT nearest_station_name AS station FROM mapped) s
-LEFT JOIN (SELECT station FROM station_weather
-           WHERE file_date = (SELECT max(file_date) FROM station_weather)) w USING (station)""",
+            f"{WX_EVENTS},\n{MAPPED},\n{PAYLOADS}",
+            """SELECT r.run, s.n AS n_stations, coalesce(d.n, 0) AS n_success, s.n - coalesce(d.n, 0) AS n_failed
+FROM (SELECT DISTINCT run FROM sent) r
+CROSS JOIN (SELECT count(DISTINCT nearest_station_name) AS n FROM mapped) s
+LEFT JOIN (SELECT run, count(DISTINCT station) AS n FROM flat
+           WHERE known AND station IN (SELECT nearest_station_name FROM mapped) GROUP BY run) d ON d.run = r.run""",
+        ),
+        "payload_rejects": with_(
+            PAYLOADS,
+            f"""SELECT event_id, station, CASE WHEN {CUT} THEN 'payload_no_json' ELSE 'payload_no_object' END AS reject_reason
+FROM sent WHERE ({CUT}) OR ({LIST})""",
         ),
         "unknown_stations": with_(
-            PAYLOADS, "SELECT station, count(*) AS n_payloads FROM flat WHERE NOT known GROUP BY station"
+            PAYLOADS, "SELECT station, count(*) AS n_payloads FROM sent WHERE NOT known GROUP BY station"
         ),
         "union_daily": with_(WX_EVENTS, "SELECT * FROM wx_events"),
         "partition_overwrite": with_(
@@ -532,17 +549,29 @@ UNION ALL SELECT * FROM first_daily WHERE file_date = (SELECT max(file_date) FRO
         ),
         "bad_file_skip": with_(
             f"""{WX_DAILY},
-bad AS (SELECT DISTINCT file_date FROM wx_daily WHERE temperature IS NULL AND humidity = 100.0)""",
-            """SELECT cell_id, file_date, lat, lon, temperature, humidity, wind_speed, rain_1h_mm
+bad AS (SELECT DISTINCT file_date FROM wx_daily
+        WHERE (temperature IS NULL AND humidity = 100.0) OR (day(file_date) % 6 = 2 AND cell_id % 50 = 0))""",
+            """SELECT cell_id, file_date, lat, lon, temperature, humidity, wind_speed,
+  CASE WHEN day(file_date) % 6 <> 4 THEN rain_1h_mm END AS rain_1h_mm
 FROM wx_daily WHERE file_date NOT IN (SELECT file_date FROM bad)""",
         ),
+        "prediction_export": with_(
+            scored,
+            f"""SELECT cell_id, concat('Grid_', cell_id) AS location_name, {rnd('risk', 'daily_fire_risk')}, danger_class,
+  round(coalesce(humidity / (temperature + 1.0), 0.0), 6) + 0.0 AS humidity_temp_ratio, {rnd('fwi')},
+  true AS success, (SELECT count(*) FROM risked) AS total_locations, '2024-01-31 00:00:00' AS run
+FROM valid""",
+            True,
+        ),
         "rejects_report": with_(
-            f"""{WX_DAILY},
+            f"""{WX_DAILY},\n{PAYLOADS},
 bad AS (SELECT DISTINCT cast(file_date AS varchar) AS file_name FROM wx_daily
         WHERE temperature IS NULL AND humidity = 100.0)""",
             f"""SELECT 'row' AS level, '' AS file_name, 'ratio_divides_by_zero' AS reject_reason, count(*) AS n_rows
 FROM wx_daily WHERE {f32('temperature')} = -1.0 HAVING count(*) > 0
-UNION ALL SELECT 'file', file_name, 'unreadable_number', cast(NULL AS bigint) FROM bad""",
+UNION ALL SELECT 'file', file_name, 'unreadable_number', cast(NULL AS bigint) FROM bad
+UNION ALL SELECT 'payload', '', CASE WHEN {CUT} THEN 'payload_no_json' ELSE 'payload_no_object' END, count(*)
+FROM sent WHERE ({CUT}) OR ({LIST}) GROUP BY ALL""",
         ),
         "freshness_audit": with_(
             AUDIT,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +31,17 @@ def stream_payloads(spark: SparkSession, path: str, files_per_batch: int | None
     return reader.json(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds a table yet."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return False
+    return True
+
+
 # The whole payload as a struct; a field of another type lands in the last column.
 PAYLOAD_SCHEMA = (
     "main struct<temp double, feels_like double, temp_min double, temp_max double, pressure double,"
@@ -61,9 +73,15 @@ def _first_weather(key: str, default: str) -> str:
     )
 
 
+# Unreadable text yields no variant; text that is no object yields one of another kind.
+OBJECT = "schema_of_variant(try_parse_json(payload)) LIKE 'OBJECT%'"
+
+
 def flatten_payloads(landed: DataFrame, fetched_at: str = "fetched_at") -> DataFrame:
     """Replace ``payload`` by its flat weather columns; text that is no JSON object is dropped.
 
+    See ``unreadable_payloads`` for what is dropped.
+
     A struct cannot tell an absent key from a null one, a variant can but is slower to read.
     So every payload is parsed into a struct, and only those that mention ``null`` or do not
     fit the struct are parsed into a variant and read from there.
@@ -85,6 +103,16 @@ def flatten_payloads(landed: DataFrame, fetched_at: str = "fetched_at") -> DataF
     )
 
 
+def unreadable_payloads(landed: DataFrame) -> DataFrame:
+    """Payloads that are no JSON object: the columns besides ``payload`` and a ``reject_reason``."""
+    kept = [c for c in landed.columns if c != "payload"]
+    reason = (
+        "CASE WHEN try_parse_json(payload) IS NULL THEN 'payload_no_json'"
+        f" WHEN NOT ({OBJECT}) THEN 'payload_no_object' END AS reject_reason"
+    )
+    return landed.selectExpr(*kept, reason).filter("reject_reason IS NOT NULL")
+
+
 def daily_columns(flat: DataFrame) -> DataFrame:
     """Rename flat payload columns to those of the daily weather table."""
     return flat.withColumnsRenamed(PAYLOAD_RENAMES)

@@ -10,10 +10,7 @@ from pyspark.sql import functions as F
 from emberline.constants import MODEL_INFO, WINDOW_DATES
 from emberline.functions.clean import json_clean
 from emberline.operators.history import expired_dates, newest_dates
-from emberline.session import fits_broadcast
-
-# A single JSON document is an export for small results only.
-DOCUMENT_ROWS = 100_000
+from emberline.sources.weather import partition_dates
 
 
 def write_daily(df: DataFrame, path: str) -> None:
@@ -63,6 +60,7 @@ def drop_expired(spark: SparkSession, table: str, n: int = WINDOW_DATES) -> list
     """Drop the partitions older than the newest ``n`` dates of a history table."""
     partitions = spark.sql(f"SHOW PARTITIONS {table}")
     dates = partitions.selectExpr("cast(split(partition, '=')[1] AS date) AS file_date")
+    # One row per date of the table.
     expired = [row["file_date"] for row in expired_dates(dates, n).collect()]
     for day in expired:
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (file_date = DATE'{day}')")
@@ -80,6 +78,23 @@ def retain_latest(df: DataFrame, path: str, n: int) -> None:
     write_daily(newest_dates(df, n), path)
 
 
+def expired_partitions(spark: SparkSession, path: str, n: int = WINDOW_DATES) -> list[date]:
+    """Dates of a history folder that are older than its newest ``n``; only its listing is read."""
+    dates = sorted(partition_dates(spark, path))
+    return dates[:-n] if n else dates
+
+
+def prune_history(spark: SparkSession, path: str, n: int = WINDOW_DATES) -> list[date]:
+    """Delete the partitions of a history folder beyond its newest ``n`` dates; returns them."""
+    expired = expired_partitions(spark, path, n)
+    if expired:
+        jvm, root = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        for day in expired:
+            files.delete(jvm.org.apache.hadoop.fs.Path(root, f"file_date={day}"), True)
+    return expired
+
+
 def write_predictions(df: DataFrame, path: str) -> None:
     """Predictions as Parquet for queries and as JSON lines for consumers.
 
@@ -104,19 +119,6 @@ def envelope(stats: DataFrame, run_ts: Column) -> DataFrame:
     )
 
 
-def json_document(predictions: DataFrame, stats: DataFrame, run_ts: Column) -> DataFrame:
-    """Envelope and predictions as a single JSON text; refuses results beyond a fixed size.
-
-    Larger results are what the JSON lines of ``write_predictions`` are for.
-    """
-    if not fits_broadcast(predictions, DOCUMENT_ROWS):
-        raise ValueError(f"more than {DOCUMENT_ROWS} predictions: use the JSON lines export")
-    data = json_clean(predictions).agg(F.collect_list(F.struct(*predictions.columns)).alias("data"))
-    whole = json_clean(envelope(stats, run_ts)).join(F.broadcast(data), F.lit(True))
-    order = ["success", "data", "model_info", "processing_stats", "timestamp", "last_updated"]
-    return whole.select(F.to_json(F.struct(*order)).alias("document"))
-
-
 def append_run_log(stats: DataFrame, path: str, run_ts: Column, seconds: float) -> None:
     """Append one run to the run log."""
     (

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.constants import MISSING_TOKENS, WINDOW_DATES
@@ -37,22 +38,37 @@ def newest_files(spark: SparkSession, folder: str, n: int = WINDOW_DATES) -> lis
     return [row["path"] for row in newest.collect()]
 
 
-def read_daily_files(
-    spark: SparkSession, paths: list[str], columns: list[str] | None = None, by_name: bool = False
-) -> DataFrame:
+def read_daily_files(spark: SparkSession, paths: list[str], columns: list[str] | None = None) -> DataFrame:
     """Daily CSV files as text columns plus ``file_name`` and ``file_date``.
 
-    The files share one header, so all are one scan.  With ``by_name`` each file keeps its own
-    header and columns it lacks become NULL.
+    Files with one header are one scan, and scans are put together by column name; a column
+    that a file lacks is NULL in its rows.  ``columns`` are there in any case.
     """
     if not paths:
         raise FileNotFoundError("no daily weather files")
-    reader = spark.read.option("header", True)
-    if by_name:
-        frames = [_with_file_date(reader.csv(path)) for path in paths]
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    schema = ", ".join(f"{c} string" for c in columns or DAILY_COLUMNS)
-    return _with_file_date(reader.option("enforceSchema", False).schema(schema).csv(paths))
+    groups = headers(spark, paths)
+    frames = [_scan(spark, some, header) for header, some in sorted(groups.items())]
+    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return raw.withColumns({c: F.lit(None).cast("string") for c in columns or DAILY_COLUMNS if c not in raw.columns})
+
+
+def headers(spark: SparkSession, paths: list[str]) -> dict[tuple[str, ...], list[str]]:
+    """Paths by the columns that their first line names; one job over the window's files."""
+    heads = spark.read.option("lineSep", "\n").text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value"
+    )
+    # Of a file's first block the first row is its first line.
+    first = heads.where("block = 0").groupBy("path").agg(F.first("value").alias("header"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in first.collect():
+        names = [name.strip().strip('"') for name in row["header"].strip("\r\ufeff").split(",")]
+        found.setdefault(tuple(names), []).append(row["path"])
+    return found
+
+
+def _scan(spark: SparkSession, paths: list[str], header: tuple[str, ...]) -> DataFrame:
+    schema = ", ".join(f"`{name}` string" for name in header)
+    return _with_file_date(spark.read.option("header", True).schema(schema).csv(sorted(paths)))
 
 
 def _with_file_date(df: DataFrame) -> DataFrame:
@@ -62,21 +78,26 @@ def _with_file_date(df: DataFrame) -> DataFrame:
     )
 
 
+# Fixed value: what counts as a number in a daily file.  Suffixes of types are no numbers.
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?([iI]nf(inity)?|INF(INITY)?)$"
+
+
+def is_number(text: Column) -> Column:
+    """Whether a text is a number, with blanks around it or not."""
+    return F.trim(text).rlike(NUMBER)
+
+
 def unreadable_files(raw: DataFrame, numbers: list[str] = DAILY_NUMBERS) -> DataFrame:
     """Names of files with text in a numeric column that is neither a number nor "missing"."""
     bad = F.lit(False)
     for c in (c for c in numbers if c in raw.columns):
-        text = F.trim(c)
-        bad = bad | (text.isNotNull() & ~text.isin(MISSING_TOKENS) & text.try_cast("double").isNull())
+        bad = bad | (F.col(c).isNotNull() & ~F.col(c).isin(MISSING_TOKENS) & ~is_number(F.col(c)))
     return raw.filter(bad).select("file_name").distinct()
 
 
 def typed_daily(raw: DataFrame, numbers: list[str] = DAILY_NUMBERS) -> DataFrame:
-    """Whole files that parse, with numeric columns typed; a bad file is left out as a whole.
-
-    The list of bad files has at most one row per file of the window, so it is broadcast.
-    """
-    good = raw.join(F.broadcast(unreadable_files(raw, numbers)), "file_name", "left_anti")
+    """Whole files that parse, with numeric columns typed; a bad file is left out as a whole."""
+    good = raw.join(unreadable_files(raw, numbers), "file_name", "left_anti")
     typed = {
         c: F.col(c).try_cast("bigint" if c == "timestamp_utc" else "double")
         for c in numbers if c in raw.columns
@@ -85,11 +106,23 @@ def typed_daily(raw: DataFrame, numbers: list[str] = DAILY_NUMBERS) -> DataFrame
 
 
 def load_history(
-    spark: SparkSession, folder: str, n: int = WINDOW_DATES, columns: list[str] | None = None, by_name: bool = False
+    spark: SparkSession, folder: str, n: int = WINDOW_DATES, columns: list[str] | None = None
 ) -> DataFrame:
     """The newest ``n`` daily files of a folder, bad files skipped."""
     numbers = [c for c in columns or DAILY_COLUMNS if c not in DAILY_TEXT]
-    return typed_daily(read_daily_files(spark, newest_files(spark, folder, n), columns, by_name), numbers)
+    return typed_daily(read_daily_files(spark, newest_files(spark, folder, n), columns), numbers)
+
+
+def partition_dates(spark: SparkSession, path: str) -> list[date]:
+    """The dates of a history folder, from its listing alone: no file is opened."""
+    listed = {part for file in spark.read.parquet(path).inputFiles() for part in file.split("/")}
+    return [date.fromisoformat(part.partition("=")[2]) for part in listed if part.startswith("file_date=")]
+
+
+def read_window(spark: SparkSession, path: str, n: int = WINDOW_DATES) -> DataFrame:
+    """The newest ``n`` dates of a history folder; no file of another date is opened."""
+    newest = sorted(partition_dates(spark, path))[-n:]
+    return spark.read.parquet(path).filter(F.col("file_date").isin(newest))
 
 
 def read_history_table(spark: SparkSession, path: str) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Payload files as they land, spread over the grid and written as daily partitions."""
+"""Payload files as they land, spread over the grid and written as daily partitions.
+
+What arrives is kept: readable payloads of known stations as flat rows, by date and
+micro-batch.  A date that a micro-batch touches is built anew from all its rows, by the same
+functions as in batch, so neither the order of files nor the borders of micro-batches matter.
+"""
 
 from __future__ import annotations
 
@@ -11,38 +16,49 @@ from emberline.sources import payloads as landed
 from emberline.sources.sinks import write_daily
 
 
-def latest_by_date(payloads: DataFrame) -> DataFrame:
-    """The last payload of each known station and date, flat."""
+def station_rows(payloads: DataFrame) -> DataFrame:
+    """Flat weather of known stations with date and run, one row per readable payload."""
     known = fanout.known_payloads(payloads, stations(payloads.sparkSession))
-    dated = known.withColumn("file_date", F.col("fetched_at").cast("date"))
-    latest = fanout.latest_per_station(dated, "fetched_at", ("station", "file_date"))
-    return landed.daily_columns(landed.flatten_payloads(latest))
+    return fanout.with_run(landed.daily_columns(landed.flatten_payloads(known)))
+
+
+def land(payloads: DataFrame, store: str, batch_id: int = 0) -> None:
+    """Keep the readable payloads; the same batch again replaces what it wrote before."""
+    (
+        station_rows(payloads).withColumn("batch", F.lit(batch_id))
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("file_date", "batch").parquet(store)
+    )
+
+
+def read_landed(spark, store: str) -> DataFrame:
+    """All rows kept by ``land``; a filter on ``file_date`` reaches the file listing."""
+    return spark.read.parquet(store).drop("batch")
 
 
-def spread_by_date(station_weather: DataFrame, cell_station: DataFrame) -> DataFrame:
-    """Grid weather for every date that brought some, NULL where a station failed."""
-    # One entry per date in the run, a handful at most.
-    dates = station_weather.agg(F.collect_set("file_date")).scalar()
-    return fanout.fan_out(cell_station.withColumn("file_date", F.explode(dates)), station_weather)
+def build_dates(landed_rows: DataFrame, cell_station: DataFrame) -> DataFrame:
+    """Grid weather of each date from the last run of that date."""
+    stamp = landed.local_date_text(F.col("timestamp_utc").cast("timestamp"))
+    return fanout.spread_by_date(fanout.last_run_per_date(landed_rows), cell_station).withColumn("date", stamp)
 
 
 def start_ingest(
-    payloads: DataFrame, cell_station: DataFrame, path: str, checkpoint: str, available_now: bool = True
+    payloads: DataFrame, cell_station: DataFrame, path: str, checkpoint: str, available_now: bool = True, store: str | None = None
 ):
-    """Keep the daily history up to date; each micro-batch is one collection run.
+    """Keep the daily history up to date, by default from what is kept beside the checkpoint.
 
-    A run replaces the partitions of the dates it brings.  A run without any usable payload
-    writes nothing.
+    A micro-batch without any usable payload writes nothing.
     """
+    store = store or f"{checkpoint.rstrip('/')}-landed"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # At most one row per listed station and date, read for the dates and for the join.
-        station_weather = latest_by_date(batch).persist()
-        stamp = landed.local_date_text(F.col("timestamp_utc").cast("timestamp"))
-        try:
-            write_daily(spread_by_date(station_weather, cell_station).withColumn("date", stamp), path)
-        finally:
-            station_weather.unpersist()
+        spark = batch.sparkSession
+        land(batch, store, batch_id)
+        # The dates that one micro-batch brought: a list as long as its span of days.
+        touched = [row["file_date"] for row in fanout.with_run(batch).select("file_date").distinct().collect()]
+        if landed.exists(spark, store) and touched:
+            rows = read_landed(spark, store).filter(F.col("file_date").isin(touched))
+            write_daily(build_dates(rows, cell_station), path)
 
     writer = payloads.writeStream.option("checkpointLocation", checkpoint)
     if available_now:

@@ -2,125 +2,76 @@
 
 The state of a cell is its newest daily inputs, not its codes: the accumulation restarts at
 the oldest day of the window on every run, and the current day is replaced by each later
-snapshot.  Python only maintains that short list; cleaning before it and the index formulas
-after it are the same column expressions the batch plans use.
+snapshot.  The state is kept as a table by day.  A micro-batch is reduced to its last row per
+cell and day, merged with the rows of the days it touches, and those days are replaced; a
+replayed micro-batch changes nothing.  Reading is the batch plan over the newest days, so no
+expression of the indices exists twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from emberline.constants import WINDOW_DATES
 from emberline.functions.clean import index_inputs
-from emberline.functions.fwi import day_terms, fold_series, with_fire_indices
-
-INPUTS = ["temperature", "humidity", "wind_speed", "rain"]
-ROW_COLUMNS = ["day", "seq", *INPUTS]
-LIST_TYPES = "day array<int>, seq array<bigint>, " + ", ".join(f"{c} array<double>" for c in INPUTS)
-SERIES_SCHEMA = "cell_id bigint, " + LIST_TYPES
-
-
-def _combine_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keep the last observation per cell and day of each Arrow batch, before the shuffle."""
-    for rows in batches:
-        yield rows.sort_values("seq", kind="stable").drop_duplicates(["cell_id", "day"], keep="last")
-
+from emberline.functions.fwi import with_fire_indices
+from emberline.operators.history import accumulate_codes, last_per_day
+from emberline.session import scratch_dir
+from emberline.sources.payloads import exists
+from emberline.sources.sinks import prune_history, write_daily
+from emberline.sources.weather import read_window
 
-def _window_keeper(window: int):
-    def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        days = {day: rest for day, *rest in zip(*state.get)} if state.exists else {}
-        for rows in batches:
-            for day, *rest in zip(*(rows[c].tolist() for c in ROW_COLUMNS)):
-                if day not in days or days[day][0] <= rest[0]:
-                    days[day] = rest
-        newest = [[day, *days[day]] for day in sorted(days)[-window:]]
-        lists = [list(values) for values in zip(*newest)]
-        state.update(tuple(lists))
-        yield pd.DataFrame({"cell_id": [key[0]], **{c: [v] for c, v in zip(ROW_COLUMNS, lists)}})
 
-    return keep
+def day_inputs(observations: DataFrame, order: str, float32: bool = True) -> DataFrame:
+    """The cleaned inputs of each observation: what the state keeps.  Works on streams."""
+    rows = index_inputs(observations, ["cell_id", "file_date", order], float32)
+    return rows.withColumnsRenamed({order: "seq", "rain": "rain_1h_mm"})
 
 
-def cell_windows(observations: DataFrame, order: str, window: int = WINDOW_DATES, float32: bool = True) -> DataFrame:
-    """Stream of each touched cell's newest ``window`` days of inputs, as parallel arrays.
+def upsert_days(spark: SparkSession, rows: DataFrame, out: str) -> None:
+    """Merge observations into the stored days: the last one of a cell and day stays.
 
-    A late observation takes its place if its date is among the cell's newest; an older one is
-    trimmed away again.  Observations of one cell and day are merged within each Arrow batch
-    first, so a busy cell does not send all its rows to one task.
+    The merged days are written beside the table first, so that a day is never read and
+    replaced at once.
+    """
+    fresh = last_per_day(rows, ["seq"])
+    merged = fresh
+    if exists(spark, out):
+        # As many dates as the micro-batch spans.
+        touched = [row["file_date"] for row in rows.select("file_date").distinct().collect()]
+        stored = spark.read.parquet(out).filter(F.col("file_date").isin(touched))
+        merged = last_per_day(stored.unionByName(fresh), ["seq"])
+    aside = scratch_dir(spark, "days")
+    merged.write.parquet(aside)
+    write_daily(spark.read.schema(merged.schema).parquet(aside), out)
+
+
+def start_window_stream(
+    inputs: DataFrame, out: str, checkpoint: str, available_now: bool = True, window: int | None = None
+):
+    """Keep the table of days up to date with a stream of ``day_inputs``.
+
+    With ``window`` the days beyond the newest ones are dropped after each micro-batch.
     """
-    rows = index_inputs(observations, ["cell_id", "file_date", order], float32).selectExpr(
-        "cell_id", "unix_date(file_date) AS day", f"{order} AS seq", *INPUTS
-    )
-    return (
-        rows.mapInPandas(_combine_batches, rows.schema)
-        .groupBy("cell_id")
-        .applyInPandasWithState(
-            _window_keeper(window), SERIES_SCHEMA, LIST_TYPES, "update", GroupStateTimeout.NoTimeout
-        )
-    )
-
-
-def codes_of_windows(windows: DataFrame, as_of_month: int) -> DataFrame:
-    """All seven indices of windows given as parallel arrays.  Works on streams and tables."""
-
-    terms = ", ".join(f"{term} AS {name}" for name, term in day_terms(as_of_month, "d.").items())
-    day = f"struct(date_from_unix_date(d.day) AS file_date, d.wind_speed AS wind_speed, {terms})"
-    series = f"transform(arrays_zip(day, {', '.join(INPUTS)}), d -> {day}) AS series"
-    return with_fire_indices(fold_series(windows.selectExpr("cell_id", series)))
-
-
-def start_window_stream(windows: DataFrame, out: str, checkpoint: str, available_now: bool = True):
-    """Write every micro-batch of windows to its own folder, so a replayed batch replaces itself."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        if not batch.isEmpty():
+            upsert_days(batch.sparkSession, batch, out)
+            if window:
+                prune_history(batch.sparkSession, out, window)
 
-    writer = windows.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+    writer = inputs.writeStream.option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.foreachBatch(write).start()
 
 
-def _latest_windows(spark: SparkSession, out: str, base: str | None) -> DataFrame:
-    """The last written window of each cell with its batch number."""
-    written = spark.read.parquet(out)
-    if base is not None:
-        compacted = spark.read.parquet(base)
-        newer = F.col("batch") > compacted.agg(F.max("batch")).scalar()
-        written = compacted.unionByName(written.filter(newer))
-    latest = F.max_by(F.struct("batch", *ROW_COLUMNS), "batch").alias("w")
-    return written.groupBy("cell_id").agg(latest).select("cell_id", "w.*")
-
-
-def compact_windows(spark: SparkSession, out: str, target: str, base: str | None = None) -> None:
-    """Write the last window of each cell to ``target``, to be read as ``base`` from then on.
-
-    Batch folders it covers are skipped by later reads and can be removed.
-    """
-    _latest_windows(spark, out, base).write.mode("overwrite").parquet(target)
+def current_days(spark: SparkSession, out: str, window: int = WINDOW_DATES) -> DataFrame:
+    """The stored days within the newest ``window`` dates over all cells."""
+    return read_window(spark, out, window)
 
 
-def current_windows(
-    spark: SparkSession, out: str, window: int = WINDOW_DATES, base: str | None = None
-) -> DataFrame:
-    """The latest window of each cell, cut to the newest ``window`` dates over all cells.
-
-    A cell's own newest dates include all its dates among the newest overall, so nothing that
-    the common cut keeps was trimmed earlier.
-    """
-    latest = _latest_windows(spark, out, base)
-    dates = latest.select(F.explode("day").alias("day")).distinct().orderBy(F.desc("day")).limit(window)
-    # Days are in order, so the cut is a suffix of every array.
-    size = F.size(F.filter("day", lambda d: d >= F.col("first_day")))
-    start = F.size("day") - F.col("n") + 1
-    return (
-        latest.withColumn("first_day", dates.agg(F.min("day")).scalar())
-        .withColumn("n", size)
-        .filter("n > 0")
-        .select("cell_id", *[F.slice(c, start, F.col("n")).alias(c) for c in ROW_COLUMNS])
-    )
+def codes_of_days(days: DataFrame, as_of_month: int) -> DataFrame:
+    """All seven indices of each cell from its stored days."""
+    return with_fire_indices(accumulate_codes(days, as_of_month, float32=False))

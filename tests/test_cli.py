@@ -39,6 +39,14 @@ def test_jobs_from_the_command_line(spark, sf, tmp_path, capfd):
     scored = spark.read.parquet(path["out"] + "/predictions/parquet")
     assert scored.count() == 14952
     assert scored.filter("danger_class IS NULL OR daily_fire_risk IS NULL").isEmpty()
+    streamed = str(tmp_path / "streamed")
+    run_job.main(["ingest", "--payloads", path["payloads"], "--mapping", path["mapping"], "--history", streamed, "--checkpoint", str(tmp_path / "cp")])
+    assert spark.read.parquet(streamed).count() == 14952
+    run_job.main(["score", "--history", streamed, "--out", str(tmp_path / "out2"), "--as-of", "2024-07-01", *ts])
+    assert spark.read.parquet(str(tmp_path / "out2/scored")).count() == 14952
+    capfd.readouterr()
+    run_job.main(["prune", "--history", streamed, "--keep", "1"])
+    assert capfd.readouterr().out.strip() == ""
 
 
 def test_import_of_daily_files(spark, tmp_path):

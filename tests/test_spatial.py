@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions.geo import inside_buffer, province
 from emberline.operators import spatial
+from emberline.session import local_table
 from emberline.plans import fixtures as fx
 
 
@@ -158,3 +159,15 @@ def test_missing_positions_match_nothing(spark):
     for limit in (100, 1):
         found = spatial.nearest_station(cell, spatial.stations(spark), max_array=limit).first()
         assert (found["nearest_station_name"], found["station_distance_m"]) == (None, None)
+
+
+def test_sites_without_a_position_do_not_count(spark):
+    cells = spatial.grid_cells(spark).filter("cell_id % 997 = 0")
+    sites = spatial.stations(spark).unionByName(
+        local_table(spark, [(99, "Nowhere", None, None)], "station_ord int, name string, lat double, lon double")
+    )
+    by_array = spatial.nearest_station(cells, sites)
+    by_tiles = spatial.nearest_station(cells, sites, max_array=1)
+    plain = spatial.nearest_station(cells, spatial.stations(spark))
+    assert by_array.exceptAll(plain).isEmpty() and by_tiles.exceptAll(plain).isEmpty()
+    assert by_array.filter("nearest_station_name IS NULL").isEmpty()

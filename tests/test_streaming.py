@@ -16,9 +16,9 @@ from emberline.streaming import ingest, state
 SCHEMA = "cell_id bigint, file_date date, seq bigint, temperature double, humidity double, wind_speed double, rain_1h_mm double"
 
 
-def run_stream(spark, source, out, checkpoint, window):
+def run_stream(spark, source, out, checkpoint, window=None):
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
-    state.start_window_stream(state.cell_windows(stream, "seq", window), out, checkpoint).awaitTermination()
+    state.start_window_stream(state.day_inputs(stream, "seq"), out, checkpoint, window=window).awaitTermination()
 
 
 def batch(rows, window):
@@ -27,7 +27,7 @@ def batch(rows, window):
 
 
 def assert_same(spark, out, rows, window):
-    got = state.codes_of_windows(state.current_windows(spark, out, window), 7)
+    got = state.codes_of_days(state.current_days(spark, out, window), 7)
     expected = batch(rows, window).select(*got.columns)
     got, expected = (sorted(map(tuple, df.collect())) for df in (got, expected))
     assert len(got) == len(expected) > 0
@@ -43,7 +43,7 @@ def test_shuffled_arrival_equals_batch(spark, sf, tmp_path, window):
     source = str(tmp_path / "in")
     # Four files in hash order: later files bring earlier days and earlier snapshots.
     rows.repartition(4, "seq").write.parquet(source)
-    run_stream(spark, source, str(tmp_path / "out"), str(tmp_path / "cp"), window)
+    run_stream(spark, source, str(tmp_path / "out"), str(tmp_path / "cp"))
     assert_same(spark, str(tmp_path / "out"), rows, window)
 
 
@@ -54,22 +54,62 @@ def test_state_survives_a_restart_and_drops_what_is_too_old(spark, tmp_path):
 
     def land(*rows):
         spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
-        run_stream(spark, source, out, checkpoint, 3)
+        run_stream(spark, source, out, checkpoint, window=3)
 
     land(*[(1, day(n), n, 20.0 + n, 40.0, 5.0, 0.0) for n in range(3)])
     land((1, day(3), 10, 25.0, 40.0, 5.0, 0.0))
     # Late but within the window; then too old; then an outdated and a newer snapshot of a day.
     land((1, day(2), 11, 30.0, 30.0, 9.0, 0.0), (1, day(0), 12, 50.0, 1.0, 50.0, 0.0))
     land((1, day(3), 9, -5.0, 90.0, 1.0, 9.0), (1, day(2), 13, 31.0, 30.0, 9.0, 0.0))
-    window = state.current_windows(spark, out, 3).first()
-    assert len(window["day"]) == 3 and window["temperature"] == [21.0, 31.0, 25.0]
+    days = state.current_days(spark, out, 3).orderBy("file_date").collect()
+    assert [row["temperature"] for row in days] == [21.0, 31.0, 25.0]
+    assert sorted(weather.partition_dates(spark, out)) == [day(1), day(2), day(3)]
     assert_same(spark, out, spark.read.schema(SCHEMA).parquet(source), 3)
-    state.compact_windows(spark, out, str(tmp_path / "base"))
     land((1, day(4), 14, 12.0, 40.0, 5.0, 0.0), (2, day(4), 15, 12.0, 40.0, 5.0, 0.0))
-    whole = state.current_windows(spark, out, 3)
-    based = state.current_windows(spark, out, 3, str(tmp_path / "base"))
-    assert whole.exceptAll(based).isEmpty() and based.exceptAll(whole).isEmpty() and based.count() == 2
-    assert spark.read.parquet(str(tmp_path / "base")).count() == 1
+    assert_same(spark, out, spark.read.schema(SCHEMA).parquet(source), 3)
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([(1, datetime.date(2024, 6, 1), 1, 20.0, 40.0, 5.0, 0.0)], SCHEMA)
+    for _ in range(2):
+        state.upsert_days(spark, state.day_inputs(rows, "seq"), str(tmp_path / "out"))
+    assert state.current_days(spark, str(tmp_path / "out")).count() == 1
+
+
+def test_no_python_in_the_window_stream(spark, plan_of):
+    rows = spark.createDataFrame([(1, datetime.date(2024, 6, 1), 1, 20.0, 40.0, 5.0, 0.0)], SCHEMA)
+    plan = plan_of(state.codes_of_days(history.last_per_day(state.day_inputs(rows, "seq"), ["seq"]), 7))
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def ingest_in_order(spark, tmp_path, name, payloads):
+    """One file, hence one micro-batch, per payload in the given order."""
+    folder = tmp_path / name
+    (folder / "in").mkdir(parents=True)
+    mapping = local_table(
+        spark, [(50.0, -110.0, "Calgary"), (51.0, -110.0, "Regina")], "lat double, lon double, nearest_station_name string"
+    )
+    for number, (station, at, payload) in enumerate(payloads):
+        line = json.dumps({"station": station, "fetched_at": at, "payload": payload})
+        (folder / "in" / f"{number}.json").write_text(line)
+        stream = landed.stream_payloads(spark, str(folder / "in"), files_per_batch=1)
+        ingest.start_ingest(stream, mapping, str(folder / "daily"), str(folder / "cp")).awaitTermination()
+    rows = weather.read_history_table(spark, str(folder / "daily")).collect()
+    return {(r["file_date"].day, r["nearest_station"]): r["temperature"] for r in rows}
+
+
+def test_stations_and_times_in_any_order_of_micro_batches(spark, tmp_path):
+    temp = lambda value: {"main": {"temp": value}}
+    payloads = [
+        ("Calgary", "2024-06-01T12:10:00Z", temp(25)),
+        ("Regina", "2024-06-01T12:20:00Z", temp(2)),
+        ("Calgary", "2024-06-01T06:00:00Z", temp(5)),
+        ("Regina", "2024-06-01T12:30:00Z", "broken"),
+        ("Calgary", "2024-06-01T12:05:00Z", temp(24)),
+    ]
+    expected = {(1, "Calgary"): 25.0, (1, "Regina"): 2.0}
+    assert ingest_in_order(spark, tmp_path, "forth", payloads) == expected
+    assert ingest_in_order(spark, tmp_path, "back", payloads[::-1]) == expected
 
 
 def test_ingest_replaces_the_day_with_each_run(spark, tmp_path):

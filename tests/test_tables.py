@@ -54,8 +54,16 @@ def test_window_counts_files_before_bad_ones_are_skipped(spark, folder):
 
 def test_columns_by_name(spark, folder):
     (folder / "2024-06-05.csv").write_text("lon,lat,temperature\n-110.0,50.0,17.0\n")
-    got = weather.load_history(spark, str(folder), by_name=True).filter("file_date = '2024-06-05'").first()
+    got = weather.load_history(spark, str(folder)).filter("file_date = '2024-06-05'").first()
     assert (got["lat"], got["lon"], got["temperature"], got["humidity"]) == (50.0, -110.0, 17.0, None)
+    groups = weather.headers(spark, weather.newest_files(spark, str(folder)))
+    assert sorted(len(paths) for paths in groups.values()) == [1, 4]
+
+
+@pytest.mark.parametrize("text, sound", [("1d", False), ("17.0f", False), ("1e3", True), (" -.5 ", True), ("+7.", True), ("0x1", False), ("inf", True), ("1_0", False)])
+def test_what_is_a_number(spark, folder, text, sound):
+    (folder / "2024-06-06.csv").write_text(f"{HEADER}\n{daily_line(50.0, -110.0, text)}\n")
+    assert (weather.load_history(spark, str(folder)).filter("file_date = '2024-06-06'").count() == 1) == sound
 
 
 def test_no_files_is_an_error(spark, tmp_path):
@@ -227,11 +235,8 @@ def test_refresh_end_to_end(spark, sf, tmp_path):
     log = spark.read.parquet(f"{out}/run_log")
     assert log.count() == 3
     assert report.training_records(log).first()[0] == stats["processed_successfully"]
-    document = json.loads(
-        sinks.json_document(predictions, report.run_stats(predictions.withColumn("reject_reason", F.lit(None))), F.lit("now")).first()[0]
-    )
-    assert document["success"] is True and len(document["data"]) == predictions.count()
-    assert list(document) == ["success", "data", "model_info", "processing_stats", "timestamp", "last_updated"]
+    envelope = spark.read.json(f"{out}/envelope").first()
+    assert envelope["success"] is True and envelope["processing_stats"]["total_locations"] == stats["total_locations"]
     soon = datetime.datetime.now(datetime.timezone.utc) + datetime.timedelta(minutes=30)
     stored_predictions = spark.read.parquet(f"{out}/predictions/parquet")
     for later, status in ((0, "healthy"), (3, "degraded"), (30, "unhealthy")):
@@ -256,10 +261,60 @@ def test_snapshot_written_last(spark):
     assert history.latest_snapshot(rows, "written").first()["file_date"] == datetime.date(2024, 1, 1)
 
 
-def test_document_refuses_large_results(spark, monkeypatch):
-    monkeypatch.setattr(sinks, "DOCUMENT_ROWS", 2)
+def test_the_46th_day_drops_the_first(spark, sf, tmp_path):
+    path = str(tmp_path / "history")
+    first = datetime.date(2024, 1, 1)
+    days = spark.range(46).selectExpr("50.0D AS lat", "-110.0D AS lon", f"date_add(DATE'{first}', cast(id AS int)) AS file_date", "20.0D AS temperature")
+    sinks.write_daily(days, path)
+    assert sinks.prune_history(spark, path) == [first]
+    kept = sorted(weather.partition_dates(spark, path))
+    assert len(kept) == 45 and kept[0] == datetime.date(2024, 1, 2)
+    assert sinks.prune_history(spark, path) == [] and weather.read_window(spark, path).count() == 45
+
+
+def test_the_window_opens_no_other_file(spark, sf, tmp_path):
+    path = str(tmp_path / "history")
+    sinks.write_daily(fx.wx_daily(spark, sf), path)
+    dates = sorted(weather.partition_dates(spark, path))
+    window = weather.read_window(spark, path, 5)
+    scored = scoring.predictions(window, 7, bounds=(F.lit(dates[-5]), F.lit(dates[-1])))
+    # From here on a file of an older date ends any query that opens it.
+    for day in dates[:-5]:
+        for name in os.listdir(f"{path}/file_date={day}"):
+            with open(f"{path}/file_date={day}/{name}", "w") as file:
+                file.write("no parquet")
+    assert window.count() > 0 and scored.count() > 0
+    with pytest.raises(Exception):
+        spark.read.schema(window.schema).parquet(path).select("temperature").collect()
+
+
+def test_scoring_reads_the_history_once(spark, sf, tmp_path, plan_of):
+    path = str(tmp_path / "history")
+    sinks.write_daily(fx.wx_daily(spark, sf), path)
+    history_rows = weather.read_history_table(spark, path)
+    bounds = (F.lit(datetime.date(2024, 1, 1)), F.lit(datetime.date(2024, 1, 30)))
+    plan = plan_of(scoring.predictions(history_rows, 7, bounds=bounds))
+    assert plan.count("FileScan parquet") == 1 and "Join" not in plan
+
+
+def test_an_earlier_snapshot_can_be_scored(spark, sf, tmp_path):
+    path, out = str(tmp_path / "history"), str(tmp_path / "out")
+    sinks.write_daily(fx.wx_daily(spark, sf).drop("cell_id", "event_id").dropDuplicates(["lat", "lon", "file_date"]), path)
+    day = sorted(weather.partition_dates(spark, path))[-3]
+    jobs.score_stored(spark, path, None, out, "2024-02-01 00:00:00", as_of=day)
+    expected = weather.read_history_table(spark, path).filter(F.col("file_date") == F.lit(day)).count()
+    assert spark.read.parquet(f"{out}/scored").count() == expected
     with pytest.raises(ValueError):
-        sinks.json_document(spark.range(3), spark.range(1), F.lit("now"))
+        jobs.score_stored(spark, path, None, out, "x", as_of=datetime.date(1999, 1, 1))
+
+
+def test_broken_last_payload_hides_no_good_one(spark):
+    at = lambda minute: datetime.datetime(2024, 6, 1, 6, minute)
+    rows = [("Calgary", at(0), '{"main":{"temp":7}}'), ("Calgary", at(5), "{oops"), ("Regina", at(1), "[1]")]
+    payloads = spark.createDataFrame(rows, landed.LANDING_SCHEMA)
+    assert [(r["station"], r["temperature"]) for r in jobs.latest_weather(spark, payloads).collect()] == [("Calgary", 7.0)]
+    rejects = landed.unreadable_payloads(payloads).collect()
+    assert sorted((r["station"], r["reject_reason"]) for r in rejects) == [("Calgary", "payload_no_json"), ("Regina", "payload_no_object")]
 
 
 def test_empty_predictions_are_an_error(spark, tmp_path):
