@@ -20,8 +20,8 @@ sequence.
 from __future__ import annotations
 
 import base64
-import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -42,8 +42,27 @@ SPECIAL = {"<|endoftext|>": 50_256}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
-# Where a text may not be cut at a space: beside other white space, or at its ends.
-UNSAFE = re.compile(r"\s |\s\Z| \s|\A ")
+# The white space of texts besides the plain space.
+OTHER_SPACES = [chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def may_be_cut(text: str) -> bool:
+    """Whether every plain space stands between two characters that are no white space."""
+    if text[0] == " " or text[-1] == " " or "  " in text:
+        return False
+    return not any(space in text and (f" {space}" in text or f"{space} " in text) for space in OTHER_SPACES)
+
+
+class _Parts(dict):
+    """Ids of what follows a space, made when first asked for."""
+
+    def __init__(self, encoding):
+        super().__init__()
+        self.encode = encoding.encode_ordinary
+
+    def __missing__(self, part: str) -> bytes:
+        found = self[part] = array("I", self.encode(" " + part)).tobytes()
+        return found
 
 
 class Tokenizer:
@@ -55,26 +74,17 @@ class Tokenizer:
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=SPECIAL)
-        self.cache: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.encoding.encode(text, allowed_special="all"), "<u4").tobytes()
+        self.parts = _Parts(self.encoding)
 
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        if UNSAFE.search(text) or any(special in text for special in SPECIAL):
-            return self._whole(text)
-        parts = text.split(" ")
-        parts[1:] = [" " + part for part in parts[1:]]
-        cache = self.cache
-        missing = [part for part in dict.fromkeys(parts) if part not in cache]
-        if len(cache) + len(missing) > CACHED_PARTS:
-            cache.clear()
-            missing = list(dict.fromkeys(parts))
-        for part in missing:
-            cache[part] = np.array(self.encoding.encode_ordinary(part), "<u4").tobytes()
-        return b"".join(map(cache.__getitem__, parts))
+        if not may_be_cut(text) or any(special in text for special in SPECIAL):
+            return array("I", self.encoding.encode(text, allowed_special="all")).tobytes()
+        if len(self.parts) > CACHED_PARTS:
+            self.parts.clear()
+        first, *rest = text.split(" ")
+        return array("I", self.encoding.encode_ordinary(first)).tobytes() + b"".join(map(self.parts.__getitem__, rest))
 
 
 _tokenizers: dict[tuple, Tokenizer] = {}
