@@ -9,6 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 BATCH_BYTES = 4 << 20
+ROWS_AT_ONCE = 250
 
 
 def map_groups(
@@ -38,8 +39,8 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], batch_bytes
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            piece = batch.slice(at, 1000)
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            piece = batch.slice(at, ROWS_AT_ONCE)
             held.append(piece)
             size += piece.get_total_buffer_size() if piece.num_rows == batch.num_rows else piece.nbytes
             if size < batch_bytes:

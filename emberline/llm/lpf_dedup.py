@@ -42,7 +42,7 @@ def byte_codes(contents: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(content, np.uint8).astype(np.uint16) + np.uint16(1) for content in contents]
 
 
-def byte_items(width: int = WIDTH, gram: int = GRAM, batch_bytes: int = 3 << 19, group_items: int = 6 << 20) -> Items:
+def byte_items(width: int = WIDTH, gram: int = GRAM, batch_bytes: int = 1 << 18, group_items: int = 4 << 20) -> Items:
     return Items(width, min(gram, width), split_bytes, byte_codes, batch_bytes, group_items)
 
 
@@ -66,26 +66,26 @@ def nearest_smaller(places: np.ndarray, common: np.ndarray) -> tuple[np.ndarray,
     return previous, shared
 
 
-def longest_previous_factor(order: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """By place: the longest common prefix with a suffix of a smaller place."""
-    _, before = nearest_smaller(order, common)
+def longest_previous_factor(places: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The longest common prefix of each suffix in order with one of a smaller place."""
+    _, before = nearest_smaller(places, common)
     # The other way round, the common prefix belongs to the suffix behind.
-    _, after = nearest_smaller(order[::-1], np.append(common[1:], 0)[::-1])
-    factor = np.empty(len(order), np.int64)
-    factor[order] = np.maximum(before, after[::-1])
-    return factor
+    _, after = nearest_smaller(places[::-1], np.append(common[1:], 0)[::-1])
+    return np.maximum(before, after[::-1])
 
 
 def repeated_windows(pieces: list[Piece], width: int, later_only: bool) -> list[np.ndarray]:
     """The windows of each piece that occur elsewhere in the pieces, or only those that occur earlier."""
     by_place = sorted(range(len(pieces)), key=lambda i: (pieces[i].id, pieces[i].start))
     codes, owner, left = laid_end_to_end([pieces[i].codes for i in by_place])
-    order, common = suffix_order(codes, width)
-    matched = longest_previous_factor(order, common) >= width
+    # A factor of the width lies within a stretch of the order in which all share so much.
+    order, common = suffix_order(codes, width, left >= width)
+    factor = longest_previous_factor(order, common)
     if not later_only:
-        reverse = len(codes) - 1 - order
-        matched |= longest_previous_factor(reverse, common)[::-1] >= width
-    hits = np.flatnonzero(matched & (left >= width))
+        factor = np.maximum(factor, longest_previous_factor(-order, common))
+    matched = np.zeros(len(codes), bool)
+    matched[order[factor >= width]] = True
+    hits = np.flatnonzero(matched)
     firsts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(pieces)
     cuts = np.searchsorted(hits, np.append(firsts, len(codes)))

@@ -54,9 +54,12 @@ def deep_nodes(common: np.ndarray, depth: int) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
 
 
-def maximal_repeats(codes: np.ndarray, depth: int) -> list[np.ndarray]:
-    """The places of each repeat of ``depth`` codes, in order; one array per deep node."""
-    order, common = suffix_order(codes, depth)
+def maximal_repeats(codes: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> list[np.ndarray]:
+    """The places of each repeat of ``depth`` codes, in order; one array per deep node.
+
+    Only ``wanted`` places count, if given.
+    """
+    order, common = suffix_order(codes, depth, wanted)
     return [order[first : last + 1] for first, last in deep_nodes(common, depth)]
 
 
@@ -65,10 +68,10 @@ def repeated_windows(pieces: list[Piece], width: int, later_only: bool) -> list[
     by_place = sorted(range(len(pieces)), key=lambda i: (pieces[i].id, pieces[i].start))
     codes, owner, left = laid_end_to_end([pieces[i].codes for i in by_place])
     matched = np.zeros(len(codes), bool)
-    for leaves in maximal_repeats(codes, width):
+    for leaves in maximal_repeats(codes, width, left >= width):
         # Leaves of a node stand in order of place: the first is the first occurrence.
         matched[leaves[1:] if later_only else leaves] = True
-    hits = np.flatnonzero(matched & (left >= width))
+    hits = np.flatnonzero(matched)
     firsts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
     cuts = np.searchsorted(hits, np.append(firsts, len(codes)))
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(pieces)

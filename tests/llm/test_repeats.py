@@ -95,7 +95,15 @@ def test_suffix_order_and_previous_factors(seed):
             k += 1
         return k
 
-    factor = lpf_dedup.longest_previous_factor(order, common)
+    wanted = r.random(n) < 0.7
+    tied, shared_by = suffix_order(codes, depth, wanted & (np.arange(n) + depth <= n))
+    full = [i for i in order.tolist() if wanted[i] and i + depth <= n]
+    several = [i for i in full if sum(cut[i] == cut[j] for j in full) > 1]
+    assert [i for i in tied.tolist() if i in several] == several
+    for a, b, c in zip(tied.tolist(), tied.tolist()[1:], shared_by.tolist()[1:]):
+        assert (c == depth) == (cut[a] == cut[b])
+    factor = np.empty(n, int)
+    factor[order] = lpf_dedup.longest_previous_factor(order, common)
     for i in range(n):
         longest = max((shared(i, j) for j in range(i)), default=0)
         assert (factor[i] >= depth) == (longest >= depth) and factor[i] <= longest
