@@ -44,6 +44,8 @@ def suffix_order(codes: np.ndarray, depth: int, wanted: np.ndarray | None = None
         step = min(length, depth - length)
         if wanted is not None and 2 * length * FEW_OFFSETS >= depth:
             open_ = open_[_needed(open_[wanted[open_]], n, depth, 2 * length, last_step)[open_]]
+            if not len(open_):
+                break
         after = np.zeros(len(open_), np.int64)
         inside = open_ + step < n
         after[inside] = rank[open_[inside] + step] + 1

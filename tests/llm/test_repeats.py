@@ -109,6 +109,13 @@ def test_suffix_order_and_previous_factors(seed):
         assert (factor[i] >= depth) == (longest >= depth) and factor[i] <= longest
 
 
+def test_no_suffix_is_left_to_sort():
+    codes = np.tile(np.arange(1, 40), 3)
+    for wanted in (np.zeros(len(codes), bool), np.arange(len(codes)) < 5):
+        order, common = suffix_order(codes, 300, wanted)
+        assert len(order) == len(common) == 0 or not (common >= 300).any()
+
+
 def test_deep_nodes_are_the_repeats():
     codes = np.array([1, 2, 3, 9, 1, 2, 3, 8, 2, 3])
     nodes = suffix_tree_dedup.maximal_repeats(codes, 3)
