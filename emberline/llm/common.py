@@ -41,6 +41,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Rows of an Arrow batch: few, as a row may hold a very long text.
+BATCH_ROWS = 1_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session hands rows to Python in batches of BATCH_ROWS at most."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def map_rows(df: DataFrame, rows: Callable[..., Iterable[tuple]], schema: str, flush: int = 20_000) -> DataFrame:
     """Rows made by ``rows(*values)`` from each row of ``df``; batches hold about ``flush`` rows.
 
@@ -61,7 +73,7 @@ def map_rows(df: DataFrame, rows: Callable[..., Iterable[tuple]], schema: str, f
         if out:
             yield to_batch(out, arrow)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def to_batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:

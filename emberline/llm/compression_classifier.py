@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import arrow_schema, arrays_to_batch
+from emberline.llm.common import arrays_to_batch, arrow_schema, small_batches
 
 PER_CLASS = 4_000
 CALIBRATION = 2_000
@@ -238,7 +238,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
             scores = [shared.value.score(value) for value in batch.column(1).to_pylist()]
             yield arrays_to_batch([batch.column(0), scores, [int(value >= threshold) for value in scores]], arrow)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(run, schema)
+    return small_batches(docs.select(F.col(id_col).cast("long"), F.col(text))).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from emberline.llm.common import PRESENT, arrays_to_batch, arrow_schema, stored
+from emberline.llm.common import PRESENT, arrays_to_batch, arrow_schema, small_batches, stored
 from emberline.llm.components import connected_components
 from emberline.llm.groups import map_groups
 from emberline.llm.hashing import mix, run_hashes, word_hashes
@@ -111,7 +111,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", valu
         if ids:
             yield sign(ids, hashes, sets)
 
-    return docs.select(F.col(id_col).cast("long"), F.xxhash64(text), F.col(text)).mapInArrow(run, SIGNED)
+    return small_batches(docs.select(F.col(id_col).cast("long"), F.xxhash64(text), F.col(text))).mapInArrow(run, SIGNED)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:

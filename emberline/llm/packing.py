@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import arrow_schema, stored, to_batch
+from emberline.llm.common import arrow_schema, small_batches, stored, to_batch
 from emberline.llm.groups import map_groups
 
 CAPACITY = 1_024
@@ -139,7 +139,7 @@ def token_pieces(
             if rows:
                 yield to_batch(rows, arrow)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(run, schema)
+    return small_batches(docs.select(F.col(id_col).cast("long"), F.col(text))).mapInArrow(run, schema)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:

@@ -17,14 +17,16 @@ rows are judged each; further columns stay untouched whatever their names.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from emberline.llm.common import BLANKS, PRESENT, arrow_schema, map_rows, words_of
+from emberline.llm.common import BLANKS, PRESENT, arrow_schema, map_rows, small_batches, words_of
 
 # Fixed values of the base counts.
 SYMBOLS = "#*$%&|<>"
@@ -144,20 +146,19 @@ def judge(text: str | None, max_lost: float = MAX_LOST) -> tuple:
 
 
 def with_verdicts(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
-    """Every row of ``docs`` as the struct ``row``, with its ``verdict`` and ``cleaned`` text."""
+    """Every row of ``docs`` as the struct ``row``, with the columns of VERDICT and the ``cleaned`` text."""
     packed = docs.select(F.struct(F.lit(True).alias(PRESENT), *[F.col(f"`{name}`") for name in docs.columns]).alias("row"))
-    judged = packed.withColumn("judged", _judge_udf(max_lost)(F.col("row").getField(text)))
-    return judged.select("row", F.col("judged").dropFields("cleaned").alias("verdict"), F.col("judged.cleaned").alias("cleaned"))
+    made = StructType([*packed.schema.fields, *StructType.fromDDL(f"{VERDICT}, cleaned string").fields])
+    kinds = arrow_schema(docs, f"{VERDICT}, cleaned string")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            judged = zip(*(judge(value.as_py(), max_lost) for value in batch.column(0).field(text)))
+            values = [pa.array(column, kind.type) for column, kind in zip(judged, kinds)]
+            if values:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *values], names=["row", *kinds.names])
 
-def _judge_udf(max_lost: float):
-    names = [field.name for field in arrow_schema(None, f"{VERDICT}, cleaned string")]
-
-    @F.pandas_udf(f"{VERDICT}, cleaned string")
-    def judged(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([judge(value, max_lost) for value in texts], columns=names)
-
-    return judged
+    return small_batches(packed).mapInArrow(run, made)
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
@@ -175,6 +176,6 @@ def clean_documents(docs: DataFrame, text: str = "text", n_chars: str | None = N
 
     ``n_chars`` names a column that is to hold the length of the cleaned text.
     """
-    kept = with_verdicts(docs, text, max_lost).where("verdict.kept")
+    kept = with_verdicts(docs, text, max_lost).where("kept")
     replaced = {text: F.col("cleaned")} | ({n_chars: F.length("cleaned").cast(docs.schema[n_chars].dataType)} if n_chars else {})
     return kept.select([replaced.get(name, F.col("row").getField(name)).alias(name) for name in docs.columns])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from emberline.llm.common import PRESENT, arrays_to_batch, arrow_schema, stored
+from emberline.llm.common import PRESENT, arrays_to_batch, arrow_schema, small_batches, stored
 from emberline.llm.groups import map_groups
 from emberline.llm.hashing import mix, run_hashes, sliding_min
 
@@ -139,7 +139,7 @@ def text_segments(docs: DataFrame, items: Items, hashed: bool) -> DataFrame:
         if size:
             yield flush()
 
-    return docs.select("id", "text").mapInArrow(run, SEGMENTS)
+    return small_batches(docs.select("id", "text")).mapInArrow(run, SEGMENTS)
 
 
 def repeated_stretches(
