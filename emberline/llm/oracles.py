@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emberline.llm import mixing, quality_rules
+from emberline.llm import minhash_dedup, mixing, quality_rules, suffix_tree_dedup
 from emberline.llm.queries import LISTED_HOSTS, URL_RULES
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -150,10 +150,73 @@ SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken
 """
 
 
+def near_duplicate_sql() -> str:
+    m = minhash_dedup
+    shingle = " || ' ' || ".join(["word"] + [f"w{i}" for i in range(1, m.SHINGLE)])
+    leads = ", ".join(f"lead(word, {i}) OVER seq AS w{i}" for i in range(1, m.SHINGLE))
+    return rf"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS words
+  FROM documents
+), word_rows AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM docs
+), runs AS (
+  SELECT doc_id, word, {leads} FROM word_rows WINDOW seq AS (PARTITION BY doc_id ORDER BY pos)
+), sets AS (
+  SELECT DISTINCT doc_id, {shingle} AS shingle FROM runs WHERE w{m.SHINGLE - 1} IS NOT NULL
+  UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM docs WHERE len(words) BETWEEN 1 AND {m.SHINGLE - 1}
+), sizes AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT u, v FROM common JOIN sizes a ON a.doc_id = u JOIN sizes b ON b.doc_id = v
+  WHERE 100 * common.n >= {m.PERCENT} * (a.n + b.n - common.n)
+), reach AS (
+  SELECT doc_id AS u, doc_id AS v FROM docs UNION SELECT reach.u, links.v FROM reach JOIN links ON links.u = reach.v
+), least AS (
+  SELECT u AS doc_id, min(v) AS component_id FROM reach GROUP BY u
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN sizes USING (doc_id)
+"""
+
+
+def passage_sql() -> str:
+    width = suffix_tree_dedup.WIDTH
+    return rf"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents
+), word_rows AS MATERIALIZED (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM docs
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(words) - {width - 2})) AS pos, words FROM docs WHERE len(words) >= {width}
+), named AS (
+  SELECT doc_id, pos, md5(array_to_string(words[pos:pos + {width - 1}], ' ')) AS name FROM windows
+), repeated AS (
+  SELECT doc_id, pos FROM named QUALIFY count(*) OVER (PARTITION BY name) > 1
+), marked AS (
+  SELECT w.doc_id, w.pos, w.word, r.pos AS hit,
+    max(r.pos) OVER (PARTITION BY w.doc_id ORDER BY w.pos) > w.pos - {width} AS gone
+  FROM word_rows w LEFT JOIN repeated r ON r.doc_id = w.doc_id AND r.pos = w.pos
+), spans AS (
+  SELECT *, coalesce(gone, false) AS out, lag(coalesce(gone, false), 1, false) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM marked
+), counted AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (out) AS n_removed, count(*) FILTER (out AND NOT before) AS n_spans,
+    coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT out), '') AS kept
+  FROM spans GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256,
+  coalesce(n_spans, 0) AS n_spans
+FROM docs d LEFT JOIN counted c ON c.doc_id = d.doc_id
+"""
+
+
 def build() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_sql(),
         "op2_chat_format": CHAT_SQL,
         "op5_url_filters": url_sql(),
+        "op6_minhash_dedup": near_duplicate_sql(),
         "op7_mixing": mixing_sql(),
+        "op8_suffix_tree_dedup": passage_sql(),
     }
