@@ -2,18 +2,22 @@
 
 A vector is turned by a fast pseudo-rotation (three rounds of random signs and a Hadamard
 transform) and falls into the bucket of its nearest signed axis; each of ``TABLES`` tables
-has a rotation of its own.  A query looks into the buckets of its ``PROBES`` nearest axes of
-each table, and everything there is ranked by its exact inner product in double precision.
+has a rotation of its own.  A query looks into the buckets of its nearest axes of each table
+(``PROBES`` or an eighth of all axes, whichever is more), and everything there is ranked by
+its exact inner product in double precision.
 With ``functions`` over 1 a bucket is that of several rotations together, for tables whose
 buckets would be too large with one.
 
 Buckets are dealt into blocks of vectors and of queries; a pair of blocks is one unit of
 work, one matrix product.  Equal vectors are one entry that knows the ids that can be
-asked of it, so a vector that a third of all rows share costs what one costs.  A query that
-finds too few neighbours in its buckets is compared with all vectors, in blocks.
+asked of it, so a vector that a third of all rows share costs what one costs.
 
-Vectors of unequal length are given one more component that makes them equal, so that the
-largest inner product is the nearest direction.
+Buckets know directions only, so what they miss is made good by length.  Vectors are parted
+into bands of similar length.  With the least score a query has found, a vector of a band can
+only be nearer if its cosine to the query is over that score by both lengths.  A query is
+done with a band if no cosine is that large, or if buckets find a vector of that cosine with
+the probability ``recall`` (tried out on random pairs for each width).  Otherwise it is
+compared with the whole band, in blocks; a query that found too few is with every band.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components
 take no part, nor do rows with a null id; vectors of another dimension than the query's are
@@ -39,7 +43,10 @@ PROBES = 16
 NEIGHBOURS = 20
 BLOCK = 4_096
 SEED = 11
-ALL = -1
+RECALL = 0.95
+BANDS = 8
+MADE_BYTES = 16 << 20
+TRIED_PAIRS = 400
 
 
 def hadamard(rows: np.ndarray) -> np.ndarray:
@@ -59,15 +66,28 @@ def rotated(rows: np.ndarray, table: int, function: int) -> np.ndarray:
     return rows
 
 
-def padded(vectors: np.ndarray, longest: float, query: bool) -> np.ndarray:
-    """Vectors at a width of a power of two; ``longest`` over 0 asks for the component that evens lengths."""
+def width_of(d: int) -> int:
+    return 1 << max(1, (d - 1).bit_length())
+
+
+def probes_of(width: int, probes: int | None) -> int:
+    """``probes``, or by default a fixed share of the ``2 * width`` axes."""
+    return probes or max(PROBES, width // 4)
+
+
+def lengths_of(rows: np.ndarray) -> np.ndarray:
+    """Euclidean lengths, also where squares leave the range of doubles."""
+    most = np.abs(rows).max(axis=1)
+    with np.errstate(over="ignore"):
+        return np.minimum(most * np.sqrt(((rows / most[:, None]) ** 2).sum(axis=1)), np.finfo(float).max)
+
+
+def directions(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length 1 at a width of a power of two."""
     n, d = vectors.shape
-    width = 1 << max(1, (d + (longest > 0) - 1).bit_length())
-    out = np.zeros((n, width))
-    out[:, :d] = vectors
-    if longest > 0 and not query:
-        out[:, d] = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(axis=1), 0))
-    return out
+    out = np.zeros((n, width_of(d)))
+    out[:, :d] = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return out / lengths_of(out)[:, None]
 
 
 def buckets_of(rows: np.ndarray, table: int, probes: int, functions: int) -> np.ndarray:
@@ -88,23 +108,48 @@ def buckets_of(rows: np.ndarray, table: int, probes: int, functions: int) -> np.
     return best
 
 
-def _hashed(vectors: DataFrame, kind: str, query: bool, longest: float, tables: int, probes: int, functions: int) -> DataFrame:
+def safe_cosine(width: int, tables: int, probes: int, functions: int, recall: float) -> float:
+    """The least cosine (in steps of 0.01) at which buckets find a vector with probability ``recall``; over 1 if none."""
+    pairs = np.random.Generator(np.random.PCG64([SEED, width])).normal(size=(2, TRIED_PAIRS, width))
+    one = pairs[0] / np.linalg.norm(pairs[0], axis=1, keepdims=True)
+    other = pairs[1] - (pairs[1] * one).sum(axis=1, keepdims=True) * one
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    looked = [buckets_of(one, table, probes, functions) for table in range(tables)]
+    low, high = 0, 101
+    while low < high:
+        middle = (low + high) // 2
+        there = one * (middle / 100) + other * np.sqrt(max(0.0, 1 - (middle / 100) ** 2))
+        met = np.any([(buckets_of(there, table, 1, functions) == looked[table]).any(axis=1) for table in range(tables)], axis=0)
+        if met.mean() >= recall:
+            high = middle
+        elif middle == 100:
+            return 2.0
+        else:
+            low = middle + 1
+    return high / 100
+
+
+def _hashed(vectors: DataFrame, kind: str, query: bool, tables: int, probes: int | None, functions: int) -> DataFrame:
     """A row for each bucket that a vector (``node, vector``) belongs to or looks into."""
     schema = "node long, space int, bucket long, vector binary"
     arrow = arrow_schema(vectors, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                nodes, raw = part.column("node").to_numpy(), part.column("vector").to_pylist()
-                sizes = np.array([len(value) for value in raw])
-                for size in np.unique(sizes):
-                    own = np.flatnonzero(sizes == size)
-                    rows = padded(_matrix([raw[i] for i in own], kind), longest, query)
-                    made = [buckets_of(rows, table, probes if query else 1, functions) for table in range(tables)]
+            nodes, raw = batch.column("node").to_numpy(), batch.column("vector").to_pylist()
+            sizes = np.array([len(value) for value in raw])
+            for size in np.unique(sizes):
+                alike = np.flatnonzero(sizes == size)
+                d = int(size) // np.dtype(kind).itemsize
+                wanted = probes_of(width_of(d), probes) if query else 1
+                # What is made at once is bounded in bytes, however wide vectors are.
+                step = max(1, min(500, MADE_BYTES // (int(size) * wanted * tables)))
+                for at in range(0, len(alike), step):
+                    own = alike[at : at + step]
+                    rows = directions(_matrix([raw[i] for i in own], kind))
+                    made = [buckets_of(rows, table, wanted, functions) for table in range(tables)]
                     each = made[0].shape[1] * tables
-                    spaces = np.repeat(np.arange(tables) + tables * (size // np.dtype(kind).itemsize), made[0].shape[1])
+                    spaces = np.repeat(np.arange(tables) + tables * d, made[0].shape[1])
                     yield arrays_to_batch(
                         [np.repeat(nodes[own], each), np.tile(spaces, len(own)), np.concatenate(made, axis=1).ravel(), [raw[i] for i in own for _ in range(each)]],
                         arrow,
@@ -202,11 +247,15 @@ def nearest(
     vector: str = "embedding",
     k: int = NEIGHBOURS,
     tables: int = TABLES,
-    probes: int = PROBES,
+    probes: int | None = None,
     functions: int = 1,
     block: int = BLOCK,
+    recall: float = RECALL,
 ) -> DataFrame:
-    """``query_id, rank, vec_id, score`` of the rows for which ``is_query`` holds."""
+    """``query_id, rank, vec_id, score`` of the rows for which ``is_query`` holds.
+
+    ``recall`` is the least probability with which each true neighbour is found; over 1 all are.
+    """
     sound = (
         f"`{vector}` IS NOT NULL AND `{id_col}` IS NOT NULL AND exists(`{vector}`, x -> x <> 0) "
         f"AND forall(`{vector}`, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) <= 1.7976931348623157E308D)"
@@ -228,21 +277,33 @@ def nearest(
         .select("vec_id", "node"),
         "queries",
     )
-    lengths = known.agg(F.min("length").alias("a"), F.max("length").alias("b")).first()
-    longest = lengths["b"] if lengths["b"] is not None and lengths["a"] < lengths["b"] * (1 - 1e-6) else 0.0
-
-    wanted = known.join(asked.select("node").distinct(), "node", "left_semi").select("node", "vector")
-    found = _best_in_blocks(
-        _hashed(known, kind, False, longest, tables, 1, functions), _hashed(wanted, kind, True, longest, tables, probes, functions), kind, k + 1, block
-    )
+    wanted = known.join(asked.select("node").distinct(), "node", "left_semi").select("node", "vector", "length")
+    found = _best_in_blocks(_hashed(known, kind, False, tables, 1, functions), _hashed(wanted, kind, True, tables, probes, functions), kind, k + 1, block)
     best = stored(_merged(found, k + 1), "found")
-    # Ids, not vectors, have to be enough: a query is done if its entries hold k ids besides its own.
-    enough = best.join(known.select("node", F.size("ids").alias("n")), "node").groupBy("query").agg(F.sum("n").alias("n")).where(F.col("n") > k)
-    poor = wanted.join(enough.select(F.col("query").alias("node")), "node", "left_anti")
-    if not poor.isEmpty():
-        everywhere = lambda side: side.select("node", F.length("vector").alias("space"), F.lit(ALL).cast("long").alias("bucket"), "vector")
-        rest = _merged(_best_in_blocks(everywhere(known), everywhere(poor), kind, k + 1, block), k + 1)
-        best = best.join(poor.select(F.col("node").alias("query")), "query", "left_anti").unionByName(rest)
+    # Ids, not vectors, have to be enough: a query has a bound if its entries hold k ids besides its own.
+    bounds = (
+        best.join(known.select("node", F.size("ids").alias("n")), "node").groupBy("query")
+        .agg(F.sum("n").alias("n"), F.min("score").alias("bound")).where(F.col("n") > k).select(F.col("query").alias("node"), "bound")
+    )
+    item = np.dtype(kind).itemsize
+    space = F.length("vector").alias("space")
+    bands = known.groupBy(space, "band").agg(F.max("length").alias("longest"))
+    sizes = [row["space"] for row in bands.select("space").distinct().collect()]
+    safe = {width: safe_cosine(width, tables, probes_of(width, probes), functions, recall) for width in {width_of(size // item) for size in sizes}}
+    cosines = known.sparkSession.createDataFrame([(size, safe[width_of(size // item)]) for size in sizes], "space int, safe double")
+    bands = bands.join(F.broadcast(cosines), "space")
+    # No cosine is over 1, but for rounding.
+    reach = F.col("length") * F.col("longest") * F.least("safe", F.lit(1 + 1e-9))
+    open_bands = stored(
+        wanted.withColumn("space", space).join(bounds, "node", "left").join(F.broadcast(bands), "space")
+        .where(F.col("bound").isNull() | ~(F.col("bound") >= reach))
+        .select("node", "space", F.col("band").alias("bucket"), "vector"),
+        "open-bands",
+    )
+    if not open_bands.isEmpty():
+        whole = known.select("node", space, F.col("band").alias("bucket"), "vector")
+        rest = _best_in_blocks(whole, open_bands, kind, k + 1, block)
+        best = stored(_merged(best.select("query", F.array("node").alias("nodes"), F.array("score").alias("scores")).unionByName(rest), k + 1), "best")
 
     # Everything below works on at most k + 1 entries a query and k + 1 ids an entry.
     hits = (
@@ -257,14 +318,16 @@ def nearest(
 
 
 def _as_binary(classes: DataFrame, kind: str) -> DataFrame:
-    """``node, ids, vector, length``: components as little-endian numbers of their own width."""
-    schema = "node long, ids array<long>, vector binary, length double"
+    """``node, ids, vector, length, band``: components as little-endian numbers of their own width."""
+    schema = "node long, ids array<long>, vector binary, length double, band long"
     arrow = arrow_schema(classes, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [np.asarray(value.values, "<f8") for value in batch.column("values")]
-            raw, lengths = [v.astype(kind).tobytes() for v in values], [float(np.sqrt((v**2).sum())) for v in values]
-            yield arrays_to_batch([batch.column("node"), batch.column("ids"), raw, lengths], arrow)
+            raw = [v.astype(kind).tobytes() for v in values]
+            lengths = np.array([lengths_of(v[None])[0] for v in values])
+            bands = np.floor(np.log2(lengths) * BANDS).astype(np.int64)
+            yield arrays_to_batch([batch.column("node"), batch.column("ids"), raw, lengths, bands], arrow)
 
     return classes.select("node", "ids", "values").mapInArrow(run, schema)

@@ -71,3 +71,34 @@ def test_several_functions_make_finer_buckets():
     one, two = c.buckets_of(rows, 0, 1, 1), c.buckets_of(rows, 0, 1, 2)
     assert one.max() < 16 and (two // 16 == one).all() and len(np.unique(two)) > len(np.unique(one))
     assert (c.buckets_of(rows, 0, 5, 2)[:, :1] == two).all()
+
+
+def embeddings(n, d, seed):
+    """Unit vectors around a few hundred centres."""
+    r = np.random.default_rng(seed)
+    vectors = r.normal(size=(n, d)) + 1.5 * r.normal(size=(n // 10, d))[r.integers(0, n // 10, n)]
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+def lengthened(vectors, how):
+    r = np.random.default_rng(5)
+    factors = np.ones(len(vectors))
+    if how == "one":
+        factors[3] = 2
+    if how == "mixed":
+        factors = r.lognormal(0, 0.5, len(vectors))
+    return vectors * factors[:, None]
+
+
+@pytest.mark.parametrize("d, how", [(64, "one"), (64, "mixed"), (256, "one")])
+def test_recall_does_not_depend_on_lengths_and_width(spark, d, how):
+    rows = [(i, v.astype(np.float32)) for i, v in enumerate(lengthened(embeddings(2000, d, d), how))]
+    got = found(spark, rows, every=50)
+    hits = [len({vec for _, vec, _ in got[query]} & set(exact(rows, query))) for query in range(0, 2000, 50)]
+    assert np.mean(hits) >= 0.95 * 20 and min(hits) >= 14
+
+
+def test_safe_cosine_is_tried_out():
+    some = [c.safe_cosine(64, tables, 16, 1, 0.95) for tables in (2, 8, 32)]
+    assert 1 >= some[0] > some[1] > some[2] >= 0
+    assert c.safe_cosine(64, 8, 16, 1, 1.1) > 1
