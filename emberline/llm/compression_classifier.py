@@ -152,81 +152,6 @@ def fit(
     return model
 
 
-def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-(self.slope * self.feature(text) + self.intercept))))
-
-
-def build_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """A trained dictionary; of samples too few to train on, their plain content."""
-    samples = [sample for sample in samples if sample]
-    try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[:size]
-
-
-def fit_curve(features: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by Newton steps with a slight pull of the slope to zero."""
-    scale = float(np.abs(features).max()) or 1.0
-    x, y = np.column_stack([features / scale, np.ones(len(features))]), labels.astype(float)
-    # Targets slightly inside 0 and 1 keep the curve finite if the classes part perfectly.
-    ones = y.sum()
-    y = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (len(y) - ones + 2))
-    curve, pull = np.zeros(2), np.diag([1e-3, 1e-9])
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull, x.T @ (y - p) - pull @ curve)
-        curve = curve + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(curve[0] / scale), float(curve[1])
-
-
-def sample_labels(labels: DataFrame, rows_per_class: int, id_col: str, label: str) -> DataFrame:
-    """``doc_id, label`` of at most ``rows_per_class`` rows of each class, by hashed id."""
-    clean = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL")
-    once = clean.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
-    classes = [once.where(F.col("label") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_class) for kind in (0, 1)]
-    return classes[0].unionByName(classes[1])
-
-
-def fit(
-    docs: DataFrame,
-    labels: DataFrame,
-    per_class: int = PER_CLASS,
-    calibration: int = CALIBRATION,
-    id_col: str = "doc_id",
-    text: str = "text",
-    label: str = "label",
-) -> Model:
-    """A model of at most ``per_class`` labelled rows of each class for the dictionaries and
-    ``calibration`` more of each for the curve.  What reaches the driver is bounded by them.
-    """
-    picked = sample_labels(labels, per_class + calibration, id_col, label)
-    # At most 2 * (per_class + calibration) rows of two numbers: safe to broadcast.
-    chosen = F.broadcast(picked.select(F.col("doc_id").alias("picked_id"), "label"))
-    found = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(chosen, F.col("doc_id") == F.col("picked_id"))
-    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))).cast("int")
-    pieces = found.groupBy("doc_id", "label").agg(F.max(F.substring(F.col("text"), start + 1, F.lit(SAMPLE_CHARS))).alias("piece"))
-    taught: dict[int, list] = {0: [], 1: []}
-    for row in sorted(pieces.collect(), key=lambda row: (zlib.crc32(str(row["doc_id"]).encode()), row["doc_id"])):
-        taught[row["label"]].append((row["doc_id"], row["piece"].encode()))
-    share = [max(1, len(rows) * per_class // (per_class + calibration)) if rows else 0 for rows in (taught[0], taught[1])]
-    bad, good = ([piece for _, piece in taught[kind][: share[kind]]] for kind in (0, 1))
-    model = Model(build_dictionary(good), build_dictionary(bad))
-    rest = [(kind, piece) for kind in (0, 1) for _, piece in taught[kind][share[kind] :] or taught[kind]]
-    kinds = np.array([kind for kind, _ in rest])
-    if not taught[0] or not taught[1]:
-        ones, total = len(taught[1]), len(taught[0]) + len(taught[1])
-        p = (ones + 1) / (total + 2)
-        model.good = model.bad = b""
-        model.intercept = float(np.log(p / (1 - p)))
-        return model
-    features = np.array([model.feature(piece.decode(errors="ignore")) for _, piece in rest])
-    model.slope, model.intercept = fit_curve(features, kinds)
-    return model
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, score, predicted`` for every row of ``docs``."""
     schema = "doc_id long, score double, predicted int"

@@ -42,6 +42,17 @@ def test_curve_follows_the_labels():
     assert slope > 0 and abs(intercept) < 0.2
 
 
+def test_scores_keep_the_share_of_unequal_classes(spark):
+    # Words of both kinds in every text, so that the classes overlap.
+    r = np.random.default_rng(3)
+    kinds = (r.random(1500) < 0.86).astype(int)
+    texts = [" ".join("%s%d" % ("good" if r.random() < 0.45 + 0.1 * kind else "bad", r.integers(40)) for _ in range(60)) for kind in kinds]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(kinds.tolist())), "doc_id long, label int")
+    model = cc.fit(docs, labels, per_class=60, calibration=60)
+    assert np.mean([model.score(text) for text in texts]) == pytest.approx(kinds.mean(), abs=0.06)
+
+
 def test_held_out_accuracy(spark, sf):
     from emberline.llm.queries import QUERIES
 
