@@ -6,7 +6,8 @@ their own.  The others are dealt at random into groups of a bounded number of pi
 each group is packed by itself: best fit in order of length, then local search on the
 sequences that are not full.  The search moves a piece, swaps one for one, or two for one,
 whenever that raises the sum of squared fills, which pushes pieces out of the emptiest
-sequences until they are gone.  A group has thousands of pieces, so dealing costs a
+sequences until they are gone.  Every open sequence of the group and every pair of lengths
+can take part, and the search ends when nothing is left that gains.  A group has thousands of pieces, so dealing costs a
 fraction of a sequence per group.
 
 The ids are those of the tokenizer file; texts are cut at single spaces, between which the
@@ -37,7 +38,6 @@ CAPACITY = 1_024
 CLOSING_ID = 2
 GROUP_PIECES = 10_000
 CACHED_PARTS = 400_000
-PASSES = 6
 SPECIAL = {"<|endoftext|>": 50_256}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -159,71 +159,152 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, passes: int = PASSES) -> list[list[int]]:
+class _Open:
+    """Bins that are not full, indexed by their room and the lengths of their pieces.
+
+    ``masks[room]`` has bit ``room + length`` set for each length of a piece in any bin of
+    that room, and bit ``room``: what can be given to a bin of that room if that piece, or
+    none, comes back for it.  Bins of equal lengths share their entries.
+    """
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.masks: dict[int, int] = {}
+        self.bins: dict[int, dict[int, dict[int, None]]] = {}
+
+    def add(self, number: int, own: dict[int, list[int]], room: int) -> None:
+        at = self.bins.setdefault(room, {})
+        mask = self.masks.get(room, 0)
+        for back in (0, *own):
+            at.setdefault(back, {})[number] = None
+            mask |= 1 << (room + back)
+        self.masks[room] = mask
+
+    def remove(self, number: int, own: dict[int, list[int]], room: int) -> None:
+        at = self.bins[room]
+        for back in (0, *own):
+            del at[back][number]
+            if not at[back]:
+                del at[back]
+                self.masks[room] &= ~(1 << (room + back))
+        if not at:
+            del self.bins[room], self.masks[room]
+
+    def best_step(self, sums: int, least: int) -> tuple[int, int, int, int] | None:
+        """Rest, room, size to give and size to take back of the step that leaves the least room.
+
+        ``sums`` has a bit for each size that can be given; bins with more room than
+        ``least`` are emptier than the one that gives.
+        """
+        rooms = sorted(room for room in self.masks if room <= least)
+        if not rooms:
+            return None
+        # A step that leaves the rest r gains room - r, so only bins with more room count.
+        unions, together = [0] * len(rooms), 0
+        for i in range(len(rooms) - 1, -1, -1):
+            together |= self.masks[rooms[i]]
+            unions[i] = together
+        first = 0
+        for rest in range(rooms[-1]):
+            while rooms[first] <= rest:
+                first += 1
+            if sums & (unions[first] >> rest):
+                for room in rooms[first:]:
+                    both = sums & (self.masks[room] >> rest)
+                    if both:
+                        size = (both & -both).bit_length() - 1
+                        return rest, room, size, size + rest - room
+        return None
+
+
+def _sums(own: dict[int, list[int]]) -> tuple[int, int]:
+    """A bit for each length, and for each length or sum of two pieces."""
+    single = 0
+    for length in own:
+        single |= 1 << length
+    sums = single
+    for length, places in own.items():
+        sums |= (single if len(places) > 1 else single & ~(1 << length)) << length
+    return single, sums
+
+
+def _take(own: dict[int, list[int]], length: int) -> int:
+    place = own[length].pop()
+    if not own[length]:
+        del own[length]
+    return place
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Raise the sum of squared fills by moves and swaps between underfull bins; drop empty ones.
 
-    Each step takes the emptiest bin and changes it against one fuller bin so that the
-    fuller one gains: a piece moves over, a longer piece is given for a shorter one, or two
-    pieces are given for one shorter than both together.  The gain that fills best is
-    taken.  Fuller bins are looked up by the room they have, pieces by length, so a step
-    costs no search over all pairs.
+    Each step takes a bin, the emptiest first, and changes it against a bin at least as
+    full so that the fuller one gains: a piece moves over, a longer piece is given for a
+    shorter one, or two pieces are given for one shorter than both together.  Of all such
+    changes the one that leaves the least room is taken, looked up by room and lengths.
+    The search ends when no bin has a change left; each raises the sum, so it does end.
     """
-    full = [b for b in bins if sum(lengths[i] for i in b) == capacity]
-    open_bins = {n: sorted(b, key=lambda i: lengths[i]) for n, b in enumerate(b for b in bins if sum(lengths[i] for i in b) < capacity)}
-    fill = {n: sum(lengths[i] for i in b) for n, b in open_bins.items()}
-    for _ in range(passes):
+    done, open_bins, fill = [], {}, {}
+    index = _Open(capacity)
+    for number, places in enumerate(bins):
+        total = sum(lengths[i] for i in places)
+        if total == capacity:
+            done.append(places)
+            continue
+        own: dict[int, list[int]] = {}
+        for i in places:
+            own.setdefault(lengths[i], []).append(i)
+        open_bins[number], fill[number] = own, total
+        index.add(number, own, capacity - total)
+    changed = True
+    # Bins of equal lengths have equal changes: one that has none is asked once until something moves.
+    hopeless: set[tuple] = set()
+    while changed:
         changed = False
         for low in sorted(open_bins, key=lambda n: (fill[n], n)):
             if low not in open_bins:
                 continue
-            while open_bins[low] and (step := _best_step(low, open_bins, fill, lengths, capacity)):
-                gain, high, given, taken = step
-                changed = True
+            own = open_bins[low]
+            kind = tuple(sorted((length, len(places)) for length, places in own.items()))
+            if kind in hopeless:
+                continue
+            index.remove(low, own, capacity - fill[low])
+            moved = False
+            while own:
+                single, sums = _sums(own)
+                step = index.best_step(sums, capacity - fill[low])
+                if step is None:
+                    break
+                rest, room, size, back = step
+                moved = True
+                high = next(iter(index.bins[room][back]))
+                other = open_bins[high]
+                index.remove(high, other, room)
+                if single >> size & 1:
+                    given = [_take(own, size)]
+                else:
+                    half = next(a for a in own if size - a in own and (size != 2 * a or len(own[a]) > 1))
+                    given = [_take(own, half), _take(own, size - half)]
+                if back:
+                    own.setdefault(back, []).append(_take(other, back))
                 for i in given:
-                    open_bins[low].remove(i)
-                    insort(open_bins[high], i, key=lambda i: lengths[i])
-                for i in taken:
-                    open_bins[high].remove(i)
-                    insort(open_bins[low], i, key=lambda i: lengths[i])
-                fill[low] -= gain
-                fill[high] += gain
-                if fill[high] == capacity:
-                    full.append(open_bins.pop(high))
-                    fill.pop(high)
-            if not open_bins[low]:
-                open_bins.pop(low)
-                fill.pop(low)
-        if not changed:
-            break
-    return full + list(open_bins.values())
-
-
-def _best_step(low: int, open_bins: dict, fill: dict, lengths: list[int], capacity: int, fullest: int = 40) -> tuple | None:
-    """The change of ``low`` against a fuller bin that leaves the least room there."""
-    own = open_bins[low]
-    sizes = [lengths[i] for i in own]
-    pairs = sorted((sizes[a] + sizes[b], own[a], own[b]) for a in range(min(len(own), 30)) for b in range(a))
-    sums = [pair[0] for pair in pairs]
-    best: tuple | None = None
-    best_rest = capacity
-    for high in sorted((n for n in open_bins if n != low and fill[n] >= fill[low]), key=lambda n: (-fill[n], n))[:fullest]:
-        room = capacity - fill[high]
-        for taken in [None, *open_bins[high]]:
-            back = lengths[taken] if taken is not None else 0
-            options = []
-            at = bisect_left(sizes, room + back + 1) - 1
-            if at >= 0:
-                options.append((sizes[at], (own[at],)))
-            at = bisect_left(sums, room + back + 1) - 1
-            if at >= 0:
-                options.append((sums[at], pairs[at][1:]))
-            for size, given in options:
-                gain = size - back
-                if gain > 0 and room - gain < best_rest:
-                    best, best_rest = (gain, high, given, () if taken is None else (taken,)), room - gain
-        if best_rest == 0:
-            break
-    return best
+                    other.setdefault(lengths[i], []).append(i)
+                fill[low] -= size - back
+                fill[high] = capacity - rest
+                if rest:
+                    index.add(high, other, rest)
+                else:
+                    done.append([i for places in open_bins.pop(high).values() for i in places])
+            if moved:
+                changed = True
+                hopeless.clear()
+            else:
+                hopeless.add(kind)
+            if own:
+                index.add(low, own, capacity - fill[low])
+            else:
+                del open_bins[low]
+    return done + [[i for places in own.values() for i in places] for own in open_bins.values()]
 
 
 def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:

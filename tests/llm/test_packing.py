@@ -51,6 +51,28 @@ def test_search_mends_what_best_fit_leaves():
     assert len(p.local_search(start, lengths, 10)) == 3
 
 
+@pytest.mark.parametrize("n", [39, 40, 60, 3000])
+def test_search_looks_beyond_the_fullest_sequences(n):
+    # Sequences of one shape that can take part in nothing come first in order of fill.
+    lengths = [702] * n + [320] * n + [512, 400, 324, 300, 300, 212]
+    bins = p.pack_lengths(lengths, 1024)
+    valid(bins, lengths, 1024)
+    assert len(bins) == n + 2
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_search_ends_only_when_nothing_gains(seed):
+    r = random.Random(seed)
+    lengths = [r.randrange(1, 40) for _ in range(60)]
+    sizes = [[lengths[i] for i in b] for b in p.local_search([[i] for i in range(60)], lengths, 100)]
+    for a, low in enumerate(sizes):
+        pairs = [low[i] + low[j] for i in range(len(low)) for j in range(i)]
+        for b, high in enumerate(sizes):
+            if a != b and sum(low) <= sum(high):
+                room = 100 - sum(high)
+                assert not any(back < size <= room + back for back in (0, *high) for size in (*low, *pairs))
+
+
 def test_pieces_fill_sequences_without_gaps(spark, make_docs):
     r = random.Random(2)
     texts = [" ".join("word%d" % r.randrange(99) for _ in range(r.choice([0, 3, 50, 900, 3000]))) for _ in range(60)] + [None, "same", "same"]
