@@ -6,7 +6,8 @@ and compressed with each; the difference of the sizes over their sum is its feat
 logistic curve fitted on other labelled texts turns that into a probability.
 
 Fitting uses a bounded sample, by the parameters ``per_class`` and ``calibration``: the rows
-of each class whose hashed id is smallest.  Scoring reads every whole text.
+of each class whose hashed id is smallest.  Dictionaries learn at most ``sample_chars``
+characters of a row, from all over its text; the curve and scoring read whole texts.
 
 Defined results: a null text counts as empty, an empty text has feature 0; rows without a
 label, and labels other than 0 and 1, teach nothing; several rows of one id are scored
@@ -24,12 +25,14 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from emberline.llm.common import arrays_to_batch, arrow_schema, small_batches
 
 PER_CLASS = 4_000
 CALIBRATION = 2_000
 SAMPLE_CHARS = 2_000
+SAMPLE_PARTS = 8
 DICTIONARY_BYTES = 112_640
 PIECE = 512
 LEVEL = 3
@@ -114,6 +117,28 @@ def sample_labels(clean: DataFrame, rows_per_class: int) -> DataFrame:
     return classes[0].unionByName(classes[1])
 
 
+def sampled_text(text: str, key: str, chars: int) -> Column:
+    """The text, or of a longer one about ``chars`` characters: one stretch at a hashed place of each of equal parts."""
+    parts = min(SAMPLE_PARTS, chars)
+    n, size = f"length({text})", chars // parts
+    place = [f"CAST({n} * {i}L div {parts} + pmod(xxhash64({key}, {i}), {n} div {parts} - {size} + 1) + 1 AS int)" for i in range(parts)]
+    return F.when(F.expr(n) <= chars, F.col(text)).otherwise(F.concat(*[F.expr(f"substring({text}, {at}, {size})") for at in place]))
+
+
+def features_of(texts: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, label, tie, feature`` of the whole texts of ``doc_id, label, tie, text``."""
+    kept = ["doc_id", "label", "tie"]
+    schema = StructType([*(texts.schema[name] for name in kept), StructField("feature", DoubleType())])
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            features = [shared.value.feature(value.as_py()) for value in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in kept), pa.array(features, pa.float64())], names=[*kept, "feature"])
+
+    return small_batches(texts.select(*kept, "text")).mapInArrow(run, schema)
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -122,32 +147,46 @@ def fit(
     id_col: str = "doc_id",
     text: str = "text",
     label: str = "label",
+    sample_chars: int = SAMPLE_CHARS,
 ) -> Model:
     """A model of at most ``per_class`` labelled rows of each class for the dictionaries and
     ``calibration`` more of each for the curve, which is then moved to the share of the
-    classes among all labels.  What reaches the driver is bounded by the two parameters.
+    classes among all labels.  What reaches the driver is bounded: ``sample_chars``
+    characters of a row for the dictionaries, two numbers of a row for the curve.
     """
     clean = clean_labels(labels, id_col, label)
     totals = {row["label"]: row["count"] for row in clean.groupBy("label").count().collect()}
     ones, zeros = totals.get(1, 0), totals.get(0, 0)
+    unfitted = Model(b"", b"", intercept=float(np.log((ones + 1) / (zeros + 1))))
     if not ones or not zeros:
-        return Model(b"", b"", intercept=float(np.log((ones + 1) / (zeros + 1))))
+        return unfitted
     # At most 2 * (per_class + calibration) rows of two numbers: safe to broadcast.
     chosen = F.broadcast(sample_labels(clean, per_class + calibration).withColumnRenamed("doc_id", "picked_id"))
-    found = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(chosen, F.col("doc_id") == F.col("picked_id"))
-    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))).cast("int")
-    pieces = found.groupBy("doc_id", "label").agg(F.max(F.substring(F.col("text"), start + 1, F.lit(SAMPLE_CHARS))).alias("piece"))
-    taught: dict[int, list[str]] = {0: [], 1: []}
-    for row in sorted(pieces.collect(), key=lambda row: (zlib.crc32(str(row["doc_id"]).encode()), row["doc_id"])):
-        taught[row["label"]].append(row["piece"])
-    cuts = [max(1, len(rows) * per_class // (per_class + calibration)) for rows in (taught[0], taught[1])]
-    bad, good = ([piece.encode() for piece in taught[kind][: cuts[kind]]] for kind in (0, 1))
-    model = Model(build_dictionary(good), build_dictionary(bad))
-    rest = [(kind, piece) for kind in (0, 1) for piece in taught[kind][cuts[kind] :] or taught[kind]]
-    kinds = np.array([kind for kind, _ in rest])
-    if kinds.all() or not kinds.any():
-        return Model(b"", b"", intercept=float(np.log((ones + 1) / (zeros + 1))))
-    model.slope, model.intercept = fit_curve(np.array([model.feature(piece) for _, piece in rest]), kinds)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    there = texts.select("doc_id").join(chosen, F.col("doc_id") == F.col("picked_id")).select("doc_id", "label").distinct().collect()
+    place = {row["doc_id"]: (zlib.crc32(str(row["doc_id"]).encode()), row["doc_id"]) for row in there}
+    found = {kind: sorted((row["doc_id"] for row in there if row["label"] == kind), key=place.get) for kind in (0, 1)}
+    if not found[0] or not found[1]:
+        return unfitted
+    cuts = {kind: max(1, len(found[kind]) * per_class // (per_class + calibration)) for kind in (0, 1)}
+
+    def of_rows(ids: dict[int, list]) -> DataFrame:
+        schema = StructType([StructField("picked_id", texts.schema["doc_id"].dataType), StructField("label", IntegerType())])
+        picked = docs.sparkSession.createDataFrame([(doc_id, kind) for kind in (0, 1) for doc_id in ids[kind]], schema)
+        return texts.join(F.broadcast(picked), F.col("doc_id") == F.col("picked_id"))
+
+    # Of several rows of an id one counts.
+    sample = sampled_text("text", "doc_id", sample_chars).alias("piece")
+    pieces = of_rows({kind: found[kind][: cuts[kind]] for kind in (0, 1)}).select("doc_id", "label", sample).groupBy("doc_id", "label").agg(F.max("piece").alias("piece"))
+    taught: dict[int, list[bytes]] = {0: [], 1: []}
+    for row in sorted(pieces.collect(), key=lambda row: place[row["doc_id"]]):
+        taught[row["label"]].append(row["piece"].encode())
+    model = Model(build_dictionary(taught[1]), build_dictionary(taught[0]))
+    rest = of_rows({kind: found[kind][cuts[kind] :] or found[kind] for kind in (0, 1)}).withColumn("tie", F.xxhash64("text"))
+    measured = features_of(rest, model).groupBy("doc_id", "label").agg(F.min(F.struct("tie", "feature")).getField("feature").alias("feature")).collect()
+    measured.sort(key=lambda row: place[row["doc_id"]])
+    kinds = np.array([row["label"] for row in measured])
+    model.slope, model.intercept = fit_curve(np.array([row["feature"] for row in measured]), kinds)
     model.intercept += float(np.log(ones / zeros) - np.log(kinds.sum() / (len(kinds) - kinds.sum())))
     return model
 

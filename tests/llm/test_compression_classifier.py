@@ -53,6 +53,27 @@ def test_scores_keep_the_share_of_unequal_classes(spark):
     assert np.mean([model.score(text) for text in texts]) == pytest.approx(kinds.mean(), abs=0.06)
 
 
+def test_samples_come_from_all_over_a_text(spark):
+    text = "".join("%05d" % i for i in range(4_000))
+    rows = spark.createDataFrame([(i, text) for i in range(20)] + [(20, "short"), (21, "")], "doc_id long, text string")
+    made = [row.piece for row in rows.orderBy("doc_id").select(cc.sampled_text("text", "doc_id", 2_000).alias("piece")).collect()]
+    assert made[20:] == ["short", ""] and all(len(piece) == 2_000 for piece in made[:20])
+    for piece in made[:20]:
+        for part in range(8):
+            assert piece[250 * part : 250 * part + 250] in text[2_500 * part : 2_500 * part + 2_500]
+
+
+def test_curve_is_fitted_on_whole_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t * 90) for i, t in enumerate(GOOD[:60] + BAD[:60])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, label int")
+    seen = []
+    curve = cc.fit_curve
+    monkeypatch.setattr(cc, "fit_curve", lambda features, kinds: seen.append(features) or curve(features, kinds))
+    model = cc.fit(docs, labels, per_class=30, calibration=30)
+    whole = {model.feature(t * 90) for t in GOOD[:60] + BAD[:60]}
+    assert len(seen[0]) == 60 and set(seen[0]) <= whole
+
+
 def test_held_out_accuracy(spark, sf):
     from emberline.llm.queries import QUERIES
 
