@@ -2,7 +2,7 @@
 
 A document's ids (and a closing id) make one piece, or several of exactly the full length
 if it is longer; what is left over is then its first piece.  Full pieces are sequences of
-their own.  The others are dealt at random into groups of a bounded number of pieces, and
+their own.  The others are dealt by a number of their own, so equal rows too, into groups of a bounded number of pieces, and
 each group is packed by itself: best fit in order of length, then local search on the
 sequences that are not full.  The search moves a piece, swaps one for one, or two for one,
 whenever that raises the sum of squared fills, which pushes pieces out of the emptiest
@@ -316,10 +316,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
 
     A group number takes the upper bits of a sequence's id, its place in the group the lower.
     """
+    # Numbered as it is written, so that the number of a row stays the same.
+    columns = [name.split()[0] for name in PIECES.split(", ")]
+    pieces = stored(pieces.select(*columns, F.monotonically_increasing_id().alias("number")), "token-pieces")
     short = pieces.where(F.col("length") < capacity)
     groups = max(1, -(-short.count() // group_pieces))
-    deal = F.xxhash64("doc_id", "piece", "length", "ids_crc32")
-    dealt = pieces.withColumn("deal", deal).withColumn("group", F.pmod(F.shiftrightunsigned("deal", 8), F.lit(groups)))
+    dealt = pieces.withColumn("deal", F.xxhash64("number")).withColumn("group", F.pmod(F.shiftrightunsigned("deal", 8), F.lit(groups)))
     arrow = arrow_schema(pieces, PACKED)
 
     def work(rows: pa.Table) -> pa.RecordBatch:
@@ -342,7 +344,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
             at = end
         return to_batch(made, arrow)
 
-    packed = map_groups(dealt.where(F.col("length") < capacity).drop("deal"), ["group"], ["doc_id", "piece", "length", "ids_crc32"], work, PACKED)
+    packed = map_groups(dealt.where(F.col("length") < capacity).drop("deal", "number"), ["group"], ["doc_id", "piece", "length", "ids_crc32"], work, PACKED)
     alone = dealt.where(F.col("length") == capacity).select(
         "doc_id", "piece", "start", "length", "ids_crc32",
         (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
@@ -352,5 +354,4 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
 
 def packed_documents(docs: DataFrame, ranks: str, pattern: str, **settings) -> DataFrame:
     """Tokenise, cut and pack every row of ``docs``."""
-    pieces = stored(token_pieces(docs, ranks, pattern, **settings), "token-pieces")
-    return pack(pieces, settings.get("capacity", CAPACITY))
+    return pack(token_pieces(docs, ranks, pattern, **settings), settings.get("capacity", CAPACITY))

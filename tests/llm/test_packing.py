@@ -99,6 +99,15 @@ def test_pieces_fill_sequences_without_gaps(spark, make_docs):
     assert len(sequences) <= total / 1024 * 1.1 + 5
 
 
+def test_equal_rows_are_dealt_to_all_groups(spark):
+    pieces = spark.range(400).selectExpr("CAST(NULL AS long) AS doc_id", "0 AS piece", "0L AS start", "1L AS length", "7L AS ids_crc32")
+    rows = p.pack(pieces, capacity=8, group_pieces=40).collect()
+    sizes = {}
+    for row in rows:
+        sizes[row.sequence_id >> 32] = sizes.get(row.sequence_id >> 32, 0) + 1
+    assert len(rows) == 400 and len(sizes) == 10 and max(sizes.values()) < 100
+
+
 def test_ids_on_demand_and_empty_table(spark, make_docs):
     row = p.token_pieces(make_docs([(1, "a b")]), RANKS, public_tokenizers.PATTERN, with_ids=True).first()
     assert zlib.crc32(np.array(row.ids, "<u4").tobytes()) == row.ids_crc32 and row.ids[-1] == 2
