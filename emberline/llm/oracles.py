@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emberline.llm import minhash_dedup, mixing, quality_rules, suffix_tree_dedup
+from emberline.llm import conversation_repair, filter_audit, minhash_dedup, mixing, quality_rules, secret_scan, suffix_tree_dedup
 from emberline.llm.queries import LISTED_HOSTS, URL_RULES
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -211,6 +211,152 @@ FROM docs d LEFT JOIN counted c ON c.doc_id = d.doc_id
 """
 
 
+def secret_sql() -> str:
+    """Every rule on every text, without an index."""
+    rules = []
+    for kind, rule in enumerate(secret_scan.RULES):
+        pattern = rule.pattern.replace("'", "''")
+        rules.append(
+            f"SELECT row, {kind} AS kind, '{rule.kind}' AS name, {rule.least} AS least, string_split_regex(text, '{pattern}') AS gaps,"
+            f" regexp_extract_all(text, '{pattern}') AS found, regexp_extract_all(text, '{pattern}', {rule.group}) AS counted FROM docs"
+        )
+    counts = ", ".join(f"count(*) FILTER (kind = {kind}) AS n_{rule.kind}" for kind, rule in enumerate(secret_scan.BASE_RULES))
+    joined = "string_agg(concat(name, ':', first, ':', stop), ',' ORDER BY first, kind)"
+    return rf"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
+), searched AS ({" UNION ALL ".join(rules)}
+), matches AS (
+  SELECT row, kind, name, least, unnest(range(1, len(found) + 1)) AS pos, gaps, found, counted FROM searched WHERE len(found) > 0
+), placed AS (
+  SELECT row, kind, name, least, length(found[pos]) AS n, length(counted[pos]) AS n_counted,
+    CAST(list_sum(list_transform(gaps[1:pos], lambda x: length(x))) + list_sum(list_transform(found[1:pos], lambda x: length(x))) AS BIGINT) AS stop
+  FROM matches
+), spans AS (
+  SELECT *, stop - n AS first FROM placed WHERE n_counted >= least
+), by_row AS (
+  SELECT row, {counts}, {joined} FILTER (kind < {len(secret_scan.BASE_RULES)}) AS base, {joined} AS spans FROM spans GROUP BY row
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{rule.kind}, 0) AS n_{rule.kind}" for rule in secret_scan.BASE_RULES)},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN by_row USING (row)
+"""
+
+
+def audit_sql() -> str:
+    """Every step of every order over all documents' masks, without cells or shared prefixes."""
+    f = filter_audit
+    letters = ", ".join(f"('{letter}', {1 << place})" for place, letter in enumerate(f.FILTERS))
+    return rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents
+), masked AS (
+  SELECT doc_id, part, CASE WHEN len(words) < {f.LEAST_WORDS} THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(words)) < {f.LEAST_DISTINCT_PCT} * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > {f.MOST_CAPITALS_PCT} * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '{f.SYMBOLS}') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask
+  FROM words
+), flags AS (
+  SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), docs AS MATERIALIZED (
+  SELECT part, mask, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM masked LEFT JOIN flags USING (doc_id)
+), letters(letter, bit) AS (VALUES {letters}
+), prefixes AS (
+  SELECT '' AS prefix, 0 AS before, '' AS letter, 0 AS bit, 0 AS step
+  UNION ALL
+  SELECT prefix || l.letter, before | p.bit, l.letter, l.bit, step + 1 FROM prefixes p JOIN letters l ON (before | p.bit) & l.bit = 0
+), steps AS MATERIALIZED (
+  SELECT part, prefix, letter, step, count(*) FILTER (mask & (before | bit) = 0) AS kept,
+    count(*) FILTER (mask & bit <> 0 AND mask & before = 0) AS removed, count(*) FILTER (mask & bit <> 0 AND mask & before <> 0) AS redundant,
+    count(*) FILTER (mask = bit) AS unique_fails, count(*) FILTER (mask & bit <> 0 AND mask & before = 0 AND good) AS good_lost,
+    count(*) FILTER (mask & bit <> 0 AND mask & before = 0 AND toxic) AS toxic_lost
+  FROM prefixes, docs WHERE step > 0 GROUP BY ALL
+), orders AS (
+  SELECT prefix AS filter_order FROM prefixes WHERE step = {len(f.FILTERS)}
+), rows AS (
+  SELECT part, filter_order, letter, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost
+  FROM orders JOIN steps ON starts_with(filter_order, prefix)
+)
+SELECT * EXCLUDE (letter), CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM rows
+"""
+
+
+def repair_sql() -> str:
+    """A table of lightest (cost, audit, text) per state, filled turn by turn with up to two inserts before each."""
+    c = conversation_repair
+    names = "CASE WHEN state = 2 THEN 'assistant' ELSE 'user' END"
+    after = "CASE WHEN state = 2 THEN 3 ELSE 2 END"
+    # A checksum over the characters of the key, all of them ASCII.
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    rounds = step
+    byte = f"list_reduce(range(8), lambda c, i: {rounds}, xor(crc, code))"
+    checksum = f"xor(list_reduce(list_transform(string_split(key, ''), lambda x: CAST(ord(x) AS BIGINT)), lambda crc, code: {byte}, CAST(4294967295 AS BIGINT)), 4294967295)"
+    insert = f"SELECT conv, pos, {after} AS state, cost + {c.INSERT_COST} AS cost, audit || 'I' AS audit, list_append(made, {names} || ':') AS made FROM"
+    return rf"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+), kinds AS (
+  SELECT *, {checksum} % 20 AS kind FROM keyed
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM kinds WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM damaged
+), ids AS (
+  SELECT conv_id, row_number() OVER () AS conv FROM (SELECT DISTINCT conv_id FROM conversations)
+), turns AS MATERIALIZED (
+  SELECT conv, p.turn, p.role, p.text, p.pos, left(p.role, 1) AS initial,
+    CASE WHEN NOT regexp_matches(text, '{WORD}') THEN 1
+      WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY pos) > 1 THEN 2
+      WHEN regexp_matches(text, '[.!?][ 	-
+]*\z') THEN 0 ELSE 3 END AS fault,
+    lag(left(p.role, 1)) OVER (PARTITION BY conv ORDER BY pos) || left(p.role, 1) AS pair
+  FROM placed p JOIN ids i ON p.conv_id IS NOT DISTINCT FROM i.conv_id
+), report AS (
+  SELECT conv, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+    count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY conv
+), best AS (
+  SELECT conv, CAST(0 AS BIGINT) AS pos, 0 AS state, 0 AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS made FROM ids
+  UNION ALL
+  SELECT conv, pos, state, cost, audit, made FROM (
+    WITH none AS (SELECT conv, pos, state, cost, audit, made FROM best),
+    one AS ({insert} none), two AS ({insert} one),
+    ready AS (SELECT * FROM none UNION ALL SELECT * FROM one UNION ALL SELECT * FROM two),
+    here AS (SELECT r.*, t.role, t.text, t.initial, t.fault FROM ready r JOIN turns t ON t.conv = r.conv AND t.pos = r.pos + 1),
+    done AS (
+      SELECT conv, pos + 1 AS pos, state, cost + {c.DELETE_COST} AS cost, audit || 'D' AS audit, made FROM here
+      UNION ALL
+      SELECT conv, pos + 1, {after}, cost + {c.REROLE_COST} + CASE WHEN fault = 3 THEN {c.TRUNCATED_COST} ELSE 0 END, audit || 'R',
+        list_append(made, {names} || ':' || text) FROM here WHERE fault IN (0, 3)
+      UNION ALL
+      SELECT conv, pos + 1, CASE initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END,
+        cost + CASE WHEN fault = 3 THEN {c.TRUNCATED_COST} ELSE 0 END, audit || 'K', list_append(made, role || ':' || text)
+      FROM here WHERE fault IN (0, 3)
+        AND ((state = 0 AND initial IN ('s', 'u')) OR (state IN (1, 3) AND initial = 'u') OR (state = 2 AND initial = 'a'))
+    )
+    SELECT *, row_number() OVER (PARTITION BY conv, state ORDER BY cost, audit) AS rank FROM done
+  ) WHERE rank = 1
+), finished AS (
+  SELECT b.conv, b.state, b.cost, b.audit, b.made, b.pos FROM best b JOIN report r ON r.conv = b.conv AND r.n = b.pos
+), ended AS (
+  SELECT * FROM finished
+  UNION ALL SELECT conv, {after}, cost + {c.INSERT_COST}, audit || 'I', list_append(made, {names} || ':'), pos FROM finished
+  UNION ALL SELECT conv, 3, cost + 2 * {c.INSERT_COST}, audit || 'II', made || ['user:', 'assistant:'], pos FROM finished WHERE state <> 2
+), chosen AS (
+  SELECT * FROM ended WHERE state IN (0, 3) QUALIFY row_number() OVER (PARTITION BY conv ORDER BY cost, audit) = 1
+)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(made, chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN report USING (conv) LEFT JOIN chosen USING (conv)
+"""
+
+
 def build() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_sql(),
@@ -219,4 +365,7 @@ def build() -> dict[str, str]:
         "op6_minhash_dedup": near_duplicate_sql(),
         "op7_mixing": mixing_sql(),
         "op8_suffix_tree_dedup": passage_sql(),
+        "op11_secret_scan": secret_sql(),
+        "op12_filter_audit": audit_sql(),
+        "op13_conversation_repair": repair_sql(),
     }

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from emberline.llm import (
     chat_format,
     compression_classifier,
+    conversation_repair,
     cross_polytope,
+    filter_audit,
     lpf_dedup,
     minhash_dedup,
     mixing,
     packing,
     quality_rules,
+    secret_scan,
     suffix_tree_dedup,
     url_filters,
 )
@@ -101,6 +104,29 @@ def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_polytope.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < len(secret_scan.BASE_RULES))
+    counts = [
+        F.expr(f"cast(size(filter(spans, s -> s.kind = {kind})) AS bigint)").alias(f"n_{rule.kind}")
+        for kind, rule in enumerate(secret_scan.BASE_RULES)
+    ]
+    digest = F.sha2(secret_scan.spans_text(base), 256)
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), secret_scan.spans_text(F.col("spans")).alias("spans"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes from each source, in every order."""
+    return filter_audit.audit(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults planted in every conversation and their cheapest repair."""
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair_report(conversations, conversation_repair.damaged(conversations))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_format": op2_chat_format,
@@ -112,4 +138,7 @@ QUERIES = {
     "op8_suffix_tree_dedup": op8_suffix_tree_dedup,
     "op9_packing": op9_packing,
     "op10_cross_polytope": op10_cross_polytope,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_conversation_repair": op13_conversation_repair,
 }
