@@ -41,6 +41,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ids_repeat(rows: DataFrame) -> bool:
+    """Whether a value of ``id`` other than null stands in several rows."""
+    return not rows.where("id IS NOT NULL").groupBy("id").count().where("count > 1").isEmpty()
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with a number ``row`` that no other row has: the id (no nulls), unless ids repeat.
+
+    Then the rows are written out with a number each, so that it stays theirs.
+    """
+    if not ids_repeat(rows):
+        return rows.withColumn("row", F.col("id"))
+    return stored(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
 # Rows of an Arrow batch: few, as a row may hold a very long text.
 BATCH_ROWS = 1_000
 

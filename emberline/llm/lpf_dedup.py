@@ -10,10 +10,9 @@ reversed order of places tells which places have a later copy.
 ``keep="first"`` removes later copies only, ``keep="none"`` every byte of a repeated string.
 
 Defined results: strings are judged on the texts as given, as UTF-8 bytes; overlaps count; a
-match never crosses documents; a null text is empty.  Rows of equal id and text are copies
-of each other with ``keep="none"``; with ``keep="first"`` the rows of one id stand for one
-document, whose first occurrence stays in each.  Rows with a null id share one id.  Other
-columns are not read.
+match never crosses documents; a null text is empty.  Every row is a document of its own;
+the corpus is in the order of ids (null first), rows of one id in the order in which they are
+read.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.hashing import BYTE_VALUES
-from emberline.llm.repeats import Items, Piece, apply_stretches, repeated_stretches, spans, with_ids, with_rows
+from emberline.llm.repeats import Items, Piece, apply_stretches, repeated_stretches, spans, with_ids, with_whole_rows
 from emberline.llm.suffixes import laid_end_to_end, suffix_order
 
 WIDTH = 400
@@ -76,7 +75,7 @@ def longest_previous_factor(places: np.ndarray, common: np.ndarray) -> np.ndarra
 
 def repeated_windows(pieces: list[Piece], width: int, later_only: bool) -> list[np.ndarray]:
     """The windows of each piece that occur elsewhere in the pieces, or only those that occur earlier."""
-    by_place = sorted(range(len(pieces)), key=lambda i: (pieces[i].id, pieces[i].start))
+    by_place = sorted(range(len(pieces)), key=lambda i: pieces[i].order)
     codes, owner, left = laid_end_to_end([pieces[i].codes for i in by_place])
     # A factor of the width lies within a stretch of the order in which all share so much.
     order, common = suffix_order(codes, width, left >= width)
@@ -127,10 +126,10 @@ def clean_documents(
     ``n_chars`` names a column that is to hold the length of the text that is left.
     """
     items = items or byte_items()
-    rows = with_rows(docs, id_col, text)
-    found = repeated_stretches(rows.select("id", "text"), items, repeated_windows, later_only=keep == "first")
-    kept = apply_stretches(rows, found, items, _kept_text, f"{RESULT}, kept_text string", ["row"])
+    rows = with_whole_rows(docs, id_col, text)
+    found = repeated_stretches(rows.select("id", "row", "text"), items, repeated_windows, later_only=keep == "first")
+    kept = apply_stretches(rows, found, items, _kept_text, f"{RESULT}, kept_text string", ["whole"])
     kept = kept.where("n_removed = 0 OR n_removed < n_bytes")
-    left = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row").getField(text))
+    left = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("whole").getField(text))
     replaced = {text: left} | ({n_chars: F.length(left).cast(docs.schema[n_chars].dataType)} if n_chars else {})
-    return kept.select([replaced.get(name, F.col("row").getField(name)).alias(name) for name in docs.columns])
+    return kept.select([replaced.get(name, F.col("whole").getField(name)).alias(name) for name in docs.columns])

@@ -15,9 +15,10 @@ and a bucket is never expanded into its pairs.
 Equal sets form a class before that, held by their least document.
 
 Defined results: a document with fewer words than a run is the one run of all its words; one
-without words (or null) has an empty set and is its own component; rows of equal id are one
-node, which has the sets of all of them; rows with a null id are not linked, have a null
-component and are kept; other columns are not read.
+without words (or null) has an empty set and is its own component; rows of equal id are
+compared each on its own, with a number in place of the id, and are one node in the end, with
+the links of all of them; rows with a null id are not linked, have a null component and are
+kept; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from emberline.llm.common import PRESENT, arrays_to_batch, arrow_schema, small_batches, stored
+from emberline.llm.common import PRESENT, arrays_to_batch, arrow_schema, ids_repeat, small_batches, stored
 from emberline.llm.components import connected_components
 from emberline.llm.groups import map_groups
 from emberline.llm.hashing import mix, run_hashes, word_hashes
@@ -48,7 +49,7 @@ FACTORS = _random.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(
 SHIFTS = _random.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 # Two sets of the wanted similarity fall below this share of equal minima once in millions.
 LEAST_SHARE = PERCENT / 100 - SLACK * (PERCENT / 100 * (1 - PERCENT / 100) / (BANDS * ROWS)) ** 0.5
-SIGNED = "doc_id long, text_hash long, digest binary, n_shingles long, bands array<long>, signature binary"
+SIGNED = "doc_id long, digest binary, n_shingles long, bands array<long>, signature binary"
 
 
 def shingles(text: str | None, length: int = SHINGLE) -> np.ndarray:
@@ -83,7 +84,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", valu
     """The columns of SIGNED for every row; empty sets have no bands."""
     arrow = arrow_schema(docs, SIGNED)
 
-    def sign(ids: list, hashes: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+    def sign(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
         filled = [found for found in sets if len(found)]
         bands: list = [[]] * len(sets)
         short: list = [b""] * len(sets)
@@ -95,23 +96,22 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", valu
             for row, place in enumerate(place for place, found in enumerate(sets) if len(found)):
                 bands[place], short[place] = keys[row], low[row].tobytes()
         digests = [xxhash.xxh3_128_digest(found.tobytes()) for found in sets]
-        return arrays_to_batch([ids, hashes, digests, [len(found) for found in sets], bands, short], arrow)
+        return arrays_to_batch([ids, digests, [len(found) for found in sets], bands, short], arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, hashes, sets, size = [], [], [], 0
+        ids, sets, size = [], [], 0
         for batch in batches:
-            for doc_id, text_hash, value in zip(*batch.columns):
+            for doc_id, value in zip(*batch.columns):
                 ids.append(doc_id.as_py())
-                hashes.append(text_hash.as_py())
                 sets.append(shingles(value.as_py()))
                 size += len(sets[-1])
                 if size >= values_at_once or len(sets) >= 2_000:
-                    yield sign(ids, hashes, sets)
-                    ids, hashes, sets, size = [], [], [], 0
+                    yield sign(ids, sets)
+                    ids, sets, size = [], [], 0
         if ids:
-            yield sign(ids, hashes, sets)
+            yield sign(ids, sets)
 
-    return small_batches(docs.select(F.col(id_col).cast("long"), F.xxhash64(text), F.col(text))).mapInArrow(run, SIGNED)
+    return small_batches(docs.select(F.col(id_col).cast("long"), F.col(text))).mapInArrow(run, SIGNED)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -176,20 +176,37 @@ def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def links_across(buckets: DataFrame, component: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
     """Links (``u, v``) between members of one bucket that ``component`` holds apart; exact.
 
-    A large bucket is dealt into blocks of members, and each two blocks are one unit of
-    work.  A unit compares full sets, each pair in the first bucket that it shares only, and
-    passes over pairs that its own links have joined meanwhile: it returns fewer links than
-    it has members, and no pair of the bucket is left open.
+    A bucket is dealt into blocks: members of a large component into blocks of their own, all
+    others together.  Each two blocks that hold different components are one unit of work, so
+    a few members beside a large component meet each of its blocks once.  A unit compares
+    full sets, each pair in the first bucket that it shares only, and passes over pairs that
+    its own links have joined meanwhile: it returns fewer links than it has members, and no
+    pair of the bucket is left open.
     """
     held = buckets.join(component, F.col("node") == F.col("member"), "left").select(
         "key", "node", F.coalesce("component", "node").alias("component")
     )
-    mixed = held.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a < b")
-    dealt = (
-        held.join(mixed.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "key")
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "node", "component")
+    sizes = held.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = (
+        sizes.groupBy("key").agg(F.count("*").alias("components"), F.sum(F.when(F.col("n") < block, F.col("n"))).alias("others"))
+        .where("components > 1").select("key", "others")
+    )
+
+    def of(n: Column) -> Column:
+        return F.pmod(F.xxhash64("node"), F.ceil(n / block))
+
+    own = F.when(F.col("n") < block, of(F.col("others"))).otherwise(F.xxhash64("component", of(F.col("n"))))
+    dealt = stored(
+        held.join(mixed, "key").join(sizes, ["key", "component"]).select("key", "node", "component", own.alias("own")), "minhash-blocks"
+    )
+    blocks = dealt.groupBy("key", "own").agg(F.min("component").alias("a"), F.max("component").alias("b"))
+    left = blocks.select("key", F.col("own").alias("one"), F.col("a").alias("a1"), F.col("b").alias("b1"))
+    right = blocks.select("key", F.col("own").alias("two"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+    units = left.join(right, "key").where("one <= two AND least(a1, a2) < greatest(b1, b2)").select("key", "one", "two")
+    rows = (
+        units.withColumn("own", F.explode(F.array_distinct(F.array("one", "two"))))
+        .join(dealt, ["key", "own"])
+        .select("key", "one", "two", "own", "node", "component")
         .join(sets.select("node", "bands", "text"), "node")
     )
     schema = "u long, v long"
@@ -216,7 +233,7 @@ def links_across(buckets: DataFrame, component: DataFrame, sets: DataFrame, bloc
                 links.append((int(columns["node"][lo + a]), int(columns["node"][lo + b])))
         return arrays_to_batch(list(zip(*links)), arrow) if links else None
 
-    return map_groups(dealt, keys, ["node"], work, schema)
+    return map_groups(rows, keys, ["node"], work, schema)
 
 
 def unit_links(
@@ -259,19 +276,44 @@ def unit_links(
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+    if not ids_repeat(rows):
+        return _verdicts(components_of(rows, "id", "text"))
+
+    numbered = stored(rows.withColumn("row", F.monotonically_increasing_id()), "minhash-rows")
+    named = numbered.where("id IS NOT NULL")
+    found = components_of(named, "row", "text").select(F.col("doc_id").alias("row"), "n_shingles", F.col("component").alias("joint"))
+    found = stored(named.select("row", "id").join(found, "row"), "minhash-found")
+    # Rows of one id tie the components they are in.
+    places = found.where("n_shingles > 0").select("joint", "id").distinct()
+    ties = places.join(places.groupBy("joint").agg(F.min("id").alias("v")), "joint").select(F.col("id").alias("u"), "v")
+    tied = connected_components(ties)
+    whole = found.join(tied, F.col("id") == F.col("node"), "left").select(
+        F.col("id").alias("doc_id"), "n_shingles", F.coalesce("component", "id").alias("component")
+    )
+    nameless = signatures(numbered.where("id IS NULL"), "id", "text").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
+    return _verdicts(whole.unionByName(nameless))
+
+
+def _verdicts(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def components_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component`` for every row; ids other than null do not repeat."""
     signed = stored(signatures(docs, id_col, text), "minhash")
     linked = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = linked.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    members = linked.select("doc_id", "digest").join(classes, "digest").select("doc_id", "least").distinct()
-    holders = linked.join(classes, "digest").where("doc_id = least").dropDuplicates(["digest"])
+    members = linked.select("doc_id", "digest").join(classes, "digest").select("doc_id", "least")
+    holders = linked.join(classes, "digest").where("doc_id = least")
 
     in_bands = holders.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
     shared = in_bands.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
     buckets = stored(in_bands.join(shared.select("key", "first"), "key"), "minhash-buckets")
     nodes = buckets.select("node").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    short = holders.select(F.col("doc_id").alias("node"), "text_hash", "signature", "bands").join(nodes, "node", "left_semi")
-    sets = stored(texts.join(short, ["node", "text_hash"]).drop("text_hash"), "minhash-sets")
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text).alias("text"))
+    short = holders.select(F.col("doc_id").alias("node"), "signature", "bands").join(nodes, "node", "left_semi")
+    sets = stored(texts.join(short, "node"), "minhash-sets")
 
     first = buckets.where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct()
     links = stored(verified(first, sets), "minhash-links")
@@ -279,20 +321,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     links = links.unionByName(stored(links_across(buckets.select("key", "node"), component, sets), "minhash-links"))
     found = connected_components(links)
 
-    # Equal sets are linked through their class; rows of one id with several sets tie classes.
-    ties = members.where("doc_id <> least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
-    several = members.groupBy("doc_id").agg(F.min("least").alias("a"), F.max("least").alias("b")).where("a < b")
-    if not several.isEmpty():
-        found = connected_components(links.select("u", "v").unionByName(ties))
-        least = members.select("doc_id").distinct().withColumn("least", F.col("doc_id"))
-    else:
-        least = members
-    named = least.join(found, F.col("least") == F.col("node"), "left").select(
+    # Equal sets are linked through their class.
+    named = members.join(found, F.col("least") == F.col("node"), "left").select(
         F.col("doc_id").alias("id"), F.coalesce("component", "least").alias("component")
     )
     rows = signed.select("doc_id", "n_shingles").join(named, F.col("doc_id") == F.col("id"), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

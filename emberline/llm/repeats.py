@@ -14,7 +14,8 @@ window itself; a segment, not each of its windows, is what moves between machine
 4. What was found is joined to the documents, and applied only where the text is the same.
 
 A group that holds a third of all rows is counted before the shuffle in 1 and 2, and never
-gathered in one task in 3.
+gathered in one task in 3.  Rows are joined by a number of their own; the id only orders the
+corpus, so that rows of one id, or without one, are documents like all others.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from emberline.llm.common import PRESENT, arrays_to_batch, arrow_schema, small_batches, stored
+from emberline.llm.common import PRESENT, arrays_to_batch, arrow_schema, numbered, small_batches, stored
 from emberline.llm.groups import map_groups
 from emberline.llm.hashing import mix, run_hashes, sliding_min
 
@@ -38,9 +39,9 @@ NO_ID = -(2**63)
 # segment, so that windows of it may equal each other, and the number of windows.
 TWICE = 2**31
 WINDOWS = TWICE - 1
-SEGMENTS = "key long, seg long, id long, place long"
-TEXTS = "key long, seg long, id long, place long, copies long, content binary"
-FOUND = "id long, place long, seg long, a int, b int"
+SEGMENTS = "key long, seg long, id long, row long, place long"
+TEXTS = "key long, seg long, id long, row long, place long, copies long, content binary"
+FOUND = "row long, place long, a int, b int"
 
 
 @dataclass(frozen=True)
@@ -66,9 +67,15 @@ class Piece:
 
     codes: np.ndarray
     id: int
+    row: int
     start: int
     copies: int
 
+    @property
+    def order(self) -> tuple[int, int, int]:
+        """Its place in the corpus."""
+        return self.id, self.row, self.start
+
 
 def segments(hashes: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each run of windows with one anchor: anchor, first window, number of windows,
@@ -103,14 +110,14 @@ def _segment_hash(content: bytes) -> int:
 
 
 def text_segments(docs: DataFrame, items: Items, hashed: bool) -> DataFrame:
-    """Rows of SEGMENTS for ``docs`` (``id, text``); see ``TWICE`` for ``place``.
+    """Rows of SEGMENTS for ``docs`` (``id, row, text``); see ``TWICE`` for ``place``.
 
     ``seg`` is the hash of the segment's text if ``hashed``, else 0.
     """
     arrow = arrow_schema(docs, SEGMENTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], [], [], []]
+        held: list[list] = [[], [], [], [], []]
         size = 0
 
         def flush() -> pa.RecordBatch:
@@ -120,7 +127,7 @@ def text_segments(docs: DataFrame, items: Items, hashed: bool) -> DataFrame:
             return batch
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
+            for doc_id, row, text in zip(*batch.columns):
                 data, hashes, starts, ends = items.split((text.as_py() or "").encode())
                 keys, lows, counts, twice = segments(hashes, items.width, items.gram)
                 if not len(keys):
@@ -130,7 +137,7 @@ def text_segments(docs: DataFrame, items: Items, hashed: bool) -> DataFrame:
                     seg = np.array([_segment_hash(data[x:y]) for x, y in zip(a, b)], np.int64)
                 else:
                     seg = np.zeros(len(keys), np.int64)
-                for column, values in zip(held, (keys.view(np.int64), seg, np.full(len(keys), doc_id.as_py()), (lows << 32) | (twice * TWICE) | counts)):
+                for column, values in zip(held, (keys.view(np.int64), seg, np.full(len(keys), doc_id.as_py()), np.full(len(keys), row.as_py()), (lows << 32) | (twice * TWICE) | counts)):
                     column.append(values)
                 size += len(keys)
                 if size >= 50_000:
@@ -139,7 +146,7 @@ def text_segments(docs: DataFrame, items: Items, hashed: bool) -> DataFrame:
         if size:
             yield flush()
 
-    return small_batches(docs.select("id", "text")).mapInArrow(run, SEGMENTS)
+    return small_batches(docs.select("id", "row", "text")).mapInArrow(run, SEGMENTS)
 
 
 def repeated_stretches(
@@ -147,7 +154,7 @@ def repeated_stretches(
 ) -> DataFrame:
     """Rows of FOUND: the items ``a`` to ``b`` of a segment (by its start) lie in repeated windows.
 
-    ``docs`` has ``id, text``.  ``find(pieces, width, later_only)`` gives, for each piece,
+    ``docs`` has ``id, row, text``, see ``numbered``.  ``find(pieces, width, later_only)`` gives, for each piece,
     the windows in it that occur elsewhere in the pieces; with ``later_only`` only those
     that occur earlier, in order of id and place.
     """
@@ -157,8 +164,8 @@ def repeated_stretches(
     shared = text_segments(docs, items, hashed=False).groupBy("key").agg(occurs.alias("n")).where("n > 1").select("key")
     again = stored(text_segments(docs, items, hashed=True).join(shared, "key"), "repeats")
     kinds = stored(
-        again.groupBy("key", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("id", "place")).alias("first"))
-        .select("key", "seg", "copies", "first.id", "first.place"),
+        again.groupBy("key", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("id", "row", "place")).alias("first"))
+        .select("key", "seg", "copies", "first.id", "first.row", "first.place"),
         "repeat-kinds",
     )
     windows = F.col("place").bitwiseAND(F.lit(WINDOWS))
@@ -166,10 +173,10 @@ def repeated_stretches(
     sizes = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.max(twice).alias("twice"), held).where("kinds > 1 OR twice")
 
     # Segments that occur as a whole more than once.
-    copied = again.join(kinds.where("copies > 1").select("key", "seg", F.col("id").alias("first_id"), F.col("place").alias("first_place")), ["key", "seg"])
+    copied = again.join(kinds.where("copies > 1").select("key", "seg", F.col("row").alias("first_row"), F.col("place").alias("first_place")), ["key", "seg"])
     if later_only:
-        copied = copied.where("id <> first_id OR place <> first_place")
-    whole = copied.select("id", "place", "seg", F.lit(0).alias("a"), (windows + (width - 1)).cast("int").alias("b"))
+        copied = copied.where("row <> first_row OR place <> first_place")
+    whole = copied.select("row", "place", F.lit(0).alias("a"), (windows + (width - 1)).cast("int").alias("b"))
 
     # Different segments of one anchor.
     texts = stored(_with_texts(docs, kinds.join(sizes.select("key", "items"), "key"), items), "repeat-texts")
@@ -178,19 +185,19 @@ def repeated_stretches(
     arrow = arrow_schema(docs, FOUND)
 
     def work(rows: pa.Table) -> pa.RecordBatch | None:
-        columns = rows.select(["id", "place", "seg", "copies"]).to_pydict()
+        columns = rows.select(["id", "row", "place", "copies"]).to_pydict()
         pieces = [
-            Piece(codes, doc_id, place >> 32, copies)
-            for codes, doc_id, place, copies in zip(items.codes(rows.column("content").to_pylist()), columns["id"], columns["place"], columns["copies"])
+            Piece(codes, doc_id, row, place >> 32, copies)
+            for codes, doc_id, row, place, copies in zip(items.codes(rows.column("content").to_pylist()), *columns.values())
         ]
         out = []
         for i, starts in enumerate(find(pieces, width, later_only)):
             if later_only or pieces[i].copies == 1:
-                out += [(pieces[i].id, columns["place"][i], columns["seg"][i], a, b) for a, b in stretches(starts, width)]
+                out += [(pieces[i].row, columns["place"][i], a, b) for a, b in stretches(starts, width)]
         return arrays_to_batch(list(zip(*out)), arrow) if out else None
 
     # Sorted by place, so that an operator sees the pieces in the order of the corpus.
-    parts = map_groups(small, ["key"], ["id", "place"], work, FOUND, items.batch_bytes)
+    parts = map_groups(small, ["key"], ["id", "row", "place"], work, FOUND, items.batch_bytes)
     found = whole.unionByName(parts)
     if not large.isEmpty():
         found = found.unionByName(_by_window(large, items, later_only))
@@ -208,52 +215,44 @@ def stretches(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
 
 def _with_texts(docs: DataFrame, kinds: DataFrame, items: Items) -> DataFrame:
     """``kinds`` with the text of each segment: rows of TEXTS and the size of their group."""
-    wanted = kinds.groupBy("id").agg(F.collect_list(F.struct("key", "seg", "place", "copies", "items")).alias("wanted"))
+    wanted = kinds.groupBy("row").agg(F.collect_list(F.struct("key", "seg", "id", "place", "copies", "items")).alias("wanted"))
     schema = TEXTS + ", items long"
     arrow = arrow_schema(docs, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
-            for doc_id, text, segs in zip(*batch.columns):
-                doc_id = doc_id.as_py()
+            for row, text, segs in zip(*batch.columns):
+                row = row.as_py()
                 data, hashes, starts, ends = items.split((text.as_py() or "").encode())
                 for seg in segs.as_py():
                     low, windows = seg["place"] >> 32, seg["place"] & WINDOWS
-                    if low + windows + items.width - 1 > len(starts):
-                        continue
                     content = _content(data, starts, ends, low, windows, items.width)
-                    if _segment_hash(content) == seg["seg"]:
-                        rows.append((seg["key"], seg["seg"], doc_id, seg["place"], seg["copies"], content, seg["items"]))
-                        size += len(content)
+                    rows.append((seg["key"], seg["seg"], seg["id"], row, seg["place"], seg["copies"], content, seg["items"]))
+                    size += len(content)
                 if size > 4 << 20:
                     yield arrays_to_batch(list(zip(*rows)), arrow)
                     rows, size = [], 0
         if rows:
             yield arrays_to_batch(list(zip(*rows)), arrow)
 
-    joined = docs.select("id", "text").join(wanted, "id").select("id", "text", "wanted").mapInArrow(run, schema)
-    return joined.dropDuplicates(["key", "seg"]) if _ids_repeat(docs) else joined
-
-
-def _ids_repeat(docs: DataFrame) -> bool:
-    return not docs.groupBy("id").count().where("count > 1").isEmpty()
+    return docs.select("row", "text").join(wanted, "row").select("row", "text", "wanted").mapInArrow(run, schema)
 
 
 def _by_window(texts: DataFrame, items: Items, later_only: bool) -> DataFrame:
     """The same for groups too large to hold: every window is a row of its digest and place."""
-    schema = "digest binary, id long, place long, seg long, at int, copies long"
+    schema = "digest binary, id long, row long, place long, at int, copies long"
     arrow = arrow_schema(texts, schema)
     width = items.width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = batch.select(["id", "place", "seg", "copies", "content"]).to_pydict()
+            columns = batch.select(["id", "row", "place", "copies", "content"]).to_pydict()
             rows = []
-            for doc_id, place, seg, copies, content in zip(*columns.values()):
+            for doc_id, row, place, copies, content in zip(*columns.values()):
                 data, _, starts, ends = items.split(content)
                 rows += [
-                    (xxhash.xxh3_128_digest(data[a:b]), doc_id, place, seg, at, copies)
+                    (xxhash.xxh3_128_digest(data[a:b]), doc_id, row, place, at, copies)
                     for at, (a, b) in enumerate(zip(starts.tolist(), ends[width - 1 :].tolist()))
                 ]
                 if len(rows) > 50_000:
@@ -263,11 +262,11 @@ def _by_window(texts: DataFrame, items: Items, later_only: bool) -> DataFrame:
                 yield arrays_to_batch(list(zip(*rows)), arrow)
 
     windows = texts.mapInArrow(run, schema)
-    order = F.struct("id", (F.shiftright("place", 32) + F.col("at")).alias("start"))
+    order = F.struct("id", "row", (F.shiftright("place", 32) + F.col("at")).alias("start"))
     counts = windows.groupBy("digest").agg(F.sum("copies").alias("n"), F.min(order).alias("first")).where("n > 1")
     repeated = windows.join(counts, "digest").withColumn("order", order)
     repeated = repeated.where(F.col("order") != F.col("first")) if later_only else repeated.where("copies = 1")
-    return repeated.select("id", "place", "seg", F.col("at").alias("a"), (F.col("at") + width).cast("int").alias("b"))
+    return repeated.select("row", "place", F.col("at").alias("a"), (F.col("at") + width).cast("int").alias("b"))
 
 
 def apply_stretches(
@@ -280,27 +279,19 @@ def apply_stretches(
 ) -> DataFrame:
     """The columns ``carry`` and ``result(text in normal form, starts, ends, removed)`` of every row of ``docs``.
 
-    ``docs`` has ``id, text``.  ``removed`` is a flag for each item.  A stretch counts only
-    if the segment it was found in is there.
+    ``docs`` has ``row, text``.  ``removed`` is a flag for each item.
     """
-    by_id = found.groupBy("id").agg(F.collect_list(F.struct("place", "seg", "a", "b")).alias("found"))
-    joined = docs.join(by_id, "id", "left").select("text", "found", *carry)
+    by_row = found.groupBy("row").agg(F.collect_list(F.struct("place", "a", "b")).alias("found"))
+    joined = docs.join(by_row, "row", "left").select("text", "found", *carry)
     made = StructType([joined.schema[name] for name in carry] + StructType.fromDDL(schema).fields)
     kinds = arrow_schema(docs, schema)
-    width = items.width
 
-    def flags(data: bytes, starts: np.ndarray, ends: np.ndarray, stretched: list[dict]) -> np.ndarray:
-        removed = np.zeros(len(starts) + 1, np.int32)
-        right: dict[tuple[int, int], bool] = {}
+    def flags(n: int, stretched: list[dict]) -> np.ndarray:
+        removed = np.zeros(n + 1, np.int32)
         for one in stretched:
-            low, windows = one["place"] >> 32, one["place"] & WINDOWS
-            known = (one["place"], one["seg"])
-            if known not in right:
-                inside = low + windows + width - 1 <= len(starts)
-                right[known] = inside and _segment_hash(_content(data, starts, ends, low, windows, width)) == one["seg"]
-            if right[known]:
-                removed[low + one["a"]] += 1
-                removed[low + one["b"]] -= 1
+            low = one["place"] >> 32
+            removed[low + one["a"]] += 1
+            removed[low + one["b"]] -= 1
         return np.cumsum(removed[:-1]) > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +301,7 @@ def apply_stretches(
                 rows = []
                 for text, stretched in zip(part.column("text"), part.column("found")):
                     data, _, starts, ends = items.split((text.as_py() or "").encode())
-                    rows.append(result(data, starts, ends, flags(data, starts, ends, stretched.as_py() or [])))
+                    rows.append(result(data, starts, ends, flags(len(starts), stretched.as_py() or [])))
                 values = [pa.array(column, kind.type) for column, kind in zip(zip(*rows), kinds)]
                 yield pa.RecordBatch.from_arrays([*(part.column(name) for name in carry), *values], names=[*carry, *kinds.names])
 
@@ -318,17 +309,19 @@ def apply_stretches(
 
 
 def with_ids(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """``doc_id, id, text``: the id without nulls."""
+    """``doc_id, id, row, text``: the id without nulls, and a number of the row."""
     doc_id = F.col(id_col).cast("long")
-    return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
+    return numbered(docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(NO_ID)).alias("id"), F.col(text).alias("text")))
 
 
-def with_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """The same, and each row as a whole as the struct ``row``."""
-    row = F.struct(F.lit(True).alias(PRESENT), *[F.col(f"`{name}`") for name in docs.columns])
-    packed = docs.select(row.alias("row"))
-    return packed.select(
-        "row", F.coalesce(F.col("row").getField(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col("row").getField(text).alias("text")
+def with_whole_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``whole, id, row, text``: the same, and each row as a whole as the struct ``whole``."""
+    whole = F.struct(F.lit(True).alias(PRESENT), *[F.col(f"`{name}`") for name in docs.columns])
+    packed = docs.select(whole.alias("whole"))
+    return numbered(
+        packed.select(
+            "whole", F.coalesce(F.col("whole").getField(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col("whole").getField(text).alias("text")
+        )
     )
 
 

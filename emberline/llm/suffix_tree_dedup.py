@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm.hashing import word_hashes
-from emberline.llm.repeats import Items, Piece, apply_stretches, repeated_stretches, spans, with_ids, with_rows
+from emberline.llm.repeats import Items, Piece, apply_stretches, repeated_stretches, spans, with_ids, with_whole_rows
 from emberline.llm.suffixes import laid_end_to_end, suffix_order
 
 WIDTH = 35
@@ -65,7 +65,7 @@ def maximal_repeats(codes: np.ndarray, depth: int, wanted: np.ndarray | None = N
 
 def repeated_windows(pieces: list[Piece], width: int, later_only: bool) -> list[np.ndarray]:
     """The windows of each piece that occur elsewhere in the pieces, or only those that occur earlier."""
-    by_place = sorted(range(len(pieces)), key=lambda i: (pieces[i].id, pieces[i].start))
+    by_place = sorted(range(len(pieces)), key=lambda i: pieces[i].order)
     codes, owner, left = laid_end_to_end([pieces[i].codes for i in by_place])
     matched = np.zeros(len(codes), bool)
     for leaves in maximal_repeats(codes, width, left >= width):
@@ -112,10 +112,10 @@ def clean_documents(
     ``n_chars`` names a column that is to hold the length of the text that is left.
     """
     items = items or word_items()
-    rows = with_rows(docs, id_col, text)
-    found = repeated_stretches(rows.select("id", "text"), items, repeated_windows, later_only=keep == "first")
-    kept = apply_stretches(rows, found, items, _with_kept, f"{RESULT}, kept_text string", ["row"])
+    rows = with_whole_rows(docs, id_col, text)
+    found = repeated_stretches(rows.select("id", "row", "text"), items, repeated_windows, later_only=keep == "first")
+    kept = apply_stretches(rows, found, items, _with_kept, f"{RESULT}, kept_text string", ["whole"])
     kept = kept.where("n_removed = 0 OR n_removed < n_words")
-    left = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row").getField(text))
+    left = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("whole").getField(text))
     replaced = {text: left} | ({n_chars: F.length(left).cast(docs.schema[n_chars].dataType)} if n_chars else {})
-    return kept.select([replaced.get(name, F.col("row").getField(name)).alias(name) for name in docs.columns])
+    return kept.select([replaced.get(name, F.col("whole").getField(name)).alias(name) for name in docs.columns])

@@ -89,3 +89,34 @@ def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 20)] + [(7, 7)]
     found = components.connected_components(spark.createDataFrame(edges, "u long, v long"))
     assert {row.node: row.component for row in found.collect()} == {**{i: 0 for i in range(31)}, **{100 + i: 100 for i in range(20)}}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_repeated_ids_with_unequal_texts_in_any_order_of_rows(spark, make_docs, seed):
+    r = random.Random(seed)
+    base, other = text(r), text(r)
+    rows = [(0, base), (0, other), (1, varied(r, base, 2)), (2, varied(r, base, 3)), (3, varied(r, other, 2)), (4, text(r))]
+    for _ in range(12):
+        doc_id, kin = r.randrange(5, 25), text(r)
+        rows += [(doc_id, varied(r, kin, 1)), (r.randrange(5, 25), varied(r, kin, 2)), (doc_id, r.choice(["", None, kin]))]
+    rows += [(None, base), (None, other), (0, base)]
+    expected = brute(rows)
+    r.shuffle(rows)
+    found = m.near_duplicates(make_docs(rows, clashing=True)).collect()
+    assert len(found) == len(rows)
+    assert {row.doc_id: row.component_id for row in found if row.doc_id is not None} == expected
+    assert all(row.component_id == expected.get(row.doc_id) and row.kept == (row.doc_id == row.component_id) for row in found)
+
+
+def test_blocks_of_one_component_do_not_meet(spark):
+    """A large component and two strays: its blocks meet those of the strays only."""
+    r = random.Random(11)
+    words = text(r, 200)
+    docs = [(i, varied(r, words, 1)) for i in range(40)] + [(100, varied(r, words, 2)), (101, text(r, 60))]
+    sets = spark.createDataFrame([(i, [i] * m.BANDS, t) for i, t in docs], "node long, bands array<long>, text string")
+    # One bucket for all in the first band.
+    sets = sets.withColumn("bands", F.transform("bands", lambda b, i: F.when(i == 0, F.lit(7)).otherwise(b * 100 + i)))
+    buckets = sets.select(F.lit(7).cast("long").alias("key"), "node")
+    component = spark.createDataFrame([(i, 0) for i in range(40)], "member long, component long")
+    links = {(row.u, row.v) for row in m.links_across(buckets, component, sets, 10).collect()}
+    assert links and all(100 in link for link in links)

@@ -79,6 +79,29 @@ def test_null_ids_repeated_rows_and_empty_tables(spark, make_docs, module, items
     assert left[1] == passage and 3 not in left and passage not in left[2] and left[4] is None
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_repeated_and_null_ids_are_rows_of_their_own(spark, keep):
+    r = random.Random(6)
+    texts = corpus(6, "abcé") * 2
+    ids = sorted((r.choice([None, 1, 2, 3]) for _ in texts), key=lambda i: (i is not None, i or 0))
+    docs = spark.createDataFrame([(i, text, "x") for i, text in zip(ids, texts)], "doc_id long, text string, row string").coalesce(1)
+    data = [text.encode() for text in texts]
+    got = lpf_dedup.repeated_strings(docs, keep=keep, items=lpf_dedup.byte_items(width=12, gram=4)).collect()
+    expected = [
+        (str(i), hashlib.sha256(bytes(b for b, gone in zip(one, flags) if not gone)).hexdigest())
+        for i, one, flags in zip(ids, data, removed_flags(data, 12, keep))
+    ]
+    assert sorted((str(row.doc_id), row.kept_sha256) for row in got) == sorted(expected)
+
+
+def test_rows_without_an_id_are_not_gathered(spark, make_docs):
+    """Segments and stretches are joined by row: no more of them than there are in a text."""
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, f"a{i} {passage} b{i}") for i in range(400)]
+    found = suffix_tree_dedup.repeated_passages(make_docs(rows), keep="none").collect()
+    assert {(row.n_words, row.n_removed) for row in found} == {(62, 60)}
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_suffix_order_and_previous_factors(seed):
     r = np.random.default_rng(seed)
