@@ -71,9 +71,12 @@ RULES = BASE_RULES + (
 
 def build_index(texts: DataFrame, trigrams: list[str]) -> DataFrame:
     """``trigram, row`` for ``texts`` (``row, text``): which rows hold which of the trigrams."""
-    low = F.lower("text")
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in sorted(trigrams)]))
-    postings = texts.select("row", held.alias("held")).select(F.explode("held").alias("trigram"), "row")
+    # A column of its own, so that the text is folded once and not once per trigram.
+    folded = texts.select("row", F.lower("text").alias("low"))
+    ordered = sorted(trigrams)
+    held = folded.select("row", F.posexplode(F.array(*[F.contains("low", F.lit(t)) for t in ordered])).alias("place", "held"))
+    names = F.array(*[F.lit(t) for t in ordered])
+    postings = held.where("held").select(F.get(names, F.col("place")).alias("trigram"), "row")
     laid = postings.repartition(F.col("trigram"), F.pmod("row", F.lit(POSTING_PARTS))).sortWithinPartitions("trigram", "row")
     return stored(laid, "secret-index")
 
