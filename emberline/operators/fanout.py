@@ -48,14 +48,20 @@ def last_readings(station_rows: DataFrame, keys: tuple[str, ...] = ("file_date",
     return ordered.join(winners, [*keys, "arrival"], "left_semi").drop("arrival")
 
 
-def last_run_per_date(station_rows: DataFrame) -> DataFrame:
-    """Each station's last reading in the last run of each date.
+def rows_of_last_runs(station_rows: DataFrame) -> DataFrame:
+    """Each station's last reading in the last run of each date, with its ``run``.
 
     ``station_rows`` is flat weather of known stations, one row per readable payload; a run
-    that brought nothing readable is no run.
+    that brought nothing readable is no run.  What is left of parts of the rows can be put
+    together and reduced again: the result is that of all rows at once.
     """
     last = station_rows.groupBy("file_date").agg(F.max("run").alias("run"))
-    return last_readings(station_rows.join(last, ["file_date", "run"], "left_semi")).drop("run")
+    return last_readings(station_rows.join(last, ["file_date", "run"], "left_semi"))
+
+
+def last_run_per_date(station_rows: DataFrame) -> DataFrame:
+    """The same without ``run``: what the grid weather of each date is made of."""
+    return rows_of_last_runs(station_rows).drop("run")
 
 
 def fetch_summary(cell_station: DataFrame, station_weather: DataFrame) -> DataFrame:

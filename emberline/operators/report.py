@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.constants import DANGER_CLASSES
 from emberline.functions.classify import class_rows
+from emberline.operators.scoring import REJECT_REASONS
+from emberline.session import local_table
 
 
 def count_column(class_name: str) -> str:
@@ -21,22 +23,44 @@ def class_counts(ok: Column) -> list[Column]:
     ]
 
 
-def run_stats(scored: DataFrame) -> DataFrame:
-    """One row of totals, risk range and class counts, from a single pass over the run."""
+def run_metrics() -> dict[str, Column]:
+    """Totals, risk range, class counts and rejects of scored rows, as aggregates by name."""
     ok = F.col("reject_reason").isNull()
     risk = F.when(ok, F.col("daily_fire_risk"))
     none = F.lit(0.0)
-    return scored.agg(
-        F.count("*").alias("total_locations"),
-        F.count_if(ok).alias("processed_successfully"),
-        F.count_if(~ok).alias("processing_errors"),
-        F.struct(
-            F.coalesce(F.min(risk), none).alias("min_risk"),
-            F.coalesce(F.max(risk), none).alias("max_risk"),
-            F.coalesce(F.avg(risk), none).alias("mean_risk"),
-            *class_counts(ok),
-        ).alias("risk_statistics"),
-    )
+    return {
+        "total_locations": F.count(F.lit(1)),
+        "processed_successfully": F.count_if(ok),
+        "processing_errors": F.count_if(~ok),
+        "min_risk": F.coalesce(F.min(risk), none),
+        "max_risk": F.coalesce(F.max(risk), none),
+        "mean_risk": F.coalesce(F.avg(risk), none),
+        **{count_column(name): count for (_, name, *_), count in zip(DANGER_CLASSES, class_counts(ok))},
+        **{f"rejected_{reason}": F.count_if(F.col("reject_reason") == reason) for reason in REJECT_REASONS},
+    }
+
+
+def _nested(metrics: DataFrame) -> DataFrame:
+    totals = ["total_locations", "processed_successfully", "processing_errors"]
+    inner = ["min_risk", "max_risk", "mean_risk", *(count_column(name) for _, name, *_ in DANGER_CLASSES)]
+    return metrics.select(*totals, F.struct(*inner).alias("risk_statistics"))
+
+
+def run_stats(scored: DataFrame) -> DataFrame:
+    """One row of totals, risk range and class counts, from a single pass over the run."""
+    return _nested(scored.agg(*[metric.alias(name) for name, metric in run_metrics().items()]))
+
+
+def observed_stats(spark: SparkSession, seen: dict) -> DataFrame:
+    """The same from ``run_metrics`` that were gathered while the rows were written."""
+    fields = [f"{name} {'double' if isinstance(value, float) else 'bigint'}" for name, value in seen.items()]
+    return _nested(local_table(spark, [tuple(seen.values())], ", ".join(fields)))
+
+
+def observed_rejects(spark: SparkSession, seen: dict) -> DataFrame:
+    """Rejected rows by reason, from the same metrics."""
+    rows = [(reason, seen[f"rejected_{reason}"]) for reason in REJECT_REASONS]
+    return local_table(spark, rows, "reject_reason string, n_rows bigint").where("n_rows > 0")
 
 
 def class_report(predictions: DataFrame) -> DataFrame:

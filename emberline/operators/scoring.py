@@ -61,12 +61,15 @@ def weather_features(columns: list[str], danger_index: str) -> dict[str, str]:
     }
 
 
+REJECT_REASONS = ("ratio_divides_by_zero",)
+
+
 def reject_reason(columns: list[str]) -> str:
     """Why a row cannot be scored; NULL if it can.
 
     The humidity/temperature ratio divides by the temperature plus one.
     """
-    return f"CASE WHEN {_reported(columns, 'temperature')} = -1D THEN 'ratio_divides_by_zero' END"
+    return f"CASE WHEN {_reported(columns, 'temperature')} = -1D THEN '{REJECT_REASONS[0]}' END"
 
 
 def attach_fire_history(

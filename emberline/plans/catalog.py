@@ -13,10 +13,11 @@ from emberline.functions.clean import as_float32, index_inputs, json_clean
 from emberline.functions.geo import province
 from emberline.operators import fanout, history, quality, report, scoring, spatial
 from emberline.plans import fixtures as fx
-from emberline.session import scratch_dir
+from emberline.plans import jobs
+from emberline.session import local_table, scratch_dir
 from emberline.sources import payloads as landed
 from emberline.sources import sinks, weather
-from emberline.streaming import ingest, state
+from emberline.streaming import cells, ingest, state
 
 # The month is a parameter of every accumulation; queries that share an oracle share it.
 SUMMER = 7
@@ -128,7 +129,9 @@ def danger_class_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_stats(spark: SparkSession, sf: str) -> DataFrame:
-    stats = report.run_stats(_scored(spark, sf))
+    """Statistics of a run, counted while its rows are written."""
+    path = scratch_dir(spark, "scored")
+    stats = report.observed_stats(spark, sinks.write_observed(_scored(spark, sf), path, report.run_metrics()))
     return rounded(
         stats.select("total_locations", "processed_successfully", "processing_errors", "risk_statistics.*")
     )
@@ -204,8 +207,16 @@ def payload_flatten(spark: SparkSession, sf: str) -> DataFrame:
     return flat.withColumn("date", landed.local_date_text(F.col("fetched_at"))).drop("fetched_at")
 
 
+def payload_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from payloads that were stored as shredded variants."""
+    path = scratch_dir(spark, "documents")
+    landed.documents(fx.payloads(spark, sf)).write.parquet(path)
+    flat = landed.daily_columns(landed.flatten_documents(spark.read.parquet(path)))
+    return flat.withColumn("date", landed.local_date_text(F.col("fetched_at"))).drop("fetched_at")
+
+
 def _landed(spark: SparkSession, sf: str) -> DataFrame:
-    """The payloads as an ingest keeps them: readable ones of known stations, flat."""
+    """The payloads as an ingest keeps them: the last readings of each date, flat."""
     store = scratch_dir(spark, "landed")
     ingest.land(fx.payloads(spark, sf), store)
     return ingest.read_landed(spark, store)
@@ -219,7 +230,7 @@ def station_fanout(spark: SparkSession, sf: str) -> DataFrame:
 def fetch_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Stations that delivered and failed, for every hourly run."""
     sent = fanout.with_run(fx.table(spark, sf, "events").withColumnRenamed("ts", "fetched_at"))
-    return fanout.run_summaries(_mapped_cells(spark, sf), sent, _landed(spark, sf))
+    return fanout.run_summaries(_mapped_cells(spark, sf), sent, ingest.station_rows(fx.payloads(spark, sf)))
 
 
 def payload_rejects(spark: SparkSession, sf: str) -> DataFrame:
@@ -370,24 +381,52 @@ def prediction_export(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """Payload files land, are streamed over the observed cells, and stored as daily partitions."""
-    path = scratch_dir(spark, "ingest")
-    # A text that is no JSON travels as a JSON string.
+def _payload_lines(payloads: DataFrame) -> DataFrame:
+    """Lines of landing files; a text that is no JSON travels as a JSON string."""
     body = "if(try_parse_json(payload) IS NULL, to_json(array(payload)), payload)"
     line = (
         "concat('{\"station\":\"', station, '\",\"fetched_at\":\"', cast(fetched_at AS string),"
         f" '\",\"payload\":', {body}, '}}')"
     )
+    return payloads.selectExpr(f"replace({line}, chr(10), ' ') AS value")
+
+
+def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """Payload files land, are streamed over the observed cells, and stored as daily partitions."""
+    path = scratch_dir(spark, "ingest")
     # Four files in an order unlike that of the events, one per micro-batch.
     mixed = fx.payloads(spark, sf).repartition(4, F.xxhash64("event_id"))
-    mixed.selectExpr(f"replace({line}, chr(10), ' ') AS value").write.text(f"{path}/landed")
+    _payload_lines(mixed).write.text(f"{path}/landed")
     mapping = _mapped_cells(spark, sf).drop("cell_id")
     stream = landed.stream_payloads(spark, f"{path}/landed", files_per_batch=1)
     ingest.start_ingest(stream, mapping, f"{path}/daily", f"{path}/checkpoint").awaitTermination()
     return weather.read_history_table(spark, f"{path}/daily")
 
 
+LATE_AFTER = "10 days"
+
+
+def late_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Half of the payloads land, then all of them: the first half once more, and dates that have expired.
+
+    Accepted payloads by date; repeated and late ones as totals.
+    """
+    path = scratch_dir(spark, "late")
+    counts = {"repeated": 0, "late": 0}
+    for part in ("event_id % 2 = 0", "true"):
+        _payload_lines(fx.payloads(spark, sf).where(part)).coalesce(1).write.mode("append").text(f"{path}/landed")
+        stream = landed.stream_payloads(spark, f"{path}/landed")
+        query = ingest.start_landing(stream, f"{path}/accepted", f"{path}/checkpoint", LATE_AFTER)
+        query.awaitTermination()
+        seen = ingest.landing_counts(query)
+        counts = {name: n + seen[name] for name, n in counts.items()}
+    totals = local_table(spark, list(counts.items()), "outcome string, n_payloads bigint")
+    accepted = spark.read.parquet(f"{path}/accepted").groupBy("file_date").agg(F.count("*").alias("n_payloads"))
+    return accepted.selectExpr("file_date", "'accepted' AS outcome", "n_payloads").unionByName(
+        totals.selectExpr("cast(NULL AS date) AS file_date", "outcome", "n_payloads")
+    )
+
+
 def stream_equals_batch(spark: SparkSession, sf: str) -> DataFrame:
     """The accumulation from a stream over the observations; same result as the batch.
 
@@ -403,6 +442,50 @@ def stream_equals_batch(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(codes.select("cell_id", "last_date", "last_wind", *CODES))
 
 
+def state_store_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from windows in keyed state; the stream stops half way and goes on."""
+    path = scratch_dir(spark, "cells")
+    events = fx.table(spark, sf, "events")
+    for half in (0, 1):
+        part = events.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == half)
+        part.repartition(2, F.xxhash64("event_id", F.lit(1))).write.mode("append").parquet(f"{path}/in")
+        arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        inputs = state.day_inputs(fx.events_as_weather(arriving), "event_id")
+        cells.start_cell_stream(inputs, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    codes = state.codes_of_days(cells.current_windows(spark, f"{path}/out"), SUMMER)
+    return rounded(codes.select("cell_id", "last_date", "last_wind", *CODES))
+
+
+def fire_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Fire points written as text and read by their reader."""
+    path = scratch_dir(spark, "fires")
+    points = fx.fires(spark, sf).selectExpr("latitude", "longitude", "cast(rep_date AS timestamp) AS rep_date", "size_ha")
+    points.write.option("header", True).csv(path)
+    return weather.read_fires(spark, path, "csv").withColumn("rep_date", F.col("rep_date").cast("date"))
+
+
+def grid_job(spark: SparkSession, sf: str) -> DataFrame:
+    """The grid as the grid job stores it and its reader finds it."""
+    path = scratch_dir(spark, "grid")
+    fx.fires(spark, sf).drop("fire_id").write.parquet(f"{path}/fires")
+    jobs.build_grid(spark, weather.read_fires(spark, f"{path}/fires"), f"{path}/grid")
+    return weather.read_grid(spark, f"{path}/grid")
+
+
+def mapping_job(spark: SparkSession, sf: str) -> DataFrame:
+    """Stations of the observed cells as the mapping job stores them."""
+    path = scratch_dir(spark, "mapping")
+    jobs.map_stations(spark, path, _observed_cells(spark, sf))
+    return weather.read_mapping(spark, path)
+
+
+def stored_result(spark: SparkSession, sf: str) -> DataFrame:
+    """The predictions of a whole scoring job, read by way of its envelope."""
+    out = scratch_dir(spark, "run")
+    jobs.score(spark, fx.wx_daily(spark, sf), _flagged_grid(spark, sf), out, SUMMER, "2024-01-31 00:00:00", keys=("cell_id",))
+    return rounded(_flat(weather.read_result(spark, out)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
@@ -429,6 +512,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         historical_fire_flag_polygon,
         province_of_cell,
         payload_flatten,
+        payload_documents,
         station_fanout,
         fetch_summary,
         unknown_stations,
@@ -442,6 +526,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         stored_predictions,
         prediction_export,
         stream_ingest,
+        late_payloads,
         stream_equals_batch,
+        state_store_codes,
+        fire_scan,
+        grid_job,
+        mapping_job,
+        stored_result,
     )
 }

@@ -71,16 +71,16 @@ def score(
 
     ``today`` is the snapshot to score, by default the newest date of the history.
 
-    The scored rows are written once and all reports read them back.
+    The scored rows are written once; statistics, rejects and the run log are made of what was
+    counted on the way.
     """
     started = time.monotonic()
     moment = F.lit(run_ts).cast("timestamp")
     scored = scoring.predictions(history, as_of_month, today, grid, window, keys, bounds=bounds)
-    scored.write.mode("overwrite").parquet(f"{out}/scored")
-    stored = spark.read.parquet(f"{out}/scored")
-    sinks.write_predictions(scoring.accepted(stored), f"{out}/predictions")
-    report.rejects_by_reason(stored).write.mode("overwrite").parquet(f"{out}/rejects")
-    stats = report.run_stats(stored)
+    seen = sinks.write_observed(scored, f"{out}/scored", report.run_metrics())
+    sinks.write_predictions(scoring.accepted(spark.read.parquet(f"{out}/scored")), f"{out}/predictions")
+    report.observed_rejects(spark, seen).write.mode("overwrite").parquet(f"{out}/rejects")
+    stats = report.observed_stats(spark, seen)
     stats.write.mode("overwrite").parquet(f"{out}/stats")
     stats = spark.read.parquet(f"{out}/stats")
     sinks.envelope(stats, moment).write.mode("overwrite").json(f"{out}/envelope")

@@ -16,7 +16,7 @@ from emberline.constants import (
     PROVINCE_PRIORITY,
     STATIONS,
 )
-from emberline.plans.catalog import SPRING, SUMMER
+from emberline.plans.catalog import LATE_AFTER, SPRING, SUMMER
 from emberline.plans.fixtures import UNKNOWN_STATIONS
 
 
@@ -348,6 +348,10 @@ WEATHER_NAMES = [
 ]
 
 
+FLAT_SELECT = f"""SELECT event_id, station, {', '.join(WEATHER_NAMES)},
+  strftime(ts - INTERVAL 7 HOUR, '%Y-%m-%d %H:%M:%S') AS date FROM flat"""
+
+
 def freshness(component: str, source: str, stamp: str, min_rows: int) -> str:
     return f"""SELECT {text(component)} AS component, count(*) AS n_rows,
   count(DISTINCT cast({stamp} AS date)) AS n_dates, max({stamp}) AS last_ts,
@@ -430,6 +434,7 @@ FROM codes c JOIN numbered_daily d ON d.n = c.cell_id""",
         ),
         "accumulated_codes": with_(accumulated_daily, CODE_SELECT, True),
         "stream_equals_batch": with_(accumulated_daily, CODE_SELECT, True),
+        "state_store_codes": with_(accumulated_daily, CODE_SELECT, True),
         "fire_indices": with_(
             f"{WX_DAILY},\n{accumulated('wx_daily', SPRING)},\n{INDICES}",
             "SELECT cell_id, " + ", ".join(rnd(c) for c in ("ffmc", "dmc", "dc", "isi", "bui", "fwi", "dsr"))
@@ -437,6 +442,7 @@ FROM codes c JOIN numbered_daily d ON d.n = c.cell_id""",
             True,
         ),
         "risk_scores": with_(scored, PREDICTION_SELECT, True),
+        "stored_result": with_(scored, PREDICTION_SELECT, True),
         "stored_predictions": with_(scored, PREDICTION_SELECT + " WHERE risk >= 0.65", True),
         "danger_class_counts": with_(
             f"{scored},\nlisting AS (SELECT * FROM (VALUES {CLASS_ROWS}) v(danger_class, fwi_range, color, description))",
@@ -489,6 +495,13 @@ FROM grid LEFT JOIN seen ON seen.lat = grid.lat AND seen.lon = grid.lon""",
             f"""SELECT cell_id, lat, lon, nearest_station_name, {rnd('station_distance_m', digits=2)} FROM mapped""",
         ),
         "historical_fire_flag": with_(FLAGGED, "SELECT * FROM flagged"),
+        "grid_job": with_(FLAGGED, "SELECT lat, lon, historical_fire FROM flagged"),
+        "mapping_job": with_(f"{WX_EVENTS},\n{MAPPED}", "SELECT lat, lon, nearest_station_name FROM mapped"),
+        "fire_scan": with_(
+            FIRES,
+            """SELECT latitude, longitude, cast(o_orderdate AS date) AS rep_date, o_totalprice / 100.0 AS size_ha
+FROM fires JOIN orders ON o_orderkey = fire_id""",
+        ),
         "historical_fire_flag_polygon": with_(
             ",\n".join(
                 [FIRES, GRID, CONE, projected("grid_xy", "grid"),
@@ -502,10 +515,14 @@ FROM grid LEFT JOIN seen ON seen.lat = grid.lat AND seen.lon = grid.lon""",
   {province_case('grid.lat', 'grid.lon')} AS province
 FROM grid LEFT JOIN seen ON seen.lat = grid.lat AND seen.lon = grid.lon""",
         ),
-        "payload_flatten": with_(
-            PAYLOADS,
-            f"""SELECT event_id, station, {', '.join(WEATHER_NAMES)},
-  strftime(ts - INTERVAL 7 HOUR, '%Y-%m-%d %H:%M:%S') AS date FROM flat""",
+        "payload_flatten": with_(PAYLOADS, FLAT_SELECT),
+        "payload_documents": with_(PAYLOADS, FLAT_SELECT),
+        "late_payloads": with_(
+            f"""{PAYLOADS},
+marked AS (SELECT *, event_id % 2 = 0 AS early, date_trunc('milliseconds', max(ts) FILTER (event_id % 2 = 0) OVER ()) - INTERVAL {LATE_AFTER} AS mark FROM sent)""",
+            """SELECT file_date, 'accepted' AS outcome, count(*) AS n_payloads FROM marked WHERE early OR ts > mark GROUP BY file_date
+UNION ALL SELECT NULL, 'repeated', count(*) FROM marked WHERE early AND ts > mark
+UNION ALL SELECT NULL, 'late', count(*) FROM marked WHERE ts <= mark""",
         ),
         "station_fanout": with_(
             f"{WX_EVENTS},\n{MAPPED},\n{PAYLOADS},\n{LAST_RUN}",

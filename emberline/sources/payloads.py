@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,35 +44,50 @@ def exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-# The whole payload as a struct; a field of another type lands in the last column.
-PAYLOAD_SCHEMA = (
-    "main struct<temp double, feels_like double, temp_min double, temp_max double, pressure double,"
-    " humidity double>, wind struct<speed double, deg double, gust double>, clouds struct<`all` double>,"
-    " rain struct<`1h` double, `3h` double>, snow struct<`1h` double, `3h` double>,"
-    " weather array<struct<main string, description string>>, visibility double, dt bigint, misfit string"
-)
+def _shape() -> str:
+    """The parts of a payload that are read, each leaf still a variant.
 
+    One cast to this struct looks at every object once.  A key that is absent is NULL, one that
+    is JSON null is a variant that is null, and an object of another kind counts as absent.
+    """
+    parts: dict[str, list[str]] = {}
+    for path, _, _ in PAYLOAD_FIELDS:
+        top, *inner = path.split(".")[1:]
+        parts.setdefault(top, []).extend(inner)
+    fields = [
+        f"`{top}`: struct<{', '.join(f'`{name}`: variant' for name in inner)}>" if inner else f"`{top}`: variant"
+        for top, inner in parts.items()
+    ]
+    return f"struct<{', '.join(fields)}, weather: array<variant>, dt: variant>"
 
-def _field(path: str, dtype: str, default: str) -> str:
-    """A payload field: ``default`` if the key is absent, NULL if it is JSON null.
 
-    A path through a null object finds nothing, so a null object counts as absent.
-    """
-    parsed = "parsed." + ".".join(f"`{step}`" for step in path.split(".")[1:])
-    node = f"try_variant_get(document, '{path}')"
-    return (
-        f"CASE WHEN document IS NULL THEN coalesce({parsed}, {default})"
-        f" WHEN {node} IS NULL THEN {default} ELSE try_variant_get(document, '{path}', '{dtype}') END"
-    )
+PARTS = f"try_variant_get({{document}}, '$', '{_shape()}')"
 
 
-def _first_weather(key: str, default: str) -> str:
-    """A text of the first weather entry: ``default`` only if there is no entry."""
-    first = "try_variant_get(document, '$.weather[0]')"
-    return (
-        f"CASE WHEN document IS NULL THEN if(coalesce(size(parsed.weather), 0) > 0, parsed.weather[0].{key}, '{default}')"
-        f" WHEN {first} IS NULL THEN '{default}' ELSE try_variant_get(document, '$.weather[0].{key}', 'string') END"
-    )
+def _of_parts(path: str, dtype: str) -> tuple[str, str]:
+    """A leaf of ``parts`` as it is, and its value."""
+    leaf = "parts." + ".".join(f"`{step}`" for step in path.split(".")[1:])
+    return leaf, f"try_variant_get({leaf}, '$', '{dtype}')"
+
+
+def _of_document(path: str, dtype: str) -> tuple[str, str]:
+    """The same of a stored ``document``, where each leaf is a column that the scan reads."""
+    return f"try_variant_get(document, '{path}', 'variant')", f"try_variant_get(document, '{path}', '{dtype}')"
+
+
+def _columns(leaf: Callable[[str, str], tuple[str, str]], first_weather: Callable[[str], tuple[str, str]], fetched_at: str) -> list[str]:
+    """The flat columns: a default if a key is absent, NULL if it is JSON null or does not fit.
+
+    A text of the weather has its default only if there is no first entry.
+    """
+    def column(found: tuple[str, str], default: str, name: str) -> str:
+        return f"CASE WHEN {found[0]} IS NULL THEN {default} ELSE {found[1]} END AS {name}"
+
+    return [
+        *(column(leaf(path, "double"), f"{default}D", name) for path, name, default in PAYLOAD_FIELDS),
+        *(column(first_weather(key), f"'{default}'", name) for key, name, default in PAYLOAD_TEXT_FIELDS),
+        column(leaf("$.dt", "bigint"), f"unix_timestamp(cast({fetched_at} AS timestamp))", "timestamp_utc"),
+    ]
 
 
 # Unreadable text yields no variant; text that is no object yields one of another kind.
@@ -80,27 +97,37 @@ OBJECT = "schema_of_variant(try_parse_json(payload)) LIKE 'OBJECT%'"
 def flatten_payloads(landed: DataFrame, fetched_at: str = "fetched_at") -> DataFrame:
     """Replace ``payload`` by its flat weather columns; text that is no JSON object is dropped.
 
-    See ``unreadable_payloads`` for what is dropped.
+    See ``unreadable_payloads`` for what is dropped.  Each payload is parsed once.
+    """
+    kept = [c for c in landed.columns if c != "payload"]
+    # Text that is no object has no parts.  A filter on an expression would be evaluated below
+    # and again above it; one on what ``explode`` yields stays where it is.
+    parts = landed.selectExpr(*kept, f"explode(array({PARTS.format(document='try_parse_json(payload)')})) AS parts")
+    def first_weather(key: str) -> tuple[str, str]:
+        return "get(parts.weather, 0)", f"try_variant_get(get(parts.weather, 0), '$.{key}', 'string')"
+
+    return parts.where("parts IS NOT NULL").selectExpr(*kept, *_columns(_of_parts, first_weather, fetched_at))
+
+
+def documents(landed: DataFrame) -> DataFrame:
+    """Replace ``payload`` by ``document``, the same as a variant; only objects are kept.
 
-    A struct cannot tell an absent key from a null one, a variant can but is slower to read.
-    So every payload is parsed into a struct, and only those that mention ``null`` or do not
-    fit the struct are parsed into a variant and read from there.
+    Written as Parquet, the documents of a file are shredded: what they have in common lies in
+    typed columns of its own.  That holds as long as all of them are objects.
     """
     kept = [c for c in landed.columns if c != "payload"]
-    fields = [f"{_field(path, 'double', f'{default}D')} AS {name}" for path, name, default in PAYLOAD_FIELDS]
-    texts = [f"{_first_weather(key, default)} AS {name}" for key, name, default in PAYLOAD_TEXT_FIELDS]
-    stamp = _field("$.dt", "bigint", f"unix_timestamp(cast({fetched_at} AS timestamp))")
-    options = "map('columnNameOfCorruptRecord', 'misfit')"
-    # Unreadable text yields no entry to explode.  A filter instead would be pushed below and
-    # parse every payload a second time.
-    variants = "filter(array(try_parse_json(payload)), d -> schema_of_variant(d) LIKE 'OBJECT%')"
-    careful = "parsed IS NULL OR parsed.misfit IS NOT NULL OR contains(payload, 'null')"
-    return (
-        landed.selectExpr(*kept, "payload", f"from_json(payload, '{PAYLOAD_SCHEMA}', {options}) AS parsed")
-        .selectExpr(*kept, "parsed", "payload", f"{careful} AS careful")
-        .selectExpr(*kept, "parsed", f"explode(if(careful, {variants}, array(cast(NULL AS variant)))) AS document")
-        .selectExpr(*kept, *fields, *texts, f"{stamp} AS timestamp_utc")
-    )
+    parsed = landed.selectExpr(*kept, "explode(array(try_parse_json(payload))) AS document")
+    return parsed.where("try_variant_get(document, '$', 'struct<dt: variant>') IS NOT NULL")
+
+
+def flatten_documents(stored: DataFrame, fetched_at: str = "fetched_at") -> DataFrame:
+    """Replace ``document`` by its flat weather columns; the scan reads no other part of it."""
+    kept = [c for c in stored.columns if c != "document"]
+
+    def first_weather(key: str) -> tuple[str, str]:
+        return "try_variant_get(document, '$.weather[0]', 'variant')", f"try_variant_get(document, '$.weather[0].{key}', 'string')"
+
+    return stored.selectExpr(*kept, *_columns(_of_document, first_weather, fetched_at))
 
 
 def unreadable_payloads(landed: DataFrame) -> DataFrame:

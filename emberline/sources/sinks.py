@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.constants import MODEL_INFO, WINDOW_DATES
@@ -105,6 +105,13 @@ def write_predictions(df: DataFrame, path: str) -> None:
     json_clean(stored).write.mode("overwrite").json(f"{path}/json")
 
 
+def write_observed(df: DataFrame, path: str, metrics: dict[str, Column]) -> dict:
+    """Write ``df`` as Parquet; aggregates over its rows come from the tasks that write them."""
+    seen = Observation()
+    df.observe(seen, *[metric.alias(name) for name, metric in metrics.items()]).write.mode("overwrite").parquet(path)
+    return seen.get
+
+
 def envelope(stats: DataFrame, run_ts: Column) -> DataFrame:
     """One row that describes a run: model information, statistics and times."""
     info = [

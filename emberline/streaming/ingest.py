@@ -1,12 +1,15 @@
 """Payload files as they land, spread over the grid and written as daily partitions.
 
-What arrives is kept: readable payloads of known stations as flat rows, by date and
-micro-batch.  A date that a micro-batch touches is built anew from all its rows, by the same
-functions as in batch, so neither the order of files nor the borders of micro-batches matter.
+What a date's weather can still depend on is kept: of each micro-batch the last readings in
+the last run of each date, as flat rows by date and micro-batch.  A date that a micro-batch
+touches is built anew from these, by the same functions as in batch, so neither the order of
+files nor the borders of micro-batches matter.
 """
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +25,23 @@ def station_rows(payloads: DataFrame) -> DataFrame:
     return fanout.with_run(landed.daily_columns(landed.flatten_payloads(known)))
 
 
-def land(payloads: DataFrame, store: str, batch_id: int = 0) -> None:
-    """Keep the readable payloads; the same batch again replaces what it wrote before."""
-    (
-        station_rows(payloads).withColumn("batch", F.lit(batch_id))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("file_date", "batch").parquet(store)
-    )
+def land(payloads: DataFrame, store: str, batch_id: int = 0) -> list[date]:
+    """Keep what the readable payloads leave of each date; returns the dates.
+
+    The same batch again replaces what it wrote before.
+    """
+    # Parsed once, read by three steps.
+    rows = station_rows(payloads).persist()
+    try:
+        (
+            fanout.rows_of_last_runs(rows).withColumn("batch", F.lit(batch_id))
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("file_date", "batch").parquet(store)
+        )
+        # As many dates as the micro-batch spans.
+        return [row["file_date"] for row in rows.select("file_date").distinct().collect()]
+    finally:
+        rows.unpersist()
 
 
 def read_landed(spark, store: str) -> DataFrame:
@@ -53,10 +66,8 @@ def start_ingest(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        land(batch, store, batch_id)
-        # The dates that one micro-batch brought: a list as long as its span of days.
-        touched = [row["file_date"] for row in fanout.with_run(batch).select("file_date").distinct().collect()]
-        if landed.exists(spark, store) and touched:
+        touched = land(batch, store, batch_id)
+        if touched:
             rows = read_landed(spark, store).filter(F.col("file_date").isin(touched))
             write_daily(build_dates(rows, cell_station), path)
 
@@ -64,3 +75,34 @@ def start_ingest(
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.foreachBatch(write).start()
+
+
+def first_arrivals(payloads: DataFrame, delay: str) -> DataFrame:
+    """Each payload of a stream once, as long as it is not older than the newest by more than ``delay``.
+
+    What was seen is remembered for that long and then forgotten, so the state is bounded by
+    the payloads of ``delay``.  Older ones are dropped.
+    """
+    known = payloads.withColumn("digest", F.sha2("payload", 256)).withWatermark("fetched_at", delay)
+    return known.dropDuplicatesWithinWatermark(["station", "fetched_at", "digest"]).drop("digest")
+
+
+def start_landing(payloads: DataFrame, path: str, checkpoint: str, delay: str, available_now: bool = True):
+    """Keep the first arrivals of a stream of payloads, by date."""
+    rows = first_arrivals(payloads, delay).withColumn("file_date", F.col("fetched_at").cast("date"))
+    writer = rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).partitionBy("file_date")
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start(path)
+
+
+def landing_counts(query) -> dict[str, int]:
+    """What a landing has read, and how much of it was repeated or late, by its progress reports."""
+    counts = {"read": 0, "repeated": 0, "late": 0}
+    for progress in query.recentProgress:
+        (operator,) = progress.stateOperators or [None]
+        counts["read"] += progress.numInputRows
+        if operator is not None:
+            counts["late"] += operator.numRowsDroppedByWatermark
+            counts["repeated"] += operator.customMetrics.get("numDroppedDuplicateRows", 0)
+    return counts
