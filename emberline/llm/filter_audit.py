@@ -66,7 +66,8 @@ def failure_cells(
         .groupBy("id", "part", "digest", "mask")
         .agg(F.count("*").alias("n"))
     )
-    marked = _labelled(rows, labels, id_col)
+    # Written out, since it is read more than once and no text shall be.
+    marked = _labelled(stored(rows, "filter-audit-rows"), labels, id_col)
 
     # Per text and part: how many rows, how many of them have an id, and how many have the least one.
     kinds = marked.groupBy("digest", "mask", "part", "good", "toxic").agg(
