@@ -6,8 +6,7 @@ and compressed with each; the difference of the sizes over their sum is its feat
 logistic curve fitted on other labelled texts turns that into a probability.
 
 Fitting uses a bounded sample, by the parameters ``per_class`` and ``calibration``: the rows
-of each class whose hashed id is smallest.  Dictionaries learn at most ``sample_chars``
-characters of a row, from all over its text; the curve and scoring read whole texts.
+of each class whose hashed id is smallest, each with its whole text.
 
 Defined results: a null text counts as empty, an empty text has feature 0; rows without a
 label, and labels other than 0 and 1, teach nothing; several rows of one id are scored
@@ -29,10 +28,8 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from emberline.llm.common import arrays_to_batch, arrow_schema, small_batches
 
-PER_CLASS = 4_000
+PER_CLASS = 1_500
 CALIBRATION = 2_000
-SAMPLE_CHARS = 2_000
-SAMPLE_PARTS = 8
 DICTIONARY_BYTES = 112_640
 PIECE = 512
 LEVEL = 3
@@ -117,14 +114,6 @@ def sample_labels(clean: DataFrame, rows_per_class: int) -> DataFrame:
     return classes[0].unionByName(classes[1])
 
 
-def sampled_text(text: str, key: str, chars: int) -> Column:
-    """The text, or of a longer one about ``chars`` characters: one stretch at a hashed place of each of equal parts."""
-    parts = min(SAMPLE_PARTS, chars)
-    n, size = f"length({text})", chars // parts
-    place = [f"CAST({n} * {i}L div {parts} + pmod(xxhash64({key}, {i}), {n} div {parts} - {size} + 1) + 1 AS int)" for i in range(parts)]
-    return F.when(F.expr(n) <= chars, F.col(text)).otherwise(F.concat(*[F.expr(f"substring({text}, {at}, {size})") for at in place]))
-
-
 def features_of(texts: DataFrame, model: Model) -> DataFrame:
     """``doc_id, label, tie, feature`` of the whole texts of ``doc_id, label, tie, text``."""
     kept = ["doc_id", "label", "tie"]
@@ -147,12 +136,11 @@ def fit(
     id_col: str = "doc_id",
     text: str = "text",
     label: str = "label",
-    sample_chars: int = SAMPLE_CHARS,
 ) -> Model:
     """A model of at most ``per_class`` labelled rows of each class for the dictionaries and
     ``calibration`` more of each for the curve, which is then moved to the share of the
-    classes among all labels.  What reaches the driver is bounded: ``sample_chars``
-    characters of a row for the dictionaries, two numbers of a row for the curve.
+    classes among all labels.  What reaches the driver is bounded by rows: the texts of those
+    for the dictionaries, two numbers of each for the curve.
     """
     clean = clean_labels(labels, id_col, label)
     totals = {row["label"]: row["count"] for row in clean.groupBy("label").count().collect()}
@@ -176,11 +164,10 @@ def fit(
         return texts.join(F.broadcast(picked), F.col("doc_id") == F.col("picked_id"))
 
     # Of several rows of an id one counts.
-    sample = sampled_text("text", "doc_id", sample_chars).alias("piece")
-    pieces = of_rows({kind: found[kind][: cuts[kind]] for kind in (0, 1)}).select("doc_id", "label", sample).groupBy("doc_id", "label").agg(F.max("piece").alias("piece"))
+    learnt = of_rows({kind: found[kind][: cuts[kind]] for kind in (0, 1)}).groupBy("doc_id", "label").agg(F.max("text").alias("text"))
     taught: dict[int, list[bytes]] = {0: [], 1: []}
-    for row in sorted(pieces.collect(), key=lambda row: place[row["doc_id"]]):
-        taught[row["label"]].append(row["piece"].encode())
+    for row in sorted(learnt.collect(), key=lambda row: place[row["doc_id"]]):
+        taught[row["label"]].append(row["text"].encode())
     model = Model(build_dictionary(taught[1]), build_dictionary(taught[0]))
     rest = of_rows({kind: found[kind][cuts[kind] :] or found[kind] for kind in (0, 1)}).withColumn("tie", F.xxhash64("text"))
     measured = features_of(rest, model).groupBy("doc_id", "label").agg(F.min(F.struct("tie", "feature")).getField("feature").alias("feature")).collect()

@@ -54,12 +54,15 @@ def build_index(spark: SparkSession, entries: Iterable[tuple[str, str, str]]) ->
 
 
 def write_shard(entries: list[tuple[str, str, str]], path: str) -> None:
-    """Layout: number of entries, their keys in order, ends of the texts, host lengths, kinds, texts."""
+    """Layout: how many entries, label counts and path lengths there are; the label counts and path
+    lengths that occur; keys in order, ends of the texts, host lengths, kinds, texts."""
     first = {host + start: (kind, host) for kind, host, start in reversed(entries)}
     texts = sorted(first, key=lambda text: (xxhash.xxh64_intdigest(text), text))
     encoded = [text.encode() for text in texts]
+    labels = sorted({host.count(".") + 1 for _, host in first.values()})
+    paths = sorted({len(text) - len(host) for text, (_, host) in first.items()})
     with open(path, "wb") as out:
-        np.array([len(texts)], np.uint64).tofile(out)
+        np.array([len(texts), len(labels), len(paths), *labels, *paths], np.uint64).tofile(out)
         np.array([xxhash.xxh64_intdigest(text) for text in texts], np.uint64).tofile(out)
         np.cumsum([0, *map(len, encoded)], dtype=np.uint64).tofile(out)
         np.array([len(first[text][1]) for text in texts], np.uint32).tofile(out)
@@ -71,19 +74,15 @@ class Shard:
     """A mapped file of entries."""
 
     def __init__(self, path: str):
-        n, at = int(np.fromfile(path, np.uint64, 1)[0]), 8
-        parts = []
+        n, n_labels, n_paths = np.fromfile(path, np.uint64, 3).tolist()
+        known = np.fromfile(path, np.uint64, n_labels + n_paths, offset=24).tolist()
+        self.labels, self.path_chars = known[:n_labels], known[n_labels:]
+        parts, at = [], 8 * (3 + n_labels + n_paths)
         for kind, count in ((np.uint64, n), (np.uint64, n + 1), (np.uint32, n), (np.uint8, n)):
             parts.append(np.memmap(path, kind, "r", at, (count,)) if count else np.zeros(0, kind))
             at += count * np.dtype(kind).itemsize
         self.keys, self.ends, self.host_chars, self.kinds = parts
         self.texts = np.memmap(path, np.uint8, "r", at) if n else np.zeros(0, np.uint8)
-        self.path_chars, self.labels = set(), set()
-        for place in range(n):
-            text = self.text(place)
-            host = int(self.host_chars[place])
-            self.path_chars.add(len(text) - host)
-            self.labels.add(text[:host].count(".") + 1)
 
     def text(self, place: int) -> str:
         return self.texts[int(self.ends[place]) : int(self.ends[place + 1])].tobytes().decode()

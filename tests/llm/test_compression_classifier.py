@@ -53,14 +53,29 @@ def test_scores_keep_the_share_of_unequal_classes(spark):
     assert np.mean([model.score(text) for text in texts]) == pytest.approx(kinds.mean(), abs=0.06)
 
 
-def test_samples_come_from_all_over_a_text(spark):
-    text = "".join("%05d" % i for i in range(4_000))
-    rows = spark.createDataFrame([(i, text) for i in range(20)] + [(20, "short"), (21, "")], "doc_id long, text string")
-    made = [row.piece for row in rows.orderBy("doc_id").select(cc.sampled_text("text", "doc_id", 2_000).alias("piece")).collect()]
-    assert made[20:] == ["short", ""] and all(len(piece) == 2_000 for piece in made[:20])
-    for piece in made[:20]:
-        for part in range(8):
-            assert piece[250 * part : 250 * part + 250] in text[2_500 * part : 2_500 * part + 2_500]
+def test_dictionaries_learn_whole_texts(spark, monkeypatch):
+    texts = [t * 90 for t in GOOD[:20] + BAD[:20]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(40)], "doc_id long, label int")
+    seen = []
+    build = cc.build_dictionary
+    monkeypatch.setattr(cc, "build_dictionary", lambda samples: seen.append(samples) or build(samples))
+    cc.fit(docs, labels, per_class=5, calibration=5)
+    assert [len(samples) for samples in seen] == [5, 5] and {t.decode() for samples in seen for t in samples} <= set(texts)
+
+
+def test_nulls_repeats_clashing_columns_and_empty_tables(spark):
+    rows = [(i, t) for i, t in enumerate(GOOD[:40] + BAD[:40])] + [(None, "a"), (None, None), (3, "another text of it"), (90, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS label", "'y' AS score", "0 AS feature", "1 AS tie", "2 AS picked_id")
+    labels = spark.createDataFrame([(i, int(i < 40), "z") for i in range(80)] + [(4, 0, "z"), (90, 1, "z")], "doc_id long, label int, text string")
+    model = cc.fit(docs, labels)
+    scored = cc.score(docs, model).collect()
+    assert sorted(str(row.doc_id) for row in scored) == sorted(str(doc_id) for doc_id, _ in rows)
+    assert len({row.score for row in scored if row.doc_id == 90} | {model.score(None)}) == 1
+    # An id with both labels teaches nothing.
+    assert {row.doc_id for row in cc.clean_labels(labels, "doc_id", "label").collect()} == {*range(80), 90} - {4}
+    empty = docs.where("false")
+    assert cc.score(empty, cc.fit(empty, labels)).count() == 0
 
 
 def test_curve_is_fitted_on_whole_texts(spark, monkeypatch):

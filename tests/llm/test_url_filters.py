@@ -59,3 +59,23 @@ def test_keys_are_sorted(tmp_path):
     u.write_shard([("block", f"h{i}.com", "/") for i in range(100)], path)
     shard = u.Shard(path)
     assert (np.diff(shard.keys.astype(object)) > 0).all() and len(shard.keys) == 100
+
+
+def test_a_million_entries_are_mapped_without_reading_them(spark, tmp_path):
+    import time
+
+    path = str(tmp_path / "shard")
+    entries = [("block", f"h{i % 1000}.site{i}.org", "/a/" if i % 7 else "") for i in range(1_000_000)]
+    u.write_shard(entries, path)
+    started = time.monotonic()
+    shard = u.Shard(path)
+    assert time.monotonic() - started < 0.5
+    assert shard.labels == [3] and shard.path_chars == [0, 3] and len(shard.keys) == 1_000_000
+    rules, verdicts = u.best_entries([shard], ["h5.site5.org", "x.h7.site7.org", "site7.org"], ["/a/b", "/", "/"])
+    assert (rules, verdicts) == (["h5.site5.org/a/", "h7.site7.org", None], ["block", "block", "allow"])
+
+
+def test_repeated_rows_and_null_ids(spark):
+    pages = spark.createDataFrame([(None, "http://a.com/x"), (1, "http://a.com/x"), (1, "http://a.com/x"), (None, None)], "page_id long, url string")
+    rows = u.judge_urls(pages, u.build_index(spark, ENTRIES)).collect()
+    assert sorted((str(row.page_id), str(row.rule)) for row in rows) == [("1", "a.com/x"), ("1", "a.com/x"), ("None", "None"), ("None", "a.com/x")]
