@@ -43,6 +43,7 @@ BANDS = 48
 ROWS = 5
 SLACK = 5.0
 BLOCK = 1_000
+SALTS = 16
 
 _random = np.random.Generator(np.random.PCG64(20_240_601))
 FACTORS = _random.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -303,9 +304,12 @@ def components_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     """``doc_id, n_shingles, component`` for every row; ids other than null do not repeat."""
     signed = stored(signatures(docs, id_col, text), "minhash")
     linked = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = linked.groupBy("digest").agg(F.min("doc_id").alias("least"))
-    members = linked.select("doc_id", "digest").join(classes, "digest").select("doc_id", "least")
-    holders = linked.join(classes, "digest").where("doc_id = least")
+    classes = stored(linked.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "minhash-classes")
+    # Members of a large class are dealt over several keys; one without copies is its own.
+    copied = classes.where("n > 1").select("digest", "least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = linked.select("doc_id", "digest", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    members = salted.join(copied, ["digest", "salt"], "left").select("doc_id", F.coalesce("least", "doc_id").alias("least"))
+    holders = linked.join(classes.select("digest", F.col("least").alias("doc_id")), ["digest", "doc_id"])
 
     in_bands = holders.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
     shared = in_bands.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
