@@ -67,3 +67,24 @@ def province(lat: str, lon: str) -> str:
         for code, (min_lat, min_lon, max_lat, max_lon) in boxes
     ]
     return f"CASE {' '.join(arms)} ELSE 'Unknown' END"
+
+
+CURVE_BITS = 16
+
+
+def curve_key(lat: str, lon: str) -> str:
+    """Place of a position along a Z-order curve over the globe: close keys are close places.
+
+    Latitude and longitude are cut into ``2 ** CURVE_BITS`` steps and their bits interleaved.
+    """
+    def steps(value: str, low: int, span: int) -> str:
+        most = (1 << CURVE_BITS) - 1
+        return f"cast(least(greatest(floor(({value} - ({low})) / {span} * {most + 1}), 0), {most}) AS bigint)"
+
+    def spread(bits: str) -> str:
+        # Each step halves the runs of bits and doubles the gaps between them.
+        for shift, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            bits = f"get(transform(array({bits}), b -> (b | shiftleft(b, {shift})) & {mask}L), 0)"
+        return bits
+
+    return f"{spread(steps(lon, -180, 360))} | shiftleft({spread(steps(lat, -90, 180))}, 1)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.constants import WINDOW_DATES
@@ -105,3 +105,43 @@ def accumulate_codes(
 ) -> DataFrame:
     """FFMC, DMC and DC per cell after folding its daily rows in date order."""
     return fwi.fold_series(ordered_series(daily_terms(history, as_of_month, keys, float32), keys))
+
+
+# Dates of one array of a cell, besides those of the window before them.
+BLOCK_DATES = 366
+
+
+def accumulate_every_date(
+    history: DataFrame,
+    as_of_month: int,
+    window: int = WINDOW_DATES,
+    keys: tuple[str, ...] = CELL,
+    float32: bool = True,
+    block: int = BLOCK_DATES,
+) -> DataFrame:
+    """The codes of each cell for every date it was seen on, as a run on that date would find them.
+
+    ``last_date`` is that date; a run sees the newest ``window`` dates up to it.  The history
+    (one row per cell and day) is read once for all dates: a cell's days are gathered in blocks
+    of dates, with the window before each block, and every date folds its part of the array.
+    """
+    # A number per date: a list as long as the history has dates.
+    dates = history.select("file_date").distinct()
+    numbered = dates.withColumn("place", F.row_number().over(Window.orderBy("file_date")))
+    days = daily_terms(history, as_of_month, keys, float32).join(numbered, "file_date")
+    reach = -(-(block + window - 1) // block)
+    blocks = F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(reach)), lambda i: F.floor(F.col("place") / block) + i),
+        lambda b: b * block - F.col("place") < window,
+    )
+    entry = DAY_STRUCT.replace("struct(file_date,", "struct(file_date, place,")
+    gathered = (
+        days.withColumn("block", F.explode(blocks)).groupBy(*keys, "block")
+        .agg(F.expr(f"array_sort(collect_list({entry}))").alias("days"))
+    )
+    own = f"filter(days, d -> floor(d.place / {block}) = block)"
+    windows = gathered.selectExpr(
+        *keys,
+        f"explode(transform({own}, d -> filter(days, x -> x.place <= d.place AND x.place > d.place - {window}))) AS series",
+    )
+    return fwi.fold_series(windows)

@@ -11,7 +11,7 @@ from emberline.constants import FLOAT32_HISTORY, FLOAT32_TODAY
 from emberline.functions import fwi
 from emberline.functions.clean import as_float32, index_inputs, json_clean
 from emberline.functions.geo import province
-from emberline.operators import fanout, history, quality, report, scoring, spatial
+from emberline.operators import fanout, history, quality, report, scoring, sketches, spatial
 from emberline.plans import fixtures as fx
 from emberline.plans import jobs
 from emberline.session import local_table, scratch_dir
@@ -456,6 +456,62 @@ def state_store_codes(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(codes.select("cell_id", "last_date", "last_wind", *CODES))
 
 
+BOX = {"lat": (50.0, 60.0), "lon": (-125.0, -100.0)}
+
+
+def predictions_in_box(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions of a box, from a table laid out along a space-filling curve."""
+    path = scratch_dir(spark, "curve")
+    scoring.accepted(_scored(spark, sf)).write.parquet(f"{path}/stored")
+    sinks.cluster_predictions(spark.read.parquet(f"{path}/stored"), f"{path}/clustered")
+    inside = weather.read_predictions(spark, f"{path}/clustered")
+    for name, ends in BOX.items():
+        inside = inside.filter(F.col(name).between(*ends))
+    return rounded(_flat(inside))
+
+
+RANGES = [("first week", "2024-01-01", "2024-01-07"), ("january", "2024-01-01", "2024-01-31"), ("one day", "2024-01-15", "2024-01-15")]
+SHARES = (0.1, 0.5, 0.9)
+
+
+def risk_quantiles_by_range(spark: SparkSession, sf: str) -> DataFrame:
+    """FWI over ranges of dates from stored daily sketches, held against the values themselves.
+
+    ``rank_held`` and ``cells_held`` say whether the sketches keep to their stated errors.
+    """
+    path = scratch_dir(spark, "sketches")
+    scores = fwi.with_fire_indices(history.accumulate_every_date(fx.wx_daily(spark, sf), SUMMER, BACKFILL_WINDOW))
+    scores.withColumnRenamed("last_date", "file_date").select("cell_id", "file_date", "fwi").write.parquet(f"{path}/scores")
+    stored = spark.read.parquet(f"{path}/scores")
+    sketches.daily_sketches(stored, "fwi").write.parquet(f"{path}/daily")
+    ranges = local_table(spark, RANGES, "name string, first string, last string").selectExpr(
+        "name", "cast(first AS date) AS first", "cast(last AS date) AS last"
+    )
+    merged = sketches.merged(spark.read.parquet(f"{path}/daily"), ranges)
+    guessed = merged.select(
+        "name", "n_dates", "n_rows", sketches.distinct_keys("keys").alias("cells"), F.inline(sketches.quantiles("quantiles", SHARES))
+    )
+    inside = stored.join(F.broadcast(ranges), F.col("file_date").between(F.col("first"), F.col("last")))
+    cells_seen = inside.groupBy("name").agg(F.countDistinct("cell_id").alias("n_cells"))
+    ranks = (
+        inside.join(F.broadcast(guessed.select("name", "share", "value")), "name").groupBy("name", "share")
+        .agg((F.count_if(F.col("fwi") < F.col("value")) / F.count("*")).alias("below"), (F.count_if(F.col("fwi") <= F.col("value")) / F.count("*")).alias("upto"))
+    )
+    held = (F.col("below") <= F.col("share") + sketches.RANK_ERROR) & (F.col("upto") >= F.col("share") - sketches.RANK_ERROR)
+    near = F.abs(F.col("cells") - F.col("n_cells")) <= F.greatest(F.lit(1.0), sketches.DISTINCT_ERROR * F.col("n_cells"))
+    return guessed.join(ranks, ["name", "share"]).join(cells_seen, "name").select(
+        F.col("name").alias("range_name"), "share", "n_dates", "n_rows", "n_cells", held.alias("rank_held"), near.alias("cells_held")
+    )
+
+
+BACKFILL_WINDOW = 10
+
+
+def scores_of_every_date(spark: SparkSession, sf: str) -> DataFrame:
+    """Codes of every cell on each of its dates, by one pass over the history."""
+    return rounded(history.accumulate_every_date(fx.wx_daily(spark, sf), SUMMER, BACKFILL_WINDOW))
+
+
 def fire_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Fire points written as text and read by their reader."""
     path = scratch_dir(spark, "fires")
@@ -529,6 +585,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         late_payloads,
         stream_equals_batch,
         state_store_codes,
+        predictions_in_box,
+        risk_quantiles_by_range,
+        scores_of_every_date,
         fire_scan,
         grid_job,
         mapping_job,

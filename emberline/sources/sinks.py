@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberline.constants import MODEL_INFO, WINDOW_DATES
 from emberline.functions.clean import json_clean
+from emberline.functions.geo import curve_key
 from emberline.operators.history import expired_dates, newest_dates
 from emberline.sources.weather import partition_dates
 
@@ -105,6 +106,18 @@ def write_predictions(df: DataFrame, path: str) -> None:
     json_clean(stored).write.mode("overwrite").json(f"{path}/json")
 
 
+def cluster_predictions(stored: DataFrame, path: str, group_bytes: int = 16 << 20) -> None:
+    """Stored predictions once more, in order of a space-filling curve.
+
+    A file and each of its row groups then covers a small box, so that a filter on latitude
+    and longitude leaves out most of them by their statistics.  Reads ``stored`` twice: once to
+    find the borders of the files.
+    """
+    key = F.expr(curve_key("lat", "lon"))
+    ordered = stored.withColumn("along", key).repartitionByRange("along").sortWithinPartitions("along").drop("along")
+    ordered.write.mode("overwrite").option("parquet.block.size", group_bytes).parquet(path)
+
+
 def write_observed(df: DataFrame, path: str, metrics: dict[str, Column]) -> dict:
     """Write ``df`` as Parquet; aggregates over its rows come from the tasks that write them."""
     seen = Observation()

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.operators import fanout
 from emberline.operators.spatial import stations
 from emberline.sources import payloads as landed
-from emberline.sources.sinks import write_daily
+from emberline.session import scratch_dir
+from emberline.sources.sinks import prune_history, write_daily
 
 
 def station_rows(payloads: DataFrame) -> DataFrame:
@@ -49,6 +50,40 @@ def read_landed(spark, store: str) -> DataFrame:
     return spark.read.parquet(store).drop("batch")
 
 
+def compact_landed(spark: SparkSession, store: str, window: int | None = None) -> list[date]:
+    """Leave one folder of each date's micro-batches, with what they come to together.
+
+    With ``window`` the dates beyond the newest ones are dropped.  The rows of a date go into
+    the folder of its last micro-batch before the others are deleted, so a job that stops in
+    between leaves nothing but rows that count once anyway; the same holds for a micro-batch
+    that is replayed after it.  Returns the dates that were put together.
+    """
+    if window:
+        prune_history(spark, store, window)
+    # One row per date and micro-batch, from the listing alone.
+    folders: dict[str, set[int]] = {}
+    for file in spark.read.parquet(store).inputFiles():
+        day, _, rest = file.rpartition("file_date=")[2].partition("/batch=")
+        folders.setdefault(day, set()).add(int(rest.partition("/")[0]))
+    several = {day: batches for day, batches in folders.items() if len(batches) > 1}
+    if not several:
+        return []
+    rows = spark.read.parquet(store).filter(F.col("file_date").isin([date.fromisoformat(day) for day in several]))
+    aside = scratch_dir(spark, "landed")
+    last = rows.groupBy("file_date").agg(F.max("batch").alias("batch"))
+    fanout.rows_of_last_runs(rows.drop("batch")).join(last, "file_date").write.parquet(aside)
+    (
+        spark.read.parquet(aside).hint("rebalance", F.col("file_date"))
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_date", "batch").parquet(store)
+    )
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(store).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for day, batches in several.items():
+        for batch in sorted(batches)[:-1]:
+            files.delete(path(f"{store}/file_date={day}/batch={batch}"), True)
+    return sorted(date.fromisoformat(day) for day in several)
+
+
 def build_dates(landed_rows: DataFrame, cell_station: DataFrame) -> DataFrame:
     """Grid weather of each date from the last run of that date."""
     stamp = landed.local_date_text(F.col("timestamp_utc").cast("timestamp"))
