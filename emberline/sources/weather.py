@@ -6,11 +6,13 @@ from collections.abc import Callable
 from datetime import date
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.constants import MISSING_TOKENS, WINDOW_DATES
+from emberline.sources import daily_files
 
 # Columns of a daily weather file in the order they are written.
 DAILY_TEXT = ["date", "nearest_station", "weather_main", "weather_description"]
@@ -97,10 +99,13 @@ def unreadable_files(raw: DataFrame, numbers: list[str] = DAILY_NUMBERS) -> Data
 
 def typed_daily(raw: DataFrame, numbers: list[str] = DAILY_NUMBERS) -> DataFrame:
     """Whole files that parse, with numeric columns typed; a bad file is left out as a whole."""
-    good = raw.join(unreadable_files(raw, numbers), "file_name", "left_anti")
+    return _typed(raw.join(unreadable_files(raw, numbers), "file_name", "left_anti"), numbers)
+
+
+def _typed(good: DataFrame, numbers: list[str]) -> DataFrame:
     typed = {
         c: F.col(c).try_cast("bigint" if c == "timestamp_utc" else "double")
-        for c in numbers if c in raw.columns
+        for c in numbers if c in good.columns
     }
     return good.withColumns(typed).drop("file_name")
 
@@ -108,9 +113,18 @@ def typed_daily(raw: DataFrame, numbers: list[str] = DAILY_NUMBERS) -> DataFrame
 def load_history(
     spark: SparkSession, folder: str, n: int = WINDOW_DATES, columns: list[str] | None = None
 ) -> DataFrame:
-    """The newest ``n`` daily files of a folder, bad files skipped."""
-    numbers = [c for c in columns or DAILY_COLUMNS if c not in DAILY_TEXT]
-    return typed_daily(read_daily_files(spark, newest_files(spark, folder, n), columns), numbers)
+    """The newest ``n`` daily files of a folder, bad files skipped.
+
+    Each file is opened once, by the task that reads it.  Where only Spark's own file systems
+    reach the folder, it is read by ``typed_daily(read_daily_files(...))``: the same rows.
+    """
+    wanted = columns or DAILY_COLUMNS
+    numbers = [c for c in wanted if c not in DAILY_TEXT]
+    try:
+        daily_files.file_system(folder)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return typed_daily(read_daily_files(spark, newest_files(spark, folder, n), columns), numbers)
+    return _typed(daily_files.read_daily_folder(spark, folder, wanted, numbers, NUMBER, MISSING_TOKENS, n), numbers)
 
 
 def partition_dates(spark: SparkSession, path: str) -> list[date]:
