@@ -34,6 +34,9 @@ def build_session(app: str, cpus: str | int = "*") -> SparkSession:
     )
 
 
+_scratch: list[str] = []
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder that every executor can reach.
 
@@ -45,7 +48,19 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         if not spark.conf.get("spark.master", "local").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         shared = tempfile.mkdtemp(prefix="emberline-")
-    return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete the scratch tables that this program has made; returns how many there were.
+
+    For the end of a job: results that were not written elsewhere still read from them.
+    """
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsparkSession.sessionState().newHadoopConf()
+    names = [_scratch.pop() for _ in range(len(_scratch))]
+    return sum(path(name).getFileSystem(conf).delete(path(name), True) for name in names)
 
 
 _shipped: set[str] = set()

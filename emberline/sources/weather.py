@@ -128,9 +128,13 @@ def load_history(
 
 
 def partition_dates(spark: SparkSession, path: str) -> list[date]:
-    """The dates of a history folder, from its listing alone: no file is opened."""
-    listed = {part for file in spark.read.parquet(path).inputFiles() for part in file.split("/")}
-    return [date.fromisoformat(part.partition("=")[2]) for part in listed if part.startswith("file_date=")]
+    """The dates of a history folder, from the names of its folders: no file is listed or opened."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(folder):
+        raise FileNotFoundError(path)
+    names = [entry.getPath().getName() for entry in files.listStatus(folder) if entry.isDirectory()]
+    return [date.fromisoformat(name.partition("=")[2]) for name in names if name.startswith("file_date=")]
 
 
 def read_window(spark: SparkSession, path: str, n: int = WINDOW_DATES) -> DataFrame:
