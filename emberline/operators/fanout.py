@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.sources.payloads import WEATHER_COLUMNS
@@ -55,8 +55,11 @@ def rows_of_last_runs(station_rows: DataFrame) -> DataFrame:
     that brought nothing readable is no run.  What is left of parts of the rows can be put
     together and reduced again: the result is that of all rows at once.
     """
-    last = station_rows.groupBy("file_date").agg(F.max("run").alias("run"))
-    return last_readings(station_rows.join(last, ["file_date", "run"], "left_semi"))
+    # Readings are in order of time first, so a station's last one is of its last run of the date.
+    latest = last_readings(station_rows, ("file_date", "station"))
+    # As many rows a date as there are stations.
+    last = F.max("run").over(Window.partitionBy("file_date"))
+    return latest.withColumn("last_run", last).where("run = last_run").drop("last_run")
 
 
 def last_run_per_date(station_rows: DataFrame) -> DataFrame:

@@ -397,7 +397,9 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     # Four files in an order unlike that of the events, one per micro-batch.
     mixed = fx.payloads(spark, sf).repartition(4, F.xxhash64("event_id"))
     _payload_lines(mixed).write.text(f"{path}/landed")
-    mapping = _mapped_cells(spark, sf).drop("cell_id")
+    # As the mapping job leaves it: every micro-batch reads it.
+    _mapped_cells(spark, sf).drop("cell_id").write.parquet(f"{path}/mapping")
+    mapping = spark.read.parquet(f"{path}/mapping")
     stream = landed.stream_payloads(spark, f"{path}/landed", files_per_batch=1)
     ingest.start_ingest(stream, mapping, f"{path}/daily", f"{path}/checkpoint").awaitTermination()
     return weather.read_history_table(spark, f"{path}/daily")

@@ -35,7 +35,7 @@ def land(payloads: DataFrame, store: str, batch_id: int = 0) -> list[date]:
     rows = station_rows(payloads).persist()
     try:
         (
-            fanout.rows_of_last_runs(rows).withColumn("batch", F.lit(batch_id))
+            fanout.rows_of_last_runs(rows).withColumn("batch", F.lit(batch_id)).hint("rebalance", F.col("file_date"))
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("file_date", "batch").parquet(store)
         )
