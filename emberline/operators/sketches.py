@@ -38,9 +38,14 @@ def daily_sketches(rows: DataFrame, value: str, key: str = "cell_id") -> DataFra
     )
 
 
+def dates_of(ranges: DataFrame) -> DataFrame:
+    """``name, file_date``: every date of every range, for a join by equality."""
+    return ranges.select("name", F.explode(F.sequence("first", "last")).alias("file_date"))
+
+
 def merged(sketches: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The sketches of ``ranges`` (``name, first, last``; few rows), each over all its dates."""
-    inside = sketches.join(F.broadcast(ranges), F.col("file_date").between(F.col("first"), F.col("last")))
+    """The sketches of ``ranges`` (``name, first, last``), each over all its dates."""
+    inside = sketches.join(dates_of(ranges), "file_date")
     return inside.groupBy("name").agg(
         F.count(F.lit(1)).alias("n_dates"),
         F.sum("n_rows").alias("n_rows"),

@@ -493,10 +493,10 @@ def risk_quantiles_by_range(spark: SparkSession, sf: str) -> DataFrame:
     guessed = merged.select(
         "name", "n_dates", "n_rows", sketches.distinct_keys("keys").alias("cells"), F.inline(sketches.quantiles("quantiles", SHARES))
     )
-    inside = stored.join(F.broadcast(ranges), F.col("file_date").between(F.col("first"), F.col("last")))
+    inside = stored.join(sketches.dates_of(ranges), "file_date")
     cells_seen = inside.groupBy("name").agg(F.countDistinct("cell_id").alias("n_cells"))
     ranks = (
-        inside.join(F.broadcast(guessed.select("name", "share", "value")), "name").groupBy("name", "share")
+        inside.join(guessed.select("name", "share", "value"), "name").groupBy("name", "share")
         .agg((F.count_if(F.col("fwi") < F.col("value")) / F.count("*")).alias("below"), (F.count_if(F.col("fwi") <= F.col("value")) / F.count("*")).alias("upto"))
     )
     held = (F.col("below") <= F.col("share") + sketches.RANK_ERROR) & (F.col("upto") >= F.col("share") - sketches.RANK_ERROR)
