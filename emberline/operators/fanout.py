@@ -67,9 +67,14 @@ def last_run_per_date(station_rows: DataFrame) -> DataFrame:
     return rows_of_last_runs(station_rows).drop("run")
 
 
+def _mapped_stations(cell_station: DataFrame) -> DataFrame:
+    """Each station that some cell is mapped to; a cell without position has none."""
+    return cell_station.select(F.col("nearest_station_name").alias("station")).where("station IS NOT NULL").distinct()
+
+
 def fetch_summary(cell_station: DataFrame, station_weather: DataFrame) -> DataFrame:
     """How many of the mapped stations delivered weather: one row of counts."""
-    wanted = cell_station.select(F.col("nearest_station_name").alias("station")).distinct()
+    wanted = _mapped_stations(cell_station)
     delivered = station_weather.select("station").distinct().withColumn("delivered", F.lit(True))
     return wanted.join(delivered, "station", "left").agg(
         F.count("*").alias("n_stations"),
@@ -83,7 +88,7 @@ def run_summaries(cell_station: DataFrame, payloads: DataFrame, station_rows: Da
 
     ``payloads`` lists the runs, ``station_rows`` is what could be read; both have ``run``.
     """
-    wanted = cell_station.select(F.col("nearest_station_name").alias("station")).distinct()
+    wanted = _mapped_stations(cell_station)
     delivered = station_rows.select("run", "station").distinct().join(wanted, "station", "left_semi")
     counts = delivered.groupBy("run").agg(F.count("*").alias("n_success"))
     n_success, n_stations = F.coalesce("n_success", F.lit(0)), wanted.agg(F.count("*")).scalar()

@@ -147,7 +147,9 @@ def nearest_station(
     listed = sites.agg(F.expr("sort_array(collect_list(struct(station_ord, name, sx, sy)))")).scalar()
     return (
         placed.withColumn("listed", listed)
-        .selectExpr("*", f"array_min(transform(listed, s -> {_candidate('s.')})) AS best")
+        # A filter on the name (a join by it brings one) would be pushed below whatever made the
+        # cells distinct and repeat the search there; one on what ``explode`` yields stays above it.
+        .selectExpr("*", f"explode(array(array_min(transform(listed, s -> {_candidate('s.')})))) AS best")
         .selectExpr(*cells.columns, *BEST_COLUMNS)
     )
 

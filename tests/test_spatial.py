@@ -52,6 +52,15 @@ def test_nearest_station_needs_no_join(spark, plan_of):
     assert "Join" not in plan and "Cartesian" not in plan
 
 
+def test_a_join_by_station_searches_once_per_cell(spark, plan_of):
+    """The filter that a join by name brings stays above the search and the distinct cells."""
+    cells = spark.range(1000).selectExpr("id % 7 AS cell_id", "50D + id % 7 AS lat", "-100D AS lon").distinct()
+    names = spatial.nearest_station(cells, spatial.stations(spark)).select("nearest_station_name").distinct()
+    joined = spatial.stations(spark).join(names, F.col("name") == F.col("nearest_station_name"), "left_semi")
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("array_min") == 1
+    assert joined.count() == names.count() > 0
+
+
 def test_tile_search_equals_array_search(spark, sf):
     cells = spatial.grid_cells(spark)
     # A third of the targets crowd into one spot.

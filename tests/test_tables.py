@@ -7,7 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from emberline.operators import history, report, scoring, spatial
+from emberline.operators import fanout, history, report, scoring, spatial
 from emberline.plans import fixtures as fx
 from emberline.plans import jobs
 from emberline.session import local_table, scratch_dir
@@ -185,6 +185,16 @@ def test_run_without_weather_stops(spark):
         jobs.run_weather(mapping, jobs.latest_weather(spark, rows))
 
 
+def test_cells_without_position_are_no_station(spark):
+    mapping = local_table(
+        spark, [(50.0, -110.0, "Calgary"), (None, None, None)], "lat double, lon double, nearest_station_name string"
+    )
+    at = datetime.datetime(2024, 1, 1)
+    rows = fanout.with_run(spark.createDataFrame([("Calgary", at), ("Atlantis", at)], "station string, fetched_at timestamp"))
+    assert tuple(fanout.fetch_summary(mapping, rows).first()) == (1, 1, 0)
+    assert tuple(fanout.run_summaries(mapping, rows, rows).first()) == (at, 1, 1, 0)
+
+
 def test_fan_out_fills_failed_stations_with_null(spark):
     mapping = local_table(
         spark, [(50.0, -110.0, "Calgary"), (51.0, -110.0, "Regina")], "lat double, lon double, nearest_station_name string"
