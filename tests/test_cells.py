@@ -4,6 +4,7 @@ import datetime
 import os
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from emberline.functions import fwi
@@ -116,3 +117,44 @@ def test_a_column_can_be_added_to_stored_state(spark, tmp_path):
     rows = cells.current_windows(spark, folder.out, 3).collect()
     assert {(row.cell_id, row.file_date.day): row.pressure for row in rows} == {(1, 1): None, (1, 2): 990.0, (2, 1): None}
     assert folder.days() == {(1, 1): 20.0, (1, 2): 22.0, (2, 1): 21.0}
+
+
+class Value:
+    """A value state that counts how often it is asked."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+
+class Handle:
+    def __init__(self):
+        self.state = Value()
+
+    def getValueState(self, name, schema, *args):
+        return self.state
+
+
+def test_the_store_is_asked_twice_per_cell_however_many_days():
+    window, handle = cells.CellWindow(30), Handle()
+    window.init(handle)
+    row = Row("day", *window.columns)
+    for n, days in enumerate((range(20), range(10, 40)), 1):
+        out = list(window.handleInputRows((7,), iter([row(d, 100 * n + d, None, 1.0, 2.0, float(d)) for d in days]), None))
+        assert handle.state.calls == 2 * n
+    assert [tuple(r) for r in out] == [(7, d, 200 + d, None, 1.0, 2.0, float(d)) for d in range(10, 40)]
+
+
+def test_other_streams_keep_their_store(spark, tmp_path):
+    """A stream that drops duplicates does not take the encoding of the keyed state."""
+    before = {name: spark.conf.get(name, None) for name in cells.STORE}
+    folder = Folder(spark, tmp_path, 3)
+    folder.land((1, day(1), 1, 20.0, 40.0, 5.0, 0.0))
+    assert {name: spark.conf.get(name, None) for name in cells.STORE} == before
