@@ -416,7 +416,7 @@ def late_payloads(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_dir(spark, "late")
     counts = {"repeated": 0, "late": 0}
     for part in ("event_id % 2 = 0", "true"):
-        _payload_lines(fx.payloads(spark, sf).where(part)).coalesce(1).write.mode("append").text(f"{path}/landed")
+        _payload_lines(fx.payloads(spark, sf).where(part)).write.mode("append").text(f"{path}/landed")
         stream = landed.stream_payloads(spark, f"{path}/landed")
         query = ingest.start_landing(stream, f"{path}/accepted", f"{path}/checkpoint", LATE_AFTER)
         query.awaitTermination()

@@ -7,6 +7,8 @@ import pytest
 
 from emberline.operators import history, spatial
 from emberline.functions import fwi
+from emberline import session
+from emberline.plans import catalog
 from emberline.plans import fixtures as fx
 from emberline.session import local_table
 from emberline.sources import payloads as landed
@@ -153,3 +155,14 @@ def test_whole_grid_ingest(spark, tmp_path):
     ingest.start_ingest(stream, mapping, str(tmp_path / "daily"), str(tmp_path / "cp")).awaitTermination()
     daily = weather.read_history_table(spark, str(tmp_path / "daily"))
     assert daily.count() == 14952 and daily.filter("temperature IS NULL").isEmpty()
+
+
+def test_late_payloads_are_written_by_every_task(spark, sf, tmp_path):
+    """Not all of them by one task; as many files, each half still one micro-batch."""
+    fx.table(spark, sf, "events").repartition(3, "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    rows = {(r.file_date, r.outcome): r.n_payloads for r in catalog.late_payloads(spark, str(tmp_path)).collect()}
+    (path,) = [name for name in session._scratch[-1:] if "/late-" in name]
+    assert len(spark.read.text(f"{path}/landed").inputFiles()) == 6
+    assert rows[None, "repeated"] > 0 and rows[None, "late"] > 0
+    whole = fx.table(spark, sf, "events").count()
+    assert sum(n for (day, _), n in rows.items() if day) + rows[None, "late"] >= whole
