@@ -10,6 +10,9 @@ A document identical to one of smaller id is found by digests: rows of one id an
 counted first, then rows of one text and part, so that a group of copies is a few rows before
 anything is joined on its digest.
 
+Labels, cells and orders grow with the documents or the parts, so their joins are dealt out by
+key (merge hints): Spark would broadcast them by the size of their files, which is small.
+
 Defined results: a null text is empty, a null source is the part ``''``; rows with a null id
 fail no comparison of ids and have no label; rows of one id and text are equals, none is
 smaller; of several labels of an id the greatest counts; other columns are not read; tables
@@ -111,7 +114,8 @@ def _labelled(rows: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
     salt = F.pmod(F.xxhash64("digest"), F.lit(SALTS)).cast("int")
-    named = rows.where("id IS NOT NULL").withColumn("salt", salt).join(known, ["id", "salt"], "left").drop("salt")
+    # SALTS rows a label weigh far more than the file by whose size Spark would choose to broadcast them.
+    named = rows.where("id IS NOT NULL").withColumn("salt", salt).join(known.hint("merge"), ["id", "salt"], "left").drop("salt")
     nameless = rows.where("id IS NULL").withColumns({"good": F.lit(0), "toxic": F.lit(0)})
     return named.withColumns({name: F.coalesce(name, F.lit(0)) for name in ("good", "toxic")}).unionByName(nameless)
 
@@ -129,7 +133,7 @@ def prefix_steps(cells: DataFrame, letters: str = FILTERS) -> DataFrame:
     by_part = cells.groupBy("part").agg(F.collect_list(F.struct("mask", "n", "good", "toxic")).alias("cells"))
     # Read at each level of the recursion.
     view = f"filter_audit_cells_{next(_views)}"
-    stored(by_part, "filter-audit-cells").createOrReplaceTempView(view)
+    stored(by_part, "filter-audit-cells").hint("merge").createOrReplaceTempView(view)
     bits = ", ".join(f"struct('{letter}' AS letter, {1 << place} AS bit)" for place, letter in enumerate(letters))
 
     def total(what: str, condition: str) -> str:
@@ -173,7 +177,7 @@ def audit_orders(steps: DataFrame, letters: str = FILTERS) -> DataFrame:
         .withColumn("prefix", F.expr("left(filter_order, at)"))
     )
     return (
-        orders.join(steps, ["part", "prefix"]).join(shapley, ["part", "letter"])
+        orders.join(steps.hint("merge"), ["part", "prefix"]).join(shapley, ["part", "letter"])
         .select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
     )
 

@@ -1,7 +1,10 @@
 import random
 import re
+from contextlib import contextmanager
 from itertools import permutations
 
+from pyspark.sql import functions as F
+
 from emberline.llm import filter_audit as f
 
 LABELS = "doc_id long, quality int, toxic int, n int"
@@ -78,3 +81,48 @@ def test_empty_tables_and_a_group_of_copies(spark, make_docs):
     long_text = "Word " * 100_000
     rows = [(i, "copy", f"s{i % 2}") for i in range(50)] + [(99, long_text, "s0"), (99, long_text, "s0"), (100, long_text, "s1")]
     assert result(f.audit(spark, make_docs(rows), none)) == brute(rows, [])
+
+
+@contextmanager
+def no_broadcast(spark):
+    """Whatever the driver gathers to broadcast is too large."""
+    name = "spark.sql.maxBroadcastTableSize"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1b")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_labels_are_not_gathered_by_the_driver(spark, tmp_path):
+    spark.createDataFrame([(i, i % 2, None, 5) for i in range(40)], LABELS).write.parquet(f"{tmp_path}/labels")
+    rows = spark.range(50).select(F.expr("if(id < 45, id, null) AS id"), F.expr("unhex(sha2(string(id % 7), 256)) AS digest"))
+    rows.write.parquet(f"{tmp_path}/rows")
+    with no_broadcast(spark):
+        marked = f._labelled(spark.read.parquet(f"{tmp_path}/rows"), spark.read.parquet(f"{tmp_path}/labels"), "doc_id").collect()
+    assert len(marked) == 50
+    assert all((row.good, row.toxic) == (int(row.id is not None and row.id < 40 and row.id % 2), 0) for row in marked)
+
+
+def test_cells_are_not_gathered_by_the_driver(spark):
+    cells = spark.range(50).select(
+        F.concat(F.lit("part "), "id").alias("part"),
+        F.explode(F.sequence(F.lit(0), F.lit(31))).alias("mask"),
+        *[F.lit(n).cast("long").alias(name) for name, n in (("n", 3), ("good", 2), ("toxic", 1))],
+    )
+    with no_broadcast(spark):
+        steps = f.prefix_steps(cells, "AB")
+    assert steps.count() == 50 * 4
+    assert {tuple(row)[1:] for row in steps.collect()} == {
+        (prefix, prefix[-1], len(prefix), *numbers)
+        for prefixes, numbers in ((("A", "B"), (48, 48, 0, 3, 32, 16)), (("AB", "BA"), (24, 24, 24, 3, 16, 8)))
+        for prefix in prefixes
+    }
+
+
+def test_orders_are_not_gathered_by_the_driver(spark, plan_of):
+    cells = spark.createDataFrame([("x", 3, 1, 0, 0)], "part string, mask int, n long, good long, toxic long")
+    plan = plan_of(f.audit_orders(f.prefix_steps(cells)))
+    assert re.search(r"SortMergeJoin \[part#\d+, prefix#\d+\]", plan)
+    assert not re.search(r"BroadcastHashJoin \[part#\d+, prefix#\d+\]", plan)
